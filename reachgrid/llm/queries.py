@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import mixing
+from reachgrid.llm import mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
