@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import mixing, packing
+from reachgrid.llm import licenses, mixing, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op3_host_quality": quality.op3_host_quality,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_host_quality": quality.ORACLE_SQL,
+    "op10_license_scan": licenses.ORACLE_SQL,
+}
 
 ORACLE_SQL["op1_source_mix"] = r"""
 WITH d AS (
