@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reachgrid.functions.shared import written
 from reachgrid.llm.common import documents, text_or_empty
 
 #: A word of lower-cased text: ASCII digits and letters, and all that is not ASCII.
@@ -72,7 +73,7 @@ def diagonals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     # The first element stands for the document itself and matches nothing.
     grams = F.expr("concat(array(cast(null as long)), transform(slice(_words, 1, greatest(size(_words) - 1, 0)), (w, i) -> xxhash64(w, get(_words, i + 1))))")
     d = d.select("doc_id", "_text", F.size("_words").cast("long").alias("n_words"), grams.alias("_grams"))
-    d = d.select("doc_id", "_text", "n_words", F.posexplode("_grams").alias("_at", "_hash"))
+    d = d.select("doc_id", "_text", "n_words", F.posexplode_outer("_grams").alias("_at", "_hash"))
     d = d.join(F.broadcast(templates(docs.sparkSession)), "_hash", "left")
     d = d.where(F.col("template").isNotNull() | (F.col("_at") == 0))
     vote = F.expr("case when template is not null then shiftleft(1L, at) end")
@@ -99,7 +100,7 @@ def spans(found: DataFrame, min_share: float = MIN_SHARE, max_shift: int = MAX_S
 
 def license_scan(docs: DataFrame, key: str = "doc_id", min_share: float = MIN_SHARE, max_shift: int = MAX_SHIFT) -> DataFrame:
     """One row per document: words, places of the phrases, labels and the best share of a template."""
-    found = diagonals(docs, key)
+    found = written(diagonals(docs, key), "diagonals")
     verified = spans(found, min_share, max_shift).select("doc_id", "_text", "n_words", "label", "phrase", "first", "share", F.lit(0).cast("long").alias("rows"))
     nothing = [F.lit(None).cast(t).alias(c) for c, t in (("label", "string"), ("phrase", "boolean"), ("first", "int"), ("share", "double"))]
     every = found.where(F.col("template").isNull()).select("doc_id", "_text", "n_words", *nothing, "rows")
@@ -130,12 +131,12 @@ ORACLE_SQL = rf"""
 WITH t AS (
   SELECT template, label, string_split(text, ' ') AS ws, phrase
   FROM (VALUES {_template_values()}) v(template, label, text, phrase)),
-g AS (SELECT template, label, phrase, len(ws) - 1 AS votes, i - 1 AS at, ws[i] AS a, ws[i + 1] AS b
+g AS (SELECT template, label, phrase, len(ws) - 1 AS votes, i - 1 AS tpos, ws[i] AS a, ws[i + 1] AS b
       FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM t)),
 d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{LICENSE_WORD}') AS ws FROM documents),
 w AS (SELECT doc_id, i - 1 AS p, ws[i] AS a, ws[i + 1] AS b FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM d)),
 v AS (
-  SELECT doc_id, template, label, phrase, votes, p - at AS diagonal, bit_or(1::BIGINT << at) AS mask, min(p) AS first, max(p) + 1 AS last
+  SELECT doc_id, template, label, phrase, votes, p - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS mask, min(p) AS first, max(p) + 1 AS last
   FROM w JOIN g USING (a, b) GROUP BY ALL),
 n AS (SELECT *, CASE WHEN phrase OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {MAX_SHIFT} THEN 1 ELSE 0 END AS new
       FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),

@@ -14,6 +14,21 @@ _TAIL = ".,!?;:%$&#*|"
 MAX_KEPT = 400_000
 
 
+def _byte_names() -> dict[int, str]:
+    """Names of bytes in byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on."""
+    printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(0x100 + i) for i, b in enumerate(others)}
+
+
+_NAMES = _byte_names()
+
+
+def _plain(part: str) -> bool:
+    """Latin letters only, so that case folding and the split into words are known."""
+    return part.isalpha() and max(part) < "\u0250" and "\u0130" not in part
+
+
 class WordTokens:
     """Ids of texts under a tokenizer whose words never cross a blank.
 
@@ -27,6 +42,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For words that need no normalisation or split: the merges alone.
+        self.merges = Tokenizer.from_file(path)
+        self.merges.normalizer = self.merges.pre_tokenizer = None
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {"": b""}
@@ -44,6 +62,17 @@ class WordTokens:
             tail = word[len(core):]
             cut[word] = (core.lower() if core.isascii() else core, tail)
         new = list(set(chain.from_iterable(cut.values())).difference(self.parts))
+        letters = [p for p in new if _plain(p)]
+        for i in range(0, len(letters), 2000):
+            some = letters[i : i + 2000]
+            names = [p if p.isascii() else p.lower().encode().decode("latin-1").translate(_NAMES) for p in some]
+            (found,) = self.merges.encode_batch_fast([names], is_pretokenized=True, add_special_tokens=False)
+            data = np.array(found.ids, dtype="<u4").tobytes()
+            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1)).tolist()
+            for part, a, b in zip(some, ends, ends[1:]):
+                self.parts[part] = data[4 * a : 4 * b]
+        known = set(letters)
+        new = [p for p in new if p not in known]
         plain = [p for p in new if "\0" not in p]
         for i in range(0, len(plain), 2000):
             some = plain[i : i + 2000]
