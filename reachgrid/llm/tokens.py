@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import os
 from functools import cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
 #: Marks that end a word without being part of it: a run of them is a token group of its own.
 _TAIL = ".,!?;:%$&#*|"
-#: A worker forgets its words when it holds so many.
-MAX_KEPT = 400_000
+#: A worker holds so many words and word parts at most (about 300 MB in all); then it
+#: forgets all but those met first, which are the frequent ones.
+MAX_KEPT = 1_000_000
+MAX_PARTS = 600_000
+FIRST_KEPT = 250_000
 
 
 def _byte_names() -> dict[int, str]:
@@ -45,6 +48,9 @@ class WordTokens:
         # For words that need no normalisation or split: the merges alone.
         self.merges = Tokenizer.from_file(path)
         self.merges.normalizer = self.merges.pre_tokenizer = None
+        vocabulary = self.merges.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # tokens that end a word
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         (self.mark,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
         self.words: dict[str, bytes] = {"": b""}
@@ -67,9 +73,11 @@ class WordTokens:
             some = letters[i : i + 2000]
             names = [p if p.isascii() else p.lower().encode().decode("latin-1").translate(_NAMES) for p in some]
             (found,) = self.merges.encode_batch_fast([names], is_pretokenized=True, add_special_tokens=False)
-            data = np.array(found.ids, dtype="<u4").tobytes()
-            ends = np.searchsorted(np.array(found.word_ids), np.arange(len(some) + 1)).tolist()
-            for part, a, b in zip(some, ends, ends[1:]):
+            ids = np.array(found.ids, dtype="<u4")
+            data, ends = ids.tobytes(), (np.flatnonzero(self.last[ids]) + 1).tolist()
+            if len(ends) != len(some):
+                raise ValueError("the tokenizer does not mark the end of words")
+            for part, a, b in zip(some, [0, *ends], ends):
                 self.parts[part] = data[4 * a : 4 * b]
         known = set(letters)
         new = [p for p in new if p not in known]
@@ -92,9 +100,9 @@ class WordTokens:
         """Little-endian unsigned 32-bit ids of each text."""
         cut = [t.replace("\n", " ").split(" ") for t in texts]
         if len(self.words) > MAX_KEPT:
-            self.words = {"": b""}
-        if len(self.parts) > MAX_KEPT:
-            self.parts = {"": b""}
+            self.words = dict(islice(self.words.items(), FIRST_KEPT))
+        if len(self.parts) > MAX_PARTS:
+            self.parts = dict(islice(self.parts.items(), FIRST_KEPT))
         missing = set(chain.from_iterable(cut)).difference(self.words)
         if missing:
             self._learn(missing)
