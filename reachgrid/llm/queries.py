@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import licenses, mixing, packing, quality
+from reachgrid.llm import licenses, mixing, neardup, packing, quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
     "op3_host_quality": quality.op3_host_quality,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_host_quality": quality.ORACLE_SQL,
+    "op8_near_duplicates": neardup.op8_near_duplicates,
     "op10_license_scan": licenses.ORACLE_SQL,
 }
 
