@@ -25,16 +25,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.functions.shared import written
 from reachgrid.llm.common import documents, text_or_empty
+from reachgrid.llm.words import MULTIPLIER, mixed, slices, word_hashes
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -44,62 +43,31 @@ SEED = 20_260
 
 CLASS_BITS = 18
 _TABLE_BITS = 15
-_CHARS = 1_000_000
-MAX_KEPT = 500_000
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective mix of 64-bit numbers."""
-    x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
-    x = x ^ (x >> np.uint64(27))
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-class _Words(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
-
-
-@cache
-def _words() -> _Words:
-    return _Words()
 
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, shingle hash, how often) of the distinct shingles of texts, sorted by both."""
-    known = _words()
-    if len(known) > MAX_KEPT:
-        known.clear()
-    # Bytes are cut at the six ASCII blanks only.
-    cut = [t.encode("utf-8", "surrogatepass").split() for t in texts]
-    sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-    total = int(sizes.sum())
-    words = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.uint64, count=total)
+    words, sizes = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
+    total = len(words)
     pad = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
     # A rolling polynomial over five words; short texts are covered below.
     value = np.zeros(total, np.uint64)
     for i in range(SHINGLE):
-        value = value * _MULTIPLIER + pad[i : i + total]
-    value = _mixed(value)
-    row = np.repeat(np.arange(len(cut)), sizes)
+        value = value * MULTIPLIER + pad[i : i + total]
+    value = mixed(value)
+    row = np.repeat(np.arange(len(texts)), sizes)
     first = np.cumsum(sizes) - sizes
     place = np.arange(total) - first[row]
     keep = place <= np.maximum(sizes[row] - SHINGLE, 0)
     for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)).tolist():
         own = sizes[i : i + 1].astype(np.uint64)
         for w in words[first[i] : first[i] + sizes[i]]:
-            own = _mixed(own * _MULTIPLIER + w)
+            own = mixed(own * MULTIPLIER + w)
         value[first[i]] = own[0]
         keep[first[i] + 1 : first[i] + sizes[i]] = False
     row, value = row[keep], value[keep]
     # Per text: sort, then count equal neighbours.
-    ends = np.searchsorted(row, np.arange(len(cut) + 1))
+    ends = np.searchsorted(row, np.arange(len(texts) + 1))
     for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
         value[a:b].sort()
     new = np.ones(len(value), dtype=bool)
@@ -108,17 +76,6 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row[at], value[at], np.diff(np.append(at, len(value)))
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
-    at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
-        if size >= _CHARS:
-            yield at, i + 1
-            at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
-
-
 def _class_of(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
@@ -130,7 +87,7 @@ def class_frequencies(texts: DataFrame) -> DataFrame:
         n = np.zeros(1 << CLASS_BITS, dtype=np.int64)
         for batch in batches:
             found = batch.column(0).to_pylist()
-            for a, b in _slices(found):
+            for a, b in slices(found):
                 row, value, _ = shingles(found[a:b])
                 key = np.unique(row << CLASS_BITS | _class_of(value))
                 n += np.bincount(key & ((1 << CLASS_BITS) - 1), minlength=1 << CLASS_BITS)
@@ -190,7 +147,7 @@ def picks(row: np.ndarray, value: np.ndarray, weight: np.ndarray, texts: int, co
         least = np.minimum.reduceat(a, start)
         hit = np.flatnonzero(a == least[group])
         # Equal least values: the smallest hash wins, the same in every text.
-        sample = _mixed(value[hit] + t[hit].astype(np.int64).view(np.uint64) * _MULTIPLIER)
+        sample = mixed(value[hit] + t[hit].astype(np.int64).view(np.uint64) * MULTIPLIER)
         own = group[hit]
         cut = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
         out[who, j] = np.minimum.reduceat(sample, cut)
@@ -205,14 +162,14 @@ def bands(texts: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: int =
         idf = held.value
         for batch in batches:
             ids, found = batch.column(0), batch.column(1).to_pylist()
-            for a, b in _slices(found):
+            for a, b in slices(found):
                 row, value, often = shingles(found[a:b])
                 picked = picks(row, value, often * idf[_class_of(value)], b - a, bands * rows)
                 full = np.unique(row)
                 key = np.zeros((len(full), bands), np.uint64)
                 for i in range(rows):
-                    key = _mixed(key * _MULTIPLIER + picked[full, i::rows])
-                key = _mixed(key + np.arange(bands, dtype=np.uint64))
+                    key = mixed(key * MULTIPLIER + picked[full, i::rows])
+                key = mixed(key + np.arange(bands, dtype=np.uint64))
                 own = ids.take(pa.array(a + np.repeat(full, bands)))
                 yield pa.RecordBatch.from_arrays([own, pa.array(key.ravel().view(np.int64))], names=["text_id", "band"])
 
@@ -222,7 +179,7 @@ def bands(texts: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: int =
 def similarities(pairs: list[tuple[int, int]], texts: list[str], idf: np.ndarray) -> list[float]:
     """Weighted Jaccard similarity of pairs of ``texts``; 1 if neither has a word."""
     sets: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in _slices(texts):
+    for a, b in slices(texts):
         row, value, often = shingles(texts[a:b])
         weight = often * idf[_class_of(value)].astype(np.float64)
         ends = np.searchsorted(row, np.arange(b - a + 1)).tolist()
