@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import licenses, mixing, neardup, packing, quality, toxicity
+from reachgrid.llm import licenses, mixing, neardup, packing, ppm, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -14,12 +14,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_toxicity": toxicity.op5_toxicity,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_ppm_scores": ppm.op9_ppm_scores,
     "op10_license_scan": licenses.op10_license_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_host_quality": quality.ORACLE_SQL,
     "op8_near_duplicates": neardup.op8_near_duplicates,
+    "op9_ppm_scores": ppm.op9_ppm_scores,
     "op10_license_scan": licenses.ORACLE_SQL,
 }
 
