@@ -11,10 +11,11 @@ weighted Jaccard similarity. Picks are banded; texts that share a band are
 candidates and are verified by their exact weighted Jaccard similarity.
 
 Equal texts are one text from the start. Inside a band each text is first held
-against the band's first text only. Links found so are joined to classes, and
-only texts of one band that are still in different classes are compared further,
-so a large group of near copies costs its size, not its square, and yet no link
-between candidates of different classes is lost. No cap applies anywhere.
+against a few pivots only. Links found so are joined to classes, and only texts
+of one band that are still in different classes are compared further: with more
+pivots while that joins many, then with all. So a large group of near copies costs
+its size, not its square, and yet no link between candidates of different
+classes is lost. No cap applies anywhere.
 
 Defined results: texts of fewer than five words have one shingle, all their
 words; texts without words are near only to equal texts; a null text is the empty
@@ -23,7 +24,7 @@ text; null doc_ids and repeated rows are rows of their own that share a class.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -40,6 +41,8 @@ THRESHOLD = 0.8
 BANDS = 10
 ROWS = 4
 SEED = 20_260
+#: Texts of a band that all others of it are held against in one turn.
+PIVOTS = 3
 
 CLASS_BITS = 18
 _TABLE_BITS = 15
@@ -247,14 +250,11 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     weights = class_weights(class_frequencies(texts), docs.count())
     # Equal texts have equal bands: one row for each text stays.
     banded = written(bands(texts, weights, n_bands, n_rows).distinct(), "bands")
-    firsts = banded.groupBy("band").agg(F.min("text_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    members = written(banded.join(firsts, "band"), "members")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
+    members = written(banded.join(shared, "band"), "members")
     held = _one_of_each(texts, members.select("text_id").distinct())
-    pairs = members.where("text_id > first").select(F.col("first").alias("a"), F.col("text_id").alias("b")).distinct()
-    links = written(verified(pairs, held, weights, threshold), "links")
-    rest = _unjoined(members, links)
-    more = written(verified(rest, held, weights, threshold), "links")
-    links = links.union(more)
+    links = written(verified(_with_pivots(members, members, 0), held, weights, threshold), "links")
+    links = _all_links(members, links, lambda pairs: written(verified(pairs, held, weights, threshold), "links"))
     roots = components(links)
     counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     return roots.join(counts, "node", "left").select(F.col("node").alias("text_id"), "root", "links")
@@ -272,29 +272,52 @@ def _one_of_each(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     return written(rows.dropDuplicates(["text_id"]).select("text_id", "text"), "candidate-texts")
 
 
-def _unjoined(members: DataFrame, links: DataFrame) -> DataFrame:
-    """Pairs of one band whose texts are in different classes after the first comparison.
+def _with_pivots(rows: DataFrame, among: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
+    """Pairs of each text of ``rows`` with its band's pivots: texts of ``among`` with the least hashes of this turn."""
+    least = [F.min(F.struct(F.xxhash64("text_id", F.lit(turn * pivots + i)), "text_id")).alias(f"p{i}") for i in range(pivots)]
+    found = among.groupBy("band").agg(*least)
+    found = found.select("band", F.array_distinct(F.array(*[F.col(f"p{i}.text_id") for i in range(pivots)])).alias("_pivots"))
+    pairs = rows.select("band", "text_id").join(found, "band").select("text_id", F.explode("_pivots").alias("pivot")).where("text_id != pivot")
+    return pairs.select(F.least("text_id", "pivot").alias("a"), F.greatest("text_id", "pivot").alias("b")).distinct()
 
-    In each band the texts outside its largest class are held against all of the
-    band that is in another class. A band of one class gives nothing.
+
+def _all_links(members: DataFrame, links: DataFrame, check: Callable[[DataFrame], DataFrame], turns: int = 6) -> DataFrame:
+    """``links`` and those that still join two classes of one band.
+
+    While many texts are outside their band's largest class, they are held
+    against further pivots of it, which in a group of near copies joins a fixed share
+    of them each turn. Then, or when a turn joins few, each text that is left
+    outside is held against all texts of its band in other classes.
     """
-    roots = components(links)
-    placed = members.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
-    placed = written(placed.select("band", "text_id", "first", F.coalesce("root", "text_id").alias("root")), "placed")
-    per = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-    top = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("_top"), F.count("*").alias("classes")).where("classes > 1")
-    open_bands = placed.join(top.select("band", F.col("_top.root").alias("top")), "band")
-    some = open_bands.where("root != top").select("band", F.col("text_id").alias("a"), F.col("root").alias("ra"), F.col("first").alias("fa"))
-    other = open_bands.select("band", F.col("text_id").alias("b"), F.col("root").alias("rb"), "top")
-    pairs = some.join(other, "band").where("ra != rb and (rb = top or a < b) and a != fa and b != fa")
-    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    size = members.count()
+    before = None
+    for turn in range(1, turns + 1):
+        roots = components(links)
+        placed = members.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
+        placed = written(placed.select("band", "text_id", F.coalesce("root", "text_id").alias("root")), "placed")
+        per = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
+        top = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("_top"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+        top = written(top.select("band", F.col("_top.root").alias("top"), "n", F.col("_top.n").alias("n_top")), "open-bands")
+        left = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_top")))).first()[0] or 0
+        if not left:
+            return links
+        rows = placed.join(top.select("band", "top"), "band")
+        if left <= size or turn == turns or before is not None and left > 0.8 * before:
+            some = rows.where("root != top").select("band", F.col("text_id").alias("a"), F.col("root").alias("ra"))
+            other = rows.select("band", F.col("text_id").alias("b"), F.col("root").alias("rb"), "top")
+            pairs = some.join(other, "band").where("ra != rb and (rb = top or a < b)")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            return links.union(check(pairs)).distinct()
+        before = left
+        links = written(links.union(check(_with_pivots(rows.where("root != top"), rows.where("root = top"), turn))).distinct(), "links")
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, copies, links per row of ``docs``.
 
     ``class_id`` is the least doc_id of the class (null only if all are null),
-    ``copies`` the rows with the same text, ``links`` the other texts that are near.
+    ``copies`` the rows with the same text, ``links`` the other texts found near.
     """
     found = classes(docs, threshold, n_bands, n_rows)
     rows = written(docs.select("doc_id", F.md5(text_or_empty().cast("binary")).alias("text_id")), "rows")
