@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import licenses, mixing, neardup, packing, ppm, quality, toxicity
+from reachgrid.llm import licenses, media, mixing, neardup, packing, ppm, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
     "op3_host_quality": quality.op3_host_quality,
     "op5_toxicity": toxicity.op5_toxicity,
+    "op6_lossless_webp": media.op6_lossless_webp,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_ppm_scores": ppm.op9_ppm_scores,
