@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import licenses, media, mixing, neardup, packing, ppm, quality, toxicity
+from reachgrid.llm import licenses, media, mixing, neardup, packing, pii, ppm, quality, rollup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
+    "op2_private_spans": pii.op2_private_spans,
     "op3_host_quality": quality.op3_host_quality,
+    "op4_token_rollup": rollup.op4_token_rollup,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_lossless_webp": media.op6_lossless_webp,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
@@ -23,6 +25,7 @@ ORACLE_SQL: dict[str, str] = {
     "op3_host_quality": quality.ORACLE_SQL,
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_ppm_scores": ppm.op9_ppm_scores,
+    "op4_token_rollup": rollup.ORACLE_SQL,
     "op10_license_scan": licenses.ORACLE_SQL,
 }
 
