@@ -36,6 +36,7 @@ class Rules:
 def measures(docs: DataFrame, *kept: Column) -> DataFrame:
     """``kept`` columns, then n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
     d = docs.select(*kept, text_or_empty().alias("_text"))
+    names = d.columns[:-1]
     d = d.select(
         "*",
         F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)).alias("_words"),
@@ -49,9 +50,8 @@ def measures(docs: DataFrame, *kept: Column) -> DataFrame:
     d = d.withColumn("_twice", F.expr("filter(_keys, (x, i) -> shiftright(x, _bits) <=> shiftright(get(_keys, i - 1), _bits) or shiftright(x, _bits) <=> shiftright(get(_keys, i + 1), _bits))"))
     places = "transform(_twice, x -> x & (shiftleft(1L, _bits) - 1))"
     covered = f"size(array_distinct(flatten(transform({places}, i -> array(i, i + 1, i + 2)))))"
-    names = [c for c in d.columns if not c.startswith("_")]
-    return d.select(
-        *names[: len(names) - 2],
+    # A generator, so that filters on the measures are not pushed into the expressions that make them.
+    each = F.struct(
         F.col("_n").cast("long").alias("n_words"),
         "word_chars",
         "n_symbols",
@@ -59,6 +59,7 @@ def measures(docs: DataFrame, *kept: Column) -> DataFrame:
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.expr(f"cast({covered} as long)").alias("n_repeat_words"),
     )
+    return d.select(*names, F.inline_outer(F.array(each)))
 
 
 def base_failed(r: Rules) -> Column:
@@ -115,13 +116,13 @@ def kept_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules()
     poor = written(poor_hosts(measures(docs, key), rules), "poor-hosts")
     # A struct holds the row, whatever its columns are called.
     rows = docs.select(F.struct("*").alias("row"), "text", key)
-    rows = judged(measures(rows, F.col("row"), F.col("_host").alias("host")).withColumnRenamed("host", "_host"), rules, poor)
+    rows = judged(measures(rows, F.col("row"), F.col("_host")), rules, poor)
     return rows.where("kept").select("row.*")
 
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    measured = measures(docs, F.col("doc_id"), host_key(F.col("source")).alias("host")).withColumnRenamed("host", "_host")
+    measured = measures(docs, F.col("doc_id"), host_key(F.col("source")).alias("_host"))
     rows = judged(written(measured, "measures"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
