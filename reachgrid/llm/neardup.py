@@ -28,6 +28,7 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,9 @@ BANDS = 10
 ROWS = 4
 SEED = 20_260
 #: Texts of a band that all others of it are held against in one turn.
-PIVOTS = 3
+PIVOTS = 2
+#: Texts of one block, when texts of a band are held against all others of it.
+BLOCK = 256
 
 CLASS_BITS = 18
 _TABLE_BITS = 15
@@ -254,7 +257,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     members = written(banded.join(shared, "band"), "members")
     held = _one_of_each(texts, members.select("text_id").distinct())
     links = written(verified(_with_pivots(members, members, 0), held, weights, threshold), "links")
-    links = _all_links(members, links, lambda pairs: written(verified(pairs, held, weights, threshold), "links"))
+    links = _all_links(members, links, held, weights, threshold)
     roots = components(links)
     counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     return roots.join(counts, "node", "left").select(F.col("node").alias("text_id"), "root", "links")
@@ -281,13 +284,12 @@ def _with_pivots(rows: DataFrame, among: DataFrame, turn: int, pivots: int = PIV
     return pairs.select(F.least("text_id", "pivot").alias("a"), F.greatest("text_id", "pivot").alias("b")).distinct()
 
 
-def _all_links(members: DataFrame, links: DataFrame, check: Callable[[DataFrame], DataFrame], turns: int = 6) -> DataFrame:
+def _all_links(members: DataFrame, links: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float, turns: int = 4) -> DataFrame:
     """``links`` and those that still join two classes of one band.
 
-    While many texts are outside their band's largest class, they are held
-    against further pivots of it, which in a group of near copies joins a fixed share
-    of them each turn. Then, or when a turn joins few, each text that is left
-    outside is held against all texts of its band in other classes.
+    While that joins many, texts outside their band's largest class are held against
+    further pivots of it. Texts left outside are then held against all texts of their
+    bands in other classes, block by block.
     """
     size = members.count()
     before = None
@@ -301,18 +303,64 @@ def _all_links(members: DataFrame, links: DataFrame, check: Callable[[DataFrame]
         left = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_top")))).first()[0] or 0
         if not left:
             return links
-        rows = placed.join(top.select("band", "top"), "band")
-        if left <= size or turn == turns or before is not None and left > 0.8 * before:
-            some = rows.where("root != top").select("band", F.col("text_id").alias("a"), F.col("root").alias("ra"))
-            other = rows.select("band", F.col("text_id").alias("b"), F.col("root").alias("rb"), "top")
-            pairs = some.join(other, "band").where("ra != rb and (rb = top or a < b)")
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            return links.union(check(pairs)).distinct()
+        rows = placed.join(top, "band")
+        if left <= size or turn == turns or before is not None and left > 0.7 * before:
+            return links.union(_block_links(written(rows, "open-members"), held, weights, threshold)).distinct()
         before = left
-        links = written(links.union(check(_with_pivots(rows.where("root != top"), rows.where("root = top"), turn))).distinct(), "links")
+        pairs = _with_pivots(rows.where("root != top"), rows.where("root = top"), turn)
+        links = written(links.union(verified(pairs, held, weights, threshold)).distinct(), "links")
     return links
 
 
+def _block_links(rows: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:
+    """Links between texts of different classes that share a band, one of them outside its largest class.
+
+    A band's texts and those outside are dealt into blocks of about ``BLOCK`` texts, and
+    each pair of blocks is one group, whatever the band's size. A pair is compared in
+    the least of the bands that it shares.
+    """
+    bands_of = rows.groupBy("text_id").agg(F.sort_array(F.collect_list("band")).alias("bands"))
+    texts = held.join(bands_of, "text_id")
+    rows = rows.select("band", "text_id", "root", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("_all"), F.ceil((F.col("n") - F.col("n_top")) / BLOCK).cast("int").alias("_out"))
+    rows = rows.join(texts, "text_id")
+    own = lambda n, seed: F.pmod(F.xxhash64("text_id", F.lit(seed)), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    # Both sides come from one table: own names keep their columns apart.
+    data = [F.col(c).alias(c) for c in ("text_id", "root", "top", "text", "bands")]
+    band = F.col("band").alias("band")
+    outside = rows.where("root != top").select(band, own("_out", 1).alias("i"), every("_all").alias("j"), *data)
+    inside = rows.select(band, every("_out").alias("i"), own("_all", 2).alias("j"), *data)
+    broadcast = rows.sparkSession.sparkContext.broadcast(weights)
+
+    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        one, two = x["text_id"].to_numpy(), y["text_id"].to_numpy()
+        roots = x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :]
+        # Two texts that are both outside meet twice.
+        once = (y["root"] == y["top"]).to_numpy()[None, :] | (one[:, None] < two[None, :])
+        least = _least_shared(x["bands"].to_list(), y["bands"].to_list())
+        i, j = np.nonzero(roots & once & (least == key[0]))
+        found = np.array(similarities(list(zip(i.tolist(), (len(x) + j).tolist())), [*x["text"], *y["text"]], broadcast.value))
+        good = np.flatnonzero(found >= threshold) if len(i) else np.zeros(0, np.int64)
+        a, b = one[i[good]], two[j[good]]
+        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": found[good] if len(i) else np.zeros(0)})
+
+    both = outside.groupBy("band", "i", "j").cogroup(inside.groupBy("band", "i", "j"))
+    return written(both.applyInPandas(compare, "a string, b string, similarity double"), "links")
+
+
+def _least_shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Least number that each list of ``x`` shares with each of ``y``; the largest number if none."""
+    top = np.iinfo(np.int64).max
+    out = np.full((len(x), len(y)), top)
+    width = max(map(len, y), default=0)
+    table = np.full((len(y), width), top)
+    for k, held in enumerate(y):
+        table[k, : len(held)] = held
+    for k, held in enumerate(x):
+        out[k] = np.where(np.isin(table, held), table, top).min(axis=1, initial=top)
+    return out
+
+
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS, n_rows: int = ROWS) -> DataFrame:
     """doc_id, class_id, copies, links per row of ``docs``.
 
