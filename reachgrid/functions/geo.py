@@ -105,20 +105,21 @@ def unproject(east: Column, north: Column, epsg: int) -> tuple[Column, Column]:
     p = projection(epsg)
     if p.parallels:
         raise ValueError("only transverse Mercator codes are unprojected")
-    radius, e, _, inverse = _series(p)
+    radius, _, _, inverse = _series(p)
     x, y = (north - p.north + _north_of(p)) / (p.scale * radius), (east - p.east) / (p.scale * radius)
     xi, eta = x, y
     for j, c in enumerate(inverse, 1):
         xi = xi - c * F.sin(2 * j * x) * F.cosh(2 * j * y)
         eta = eta - c * F.cos(2 * j * x) * F.sinh(2 * j * y)
-    conformal = F.sin(xi) / F.sqrt(F.pow(F.sinh(eta), 2) + F.pow(F.cos(xi), 2))  # tangent of the conformal latitude
-    tau = conformal
-    for _ in range(4):  # Newton steps for the tangent of the latitude
-        s = F.sinh(e * _atanh(e * tau / F.sqrt(1 + tau * tau)))
-        back = tau * F.sqrt(1 + s * s) - s * F.sqrt(1 + tau * tau)
-        step = (conformal - back) / F.sqrt(1 + back * back) * (1 + (1 - e * e) * tau * tau) / ((1 - e * e) * F.sqrt(1 + tau * tau))
-        tau = tau + step
-    return F.degrees(F.atan(tau)), p.lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
+    f = p.shape[1]
+    n = f / (2 - f)
+    # From the conformal latitude to the geographic one.
+    deltas = [2 * n - 2 * n**2 / 3 - 2 * n**3 + 116 * n**4 / 45, 7 * n**2 / 3 - 8 * n**3 / 5 - 227 * n**4 / 45, 56 * n**3 / 15 - 136 * n**4 / 35, 4279 * n**4 / 630]
+    chi = F.asin(F.sin(xi) / F.cosh(eta))
+    phi = chi
+    for j, c in enumerate(deltas, 1):
+        phi = phi + c * F.sin(2 * j * chi)
+    return F.degrees(phi), p.lon0 + F.degrees(F.atan2(F.sinh(eta), F.cos(xi)))
 
 
 def _conic(lat: Column, lon: Column, p: Projection) -> tuple[Column, Column]:
