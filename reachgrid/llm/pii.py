@@ -167,14 +167,17 @@ def potentials(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     prior = (own.sum(axis=0) + 1) / (own.sum() + 5)
     prior[0] = max(prior[0], 0.5)
     prior /= prior.sum()
-    unary = np.log((own + 2 * prior) / (own.sum(axis=1, keepdims=True) + 2))
+    # Held at -6, so that a link to a full number can speak against the shape.
+    unary = np.maximum(np.log((own + 2 * prior) / (own.sum(axis=1, keepdims=True) + 2)), -6)
     # How much likelier than by chance a label follows another; held to a factor of e.
     ratio = np.log((step + 2 * prior) / (step.sum(axis=1, keepdims=True) + 2) / prior)
     return unary, np.clip(ratio, -1, 1) / 2
 
 
 #: Strength of links between equal and between similar tokens, number of sweeps, damping, belief needed.
-EQUAL, SIMILAR, SWEEPS, DAMPING, BELIEF = 4.0, 3.0, 12, 0.3, 0.6
+EQUAL, SIMILAR, SWEEPS, DAMPING, BELIEF = 12.0, 9.0, 12, 0.3, 0.6
+#: Shorter forms, like house numbers, say nothing about each other.
+SHORTEST = 6
 
 
 def _links(tokens: list[str]) -> list[tuple[int, int, float]]:
@@ -184,6 +187,8 @@ def _links(tokens: list[str]) -> list[tuple[int, int, float]]:
     for i, token in enumerate(tokens):
         form = "".join(c for c in token.lower() if c.isalnum())
         digits = "".join(c for c in form if "0" <= c <= "9")
+        if len(form) < SHORTEST:
+            continue
         equal = last.get(("form", form))
         similar = last.get(("end", digits[-7:])) if len(digits) >= 7 else None
         if equal is not None:

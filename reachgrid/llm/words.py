@@ -11,7 +11,7 @@ import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 #: A worker holds the hashes of so many words at most.
-MAX_KEPT = 500_000
+MAX_KEPT = 150_000
 _CHARS = 1_000_000
 
 
