@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,8 +36,9 @@ PROTECTED_FLAG = 16
 
 def lookup(c: Column, values: dict[str, int], default: int | None = None) -> Column:
     """Value of a fixed map at ``c``."""
-    found = F.lit(None).cast("int") if default is None else F.lit(default)
-    return reduce(lambda rest, kv: F.when(c == kv[0], kv[1]).otherwise(rest), reversed(values.items()), found)
+    table = F.create_map(*[F.lit(x) for pair in values.items() for x in pair])
+    found = F.try_element_at(table, c)
+    return found if default is None else F.coalesce(found, F.lit(default))
 
 
 def tag(c: Column, key: str) -> Column:
@@ -60,12 +59,13 @@ def mode_mask(highway: Column, c: Column) -> Column:
     """Modes a way is open to: defaults by highway, cycleways, access, then mode tags from general to special."""
     bits = lambda names, bit: F.when(highway.isin(*names), bit).otherwise(0)
     mask = bits(WALK_HIGHWAYS, WALK) + bits(BIKE_HIGHWAYS, BIKE) + bits(CAR_HIGHWAYS, CAR)
-    mask = F.when(has(c, "cycleway"), mask.bitwiseOR(BIKE)).otherwise(mask)
+    mask = mask.bitwiseOR(F.when(has(c, "cycleway"), BIKE).otherwise(0))
     access = tag(c, "access")
     mask = F.when(access.isin(*DENY), 0).when(access.isin(*ALLOW), 7).otherwise(mask)
     for key, bit in (("foot", WALK), ("bicycle", BIKE), ("vehicle", BIKE | CAR), ("motor_vehicle", CAR)):
         value = tag(c, key)
-        mask = F.when(value.isin(*DENY), mask.bitwiseAND(7 & ~bit)).when(value.isin(*ALLOW), mask.bitwiseOR(bit)).otherwise(mask)
+        # Bits taken off, then bits put on; the mask stands once in each step.
+        mask = mask.bitwiseAND(F.when(value.isin(*DENY), 7 & ~bit).otherwise(7)).bitwiseOR(F.when(value.isin(*ALLOW), bit).otherwise(0))
     return mask.cast("int")
 
 

@@ -38,7 +38,7 @@ _ALLOW, _DENY = "('yes', 'designated', 'permissive', 'official', 'destination')"
 
 def _override(mask: str, column: str, bits: int) -> str:
     v = f"lower(trim({column}))"
-    return f"(CASE WHEN {v} IN {_DENY} THEN ({mask}) & {7 & ~bits} WHEN {v} IN {_ALLOW} THEN ({mask}) | {bits} ELSE ({mask}) END)"
+    return f"((({mask}) & CASE WHEN {v} IN {_DENY} THEN {7 & ~bits} ELSE 7 END) | CASE WHEN {v} IN {_ALLOW} THEN {bits} ELSE 0 END)"
 
 
 NETWORK = f"""

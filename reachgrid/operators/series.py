@@ -83,8 +83,8 @@ def sample_sources(eligible: DataFrame, n_nodes: int, n: int, seed: int = 1337,
     for i, state in enumerate(draws(n * attempts, seed)):
         first.setdefault(state * n_nodes // LCG_SIZE, i)
     drawn = eligible.sparkSession.createDataFrame(list(first.items()), "node_index long, draw long")
-    hits = eligible.join(F.broadcast(drawn), "node_index").select("node_index", F.struct(F.lit(0), F.col("draw")).alias("_order"))
-    rest = eligible.join(F.broadcast(drawn), "node_index", "left_anti").select("node_index", F.struct(F.lit(1), F.col("node_index")).alias("_order"))
+    hits = eligible.join(F.broadcast(drawn), "node_index").select("node_index", F.struct(F.lit(0).alias("late"), F.col("draw").alias("at")).alias("_order"))
+    rest = eligible.join(F.broadcast(drawn), "node_index", "left_anti").select("node_index", F.struct(F.lit(1).alias("late"), F.col("node_index").alias("at")).alias("_order"))
     some = hits.unionByName(rest.orderBy("node_index").limit(n)).orderBy("_order").limit(n)
     return some.select((F.row_number().over(Window.orderBy("_order")) - 1).alias("pos"), "node_index")  # at most n rows
 
