@@ -23,8 +23,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op3_host_quality": quality.ORACLE_SQL,
-    "op8_near_duplicates": neardup.op8_near_duplicates,
-    "op9_ppm_scores": ppm.op9_ppm_scores,
     "op4_token_rollup": rollup.ORACLE_SQL,
     "op10_license_scan": licenses.ORACLE_SQL,
 }
