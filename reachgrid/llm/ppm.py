@@ -8,10 +8,13 @@ The trie is pretrained and fixed, so what each context contributes (its escape,
 the next context's total without its symbols) is worked out once per context and
 texts are scored by table look-ups for whole arrays of positions.
 
-The trie is broadcast; each order holds at most ``max_entries`` entries, the most
-frequent ones (a rarer entry counts as not seen, and the probabilities still sum to
-one). Word counts are whole: words up to ``head_words`` in number are broadcast, all
-others are joined by shuffle.
+The whole trie counts. Its head is broadcast: orders 0 and 1, and of each longer order
+the most frequent contexts with all their symbols, at most ``max_entries`` entries. A
+head context's suffixes are in the head too, so a symbol whose longest context is there
+is scored from the head alone. All other symbols are sent, distinct by row, through a
+shuffle to the part of the trie that shares the last two bytes of their context, are
+scored there by the same look-ups, and joined back. Words up to ``head_words`` in
+number are broadcast, all others are joined by shuffle.
 
 Texts are lower-cased in A-Z first. A text's symbols are its UTF-8 bytes and a
 closing byte 0; before its start stand bytes 0. Defined results: a null text is
@@ -36,6 +39,7 @@ from reachgrid.llm.common import documents, text_or_empty
 from reachgrid.llm.words import Table, slices, word_hashes
 
 ORDER = 4
+_PART = 250_000
 _WORD, _GRAM = 0, 1
 
 
@@ -137,16 +141,37 @@ def _arrays(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], n[order]
 
 
-def trie(gram_counts: DataFrame, limits: Limits = Limits()) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Per order 0 to 4: keys (context and symbol) and counts, at most ``max_entries`` each."""
-    levels, least = [], 1
+def _level(gram_counts: DataFrame, order: int) -> DataFrame:
+    if order == ORDER:
+        return gram_counts
+    key = F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1)
+    return gram_counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
+
+
+def trie(gram_counts: DataFrame, limits: Limits = Limits()) -> tuple[list[tuple[np.ndarray, np.ndarray]], bool]:
+    """(per order 0 to 4: keys (context and symbol) and counts of the head, whether that is the whole trie).
+
+    Orders 0 and 1 have at most 65,792 entries and are whole.
+    """
+    levels, least = [], 0
     for order in range(ORDER + 1):
-        key = F.col("key").bitwiseAND((1 << 8 * (order + 1)) - 1)
-        table = gram_counts if order == ORDER else gram_counts.groupBy(key.alias("key")).agg(F.sum("n").alias("n"))
-        # Not below the shorter order's bound: a context's symbols are then those of its suffix too.
-        some, least = _most_frequent(table, limits.max_entries, least)
-        levels.append(_arrays(some))
-    return levels
+        table = _level(gram_counts, order)
+        if order > 1:
+            table = table.withColumn("context", F.shiftright("key", 8))
+            # Classes of a context's total, finer than 5 %.
+            contexts = table.groupBy("context").agg(F.floor(16 * F.log2(F.sum("n"))).alias("class"), F.count("*").alias("entries"))
+            kept = 0
+            for row in contexts.groupBy("class").agg(F.sum("entries").alias("entries")).orderBy(F.desc("class")).collect():
+                kept += row["entries"]
+                if kept > limits.max_entries:
+                    # Not below the shorter order's bound: a suffix's total is no smaller, so it is there too.
+                    least = max(least, row["class"] + 1)
+                    break
+            if least:
+                # At most ``max_entries`` contexts.
+                table = table.join(F.broadcast(contexts.where(F.col("class") >= least).select("context")), "context")
+        levels.append(_arrays(table))
+    return levels, not least
 
 
 class Model:
@@ -211,9 +236,27 @@ class Model:
         out[active] += self.unseen
         return out
 
-    def texts(self, data: list[bytes]) -> np.ndarray:
+    def holds(self, key: np.ndarray) -> np.ndarray:
+        """Whether the longest context of each symbol is there."""
+        return self.contexts[ORDER].find(key >> np.uint64(8)) >= 0
+
+    def texts(self, data: list[bytes], whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(score of each text without the symbols that a head does not hold, those symbols, their texts)."""
         key, sizes = grams(data)
-        return np.add.reduceat(self.symbols(key), np.cumsum(sizes) - sizes) if len(data) else np.zeros(0)
+        row = np.repeat(np.arange(len(data)), sizes)
+        known = np.ones(len(key), dtype=bool) if whole else self.holds(key)
+        score = np.bincount(row[known], weights=self.symbols(key[known]), minlength=len(data))
+        return score, key[~known], row[~known]
+
+
+def _per_row(keys: np.ndarray, row: np.ndarray, n: int) -> tuple[pa.Array, pa.Array]:
+    """Lists of the distinct keys of rows 0 to n - 1, and how often each is there."""
+    order = np.lexsort((keys, row))
+    keys, row = keys[order], row[order]
+    first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (row[1:] != row[:-1])])) if len(keys) else np.zeros(0, np.int64)
+    often = np.diff(np.append(first, len(keys))).astype(np.int32)
+    offsets = pa.array(np.searchsorted(row[first], np.arange(n + 1)).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(keys[first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(often))
 
 
 _BUILT: dict = {}
@@ -223,11 +266,37 @@ def _built(held) -> tuple:
     """The broadcast as tables, built once in each worker."""
     value = held.value
     if _BUILT.get("of") is not value:
-        levels, (keys, n) = value
+        levels, _, (keys, n) = value
         _BUILT.update({"of": value, "tables": (Model(levels), Table(keys, n))})
     return _BUILT["tables"]
 
 
+def _merged(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    keys, at = np.unique(keys, return_inverse=True)
+    return keys, np.bincount(at, weights=n, minlength=len(keys))
+
+
+def symbol_scores(keys: DataFrame, gram_counts: DataFrame, held) -> DataFrame:
+    """key, value: log10 probability of each distinct ``key`` by the whole trie.
+
+    Contexts that end in the same two bytes meet, at most 2^24 entries by
+    construction; such parts are put together by hash to about ``_PART`` entries.
+    """
+    parts = max(1, -(-gram_counts.count() // _PART))
+    part = F.pmod(F.xxhash64(F.shiftright("key", 8).bitwiseAND(0xFFFF)), F.lit(parts)).alias("part")
+
+    def score(counted: pa.Table, wanted: pa.Table) -> pa.Table:
+        key = wanted["key"].to_numpy().astype(np.int64)
+        if not len(key):
+            return pa.table({"key": pa.array(key), "value": pa.array(np.zeros(0))})
+        grams_, n = counted["key"].to_numpy().astype(np.int64).view(np.uint64), counted["n"].to_numpy().astype(np.float64)
+        longer = [_merged(grams_ & np.uint64((1 << 8 * (order + 1)) - 1), n) for order in range(2, ORDER + 1)]
+        return pa.table({"key": pa.array(key), "value": pa.array(Model([*held.value[0][:2], *longer]).symbols(key.view(np.uint64)))})
+
+    known, wanted = gram_counts.select(part, "key", "n"), keys.select("key").distinct().select(part, "key")
+    return known.groupBy("part").cogroup(wanted.groupBy("part")).applyInArrow(score, "key long, value double")
+
+
 def scores(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     train = docs.where(~held_out(F.col("doc_id")))
@@ -238,8 +307,9 @@ def scores(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     tokens, kinds = n_words + n_docs, distinct + (n_docs > 0)
     denominator = float(np.log10(tokens + 0.5 * (kinds + 1)))
     head, bound = _most_frequent(words, limits.head_words)
-    levels = trie(table.where(F.col("kind") == _GRAM).select("key", "n"), limits)
-    held = docs.sparkSession.sparkContext.broadcast((levels, _arrays(head)))
+    gram_counts = table.where(F.col("kind") == _GRAM).select("key", "n")
+    levels, whole = trie(gram_counts, limits)
+    held = docs.sparkSession.sparkContext.broadcast((levels, whole, _arrays(head)))
     end = float(np.log10(n_docs + 0.5)) - denominator
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,24 +326,18 @@ def scores(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
                 hit = at >= 0
                 base = np.bincount(row[hit], weights=log[at[hit]], minlength=n) + end
                 seen = np.bincount(row[hit], minlength=n) + (n_docs > 0)
-                rest, who = hashes[~hit], row[~hit]
-                order = np.lexsort((rest, who))
-                rest, who = rest[order], who[order]
-                first = np.flatnonzero(np.concatenate([[True], (rest[1:] != rest[:-1]) | (who[1:] != who[:-1])])) if len(rest) else np.zeros(0, np.int64)
-                often = np.diff(np.append(first, len(rest))).astype(np.int32)
-                offsets = pa.array(np.searchsorted(who[first], np.arange(n + 1)).astype(np.int32))
+                score, missed, where = model.texts(data, whole)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(number, number + n)), batch.column(0).slice(a, n), batch.column(1).slice(a, n), pa.array(sizes + 1), pa.array(seen),
-                        pa.array(base), pa.array(model.texts(data)),
-                        pa.ListArray.from_arrays(offsets, pa.array(rest[first].view(np.int64))), pa.ListArray.from_arrays(offsets, pa.array(often)),
+                        pa.array(base), pa.array(score, pa.float64()), *_per_row(hashes[~hit], row[~hit], n), *_per_row(missed, where, n),
                     ],
-                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "often"],
+                    names=["row", "doc_id", "held_out", "n_tokens", "known", "base", "score", "rare", "often", "missed", "times"],
                 )
                 number += n
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, often array<int>"
+    schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, score double, rare array<long>, often array<int>, missed array<long>, times array<int>"
     rows = written(docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), text_or_empty().alias("text")).mapInArrow(score, schema), "scores")
     rare = rows.select("row", F.explode(F.arrays_zip("rare", "often")).alias("_x")).select("row", F.col("_x.rare").alias("key"), F.col("_x.often").alias("often"))
     c = F.coalesce("n", F.lit(0))
@@ -281,9 +345,15 @@ def scores(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     rare = rare.join(words.where(F.col("n") < bound), "key", "left").groupBy("row").agg(
         F.sum(F.col("often") * (F.log10(c + 0.5) - F.lit(denominator))).alias("_base"), F.sum(F.when(c > 0, F.col("often")).otherwise(0)).alias("_known")
     )
-    return rows.drop("rare", "often").join(rare, "row", "left").select(
+    found, score = rows.drop("rare", "often", "missed", "times").join(rare, "row", "left"), F.col("score")
+    if not whole:
+        missed = rows.select("row", F.explode(F.arrays_zip("missed", "times")).alias("_x")).select("row", F.col("_x.missed").alias("key"), F.col("_x.times").alias("times"))
+        values = symbol_scores(missed, gram_counts, held)
+        found = found.join(missed.join(values, "key").groupBy("row").agg(F.sum(F.col("times") * F.col("value")).alias("_score")), "row", "left")
+        score = score + F.coalesce("_score", F.lit(0.0))
+    return found.select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("_known", F.lit(0))).alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), "score",
+        (F.col("base") + F.coalesce("_base", F.lit(0.0))).alias("base_score"), score.alias("score"),
     )
 
 

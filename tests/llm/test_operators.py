@@ -291,6 +291,14 @@ def test_ppm_by_brute_force(docs, empty):
     assert ppm.scores(empty).collect() == []
 
 
+def test_ppm_counts_what_its_head_leaves_out(docs):
+    data = docs.dropDuplicates(["doc_id"])
+    whole = {r["doc_id"]: r["score"] for r in ppm.scores(data).collect()}
+    for most in (0, 60, 400):
+        part = {r["doc_id"]: r["score"] for r in ppm.scores(data, ppm.Limits(max_entries=most)).collect()}
+        assert part.keys() == whole.keys() and all(math.isclose(part[i], whole[i], rel_tol=1e-9) for i in whole)
+
+
 def test_license_scan(docs, empty):
     rows = {r["doc_id"]: r for r in licenses.license_scan(docs).collect()}
     assert licenses.license_scan(docs).count() == docs.count() and licenses.license_scan(empty).collect() == []
