@@ -12,8 +12,9 @@ Tokens that overlap base spans are held to their label.
 
 Potentials are log-linear weights counted over all documents, with the base spans as
 labels; shapes are a fixed set of 2,880, so the table is small whatever the corpus.
-Nodes of a repeated form are linked in a row, not all with all, so a document costs
-its length.
+Nodes of a repeated form, or of repeated last digits, are linked to one group node,
+not all with all, so a document costs its length; a group with held members has their
+label, so that the shapes of many repeats do not add up against one full number.
 
 Defined results: a null or empty text has no spans; long texts are read whole;
 offsets are code points, ends exclusive; repeated rows are read each.
@@ -180,30 +181,40 @@ EQUAL, SIMILAR, SWEEPS, DAMPING, BELIEF = 12.0, 9.0, 12, 0.3, 0.6
 SHORTEST = 6
 
 
-def _links(tokens: list[str]) -> list[tuple[int, int, float]]:
-    """Skip links: each node with the last one of the same form, and of the same last seven digits."""
-    out: list[tuple[int, int, float]] = []
-    last: dict[tuple, int] = {}
+def _groups(tokens: list[str], held: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, float]]]:
+    """(what groups with held members say to each token, links of other free tokens to group nodes).
+
+    A group is a form, or the same last seven digits. One with held members has their labels, by their share, whatever
+    the others' shapes. A free token is in one group: that of its form if one is held there, or if it has fewer digits.
+    """
+    members: dict[tuple, list[int]] = {}
+    keys: dict[int, list[tuple]] = {}
     for i, token in enumerate(tokens):
         form = "".join(c for c in token.lower() if c.isalnum())
         digits = "".join(c for c in form if "0" <= c <= "9")
         if len(form) < SHORTEST:
             continue
-        equal = last.get(("form", form))
-        similar = last.get(("end", digits[-7:])) if len(digits) >= 7 else None
-        if equal is not None:
-            out.append((equal, i, EQUAL))
-        if similar is not None and similar != equal:
-            out.append((similar, i, SIMILAR))
-        last["form", form] = i
-        if len(digits) >= 7:
-            last["end", digits[-7:]] = i
-    return out
+        keys[i] = [("form", form), ("end", digits[-7:])][: 2 if len(digits) >= 7 else 1]
+        for key in keys[i]:
+            members.setdefault(key, []).append(i)
+    known = {key: np.bincount(held[group], minlength=5)[1:] for key, group in members.items() if len(group) > 1}
+    said, links, number = np.zeros((len(tokens), 5)), [], {}
+    for i in keys:
+        key = keys[i][0] if keys[i][0] in known and known[keys[i][0]].any() else keys[i][-1]
+        if held[i] or key not in known:
+            continue
+        strength, n = EQUAL if key[0] == "form" else SIMILAR, known[key]
+        if n.any():
+            said[i, 1:] = np.log1p(n / n.sum() * np.expm1(strength))
+        else:
+            links.append((i, number.setdefault(key, len(tokens) + len(number)), strength))
+    return said, links
 
 
 def beliefs(unary: np.ndarray, links: list[tuple[int, int, float]], step: np.ndarray) -> np.ndarray:
-    """Marginals of the field by damped loopy sum-product over chain and skip links."""
+    """Marginals of the field by damped loopy sum-product over chain and skip links; of tokens, not of group nodes."""
     n = len(unary)
+    unary = np.concatenate([unary, np.zeros((max((x[1] + 1 for x in links), default=n) - n, 5))])
     chain = np.arange(n - 1)
     a = np.concatenate([chain, np.array([x[0] for x in links], dtype=np.int64)])
     b = np.concatenate([chain + 1, np.array([x[1] for x in links], dtype=np.int64)])
@@ -225,7 +236,7 @@ def beliefs(unary: np.ndarray, links: list[tuple[int, int, float]], step: np.nda
     at = unary.copy()
     np.add.at(at, target, messages)
     at = np.exp(at - at.max(axis=1, keepdims=True))
-    return at / at.sum(axis=1, keepdims=True)
+    return (at / at.sum(axis=1, keepdims=True))[:n]
 
 
 def all_spans(text: str, weights: tuple[np.ndarray, np.ndarray]) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -240,7 +251,8 @@ def all_spans(text: str, weights: tuple[np.ndarray, np.ndarray]) -> tuple[list[t
     own = unary[[shape(t) for t in tokens]]
     own[held > 0] = -30
     own[held > 0, held[held > 0]] = 0
-    share = beliefs(own, _links(tokens), step)
+    said, links = _groups(tokens, held)
+    share = beliefs(own + said, links, step)
     label = share.argmax(axis=1)
     new = [(int(label[i]) - 1, *found[i]) for i in np.flatnonzero((held == 0) & (label > 0) & (share.max(axis=1) >= BELIEF))]
     return base, sorted(base + new)

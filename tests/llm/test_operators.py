@@ -109,6 +109,19 @@ def test_pii_links_repeat_labels(docs, empty):
     assert pii.pii_spans(empty).collect() == [] and pii.masked_documents(empty).collect() == []
 
 
+def test_pii_finds_all_repeats_of_a_full_number(spark):
+    full, bare, times = "+1 (279) 555-0024", "279-555-0024", (1, 2, 3, 20)
+    rows = [(k, f"call {full} today" + f" or {bare} again" * k) for k in times]
+    rows += [(100 + i, f"part {300 + i}-{400 + i}-{1000 + i} in stock") for i in range(400)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    unary, _ = pii.potentials(data)
+    assert unary[pii.shape(bare), 4] == -6
+    found = {r["doc_id"]: r["spans"] for r in pii.pii_spans(data).collect()}
+    assert all(found[k].count("phone:") == k + 1 for k in times) and not any(found[100 + i] for i in range(400))
+    out = {r["doc_id"]: r["text"] for r in pii.masked_documents(data).collect()}
+    assert all("555" not in out[k] and out[k].count("<PHONE>") == k + 1 for k in times)
+
+
 def test_rollup_is_idempotent(spark, tmp_path):
     changes = lambda rows: spark.createDataFrame(rows, "action string, source string, lang string, tokenizer string, tokens long, old_tokens long")
     table = rollup.TokenRollup(spark, str(tmp_path / "r"))
