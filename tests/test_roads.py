@@ -326,3 +326,13 @@ def test_streams_equal_batches(spark, tmp_path):
         elements(spark, [way(i, [1, 2], highway=highway)]).write.mode("append").parquet(str(tmp_path / "in"))
     streams.to_table(streams.running_highway_counts(streams.stream_elements(spark, str(tmp_path / "in"))), "ways_so_far", str(tmp_path / "check"))
     assert {tuple(r) for r in spark.table("ways_so_far").collect()} == {("footway", 2), ("path", 1)}
+
+
+def test_registered_reach_has_no_bound_on_edges(spark, monkeypatch):
+    from reachgrid.jobs import road_queries
+
+    walk = [(0, 0, 7, 60, 0, 1, 0, 1), (1, 7, 42, 60, 0, 1, 0, 1), (2, 42, 0, 60, 0, 1, 0, 1)]
+    monkeypatch.setattr(road_queries, "_edges", lambda spark, sf_dir: spark.createDataFrame(walk, EDGE))
+    monkeypatch.setattr(routing, "LOCAL_EDGES", 1)
+    rows = road_queries.reachable_counts_local(spark, "").collect()
+    assert {r["source_id"]: r["settled"] for r in rows if r["mode_mask"] == 1} == {0: 3, 7: 3, 42: 3, 77: 1, 120: 1}
