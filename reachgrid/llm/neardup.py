@@ -28,7 +28,6 @@ from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,13 +45,15 @@ SEED = 20_260
 PIVOTS = 2
 #: Texts of one block, when texts of a band are held against all others of it.
 BLOCK = 256
+#: Texts of one band that meet in one task, about; at most so many bands are dealt out further.
+SPREAD, MOST_SPREAD = 256, 100_000
 
 CLASS_BITS = 18
 _TABLE_BITS = 15
 
 
-def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text number, shingle hash, how often) of the distinct shingles of texts, sorted by both."""
+def shingle_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of the shingles of texts in their order, ends of each text's among them, from 0 on)."""
     words, sizes = word_hashes([t.encode("utf-8", "surrogatepass") for t in texts])
     total = len(words)
     pad = np.concatenate([words, np.zeros(SHINGLE, np.uint64)])
@@ -61,27 +62,56 @@ def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     for i in range(SHINGLE):
         value = value * MULTIPLIER + pad[i : i + total]
     value = mixed(value)
-    row = np.repeat(np.arange(len(texts)), sizes)
     first = np.cumsum(sizes) - sizes
-    place = np.arange(total) - first[row]
-    keep = place <= np.maximum(sizes[row] - SHINGLE, 0)
+    place = np.arange(total) - np.repeat(first, sizes)
+    keep = place <= np.repeat(np.maximum(sizes - SHINGLE, 0), sizes)
     for i in np.flatnonzero((sizes > 0) & (sizes < SHINGLE)).tolist():
         own = sizes[i : i + 1].astype(np.uint64)
         for w in words[first[i] : first[i] + sizes[i]]:
             own = mixed(own * MULTIPLIER + w)
         value[first[i]] = own[0]
         keep[first[i] + 1 : first[i] + sizes[i]] = False
-    row, value = row[keep], value[keep]
-    # Per text: sort, then count equal neighbours.
-    ends = np.searchsorted(row, np.arange(len(texts) + 1))
-    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+    ends = np.concatenate([[0], np.cumsum(np.where(sizes < SHINGLE, sizes > 0, sizes - SHINGLE + 1))])
+    return value[keep], ends
+
+
+def _sorted_within(value: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    cuts = ends.tolist()
+    for a, b in zip(cuts, cuts[1:]):
         value[a:b].sort()
+    return value
+
+
+def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, shingle hash, how often) of the distinct shingles of texts, sorted by both."""
+    value, ends = shingle_hashes(texts)
+    value = _sorted_within(value, ends)
+    row = np.repeat(np.arange(len(texts)), np.diff(ends))
     new = np.ones(len(value), dtype=bool)
     new[1:] = (value[1:] != value[:-1]) | (row[1:] != row[:-1])
     at = np.flatnonzero(new)
     return row[at], value[at], np.diff(np.append(at, len(value)))
 
 
+def occurrences(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(one key for each occurrence of each shingle, sorted within texts, ends of each text's from 0 on).
+
+    The second, third, ... occurrence of a shingle gets keys of its own in the same hash class, so that
+    texts as plain sets of keys have the weighted Jaccard similarity of their shingle counts.
+    """
+    value, ends = shingle_hashes(texts)
+    value = _sorted_within(value, ends)
+    again = np.zeros(len(value), dtype=bool)
+    again[1:] = value[1:] == value[:-1]
+    again[ends[:-1][ends[:-1] < len(value)]] = False
+    if again.any():
+        start = np.flatnonzero(~again)
+        number = np.arange(len(value)) - np.repeat(start, np.diff(np.append(start, len(value))))
+        value = value ^ np.where(number > 0, mixed(number.astype(np.uint64)) >> np.uint64(CLASS_BITS), np.uint64(0))
+        value = _sorted_within(value, ends)
+    return value, ends
+
+
 def _class_of(value: np.ndarray) -> np.ndarray:
     return (value >> np.uint64(64 - CLASS_BITS)).astype(np.int64)
 
@@ -94,9 +124,11 @@ def class_frequencies(texts: DataFrame) -> DataFrame:
         for batch in batches:
             found = batch.column(0).to_pylist()
             for a, b in slices(found):
-                row, value, _ = shingles(found[a:b])
-                key = np.unique(row << CLASS_BITS | _class_of(value))
-                n += np.bincount(key & ((1 << CLASS_BITS) - 1), minlength=1 << CLASS_BITS)
+                value, ends = shingle_hashes(found[a:b])
+                group, cuts = _class_of(value), ends.tolist()
+                for i, j in zip(cuts, cuts[1:]):
+                    # A class that a text has several times is raised once.
+                    n[group[i:j]] += 1
         some = np.flatnonzero(n)
         for i in range(0, len(some), 50_000):
             part = some[i : i + 50_000]
@@ -182,42 +214,40 @@ def bands(texts: DataFrame, weights: np.ndarray, bands: int = BANDS, rows: int =
     return texts.select("text_id", "text").mapInArrow(sign, "text_id string, band long")
 
 
-def similarities(pairs: list[tuple[int, int]], texts: list[str], idf: np.ndarray) -> list[float]:
-    """Weighted Jaccard similarity of pairs of ``texts``; 1 if neither has a word."""
-    sets: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in slices(texts):
-        row, value, often = shingles(texts[a:b])
-        weight = often * idf[_class_of(value)].astype(np.float64)
-        ends = np.searchsorted(row, np.arange(b - a + 1)).tolist()
-        sets += [(value[i:j], weight[i:j]) for i, j in zip(ends, ends[1:])]
+def similarity(x: np.ndarray, y: np.ndarray, idf: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two texts' sorted keys; 1 if neither has any."""
+    wx, wy = idf[_class_of(x)].astype(np.float64), idf[_class_of(y)].sum(dtype=np.float64)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = wx[y[at] == x].sum()
+    return float(both / (wx.sum() + wy - both))
+
+
+def _lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
+    """Rows of a column of lists of hashes."""
     out = []
-    for a, b in pairs:
-        (x, wx), (y, wy) = sets[a], sets[b]
-        _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-        both = np.minimum(wx[i], wy[j]).sum()
-        union = wx.sum() + wy.sum() - both
-        out.append(float(both / union) if union else 1.0)
+    for part in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        ends, values = part.offsets.to_numpy(), part.values.to_numpy().view(np.uint64)
+        out += [values[a:b] for a, b in zip(ends.tolist(), ends[1:].tolist())]
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
+def verified(pairs: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """``pairs`` (a, b: text_ids) whose weighted Jaccard similarity is at least ``threshold``.
 
-    Texts of pairs only are shuffled; a text of many pairs is a skewed join that
+    Keys of texts of pairs only are shuffled; a text of many pairs is a skewed join that
     is split at run time.
     """
-    held = pairs.sparkSession.sparkContext.broadcast(weights)
-    left = texts.select(F.col("text_id").alias("a"), F.col("text").alias("_left"))
-    right = texts.select(F.col("text_id").alias("b"), F.col("text").alias("_right"))
+    broadcast = pairs.sparkSession.sparkContext.broadcast(weights)
+    left = held.select(F.col("text_id").alias("a"), F.col("keys").alias("_left"))
+    right = held.select(F.col("text_id").alias("b"), F.col("keys").alias("_right"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # A text of several pairs is cut to shingles once a batch.
-            known: dict[str, int] = {}
-            both = [(known.setdefault(x, len(known)), known.setdefault(y, len(known))) for x, y in zip(batch.column("_left").to_pylist(), batch.column("_right").to_pylist())]
-            found = similarities(both, list(known), held.value)
-            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found, pa.float64())], names=["a", "b", "similarity"])
-            yield out.filter(pa.array([x >= threshold for x in found], pa.bool_()))
+            found = np.array([similarity(x, y, broadcast.value) for x, y in zip(_lists(batch.column("_left")), _lists(batch.column("_right")))], dtype=np.float64)
+            out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
+            yield out.filter(pa.array(found >= threshold))
 
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
     return both.mapInArrow(compare, "a string, b string, similarity double")
@@ -253,8 +283,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     weights = class_weights(class_frequencies(texts), docs.count())
     # Equal texts have equal bands: one row for each text stays.
     banded = written(bands(texts, weights, n_bands, n_rows).distinct(), "bands")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = written(banded.join(shared, "band"), "members")
+    members = written(_members(banded), "members")
     held = _one_of_each(texts, members.select("text_id").distinct())
     links = written(verified(_with_pivots(members, members, 0), held, weights, threshold), "links")
     links = _all_links(members, links, held, weights, threshold)
@@ -263,24 +292,51 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     return roots.join(counts, "node", "left").select(F.col("node").alias("text_id"), "root", "links")
 
 
+def _members(banded: DataFrame) -> DataFrame:
+    """band, salt, parts, text_id of bands with several texts; a large band is dealt into ``parts`` by ``salt``."""
+    shared = written(banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1"), "shared-bands")
+    # Not more than MOST_SPREAD bands can be that large.
+    large = max(2 * SPREAD, banded.count() // MOST_SPREAD)
+    hot = shared.where(F.col("n") > large).select("band", F.ceil(F.col("n") / SPREAD).cast("int").alias("parts"))
+    rows = banded.join(F.broadcast(hot), "band", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("text_id", F.lit(7)), F.col("parts")).cast("int"))
+    parts = F.when(F.col("n") > large, F.ceil(F.col("n") / SPREAD)).otherwise(1).cast("int")
+    return _per_band(rows, shared.select("band", parts.alias("parts")))
+
+
+def _per_band(rows: DataFrame, side: DataFrame) -> DataFrame:
+    """``rows`` (band, salt, ...) with the columns of ``side`` (band, parts, ...: one row a band), which goes to each part of its band."""
+    side = side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.join(side.drop("parts"), ["band", "salt"])
+
+
 def _one_of_each(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """text_id and text, once for each wanted text.
+    """text_id and sorted keys, once for each wanted text.
 
     The row is named by text and doc_id, so that copies of one text do not meet
     in one task; rows repeated in both are reduced before that.
     """
     one = texts.groupBy("text_id").agg(F.min("doc_id").alias("_doc")).join(wanted, "text_id", "left_semi")
     same = (F.col("a.text_id") == F.col("b.text_id")) & F.col("a.doc_id").eqNullSafe(F.col("b._doc"))
-    rows = texts.alias("a").join(one.alias("b"), same, "left_semi")
-    return written(rows.dropDuplicates(["text_id"]).select("text_id", "text"), "candidate-texts")
+    rows = texts.alias("a").join(one.alias("b"), same, "left_semi").select("text_id", "text").dropDuplicates(["text_id"])
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = batch.column(1).to_pylist()
+            for a, b in slices(found):
+                value, ends = occurrences(found[a:b])
+                made = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(value.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), made], names=["text_id", "keys"])
+
+    return written(rows.mapInArrow(keys, "text_id string, keys array<long>"), "candidate-texts")
 
 
 def _with_pivots(rows: DataFrame, among: DataFrame, turn: int, pivots: int = PIVOTS) -> DataFrame:
     """Pairs of each text of ``rows`` with its band's pivots: texts of ``among`` with the least hashes of this turn."""
     least = [F.min(F.struct(F.xxhash64("text_id", F.lit(turn * pivots + i)), "text_id")).alias(f"p{i}") for i in range(pivots)]
-    found = among.groupBy("band").agg(*least)
-    found = found.select("band", F.array_distinct(F.array(*[F.col(f"p{i}.text_id") for i in range(pivots)])).alias("_pivots"))
-    pairs = rows.select("band", "text_id").join(found, "band").select("text_id", F.explode("_pivots").alias("pivot")).where("text_id != pivot")
+    found = among.groupBy("band", "parts").agg(*least)
+    found = found.select("band", "parts", F.array_distinct(F.array(*[F.col(f"p{i}.text_id") for i in range(pivots)])).alias("_pivots"))
+    pairs = _per_band(rows.select("band", "salt", "text_id"), found).select("text_id", F.explode("_pivots").alias("pivot")).where("text_id != pivot")
     return pairs.select(F.least("text_id", "pivot").alias("a"), F.greatest("text_id", "pivot").alias("b")).distinct()
 
 
@@ -296,14 +352,14 @@ def _all_links(members: DataFrame, links: DataFrame, held: DataFrame, weights: n
     for turn in range(1, turns + 1):
         roots = components(links)
         placed = members.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left")
-        placed = written(placed.select("band", "text_id", F.coalesce("root", "text_id").alias("root")), "placed")
-        per = placed.groupBy("band", "root").agg(F.count("*").alias("n"))
-        top = per.groupBy("band").agg(F.max(F.struct("n", "root")).alias("_top"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
-        top = written(top.select("band", F.col("_top.root").alias("top"), "n", F.col("_top.n").alias("n_top")), "open-bands")
+        placed = written(placed.select("band", "salt", "parts", "text_id", F.coalesce("root", "text_id").alias("root")), "placed")
+        per = placed.groupBy("band", "parts", "root").agg(F.count("*").alias("n"))
+        top = per.groupBy("band", "parts").agg(F.max(F.struct("n", "root")).alias("_top"), F.sum("n").alias("n"), F.count("*").alias("classes")).where("classes > 1")
+        top = written(top.select("band", "parts", F.col("_top.root").alias("top"), "n", F.col("_top.n").alias("n_top")), "open-bands")
         left = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_top")))).first()[0] or 0
         if not left:
             return links
-        rows = placed.join(top, "band")
+        rows = _per_band(placed, top)
         if left <= size or turn == turns or before is not None and left > 0.7 * before:
             return links.union(_block_links(written(rows, "open-members"), held, weights, threshold)).distinct()
         before = left
@@ -326,30 +382,59 @@ def _block_links(rows: DataFrame, held: DataFrame, weights: np.ndarray, threshol
     own = lambda n, seed: F.pmod(F.xxhash64("text_id", F.lit(seed)), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     # Both sides come from one table: own names keep their columns apart.
-    data = [F.col(c).alias(c) for c in ("text_id", "root", "top", "text", "bands")]
+    data = [F.col(c).alias(c) for c in ("text_id", "root", "top", "keys", "bands")]
     band = F.col("band").alias("band")
     outside = rows.where("root != top").select(band, own("_out", 1).alias("i"), every("_all").alias("j"), *data)
     inside = rows.select(band, every("_out").alias("i"), own("_all", 2).alias("j"), *data)
     broadcast = rows.sparkSession.sparkContext.broadcast(weights)
 
-    def compare(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        one, two = x["text_id"].to_numpy(), y["text_id"].to_numpy()
-        roots = x["root"].to_numpy()[:, None] != y["root"].to_numpy()[None, :]
+    def compare(key: tuple, x: pa.Table, y: pa.Table) -> pa.Table:
+        one, two, top = (np.array(c.to_pylist(), dtype=object) for c in (x["text_id"], y["text_id"], y["top"]))
+        root = np.array(y["root"].to_pylist(), dtype=object)
+        wanted = np.array(x["root"].to_pylist(), dtype=object)[:, None] != root[None, :]
         # Two texts that are both outside meet twice.
-        once = (y["root"] == y["top"]).to_numpy()[None, :] | (one[:, None] < two[None, :])
-        least = _least_shared(x["bands"].to_list(), y["bands"].to_list())
-        i, j = np.nonzero(roots & once & (least == key[0]))
-        found = np.array(similarities(list(zip(i.tolist(), (len(x) + j).tolist())), [*x["text"], *y["text"]], broadcast.value))
-        good = np.flatnonzero(found >= threshold) if len(i) else np.zeros(0, np.int64)
-        a, b = one[i[good]], two[j[good]]
-        return pd.DataFrame({"a": np.where(a < b, a, b), "b": np.where(a < b, b, a), "similarity": found[good] if len(i) else np.zeros(0)})
+        wanted &= (root == top)[None, :] | (one[:, None] < two[None, :])
+        if wanted.any():
+            wanted &= _least_shared(_lists(x["bands"]), _lists(y["bands"])) == key[0].as_py()
+        i, j, found = near_pairs(_lists(x["keys"]), _lists(y["keys"]), wanted, broadcast.value, threshold)
+        a, b = one[i], two[j]
+        return pa.table({"a": pa.array(np.where(a < b, a, b), pa.string()), "b": pa.array(np.where(a < b, b, a), pa.string()), "similarity": pa.array(found)})
 
     both = outside.groupBy("band", "i", "j").cogroup(inside.groupBy("band", "i", "j"))
-    return written(both.applyInPandas(compare, "a string, b string, similarity double"), "links")
+    return written(both.applyInArrow(compare, "a string, b string, similarity double"), "links")
+
+
+def near_pairs(x: list[np.ndarray], y: list[np.ndarray], wanted: np.ndarray, idf: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows, columns, similarities) of the ``wanted`` pairs of texts at ``threshold`` or above.
+
+    Pairs whose weights alone keep them apart are left out; what the others share is summed
+    over an index of the keys of ``y``, so that work goes with the keys that pairs share.
+    """
+    weights = lambda keys: idf[_class_of(keys)].astype(np.float64)
+    wx, wy = (np.array([weights(k).sum() for k in side]) for side in (x, y))
+    wanted = wanted & (np.minimum(wx[:, None], wy[None, :]) >= threshold * np.maximum(wx[:, None], wy[None, :]))
+    rows, columns = np.flatnonzero(wanted.any(axis=1)), np.flatnonzero(wanted.any(axis=0))
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    if len(rows):
+        keys = np.concatenate([y[j] for j in columns.tolist()])
+        order = np.argsort(keys, kind="stable")
+        keys, owner = keys[order], np.repeat(np.arange(len(columns)), [len(y[j]) for j in columns.tolist()])[order]
+        for i in rows.tolist():
+            first, last = np.searchsorted(keys, x[i]), np.searchsorted(keys, x[i], side="right")
+            n = last - first
+            at = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            both = np.bincount(owner[at], weights=np.repeat(weights(x[i]), n), minlength=len(columns))
+            whole = wx[i] + wy[columns] - both
+            share = np.where(whole > 0, both / np.where(whole > 0, whole, 1), 1.0)
+            good = np.flatnonzero(wanted[i, columns] & (share >= threshold))
+            out.append((np.full(len(good), i), columns[good], share[good]))
+    i, j, found = (np.concatenate(c) for c in zip(*out))
+    return i, j, found
 
 
 def _least_shared(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     """Least number that each list of ``x`` shares with each of ``y``; the largest number if none."""
+    x, y = ([held.view(np.int64) for held in side] for side in (x, y))
     top = np.iinfo(np.int64).max
     out = np.full((len(x), len(y)), top)
     width = max(map(len, y), default=0)

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from functools import cache
-from itertools import chain
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: A worker holds the hashes of so many words at most.
-MAX_KEPT = 150_000
 _CHARS = 1_000_000
+#: Words of more bytes are hashed one by one: there are few of them.
+_LONG = 1024
+#: Bytes that part words: the six ASCII blanks.
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_LOW_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,33 +38,39 @@ def slices(texts: list[str], chars: int = _CHARS) -> Iterator[tuple[int, int]]:
         yield at, len(texts)
 
 
-class _Hashes(dict):
-    def __init__(self, form: Callable[[bytes], bytes] | None):
-        self.form = form
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(self.form(word) if self.form else word)
-        return value
-
-
-@cache
-def _hashes(form: Callable[[bytes], bytes] | None) -> _Hashes:
-    return _Hashes(form)
-
-
-def word_hashes(texts: list[bytes], form: Callable[[bytes], bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all words in a row, number of words of each text).
-
-    Words are runs of bytes other than the six ASCII blanks, each put in its
-    ``form`` before hashing.
-    """
-    known = _hashes(form)
-    if len(known) > MAX_KEPT:
-        known.clear()
-    cut = [t.split() for t in texts]
-    sizes = np.fromiter(map(len, cut), dtype=np.int64, count=len(cut))
-    words = np.fromiter(map(known.__getitem__, chain.from_iterable(cut)), dtype=np.uint64, count=int(sizes.sum()))
-    return words, sizes
+def word_places(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(texts in one, first byte of each word in it, end of each word, number of words of each text)."""
+    joined = b"\n".join([*texts, bytes(8)])
+    inside = ~_BLANK.take(np.frombuffer(joined, dtype=np.uint8)[:-8])
+    edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    if len(inside) and inside[0]:
+        edges = np.concatenate([[0], edges])
+    starts, ends = edges[::2], edges[1::2]
+    after = np.cumsum(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)) + 1)
+    return joined, starts, ends, np.diff(np.searchsorted(starts, after), prepend=0)
+
+
+def hashes_at(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges of ``data``, which needs eight bytes to spare at its end."""
+    # The eight bytes from any place on, as one number.
+    eight = np.ndarray((len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    sizes = ends - starts
+    out = mixed(mixed(sizes.astype(np.uint64) + MULTIPLIER) ^ eight[starts] & _LOW_BYTES[np.minimum(sizes, 8)])
+    left = np.flatnonzero((sizes > 8) & (sizes <= _LONG))
+    at, rest = starts[left] + 8, sizes[left] - 8
+    while len(left):
+        out[left] = mixed(out[left] * MULTIPLIER ^ eight[at] & _LOW_BYTES[np.minimum(rest, 8)])
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        out[i] = xxhash.xxh64_intdigest(memoryview(data)[starts[i] : ends[i]])
+    return out
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words in a row, number of words of each text); words are runs of bytes other than the six ASCII blanks."""
+    data, starts, ends, sizes = word_places(texts)
+    return hashes_at(data, starts, ends), sizes
 
 
 class Table:
