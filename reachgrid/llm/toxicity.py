@@ -9,7 +9,10 @@ little evidence to nothing, so the model is a few hundred weights and is broadca
 
 Defined results: a null text is empty and gets the score of the bias; rows without a
 label are scored and not learned from; a null doc_id counts as held out; without
-labelled rows every score is 0.5; repeated rows are scored each.
+labelled rows every score is 0.5; repeated rows are scored each, and repeated labels are
+learned from each within the bound; equal hashes of training rows go by label and text;
+long texts are read whole; an empty table of documents gives no rows; other columns of
+any name are not read.
 """
 
 from __future__ import annotations
@@ -23,12 +26,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.llm.common import documents, text_or_empty
-from reachgrid.llm.words import MULTIPLIER, mixed, slices, word_hashes
+from reachgrid.llm.words import MULTIPLIER, hashes_at, mixed, slices, word_places
 
 FOLDS = 5
 #: A word's first so many letters stand for its inflected forms.
 STEM = 5
-_PUNCTUATION = bytes(b for b in range(0x21, 0x7F) if not chr(b).isalnum())
+_PUNCTUATION = np.zeros(256, dtype=bool)
+_PUNCTUATION[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+_STEMS = np.uint64(0xD6E8FEB86659FD93)
 
 
 @dataclass(frozen=True)
@@ -47,24 +52,27 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
-def _form(word: bytes) -> bytes:
-    return word.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass").strip(_PUNCTUATION)
-
-
-def _stem(word: bytes) -> bytes:
-    return b"\0" + _form(word).decode("utf-8", "surrogatepass")[:STEM].encode("utf-8", "surrogatepass")
+def _forms(texts: list[str]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased texts in one, start, end and end of the stem of each word without punctuation around it, words per text)."""
+    data, starts, ends, sizes = word_places([t.lower().encode("utf-8", "surrogatepass") for t in texts])
+    signs = np.frombuffer(data, dtype=np.uint8)
+    kept = np.flatnonzero(~_PUNCTUATION.take(signs))
+    first = np.minimum(kept[np.searchsorted(kept, starts)], ends)
+    last = np.maximum(kept[np.searchsorted(kept, ends) - 1] + 1, first)
+    letters = np.flatnonzero(signs & 0xC0 != 0x80)
+    stem = np.minimum(letters[np.searchsorted(letters, first) + STEM], last)
+    return data, first, last, stem, sizes
 
 
 def features(texts: list[str], bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(text number, feature) of all words, stems, pairs and skip pairs, repeats included; place 2**bits is none."""
-    data = [t.encode("utf-8", "surrogatepass") for t in texts]
-    words, sizes = word_hashes(data, _form)
-    stems, _ = word_hashes(data, _stem)
+    data, first, last, stem, sizes = _forms(texts)
+    words, stems = hashes_at(data, first, last), hashes_at(data, first, stem)
     row = np.repeat(np.arange(len(texts), dtype=np.int32), sizes)
     shift, n = np.uint64(64 - bits), len(words)
     out = np.full((4, n), 1 << bits, dtype=np.int32)
     out[0] = mixed(words + np.uint64(1)) >> shift
-    out[3] = mixed(stems) >> shift
+    out[3] = mixed(stems ^ _STEMS) >> shift
     for gap in (1, 2):
         if n > gap:
             pair = mixed(words[:-gap] * MULTIPLIER + words[gap:] + np.uint64(gap + 1)) >> shift
