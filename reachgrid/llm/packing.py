@@ -6,19 +6,25 @@ search over those counts gives a plan of fillings ("these lengths together, so
 many times"), and every piece finds its place by its rank among the pieces of
 its length. The driver sees the counts only; ranks are totals over many tasks.
 
-Search: around the largest length left, fillings are enumerated that leave the
-least waste, largest lengths first, so that none is dominated by another that
-uses larger pieces for the same room. A branch ends when its sequences plus the
-lower bound of what is left (total length, and Martello and Toth's bound) reach
-the incumbent; the first incumbent is best-fit decreasing. ``max_nodes`` bounds
-the search; the incumbent holds then.
+Search: around the largest length left, all undominated fillings are enumerated, least
+waste first: none in which a piece left out could take the room of some pieces in it
+and of the waste. A filling may waste no more than all sequences together may if they
+are to be fewer than the incumbent's, and a branch ends when its sequences plus the
+lower bound of what is left (total length, and Martello and Toth's bound) reach the
+incumbent; the first incumbent is best-fit decreasing. A filling is used as often as it
+goes or once, after which all fillings are options again. ``max_nodes`` fillings are
+looked at; the incumbent holds then. Below that bound the plan is optimal.
 
 Defined results: a null text is empty and gives the closing id alone; rows that
-repeat are packed each; an empty table gives no rows.
+repeat are packed each; long texts are cut into pieces of ``capacity`` and encoded whole;
+pieces of equal length, also of equal hash, doc_id and number, take places in any order;
+an empty table gives no rows; ``pieces`` reads doc_id and text alone, whatever else a table
+has, and ``pack`` needs columns other than sequence_id and offset.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -136,16 +142,12 @@ def _best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[int, l
     return [(many, filling) for found in open_bins.values() for many, filling in found]
 
 
-def _fillings(counts: list[int], room: int, most: int) -> list[list[tuple[int, int]]]:
-    """Up to ``most`` fillings of ``room`` with least waste, those with the largest lengths first."""
-    top = min(room, len(counts) - 1)
-    if room <= top and counts[room]:
-        return [[(room, 1)]]
-    for a in range(top, (room + 1) // 2 - 1, -1):
-        b = room - a
-        if counts[a] and 0 < b and (counts[b] > 1 if a == b else counts[b]):
-            return [[(a, 2)] if a == b else [(a, 1), (b, 1)]]
-    sizes = [s for s in range(1, top + 1) if counts[s]]
+def _fillings(counts: list[int], room: int, waste: int) -> Iterator[list[tuple[int, int]] | None]:
+    """Undominated fillings of ``room`` that waste at most ``waste``, least waste and largest lengths first.
+
+    None stands for a filling that was looked at and is dominated, so that callers can bound their work.
+    """
+    sizes = [s for s in range(1, min(room, len(counts) - 1) + 1) if counts[s]]
     full = (1 << (room + 1)) - 1
     reach = [1]  # bit t: the lengths so far can sum to t
     for s in sizes:
@@ -156,26 +158,46 @@ def _fillings(counts: list[int], room: int, most: int) -> list[list[tuple[int, i
             left -= n
             step *= 2
         reach.append(bits)
-    goal = reach[-1].bit_length() - 1
-    found: list[list[tuple[int, int]]] = []
-    stack = [(len(sizes), goal, [])]
-    while stack and len(found) < most:
-        i, want, taken = stack.pop()
-        if not want:
-            found.append(taken)
-            continue
-        while i and not (sizes[i - 1] <= want):
-            i -= 1
-        if not i:
+    for goal in range(reach[-1].bit_length() - 1, max(-1, room - waste - 1), -1):
+        if not reach[-1] >> goal & 1:
             continue
-        s = sizes[i - 1]
-        for n in range(0, min(counts[s], want // s) + 1):
-            if reach[i - 1] >> (want - n * s) & 1:
-                stack.append((i - 1, want - n * s, [*taken, (s, n)] if n else taken))
-    return found
-
-
-def plan(counts: dict[int, int], capacity: int = CAPACITY, branches: int = 3, max_nodes: int = 6000) -> list[tuple[int, list[tuple[int, int]]]]:
+        stack: list[tuple[int, int, list[tuple[int, int]]]] = [(len(sizes), goal, [])]
+        while stack:
+            i, want, taken = stack.pop()
+            if not want:
+                yield None if _dominated(counts, sizes, taken, room - goal) else taken
+                continue
+            while i and sizes[i - 1] > want:
+                i -= 1
+            if i:
+                s = sizes[i - 1]
+                for n in range(min(counts[s], want // s) + 1):
+                    if reach[i - 1] >> (want - n * s) & 1:
+                        stack.append((i - 1, want - n * s, [*taken, (s, n)] if n else taken))
+
+
+def _dominated(counts: list[int], sizes: list[int], taken: list[tuple[int, int]], waste: int) -> bool:
+    """Whether a piece that is left out could take the room of some pieces of ``taken``, or of none, and of the waste.
+
+    What it takes the place of fits wherever that piece would have gone, so the changed filling is as good or better
+    (Martello and Toth's criterion, one exchange at a time; any dominating filling gives such an exchange).
+    """
+    sums = 1  # bit t: some of the pieces taken sum to t
+    held = dict(taken)
+    for s, n in taken:
+        for _ in range(n):
+            sums |= sums << s
+    for x in sizes:
+        if counts[x] > held.get(x, 0):
+            low = max(0, x - waste)
+            # A piece in place of its equal is no exchange.
+            high = x - 1 if x in held else x
+            if high >= low and sums >> low & (1 << (high - low + 1)) - 1:
+                return True
+    return False
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 6000) -> list[tuple[int, list[tuple[int, int]]]]:
     """[(how many sequences, [(length, pieces of it in each)])] that uses up ``counts``."""
     table = np.zeros(capacity + 1, dtype=np.int64)
     for size, many in counts.items():
@@ -183,36 +205,54 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, branches: int = 3, ma
     best = _best_fit_decreasing(table, capacity)
     fewest = sum(many for many, _ in best)
     least = lower_bound(table, capacity)
+    seen: dict[bytes, int] = {}
+
+    def options(left: list[int], used: int) -> Iterator[tuple[int, dict[int, int]] | None]:
+        """(how often, filling) around the largest length left: as often as it goes, then once."""
+        size = next(s for s in range(capacity, 0, -1) if left[s])
+        waste = (fewest - 1 - used) * capacity - sum(s * n for s, n in enumerate(left) if n)
+        rest = left.copy()
+        rest[size] -= 1
+        for found in _fillings(rest, capacity - size, waste):
+            if found is None:
+                yield None
+                continue
+            filling = {size: 1}
+            for s, n in found:
+                filling[s] = filling.get(s, 0) + n
+            for many in sorted({1, min(left[s] // n for s, n in filling.items())}, reverse=True):
+                yield many, filling
+
+    # Depth first: (lengths left, sequences so far, plan so far as a linked list, options not tried yet).
+    stack = [(table.tolist(), 0, None, options(table.tolist(), 0))] if fewest > least else []
     nodes = 0
-    # Depth-first: (counts left, sequences so far, plan so far as a linked list).
-    stack = [(table.tolist(), 0, None)]
     while stack and fewest > least and nodes < max_nodes:
-        left, used, chosen = stack.pop()
+        left, used, chosen, rest = stack[-1]
+        option = next(rest, ())
         nodes += 1
-        size = next((s for s in range(capacity, 0, -1) if left[s]), 0)
-        if not size:
-            if used < fewest:
-                fewest, best = used, []
-                while chosen:
-                    best.append(chosen[0])
-                    chosen = chosen[1]
+        if option == ():
+            stack.pop()
+        if not option:
             continue
-        if used + -(-sum(s * n for s, n in enumerate(left) if n) // capacity) >= fewest:
+        many, filling = option
+        now, next_ = used + many, left.copy()
+        for s, n in filling.items():
+            next_[s] -= n * many
+        made = ((many, list(filling.items())), chosen)
+        if not any(next_):
+            if now < fewest:
+                fewest, best = now, []
+                while made:
+                    best.append(made[0])
+                    made = made[1]
             continue
-        if nodes % 64 == 1 and used + lower_bound(np.array(left), capacity) >= fewest:
+        array = np.array(next_)
+        if now + lower_bound(array, capacity) >= fewest:
             continue
-        left[size] -= 1
-        options = _fillings(left, capacity - size, branches) if size < capacity else [[]]
-        left[size] += 1
-        for option in reversed(options or [[]]):
-            filling: dict[int, int] = {size: 1}
-            for s, n in option:
-                filling[s] = filling.get(s, 0) + n
-            many = min(left[s] // n for s, n in filling.items())
-            rest = left.copy()
-            for s, n in filling.items():
-                rest[s] -= n * many
-            stack.append((rest, used + many, ((many, list(filling.items())), chosen)))
+        key = hashlib.blake2b(array.tobytes(), digest_size=16).digest()
+        if seen.get(key, now + 1) > now:
+            seen[key] = now
+            stack.append((next_, now, made, options(next_, now)))
     return best
 
 

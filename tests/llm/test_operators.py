@@ -210,7 +210,7 @@ def test_plans_are_optimal_on_small_cases():
                 best = len(bins)
                 return
             for j, left in enumerate(bins):
-                if left >= items[i]:
+                if left >= items[i] and left not in bins[:j]:
                     go(i + 1, [*bins[:j], left - items[i], *bins[j + 1 :]])
             go(i + 1, [*bins, room - items[i]])
 
@@ -218,16 +218,22 @@ def test_plans_are_optimal_on_small_cases():
         return best
 
     r = random.Random(3)
+    cases = [(99, [60, 48, 47, 46, 42, 41, 38, 35, 17, 16])]
     for _ in range(60):
         room = r.randint(8, 40)
-        items = sorted((r.randint(1, room) for _ in range(r.randint(1, 8))), reverse=True)
+        cases.append((room, [r.randint(1, room) for _ in range(r.randint(1, 8))]))
+    for _ in range(300):
+        room = r.choice((30, 60, 99, 100))
+        cases.append((room, [r.randint(room // 8, 2 * room // 3) for _ in range(r.randint(9, 13))]))
+    for room, items in cases:
+        items.sort(reverse=True)
         made = packing.plan(dict(Counter(items)), room)
         used = Counter()
         for many, filling in made:
             assert sum(s * n for s, n in filling) <= room
             for s, n in filling:
                 used[s] += many * n
-        assert used == Counter(items) and sum(m for m, _ in made) == fewest(items, room)
+        assert used == Counter(items) and sum(m for m, _ in made) == fewest(items, room), (room, items)
 
 
 def test_near_duplicates_by_brute_force(spark, docs, empty):
