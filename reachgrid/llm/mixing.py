@@ -6,13 +6,23 @@ included, divided by the source's target*. All copies of all sources are merged
 by finish time and the merge is cut at the total budget, so every source comes
 out within one document of its target.
 
+All orders are global sorts by range: rows are dealt to tasks by sampled bounds, each
+task sweeps its sorted rows, and one sum per task gives what came before it.
+
 Defined results: a null text has size 0; null sources form one source, last in
 the order; documents of size 0 are taken with 0 words; sources of size 0 have
-target 0; repeated rows are separate documents; an empty table gives no rows.
+target 0; repeated rows are separate documents; copies that finish at one time go by
+epoch, hash, doc_id and size; long texts are counted whole; other columns of any name
+are kept by ``mixed_documents`` and not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -24,50 +34,71 @@ from reachgrid.llm.common import WORD, documents, small_or_shuffled
 #: How often a document may be repeated, and so the most a source can give.
 MAX_EPOCHS = 3
 SEED = "mix-1"
-_BINS = 1024
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size (number of words) of each document."""
-    return docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
+def swept(df: DataFrame, order: list[Column], values: list[str]) -> DataFrame:
+    """``df``, sorted by range over all partitions, with ``before_<value>``: sums of whole numbers over all rows before."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, so_far = TaskContext.get().partitionId(), [0] * len(values)
+        for batch in batches:
+            columns = [pa.array(np.full(batch.num_rows, part, np.int32))]
+            for i, v in enumerate(values):
+                own = batch.column(v).to_numpy(zero_copy_only=False)
+                upto = so_far[i] + np.cumsum(own)
+                columns.append(pa.array(upto - own))
+                so_far[i] = int(upto[-1]) if len(own) else so_far[i]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, *names])
+
+    names = ["_part", *[f"_in_{v}" for v in values]]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    placed = written(placed.mapInArrow(sweep, f"{kinds}, _part int, " + ", ".join(f"{n} long" for n in names[1:])), "swept")
+    # One row per task.
+    sums = placed.groupBy("_part").agg(*[F.sum(v).alias(f"_sum_{v}") for v in values])
+    earlier = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select("_part", *[F.coalesce(F.sum(f"_sum_{v}").over(earlier), F.lit(0)).alias(f"_start_{v}") for v in values])
+    rows = placed.join(F.broadcast(starts), "_part")
+    return rows.select(*df.columns, *[(F.col(f"_start_{v}") + F.col(f"_in_{v}")).alias(f"before_{v}") for v in values])
+
+
+def size_of(text: str = "text") -> Column:
+    """Number of words."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """source, n_docs, source_size, weight, target: weights 1, 2, 3, ... share all words.
 
     A target above ``max_epochs`` times its source's size is set to that and the
-    excess is shared among the others by weight, until none is above. The loop
-    brings back two numbers a round; a round fixes at least one source.
+    excess is shared among the others by weight, until none is above: sources are put in the
+    order in which they would be set, and the share of a weight is that of the first that is not.
     """
     sources = sizes.groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("size").alias("source_size"))
-    # One row per source meets in the numbering window.
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    sources = written(sources.withColumn("weight", ((F.row_number().over(order) - 1) % 3 + 1).cast("long")), "sources")
-    cap = F.lit(max_epochs) * F.col("source_size")
-    total = sources.agg(F.sum("source_size")).first()[0] or 0
-    level = None
-    while True:
-        over = F.lit(False) if level is None else F.col("weight") * F.lit(level) > cap
-        fixed, weights = sources.agg(F.sum(F.when(over, cap).otherwise(0)), F.sum(F.when(over, 0).otherwise(F.col("weight")))).first()
-        new = float(total - (fixed or 0)) / weights if weights else level
-        if level is not None and (new is None or new <= level):
-            break
-        level = new
-        if level is None:
-            break
-    target = F.least(F.col("weight") * F.lit(level or 0.0), cap.cast("double"))
-    return sources.withColumn("target", target)
+    order = F.col("source").asc_nulls_last()
+    sources = swept(sources.withColumn("one", F.lit(1).cast("long")), [order], ["one"])
+    sources = sources.select("source", "n_docs", "source_size", (F.col("before_one") % 3 + 1).alias("weight"))
+    ranked = sources.withColumn("cap", max_epochs * F.col("source_size")).withColumn("ratio", F.col("cap") / F.col("weight"))
+    ranked = written(swept(ranked, [F.col("ratio"), order], ["cap", "weight"]), "sources")
+    total, weights = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.sum("weight")).first()
+    share = (F.lit(total) - F.col("before_cap")).cast("double") / (F.lit(weights) - F.col("before_weight"))
+    level = ranked.withColumn("share", share).where("ratio >= share").agg(F.min_by("share", F.struct("ratio", "before_weight"))).first()[0] or 0.0
+    target = F.least(F.col("weight") * F.lit(level), F.col("cap").cast("double"))
+    return ranked.select("source", "n_docs", "source_size", "weight", target.alias("target"))
 
 
 def _finish(epoch: int) -> Column:
     return F.when(F.col("target") > 0, (F.col("served") + epoch * F.col("source_size")) / F.col("target")).otherwise(0.0)
 
 
-def schedule(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, int]:
-    """(rows, budget). rows: doc_id, source, size, source_size, target, shuffle key and ``served``,
-    the words of the source up to and with this document in its shuffled order."""
-    sizes = written(sized(docs), "sizes")
-    targets = source_targets(sizes, max_epochs)
+def schedule(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> tuple[DataFrame, int]:
+    """(rows, budget) of ``sizes`` (row, doc_id, source, size), which must be stored.
+
+    Rows get source_size, target, the shuffle key and ``served``, the words of the source up to and with
+    this document in its shuffled order.
+    """
+    targets = written(source_targets(sizes, max_epochs), "targets")
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     # Sources are joined by a key without nulls.
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
@@ -77,94 +108,45 @@ def schedule(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) ->
     rows = sizes.withColumn("_key", key).join(side, "_key").withColumn("shuffle", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
     rows = bucketed(rows, ["_key"], F.shiftright("shuffle", 29), F.col("n_docs"))
     rows = running_total(rows, ["_key"], [F.col("shuffle"), F.col("doc_id"), F.col("size")], "size", "served")
-    return written(rows.drop("_bucket", "n_docs", "_key"), "schedule"), budget
+    return rows.drop("_bucket", "n_docs", "_key"), budget
 
 
-def copies(rows: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per document and epoch with its virtual ``finish`` time."""
-    each = F.array(*[F.struct(F.lit(k).alias("epoch"), _finish(k).alias("finish")) for k in range(max_epochs)])
-    return rows.withColumn("_copy", F.explode(each)).select("*", "_copy.epoch", "_copy.finish").drop("_copy")
-
-
-_ORDER = ["finish", "epoch", "shuffle", "doc_id", "size"]
+def mix(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
+    """All copies of the rows of ``sizes`` in serving order, cut at the budget.
 
+    row, doc_id, source, size, source_size, target, epoch, finish and ``taken``: the words that the mixture takes
+    of the copy, null if the cut lies before it. Sorted by range over all partitions by finish time.
+    """
+    rows, budget = schedule(sizes, max_epochs, seed)
+    each = F.array(*[F.struct(F.lit(k).alias("epoch"), _finish(k).alias("finish")) for k in range(max_epochs)])
+    items = rows.withColumn("_copy", F.explode(each)).select("row", "doc_id", "source", "size", "source_size", "target", "shuffle", "_copy.epoch", "_copy.finish")
+    items = swept(items, [F.col(c) for c in ("finish", "epoch", "shuffle", "doc_id", "size")], ["size"])
+    left = F.lit(budget) - F.col("before_size")
+    taken = F.when((left > 0) | (left == 0) & (F.col("size") == 0), F.least("size", left))
+    return items.withColumn("taken", taken).drop("before_size", "shuffle")
 
-def cut(items: DataFrame, budget: int, exact_rows: int = 10_000) -> tuple[float, DataFrame | None]:
-    """Where the merged queue reaches the budget: (finish time, items there with their words taken).
 
-    Items that finish earlier are taken whole, later ones not at all. The time
-    is narrowed by histograms of 1,024 bins (so much reaches the driver), until
-    the items of one bin are few or share one time; those are then put in order.
-    """
-    lo, hi, spent = 0.0, None, 0
-    top = items.agg(F.max("finish")).first()[0]
-    if top is None:
-        return 0.0, None
-    hi, inside = top, items
-    while True:
-        width = (hi - lo) / _BINS
-        number = F.least(F.floor((F.col("finish") - lo) / width), F.lit(_BINS - 1)) if width > 0 else F.lit(0)
-        bins = inside.groupBy(number.alias("bin")).agg(F.sum("size").alias("words"), F.count("*").alias("n"), F.min("finish").alias("first"), F.max("finish").alias("last")).orderBy("bin").collect()
-        at = None
-        for row in bins:
-            at = row
-            if spent + row["words"] >= budget:
-                break
-            spent += row["words"]
-        lo, hi = at["first"], at["last"]
-        inside = items.where(F.col("finish").between(lo, hi))
-        if at["n"] <= exact_rows or lo == hi:
-            break
-    before = Window.orderBy(*_ORDER).rowsBetween(Window.unboundedPreceding, -1)
-    left = F.lit(budget - spent) - F.coalesce(F.sum("size").over(before), F.lit(0))
-    return lo, inside.withColumn("taken", F.greatest(F.lit(0), F.least(F.col("size"), left)))
-
-
-def mix(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED, ordered: bool = True) -> DataFrame:
-    """The mixture in serving order: doc_id, source, epoch, finish, size, taken, source_size, target.
-
-    One row per taken copy, sorted by range over all partitions by finish time
-    unless ``ordered`` is false.
-    """
-    rows, budget = schedule(docs, max_epochs, seed)
-    items = copies(rows, max_epochs)
-    time, edge = cut(items, budget)
-    whole = items.where(F.col("finish") < time).withColumn("taken", F.col("size"))
-    taken = whole if edge is None else whole.unionByName(edge.where((F.col("taken") > 0) | (F.col("size") == 0)))
-    return taken.orderBy(*_ORDER) if ordered else taken
+def _numbered(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of stored rows of ``docs``, each with its number in ``row``."""
+    return written(docs.select(F.monotonically_increasing_id().alias("row"), *columns), "rows")
 
 
 def mixed_words(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """Per document: size, source_size, target and the words that the mixture takes of it."""
-    rows, budget = schedule(docs, max_epochs, seed)
-    time, edge = cut(copies(rows, max_epochs), budget)
-    whole = sum((F.when(_finish(k) < time, F.col("size")).otherwise(0) for k in range(max_epochs)), F.lit(0))
-    rows = rows.withColumn("taken", whole.cast("long"))
-    columns = ["doc_id", "source", "size", "source_size", "target", "shuffle"]
-    if edge is not None:
-        # The few copies at the cut, summed per document and spread over its equal rows.
-        part = edge.where(F.col("taken") > 0).groupBy("doc_id", "shuffle", "size", "served", "source").agg(F.sum("taken").alias("_part"))
-        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("doc_id", "shuffle", "size", "served", "source")]
-        on = same[0]
-        for x in same[1:]:
-            on = on & x
-        rows = rows.alias("a").join(small_or_shuffled(part).alias("b"), on, "left").select("a.*", "b._part")
-        rows = rows.withColumn("taken", F.col("taken") + F.coalesce(F.col("_part"), F.lit(0)))
-    return rows.select(*columns[:1], "size", "source_size", F.round("target", 6).alias("target"), "taken")
+    sizes = _numbered(docs, F.col("doc_id"), F.col("source"), size_of().alias("size"))
+    rows = mix(sizes, max_epochs, seed).groupBy("row", "doc_id", "size", "source_size", "target").agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("taken"))
+    return rows.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
 def mixed_documents(docs: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
     """``docs`` as the mixture has them: a row per copy that is taken whole, same columns.
 
-    Rows of one doc_id and size share their copies evenly, rounded down; the one
-    copy that the budget cuts through is left out.
+    The one copy that the budget cuts through is left out.
     """
-    items = mix(docs, max_epochs, seed, ordered=False)
-    whole = items.where(F.col("taken") == F.col("size")).groupBy("doc_id", "size").agg(F.count("*").alias("n"), F.countDistinct("served").alias("rows"))
-    wanted = whole.select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.floor(F.col("n") / F.col("rows")).cast("int").alias("_copies"))
-    rows = docs.select(F.struct("*").alias("_row"), "doc_id", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-    kept = rows.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("size") == F.col("_size")))
-    return kept.select("_row", F.explode(F.sequence(F.lit(1), "_copies"))).select("_row.*")
+    held = _numbered(docs, F.struct("*").alias("held"))
+    sizes = written(held.select("row", "held.doc_id", "held.source", size_of("held.text").alias("size")), "sizes")
+    whole = mix(sizes, max_epochs, seed).where("taken = size").groupBy("row").agg(F.count("*").cast("int").alias("_copies"))
+    return held.join(whole, "row").select("held", F.explode(F.sequence(F.lit(1), "_copies"))).select("held.*")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

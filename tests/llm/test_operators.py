@@ -58,6 +58,43 @@ def test_mix_takes_targets(docs, empty):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mix_by_brute_force(spark, docs):
+    """All copies sorted and cut in plain code; the mixture keeps each copy that is taken whole."""
+    many = spark.createDataFrame([(5, "a b c", "x")] * 12 + [(6, "d e f g h i j", "y")] * 3 + [(None, "k l", None)] * 4, "doc_id long, text string, source string")
+    for data in (docs.select("doc_id", "text", "source"), many):
+        rows = [(r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", text_of(r["text"]))), r["source"]) for r in data.collect()]
+        total, sources = sum(r[1] for r in rows), sorted({r[2] for r in rows}, key=lambda s: (s is None, s or ""))
+        size = {s: sum(r[1] for r in rows if r[2] == s) for s in sources}
+        weight, fixed, target = {s: i % 3 + 1 for i, s in enumerate(sources)}, set(), {}
+        while True:
+            free = [s for s in sources if s not in fixed]
+            level = (total - sum(3 * size[s] for s in fixed)) / sum(weight[s] for s in free)
+            target = {s: 3.0 * size[s] if s in fixed else weight[s] * level for s in sources}
+            over = {s for s in free if target[s] > 3 * size[s]}
+            if not over:
+                break
+            fixed |= over
+        copies = []
+        for s in sources:
+            served = 0
+            own = [(int(hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest()[:15], 16), (i is not None, i or 0), n) for i, n, src in rows if src == s]
+            for h, i, n in sorted(own):
+                served += n
+                copies += [((served + k * size[s]) / target[s] if target[s] else 0.0, k, h, i, n) for k in range(3)]
+        want, before, kept = Counter(), 0, Counter()
+        for _, _, _, i, n in sorted(copies):
+            part = max(0, min(n, total - before))
+            want[i[1] if i[0] else None] += part
+            kept[i[1] if i[0] else None, n] += n > 0 and part == n
+            before += n
+        got = Counter()
+        for r in mixing.mixed_words(data).collect():
+            got[r["doc_id"]] += r["taken"]
+        assert got == want
+        out = Counter((r["doc_id"], len(re.findall(r"[^\x20\x09-\x0D]+", text_of(r["text"])))) for r in mixing.mixed_documents(data).collect())
+        assert {k: n for k, n in out.items() if k[1]} == {k: n for k, n in kept.items() if n}
+
+
 def test_quality_measures(docs, empty):
     rows = quality.judged(quality.measures(docs, docs.doc_id, docs.text.alias("t"), quality.host_key(docs.source).alias("_host"))).collect()
     for r in rows:
