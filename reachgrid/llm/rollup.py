@@ -9,7 +9,10 @@ is overwritten. ``compact`` folds committed deltas into one base.
 
 Defined results: null sources and languages are groups of their own; null token
 counts are 0; groups whose documents and tokens are both 0 are left out; an empty
-batch commits and changes nothing; a null text has no tokens.
+batch commits and changes nothing; a null text has no tokens; repeated rows are counted
+each; long texts are counted whole; other columns of any name are not read. In
+``op4_token_rollup`` copies of a text are those with a doc_id above its least; one with a
+null doc_id, or with the least one again, is none; an empty table gives no totals.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.functions.shared import shared_dir, written
-from reachgrid.llm.common import WORD, documents, text_or_empty
+from reachgrid.llm.common import WORD, documents, left_join_hot, text_or_empty
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs long, n_tokens long"
@@ -73,10 +76,11 @@ class TokenRollup:
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, n_docs, n_tokens after all committed batches."""
+        log = self.log()
+        start = log.where("base").agg(F.max("number")).first()[0] or 0
         # One row per batch since the last base.
-        rows = self.log().orderBy("number").collect()
-        start = max((i for i, r in enumerate(rows) if r["base"]), default=0)
-        paths = [f"{self.path}/deltas/{r['number']}-{r['batch']}" for r in rows[start:]]
+        rows = log.where(F.col("number") >= start).orderBy("number").collect()
+        paths = [f"{self.path}/deltas/{r['number']}-{r['batch']}" for r in rows]
         deltas = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         sums = deltas.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs != 0 or n_tokens != 0")
@@ -103,13 +107,14 @@ def op4_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Loads all documents in four batches, takes off copies of a text but its first, then counts
     the others anew without repeated lines; a batch that comes twice counts once."""
     counts = written(token_counts(documents(spark, sf_dir)), "token-counts")
-    first = counts.groupBy("text_id").agg(F.min("doc_id").alias("first"))
-    rows = written(counts.join(first, "text_id").withColumn("copy", F.col("doc_id") > F.col("first")), "token-rows")
+    first = written(counts.groupBy("text_id").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first-of-texts")
+    copy = F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False))
+    rows = written(left_join_hot(counts, first, "text_id", "n").withColumn("copy", copy), "token-rows")
     none = F.lit(None).cast("long")
     shape = lambda df, action, old=none, new="tokens": df.select(F.lit(action).alias("action"), *KEYS, F.col(new).alias("tokens"), old.alias("old_tokens"))
     loads = {f"load-{k}": shape(rows.where(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(4)) == k), "insert") for k in range(4)}
     batches = [*loads.items(), ("copies", shape(rows.where("copy"), "delete")), ("load-1", loads["load-1"])]
-    changed = rows.where("not coalesce(copy, false) and tokens != distinct_tokens")
+    changed = rows.where("not copy and tokens != distinct_tokens")
     batches.append(("lines", shape(changed, "revise", F.col("tokens"), "distinct_tokens")))
     rollup = TokenRollup(spark, f"{shared_dir(spark)}/rollup-{uuid.uuid4().hex}")
     for i, (batch, changes) in enumerate(batches):
@@ -128,7 +133,7 @@ WITH s AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS t, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 d AS (
   SELECT doc_id, source, lang, t, array_to_string(list_filter(ls, lambda x, i: list_position(ls, x) = i), chr(10)) AS u,
-         doc_id > min(doc_id) OVER (PARTITION BY t) AS copy
+         coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS copy
   FROM s),
 c AS ({reduce(lambda a, b: a + " UNION ALL " + b, (_counted(n, p) for n, p in TOKENIZERS.items()))})
 SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(m) AS BIGINT) AS n_tokens
