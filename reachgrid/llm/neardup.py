@@ -19,7 +19,11 @@ classes is lost. No cap applies anywhere.
 
 Defined results: texts of fewer than five words have one shingle, all their
 words; texts without words are near only to equal texts; a null text is the empty
-text; null doc_ids and repeated rows are rows of their own that share a class.
+text; null doc_ids and repeated rows are rows of their own that share a class; a similarity
+of the threshold is a link; long texts are compared whole; other columns of any name are
+kept by ``kept_documents``; an empty table gives no rows. ``links`` of a text counts the
+links that were verified on the way to its class, at least one where it has one: links
+inside a class that pivots have joined already are not sought, so it is no degree.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.functions.shared import written
-from reachgrid.llm.common import documents, text_or_empty
+from reachgrid.llm.common import documents, left_join_hot, text_or_empty
 from reachgrid.llm.words import MULTIPLIER, mixed, slices, word_hashes
 
 SHINGLE = 5
@@ -458,8 +462,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int
     per_text = per_text.join(found, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     per_text = written(per_text.withColumn("links", F.coalesce("links", F.lit(0)).cast("long")), "texts")
     per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"))
-    table = per_text.join(per_class, "root").select("text_id", "class_id", "copies", "links")
-    return rows.join(table, "text_id").select("doc_id", "class_id", "copies", "links")
+    table = written(per_text.join(per_class, "root").select("text_id", "class_id", "copies", "links"), "classes")
+    return left_join_hot(rows, table, "text_id", "copies").select("doc_id", "class_id", "copies", "links")
 
 
 def kept_documents(docs: DataFrame, **options: object) -> DataFrame:
