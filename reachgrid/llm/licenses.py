@@ -10,12 +10,14 @@ put in or left out, are merged; a merged span is verified by the share of the
 template's votes it holds and by its length against the template's.
 
 Defined results: a null or empty text has no words, no places and score 0;
-repeated rows each give their row; an empty table gives no rows.
+repeated rows each give their row; of equal shares any stands for the score; long texts
+are scanned whole; columns other than the key and text are not read, whatever their names;
+an empty table gives no rows. Only A to Z are lower-cased in effect: see ``_folded``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -62,13 +64,22 @@ def templates(spark: SparkSession) -> DataFrame:
     return table.select("template", "label", "phrase", (F.size("_words") - 1).alias("votes"), F.posexplode(grams).alias("at", "_hash"))
 
 
+def _folded(text: Column) -> Column:
+    """``text`` with A to Z lower-cased, as far as templates can tell.
+
+    ``lower`` also folds other letters, but the templates are ASCII, and the Kelvin sign is the only letter
+    outside ASCII whose lower case is ASCII alone; another letter, which no template has, stands in for it.
+    """
+    return F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u212b")))
+
+
 def diagonals(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Per row key, template and diagonal: mask of template places voted for, first and last word.
 
     Each row of ``docs`` also gives rows without a template; their ``rows`` add up
     to the number of equal rows.
     """
-    words = F.regexp_extract_all(F.lower(text_or_empty()), F.lit(LICENSE_WORD), F.lit(0))
+    words = F.regexp_extract_all(_folded(text_or_empty()), F.lit(LICENSE_WORD), F.lit(0))
     d = docs.select(F.col(key).alias("doc_id"), F.xxhash64(text_or_empty()).alias("_text"), words.alias("_words"))
     # The first element stands for the document itself and matches nothing.
     grams = F.expr("concat(array(cast(null as long)), transform(slice(_words, 1, greatest(size(_words) - 1, 0)), (w, i) -> xxhash64(w, get(_words, i + 1))))")
@@ -133,21 +144,21 @@ WITH t AS (
   FROM (VALUES {_template_values()}) v(template, label, text, phrase)),
 g AS (SELECT template, label, phrase, len(ws) - 1 AS votes, i - 1 AS tpos, ws[i] AS a, ws[i + 1] AS b
       FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM t)),
-d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '{LICENSE_WORD}') AS ws FROM documents),
-w AS (SELECT doc_id, i - 1 AS p, ws[i] AS a, ws[i + 1] AS b FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM d)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{LICENSE_WORD}') AS ws FROM documents),
+w AS (SELECT rid, i - 1 AS p, ws[i] AS a, ws[i + 1] AS b FROM (SELECT *, unnest(range(1, len(ws))) AS i FROM d)),
 v AS (
-  SELECT doc_id, template, label, phrase, votes, p - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS mask, min(p) AS first, max(p) + 1 AS last
+  SELECT rid, template, label, phrase, votes, p - tpos AS diagonal, bit_or(1::BIGINT << tpos) AS mask, min(p) AS first, max(p) + 1 AS last
   FROM w JOIN g USING (a, b) GROUP BY ALL),
 n AS (SELECT *, CASE WHEN phrase OR lag(diagonal) OVER o IS NULL OR diagonal - lag(diagonal) OVER o > {MAX_SHIFT} THEN 1 ELSE 0 END AS new
-      FROM v WINDOW o AS (PARTITION BY doc_id, template ORDER BY diagonal)),
-k AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS grp FROM n),
+      FROM v WINDOW o AS (PARTITION BY rid, template ORDER BY diagonal)),
+k AS (SELECT *, sum(new) OVER (PARTITION BY rid, template ORDER BY diagonal ROWS UNBOUNDED PRECEDING) AS grp FROM n),
 m AS (
-  SELECT doc_id, template, label, phrase, grp, bit_count(bit_or(mask)) / votes AS share, min(first) AS first, max(last) AS last, votes
-  FROM k GROUP BY doc_id, template, label, phrase, votes, grp),
+  SELECT rid, template, label, phrase, grp, bit_count(bit_or(mask)) / votes AS share, min(first) AS first, max(last) AS last, votes
+  FROM k GROUP BY rid, template, label, phrase, votes, grp),
 s AS (SELECT * FROM m WHERE CASE WHEN phrase THEN share = 1 ELSE share >= {MIN_SHARE} AND last - first + 1 <= 2 * (votes + 1) END)
-SELECT doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(*) FILTER (phrase) AS n_base,
+SELECT any_value(doc_id) AS doc_id, CAST(any_value(len(ws)) AS BIGINT) AS n_words, count(*) FILTER (phrase) AS n_base,
        CAST(min(first) FILTER (phrase) AS BIGINT) AS first_word, CAST(max(first) FILTER (phrase) AS BIGINT) AS last_word,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (phrase), '') AS base_labels,
        coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS labels, round(coalesce(max(share), 0), 6) AS score
-FROM d LEFT JOIN s USING (doc_id) GROUP BY doc_id
+FROM d LEFT JOIN s USING (rid) GROUP BY rid
 """
