@@ -8,8 +8,11 @@ poor. A document goes if it fails one of the two base rules, or if its host is
 poor and it fails any rule; a document that fails none stays wherever it is from.
 
 Defined results: a null text has no words and fails; null hosts are one host;
-repeated rows are measured each; an empty table gives no rows. Repeated three-word
-windows are told apart by 64-bit hashes less the bits of a document's word count.
+repeated rows are measured each; a host whose shrunk rate equals the limit is not poor;
+long texts are measured whole; other columns of any name are kept by ``kept_documents``;
+an empty table gives no rows. Repeated three-word windows are found by hashes whose equal
+neighbours are held word against word; a text in which two windows share a hash is sorted
+by the words themselves.
 """
 
 from __future__ import annotations
@@ -33,8 +36,11 @@ class Rules:
     host_limit: float = 0.5
 
 
-def measures(docs: DataFrame, *kept: Column) -> DataFrame:
-    """``kept`` columns, then n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words."""
+def measures(docs: DataFrame, *kept: Column, lost_bits: int = 0) -> DataFrame:
+    """``kept`` columns, then n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words.
+
+    ``lost_bits`` shortens the windows' hashes, so that tests can make them equal by chance.
+    """
     d = docs.select(*kept, text_or_empty().alias("_text"))
     names = d.columns[:-1]
     d = d.select(
@@ -44,11 +50,19 @@ def measures(docs: DataFrame, *kept: Column) -> DataFrame:
         (F.length("_text") - F.regexp_count("_text", F.lit(BLANK))).cast("long").alias("word_chars"),
         F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
     )
-    d = d.withColumn("_n", F.size("_words")).withColumn("_bits", F.length(F.bin("_n")))
+    d = d.withColumn("_n", F.size("_words")).withColumn("_bits", F.length(F.bin("_n")) + lost_bits)
     # A window's hash with its place in the low bits: sorting brings equal windows together.
     d = d.withColumn("_keys", F.expr("sort_array(transform(slice(_words, 1, greatest(_n - 2, 0)), (w, i) -> shiftleft(xxhash64(w, get(_words, i + 1), get(_words, i + 2)), _bits) | cast(i as long)))"))
     d = d.withColumn("_twice", F.expr("filter(_keys, (x, i) -> shiftright(x, _bits) <=> shiftright(get(_keys, i - 1), _bits) or shiftright(x, _bits) <=> shiftright(get(_keys, i + 1), _bits))"))
-    places = "transform(_twice, x -> x & (shiftleft(1L, _bits) - 1))"
+    place = lambda x: f"cast({x} & (shiftleft(1L, _bits) - 1) as int)"
+    before = "get(_twice, i - 1)"
+    word = lambda x, k: f"get(_words, {place(x)} + {k})"
+    unlike = " or ".join(f"{word('x', k)} != {word(before, k)}" for k in range(3))
+    shared = f"size(filter(_twice, (x, i) -> i > 0 and shiftright(x, _bits) = shiftright({before}, _bits) and ({unlike}))) > 0"
+    # Words have no blanks, so three of them with blanks between are told apart as one string.
+    windows = "sort_array(transform(slice(_words, 1, greatest(_n - 2, 0)), (w, i) -> struct(concat_ws(' ', w, get(_words, i + 1), get(_words, i + 2)) as w, i as i)))"
+    by_words = f"get(transform(array({windows}), s -> transform(filter(s, (x, j) -> x.w <=> get(s, j - 1).w or x.w <=> get(s, j + 1).w), x -> x.i)), 0)"
+    places = f"if({shared}, {by_words}, transform(_twice, x -> {place('x')}))"
     covered = f"size(array_distinct(flatten(transform({places}, i -> array(i, i + 1, i + 2)))))"
     # A generator, so that filters on the measures are not pushed into the expressions that make them.
     each = F.struct(

@@ -95,8 +95,9 @@ def test_mix_by_brute_force(spark, docs):
         assert {k: n for k, n in out.items() if k[1]} == {k: n for k, n in kept.items() if n}
 
 
-def test_quality_measures(docs, empty):
-    rows = quality.judged(quality.measures(docs, docs.doc_id, docs.text.alias("t"), quality.host_key(docs.source).alias("_host"))).collect()
+@pytest.mark.parametrize("lost_bits", [0, 48])
+def test_quality_measures(docs, empty, lost_bits):
+    rows = quality.judged(quality.measures(docs, docs.doc_id, docs.text.alias("t"), quality.host_key(docs.source).alias("_host"), lost_bits=lost_bits)).collect()
     for r in rows:
         t = text_of(r["t"])
         words = re.findall(r"[^\x20\x09-\x0D]+", t)
@@ -173,6 +174,26 @@ def test_rollup_is_idempotent(spark, tmp_path):
     assert {(r["source"], r["n_docs"], r["n_tokens"]) for r in table.totals().collect()} == want
 
 
+def test_rollup_query_by_plain_counts(spark, docs, tmp_path):
+    folder = str(tmp_path / "d")
+    many = docs.unionByName(spark.createDataFrame([(i, "same line\nsame line", "en", "s1", None, None, None, None) for i in range(100, 1300)], SCHEMA))
+    for data in (many, many.limit(0)):
+        data.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+        rows = [(r["doc_id"], text_of(r["text"]), r["source"], r["lang"]) for r in data.collect()]
+        first = {t: min((i for i, u, *_ in rows if u == t and i is not None), default=None) for _, t, *_ in rows}
+        want = Counter()
+        for i, t, source, lang in rows:
+            if i is None or i == first[t]:
+                once = "\n".join(dict.fromkeys(t.split("\n")))
+                for name, pattern in (("blank-1", r"[^\x20\x09-\x0D]+"), ("letters-2", r"[^\W_]+|[^\w\s]|_")):
+                    want[source, lang, name, "docs"] += 1
+                    want[source, lang, name, "tokens"] += len(re.findall(pattern, once))
+        got = Counter()
+        for r in rollup.op4_token_rollup(spark, folder).collect():
+            got[r["source"], r["lang"], r["tokenizer"], "docs"], got[r["source"], r["lang"], r["tokenizer"], "tokens"] = r["n_docs"], r["n_tokens"]
+        assert got == want
+
+
 def test_toxicity_learns_and_scores_all(spark, docs, empty):
     r = random.Random(2)
     rows = [(i, prose(i, 60) + (" you vile, Wretch!" if i % 4 == 0 else ""), i % 4 == 0) for i in range(400)]
@@ -369,6 +390,9 @@ def test_license_scan(docs, empty):
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", docs.where("doc_id = 12").first()["text"].lower())
     assert r["n_words"] == len(words) and words[r["first_word"] : r["first_word"] + 3] == ["general", "public", "license"]
     assert rows[4]["n_base"] == 0 and rows[4]["first_word"] is None and rows[4]["labels"] == ""
+    assert [c for c in range(128, 0x110000) if chr(c).lower().isascii()] == [0x212A]
+    odd = docs.sparkSession.createDataFrame([(1, "distributed on an as is basis without warranties or conditions of any \u212aind either express or implied"), (1, "CC BY \u0130"), (1, "CC BY")], "doc_id long, text string")
+    assert sorted((r["n_words"], r["n_base"], round(r["score"], 3)) for r in licenses.license_scan(odd).collect()) == [(2, 1, 1.0), (3, 1, 1.0), (17, 0, 0.875)]
 
 
 def test_pipeline_runs_stage_by_stage(spark, docs, empty, tmp_path):
