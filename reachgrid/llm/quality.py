@@ -125,13 +125,11 @@ def judged(measured: DataFrame, rules: Rules = Rules(), poor: DataFrame | None =
 
 
 def kept_documents(docs: DataFrame, host: str = "source", rules: Rules = Rules()) -> DataFrame:
-    """Rows of ``docs`` that the rules keep. Texts are read twice and never shuffled while poor hosts are few."""
-    key = host_key(F.col(host)).alias("_host")
-    poor = written(poor_hosts(measures(docs, key), rules), "poor-hosts")
-    # A struct holds the row, whatever its columns are called.
-    rows = docs.select(F.struct("*").alias("row"), "text", key)
-    rows = judged(measures(rows, F.col("row"), F.col("_host")), rules, poor)
-    return rows.where("kept").select("row.*")
+    """Rows of ``docs`` that the rules keep. Texts are measured once and never shuffled while poor hosts are few."""
+    # A struct holds the row, whatever its columns are called; it is written with its measures.
+    rows = docs.select(F.struct("*").alias("row"), "text", host_key(F.col(host)).alias("_host"))
+    measured = written(measures(rows, F.col("row"), F.col("_host")), "measured")
+    return judged(measured, rules).where("kept").select("row.*")
 
 
 def op3_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
