@@ -1,12 +1,15 @@
-"""Texts as lossless WebP in a media column, and features of what is read back.
+"""Texts as lossless WebP in a media column, and features of the pixels that are read back.
 
 A text's UTF-8 bytes, filled up with bytes 0 to a positive multiple of 64, are the
-8-bit samples of an image. Long texts go on in further images, one file after the
-other in the same column. Pixel arrays come back from the stored
-bytes alone.
-
-Defined results: a null text is empty (64 bytes 0); equal texts give equal media;
-repeated rows are stored each; an empty table gives no rows.
+8-bit samples of an image: green values, or four of them an ARGB pixel where that is
+smaller. Long texts go on in further images, one file after the other in the same
+column. ``pixels`` decodes the stored bytes to pixel arrays; checksums and features come
+from those arrays alone.
+
+Defined results: a null text is empty (64 bytes 0); equal texts give equal media, of
+files of equal size the one with fewer tools; repeated rows are stored each, null keys
+too; long texts are stored whole; other columns of any name are not read; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -85,40 +88,44 @@ def stored(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     return docs.select(key, text_or_empty().alias("text")).mapInArrow(store, f"`{key}` {kind}, n_bytes long, media binary")
 
 
+PIXELS = "n_bytes long, media_bytes long, media_sha256 string, images array<struct<width: int, height: int, argb: binary>>"
+
+
 def pixels(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """``key``, image number, width, height and the ARGB pixels of each image of a media column."""
+    """``key``, sizes and checksum of the media, and its images as pixel arrays: 32-bit ARGB, little-endian, row by row."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for i in range(whole.num_rows):
-                for n, image in enumerate(images(whole.column(1)[i].as_py())):
-                    argb = webp.decode(image)
-                    values = pa.array([argb.ravel().view(np.int32)], pa.list_(pa.int32()))
-                    yield pa.RecordBatch.from_arrays([whole.column(0).slice(i, 1), pa.array([n], pa.int32()), pa.array([argb.shape[1]], pa.int32()), pa.array([argb.shape[0]], pa.int32()), values], names=[key, "image", "width", "height", "pixels"])
+            for at in range(0, whole.num_rows, _ROWS):
+                batch = whole.slice(at, _ROWS)
+                held = batch.column(2).to_pylist()
+                found = [[webp.decode(x) for x in images(m)] for m in held]
+                made = [[{"width": x.shape[1], "height": x.shape[0], "argb": x.astype("<u4").tobytes()} for x in own] for own in found]
+                kind = pa.list_(pa.struct([("width", pa.int32()), ("height", pa.int32()), ("argb", pa.binary())]))
+                columns = [batch.column(0), batch.column(1), pa.array([len(m) for m in held], pa.int64()), pa.array([hashlib.sha256(m).hexdigest() for m in held], pa.string()), pa.array(made, kind)]
+                yield pa.RecordBatch.from_arrays(columns, names=[key, "n_bytes", "media_bytes", "media_sha256", "images"])
 
-    kind = media.schema[key].dataType.simpleString()
-    return media.select(key, "media").mapInArrow(read, f"`{key}` {kind}, image int, width int, height int, pixels array<int>")
+    return media.select(key, "n_bytes", "media").mapInArrow(read, f"`{key}` {media.schema[key].dataType.simpleString()}, {PIXELS}")
 
 
-def digests(media: DataFrame, key: str = "doc_id") -> DataFrame:
-    """What the stored bytes give when they are read: sizes, checksums and the feature."""
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def digests(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
+    """Of the pixel arrays of ``pixels``: size and checksums of their samples, and the feature."""
+    names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _ROWS):
                 batch = whole.slice(at, _ROWS)
                 rows = []
-                for held in batch.column(2).to_pylist():
-                    data = from_media(held)
-                    rows.append((len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(held), hashlib.sha256(held).hexdigest(), feature(np.frombuffer(data, np.uint8))))
-                columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=[key, "n_bytes", *names])
+                for own in batch.column(4).to_pylist():
+                    data = np.concatenate([webp.samples_of(np.frombuffer(x["argb"], "<u4").reshape(x["height"], x["width"])) for x in own])
+                    rows.append((len(data), hashlib.sha256(data.tobytes()).hexdigest(), zlib.crc32(data[-BLOCK:].tobytes()), feature(data)))
+                size, digest, tail, told = (pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.string(), pa.int64(), pa.string())))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), size, digest, tail, batch.column(2), batch.column(3), told], names=[key, *names])
 
-    kind = media.schema[key].dataType.simpleString()
-    schema = f"`{key}` {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return media.select(key, "n_bytes", "media").mapInArrow(read, schema)
+    schema = f"`{key}` {decoded.schema[key].dataType.simpleString()}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return decoded.mapInArrow(read, schema)
 
 
 def op6_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(written(stored(documents(spark, sf_dir)), "media"))
+    return digests(pixels(written(stored(documents(spark, sf_dir)), "media")))

@@ -3,9 +3,13 @@
 Follows the public bitstream specification. ``decode`` reads prefix codes (simple
 and normal, in groups), back-references, the colour cache, and inverts the
 predictor, cross-colour, subtract-green and palette transforms. Streams of one
-prefix-code group in which only green varies, as ``encode_samples`` writes them, are
-read for whole arrays: the code length at every bit is looked up, and the places of
-symbols follow by repeated doubling.
+prefix-code group in which only green and back-references vary are read for whole
+arrays: the length of the token at every bit is worked out, the places of tokens follow
+by repeated doubling, and copies are made slice by slice.
+
+``encode_samples`` stores 8-bit samples and picks the tools by what they save: a palette
+for few symbols, back-references for what repeats, and, where groups of four samples
+repeat, whole ARGB pixels with colour cache, predictor and cross-colour transform on trial.
 """
 
 from __future__ import annotations
@@ -148,9 +152,12 @@ def _prefix_value(r: Reader, code: int) -> int:
     return ((2 + (code & 1)) << extra) + r.read(extra) + 1
 
 
-def _read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
+def _read_image(r: Reader, width: int, height: int, main: bool, used: set[str] | None = None) -> np.ndarray:
     """Coded pixels as 32-bit ARGB, in order."""
+    used = set() if used is None else used
     cache_bits = r.read(4) if r.read(1) else 0
+    if cache_bits:
+        used.add("colour cache")
     groups, bits, wide = np.zeros(1, np.int64), 0, 0
     if main and r.read(1):
         bits = r.read(3) + 2
@@ -161,11 +168,13 @@ def _read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
         sizes = [ALPHABET[0] + (1 << cache_bits if cache_bits else 0), *ALPHABET[1:]]
         codes.append([Code(_read_lengths(r, n)) for n in sizes])
     total = width * height
+    if any(((c[0].symbol > 255) & (c[0].symbol < 280)).any() for c in codes):
+        used.add("back-references")
     if len(codes) == 1 and not cache_bits:
-        green, red, blue, alpha, _ = codes[0]
-        if not (red.bits or blue.bits or alpha.bits) and green.symbol.max() < 256:
+        green, red, blue, alpha, distance = codes[0]
+        if not (red.bits or blue.bits or alpha.bits) and green.bits + distance.bits <= _BOTH_CODES:
             rest = int(alpha.symbol[0]) << 24 | int(red.symbol[0]) << 16 | int(blue.symbol[0])
-            return green_symbols(r, green, total).astype(np.uint32) << 8 | np.uint32(rest)
+            return green_tokens(r, green, distance, total, width).astype(np.uint32) << 8 | np.uint32(rest)
     out = [0] * total
     cache = [0] * (1 << cache_bits)
     cached, at = 0, 0
@@ -200,27 +209,54 @@ def _read_image(r: Reader, width: int, height: int, main: bool) -> np.ndarray:
     return np.array(out, dtype=np.uint32)
 
 
-def green_symbols(r: Reader, code: Code, total: int) -> np.ndarray:
-    """``total`` symbols of one code that stand in a row."""
-    if not code.bits:
-        return np.full(total, code.symbol[0], dtype=np.uint8)
-    data = np.frombuffer(r.data, dtype=np.uint8)
+def _prefix_values(code: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths or distances of prefix ``code``, whose extra bits come first in ``bits``; how many extra bits)."""
+    extra = np.maximum(code - 2, 0) >> 1
+    base = np.where(code < 4, code, 2 + (code & 1) << extra) + 1
+    return base + (bits & (np.uint64(1) << extra.astype(np.uint64)) - np.uint64(1)).astype(np.int64), extra
+
+
+def _copies_at(bits: np.ndarray, symbol: np.ndarray, size: np.ndarray, distance: Code, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lengths, distances, bits taken) of back-references whose green code is the first of ``bits``."""
+    length, extra = _prefix_values(symbol.astype(np.int64) - 256, bits >> size.astype(np.uint64))
+    taken = size.astype(np.int64) + extra
+    own = (bits >> taken.astype(np.uint64) & np.uint64((1 << distance.bits) - 1)).astype(np.int64)
+    taken += distance.size.take(own)
+    far, extra = _prefix_values(distance.symbol.take(own).astype(np.int64), bits >> taken.astype(np.uint64))
+    near = np.array([max(1, dx + dy * width) for dx, dy in NEAR])
+    return length, np.where(far > len(NEAR), far - len(NEAR), near[np.minimum(far, len(NEAR)) - 1]), taken + extra
+
+
+def green_tokens(r: Reader, green: Code, distance: Code, total: int, width: int) -> np.ndarray:
+    """``total`` green values that literals and back-references of one group give."""
+    if not green.bits:
+        if green.symbol[0] > 255:
+            raise ValueError("a back-reference starts before the image")
+        return np.full(total, green.symbol[0], dtype=np.uint8)
+    held = r.data + bytes(16)
+    data = np.frombuffer(held, dtype=np.uint8)
+    eight = np.ndarray((len(held) - 7,), dtype="<u8", buffer=held, strides=(1,))
     out = np.empty(total, dtype=np.uint8)
-    place, done, mask = r.place, 0, np.uint16((1 << code.bits) - 1)
-    symbols = code.symbol.astype(np.uint8)
+    place, done, mask, copies = r.place, 0, np.uint16((1 << green.bits) - 1), bool(green.symbol.max() > 255)
     while done < total:
-        # The symbols that start in a stretch of some bytes.
+        # The tokens that start in a stretch of some bytes.
         first = place >> 3
-        some = data[first : first + _STRETCH + 4]
-        n = min(_STRETCH, len(some))
-        part = np.zeros(n + 4, dtype=np.uint32)
-        part[: len(some)] = some[: n + 4]
+        n = min(_STRETCH, len(r.data) - first)
+        if n <= 0:
+            raise ValueError("the stream is too short")
+        part = data[first : first + n + 2].astype(np.uint32)
         word = part[:n] | part[1 : n + 1] << np.uint32(8) | part[2 : n + 2] << np.uint32(16)
         window = (word[:, None] >> _EIGHT).astype(np.uint16).ravel() & mask
         bits = len(window)
-        # Steps of 1, 2, 4, 8 and 16 symbols; a step out of the stretch stays at its end.
+        size = green.size.take(window, mode="clip")
+        if copies:
+            symbol = green.symbol.take(window, mode="clip")
+            far = np.flatnonzero(symbol > 255)
+            length, back, taken = _copies_at(eight[first + (far >> 3)] >> (far & 7).astype(np.uint64), symbol[far], size[far], distance, width)
+            size[far] = taken
+        # Steps of 1, 2, 4, 8 and 16 tokens; a step out of the stretch stays at its end.
         step = np.empty(bits + 1, dtype=np.int64)
-        np.add(_COUNT[:bits], code.size.take(window, mode="clip"), out=step[:bits])
+        np.add(_COUNT[:bits], size, out=step[:bits])
         np.minimum(step[:bits], bits, out=step[:bits])
         step[bits] = bits
         steps = [step]
@@ -233,15 +269,36 @@ def green_symbols(r: Reader, code: Code, total: int) -> np.ndarray:
         at = np.array(starts)
         for step in reversed(steps):
             at = np.stack([at, step.take(at, mode="clip")], axis=-1).ravel()
-        at = at[: total - done] if total - done < len(at) and at[total - done - 1] < bits else at[at < bits][: total - done]
-        found = window.take(at, mode="clip")
-        out[done : done + len(at)] = symbols.take(found, mode="clip")
-        done += len(at)
-        place = first * 8 + int(at[-1]) + int(code.size[found[-1]])
+        at = at[at < bits]
+        if copies:
+            found = symbol.take(at)
+            pixels = np.ones(len(at), dtype=np.int64)
+            copied = np.flatnonzero(found > 255)
+            which = np.searchsorted(far, at[copied])
+            pixels[copied] = length[which]
+            ends = done + np.cumsum(pixels)
+            some = min(int(np.searchsorted(ends, total)) + 1, len(at))
+            literal = np.flatnonzero(found[:some] < 256)
+            out[ends[literal] - 1] = found[literal]
+            for i, k in zip(copied.tolist(), which.tolist()):
+                if i < some:
+                    end, d = min(int(ends[i]), total), int(back[k])
+                    start = int(ends[i] - pixels[i])
+                    if d > start:
+                        raise ValueError("a back-reference starts before the image")
+                    out[start:end] = np.resize(out[start - d : min(start, start - d + end - start)], end - start)
+            done = min(int(ends[some - 1]), total)
+        else:
+            some = min(total - done, len(at))
+            out[done : done + some] = green.symbol.take(window.take(at[:some]))
+            done += some
+        place = first * 8 + int(at[some - 1]) + int(size[at[some - 1]])
     r.move(place)
     return out
 
 
+#: A token's bits must fit 57: two codes and at most 28 extra bits.
+_BOTH_CODES = 29
 _STRETCH = 1 << 12
 _EIGHT = np.arange(8, dtype=np.uint32)
 _COUNT = np.arange(8 * _STRETCH)
@@ -251,45 +308,86 @@ def _channels(argb: np.ndarray) -> np.ndarray:
     return argb.astype("<u4").view(np.uint8).reshape(*argb.shape, 4)  # blue, green, red, alpha
 
 
-def _predict(mode: int, left, top, right, corner):
-    """Prediction of one pixel from its neighbours, as lists of four channels."""
-    half = lambda a, b: [(x + y) >> 1 for x, y in zip(a, b)]
-    clip = lambda x: min(max(x, 0), 255)
+def _predict(mode: int, left: np.ndarray, top: np.ndarray, right: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """Predictions of pixels (n, 4 channels) from their neighbours."""
     if mode == 11:
-        to_left = sum(abs(t - c) for t, c in zip(top, corner))
-        to_top = sum(abs(x - c) for x, c in zip(left, corner))
-        return left if to_left < to_top else top
+        nearer = np.abs(top - corner).sum(axis=1) < np.abs(left - corner).sum(axis=1)
+        return np.where(nearer[:, None], left, top)
     if mode == 12:
-        return [clip(x + t - c) for x, t, c in zip(left, top, corner)]
+        return np.clip(left + top - corner, 0, 255)
     if mode == 13:
         # Halves are rounded towards zero.
-        return [clip(m + int((m - c) / 2)) for m, c in zip(half(left, top), corner)]
-    return (
-        [0, 0, 0, 255], left, top, right, corner, half(half(left, right), top), half(left, corner), half(left, top),
-        half(corner, top), half(top, right), half(half(left, corner), half(top, right)),
-    )[mode] if mode < 11 else [0, 0, 0, 255]
+        mean = (left + top) >> 1
+        gap = mean - corner
+        return np.clip(mean + (gap + (gap < 0) >> 1), 0, 255)
+    pairs = {5: (((left + right) >> 1), top), 6: (left, corner), 7: (left, top), 8: (corner, top), 9: (top, right), 10: ((left + corner) >> 1, (top + right) >> 1)}
+    if mode in pairs:
+        a, b = pairs[mode]
+        return (a + b) >> 1
+    return {1: left, 2: top, 3: right, 4: corner}.get(mode, np.broadcast_to(_BLACK, left.shape))
+
+
+_BLACK = np.array([0, 0, 0, 255])
+
+
+def _guesses(at: np.ndarray, width: int, modes: np.ndarray, bits: int, done: np.ndarray) -> np.ndarray:
+    """Predictions of the pixels ``at`` from those in ``done``."""
+    y, x = np.divmod(at, width)
+    mode = np.where(y == 0, np.where(x == 0, 0, 1), np.where(x == 0, 2, modes[y >> bits, x >> bits] & 15))
+    # A row's neighbour beyond its right end is the next row's first pixel.
+    left, top, right, corner = (done.take(at - k, axis=0, mode="wrap") for k in (1, width, width - 1, width + 1))
+    if (mode == mode[0]).all():
+        return _predict(int(mode[0]), left, top, right, corner)
+    guess = np.empty((len(at), 4), dtype=np.int32)
+    for m in np.unique(mode).tolist():
+        own = np.flatnonzero(mode == m)
+        guess[own] = _predict(m, left[own], top[own], right[own], corner[own])
+    return guess
 
 
 def predictor(argb: np.ndarray, modes: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
-    """Add (or take off) predictions; ``modes`` has a mode for each block."""
+    """Add (or take off) predictions; ``modes`` has a mode for each block.
+
+    A pixel needs its left, upper left, upper and upper right neighbours, so pixels of equal x + 2y are added to at once.
+    """
     height, width = argb.shape
-    given = _channels(argb).tolist()
-    out = [[None] * width for _ in range(height)]
-    for y in range(height):
-        for x in range(width):
-            done = out if inverse else given
-            if x == 0 and y == 0:
-                guess = [0, 0, 0, 255]
-            elif y == 0:
-                guess = done[y][x - 1]
-            elif x == 0:
-                guess = done[y - 1][x]
-            else:
-                right = done[y - 1][x + 1] if x + 1 < width else done[y][0]
-                guess = _predict(int(modes[y >> bits, x >> bits]), done[y][x - 1], done[y - 1][x], right, done[y - 1][x - 1])
-            sign = 1 if inverse else -1
-            out[y][x] = [(v + sign * g) & 255 for v, g in zip(given[y][x], guess)]
-    return np.array(out, dtype=np.uint8).reshape(height, width, 4).view("<u4").reshape(height, width)
+    given = _channels(argb).reshape(-1, 4).astype(np.int32)
+    if not inverse:
+        out = given - _guesses(np.arange(len(given)), width, modes, bits, given)
+    else:
+        out = np.zeros_like(given)
+        for wave in range(width + 2 * (height - 1)):
+            y = np.arange(max(0, (wave - width + 2) // 2), min(height - 1, wave // 2) + 1)
+            at = y * (width - 2) + wave
+            out[at] = (given[at] + _guesses(at, width, modes, bits, out)) & 255
+    return (out & 255).astype(np.uint8).view("<u4").reshape(height, width)
+
+
+def best_modes(argb: np.ndarray, bits: int) -> np.ndarray:
+    """Per block the predictor whose residuals are nearest to 0."""
+    height, width = argb.shape
+    shape = (-(-height >> bits), -(-width >> bits))
+    costs = []
+    for mode in range(14):
+        rest = _channels(predictor(argb, np.full(shape, mode), bits, False)).astype(np.int64)
+        cost = np.minimum(rest, 256 - rest).sum(axis=2)
+        room = np.zeros((shape[0] << bits, shape[1] << bits), dtype=np.int64)
+        room[:height, :width] = cost
+        costs.append(room.reshape(shape[0], 1 << bits, shape[1], 1 << bits).sum(axis=(1, 3)))
+    return np.argmin(costs, axis=0)
+
+
+def best_factors(argb: np.ndarray, bits: int) -> np.ndarray:
+    """Per block the least-squares factors of green on red, green on blue and red on blue, in 32nds."""
+    height, width = argb.shape
+    out = np.zeros((-(-height >> bits), -(-width >> bits), 4), dtype=np.uint8)
+    for y, x in np.ndindex(*out.shape[:2]):
+        blue, green, red, _ = (_channels(argb[y << bits : y + 1 << bits, x << bits : x + 1 << bits])[..., i].view(np.int8).astype(np.float64).ravel() for i in range(4))
+        fit = lambda on, of: int(np.clip(np.rint(32 * (on @ of) / max(on @ on, 1)), -128, 127)) & 255
+        to_red = fit(green, red)
+        to_blue = fit(green, blue)
+        out[y, x] = (to_red, to_blue, fit(red, blue - green * (to_blue - 256 * (to_blue > 127)) / 32), 255)
+    return out.view("<u4").reshape(out.shape[:2])
 
 
 def cross_colour(argb: np.ndarray, factors: np.ndarray, bits: int, inverse: bool) -> np.ndarray:
@@ -328,8 +426,9 @@ def _from_palette(coded: np.ndarray, colours: np.ndarray, width: int) -> np.ndar
     return table[index.reshape(len(green), -1)[:, :width]]
 
 
-def decode_stream(data: bytes) -> np.ndarray:
-    """ARGB pixels (height, width) of the content of a VP8L chunk."""
+def decode_stream(data: bytes, used: set[str] | None = None) -> np.ndarray:
+    """ARGB pixels (height, width) of the content of a VP8L chunk; the names of its tools are put in ``used``."""
+    used = set() if used is None else used
     r = Reader(data)
     if r.read(8) != 0x2F:
         raise ValueError("no lossless signature")
@@ -340,6 +439,7 @@ def decode_stream(data: bytes) -> np.ndarray:
     steps, wide = [], width
     while r.read(1):
         kind = r.read(2)
+        used.add(("predictor", "cross-colour", "subtract-green", "palette")[kind])
         if kind in (PREDICTOR, CROSS_COLOUR):
             bits = r.read(3) + 2
             shape = (-(-height >> bits), -(-wide >> bits))
@@ -351,7 +451,7 @@ def decode_stream(data: bytes) -> np.ndarray:
             wide = -(-wide >> _palette_bits(len(colours)))
         else:
             steps.append((kind, 0, None))
-    pixels = _read_image(r, wide, height, True).reshape(height, wide)
+    pixels = _read_image(r, wide, height, True, used).reshape(height, wide)
     for kind, bits, held in reversed(steps):
         if kind == PREDICTOR:
             pixels = predictor(pixels, held >> 8 & 15, bits, True)
@@ -576,15 +676,14 @@ def encode(argb: np.ndarray, transforms: tuple = (), cache_bits: int = 0, matche
     return _file(w.bytes())
 
 
-#: Longest code of ``encode_samples``, so that four codes fit 48 bits.
+#: Longest codes of ``encode_samples``; shortest copy and furthest distance that it looks for.
 _LONGEST = 12
+_COPY, _FURTHEST, _MOST = 24, 1_000_000, 4096
 
 
-def _packed(samples: np.ndarray, codes: np.ndarray, sizes: np.ndarray, shift: int) -> bytes:
-    """Codes of samples in a row, from bit ``shift`` on."""
-    n = sizes[samples].astype(np.uint64)
-    v = codes[samples].astype(np.uint64)
-    for _ in range(2):  # two, then four codes to a number
+def _packed(v: np.ndarray, n: np.ndarray, shift: int) -> bytes:
+    """Tokens of ``n`` bits ``v`` in a row, from bit ``shift`` on."""
+    while len(n) > 1 and 2 * int(n.max()) <= 60:  # two tokens to a number
         if len(n) % 2:
             n, v = np.append(n, np.uint64(0)), np.append(v, np.uint64(0))
         v = v[::2] | v[1::2] << n[::2]
@@ -600,29 +699,163 @@ def _packed(samples: np.ndarray, codes: np.ndarray, sizes: np.ndarray, shift: in
     return out.tobytes()[: (int(end[-1]) + 7) >> 3]
 
 
-def encode_samples(samples: np.ndarray, width: int) -> bytes:
-    """A lossless WebP file whose green channel has the 8-bit ``samples``, row by row."""
-    w = Writer()
-    _head(w, width, len(samples) // width)
-    w.put(0, 3)  # no transform, no colour cache, one group of prefix codes
-    counts = np.bincount(samples, minlength=256)
+def _same(data: bytes, a: int, b: int, most: int) -> int:
+    """How many bytes from ``a`` and from ``b`` on are equal, up to ``most``."""
+    n, step = 0, 16
+    while step:
+        if n + step <= most and data[a + n : a + n + step] == data[b + n : b + n + step]:
+            n += step
+            step *= 2
+        else:
+            step //= 2
+    return n
+
+
+def copies(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, distance) of what repeats, in order: found from equal stretches of eight samples, one in 16 places."""
+    data = samples.tobytes() + bytes(8)
+    if len(samples) < 2 * _COPY:
+        return []
+    eight = np.ndarray((len(samples) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    at = np.flatnonzero(eight * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(60) == 0)
+    key = eight[at]
+    order = np.argsort(key, kind="stable")
+    again = np.flatnonzero(key[order[1:]] == key[order[:-1]])
+    out, end = [], 0
+    for place, before in sorted(zip(at[order[1:][again]].tolist(), at[order[:-1][again]].tolist())):
+        if place < end or place - before > _FURTHEST:
+            continue
+        n = _same(data, place, before, len(samples) - place)
+        while place > end and before and data[place - 1] == data[before - 1]:
+            place, before, n = place - 1, before - 1, n + 1
+        if n >= _COPY:
+            out.append((place, n, place - before))
+            end = place + n
+    return out
+
+
+def _tokens(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(green symbols; for those of copies the length and distance, else 0)."""
+    found = copies(samples)
+    if not found:
+        none = np.zeros(len(samples), dtype=np.int64)
+        return samples.astype(np.int64), none, none
+    literal = np.ones(len(samples), dtype=bool)
+    place, length, distance = [], [], []
+    for at, n, d in found:
+        literal[at : at + n] = False
+        for k in range(0, n, _MOST):
+            place.append(at + k)
+            length.append(min(_MOST, n - k))
+            distance.append(d)
+    at = np.flatnonzero(literal)
+    order = np.argsort(np.concatenate([at, place]), kind="stable")
+    none = np.zeros(len(at), dtype=np.int64)
+    length, distance = np.concatenate([none, length])[order], np.concatenate([none, distance])[order]
+    codes = np.array([256 + _prefix_code(n)[0] for n in length[length > 0].tolist()], dtype=np.int64)
+    symbol = np.concatenate([samples[at].astype(np.int64), np.zeros(len(place), np.int64)])[order]
+    symbol[length > 0] = codes
+    return symbol, length, distance
+
+
+def _code_arrays(lengths: dict[int, int], alphabet: int) -> tuple[np.ndarray, np.ndarray]:
+    codes, sizes = np.zeros(alphabet, np.uint64), np.zeros(alphabet, np.uint64)
+    for s, (code, n) in canonical(lengths).items():
+        codes[s], sizes[s] = code, n
+    return codes, sizes
+
+
+def _green_image(w: Writer, samples: np.ndarray) -> bytes:
+    """The stream in ``w`` and an image whose green channel has ``samples``: literals and copies, one group of codes."""
+    w.put(0, 2)  # no colour cache, one group of prefix codes
+    symbol, length, distance = _tokens(samples)
+    counts = np.bincount(symbol, minlength=ALPHABET[0])
+    copied = np.flatnonzero(length)
+    far = [_prefix_code(d + len(NEAR)) for d in distance[copied].tolist()]
+    own = Counter(code for code, _, _ in far)
     some = np.flatnonzero(counts)
     lengths = complete_lengths(dict(zip(some.tolist(), counts[some].tolist())), _LONGEST)
-    for x in (lengths, {0: 1}, {0: 1}, {255: 1}, {0: 1}):
+    away = complete_lengths(own, _LONGEST) or {0: 1}
+    for x in (lengths, {0: 1}, {0: 1}, {255: 1}, away):
         _write_lengths(w, x)
-    codes, sizes = np.zeros(256, np.uint64), np.zeros(256, np.uint64)
-    for s, (code, n) in canonical(lengths).items():
-        codes[s], sizes[s] = code, n
+    codes, sizes = _code_arrays(lengths, ALPHABET[0])
+    v, n = codes[symbol], sizes[symbol]
+    if len(copied):
+        far_codes, far_sizes = _code_arrays(away, ALPHABET[4])
+        near = [_prefix_code(x) for x in length[copied].tolist()]
+        for c, values, extras in (
+            (None, [x[1] for x in near], [x[2] for x in near]), ([x[0] for x in far], None, None), (None, [x[1] for x in far], [x[2] for x in far]),
+        ):
+            value, bits = (far_codes[c], far_sizes[c]) if c is not None else (np.array(values, np.uint64), np.array(extras, np.uint64))
+            v[copied] |= value << n[copied]
+            n[copied] += bits
     head = w.bytes()
-    if len(lengths) == 1:
-        return _file(head)
+    if not n.any():
+        return head
     shift = w.count & 7
-    body = _packed(samples, codes, sizes, shift)
-    if shift:
-        return _file(head[:-1] + bytes([head[-1] | body[0]]) + body[1:])
-    return _file(head + body)
+    body = _packed(v, n, shift)
+    return head[:-1] + bytes([head[-1] | body[0]]) + body[1:] if shift else head + body
+
+
+def _greens(samples: np.ndarray, width: int) -> bytes:
+    """Samples as green values, by way of a palette where it packs several into a pixel."""
+    w = Writer()
+    _head(w, width, len(samples) // width)
+    some = np.flatnonzero(np.bincount(samples, minlength=256))
+    bits = _palette_bits(len(some))
+    if bits:
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(some) - 1, 8)
+        colours = np.uint32(0xFF000000) | some.astype(np.uint32) << 8
+        _write_image(w, np.diff(_channels(colours), axis=0, prepend=np.zeros((1, 4), np.uint8)).view("<u4").reshape(1, -1), 0, False, False)
+        index = np.searchsorted(some, samples).reshape(len(samples) // width, -1, 1 << bits)
+        samples = (index << np.arange(1 << bits) * (8 >> bits)).sum(axis=-1).astype(np.uint8).ravel()
+    w.put(0, 1)
+    return _file(_green_image(w, samples))
+
+
+#: Four samples make an ARGB pixel in images that are so wide; all others hold samples in green.
+ARGB_WIDTH = 16
+_TRIED = 1 << 12
+
+
+def encode_samples(samples: np.ndarray, width: int) -> bytes:
+    """A lossless WebP file of the 8-bit ``samples``, row by row; ``width`` is a multiple of 8 other than 16.
+
+    Up to 4 KiB in which half of the groups of four samples have been seen before, and that copies do not bring under an
+    eighth, are also tried as ARGB pixels, and the smallest file is taken.
+    """
+    best = _greens(samples, width)
+    if len(samples) <= _TRIED and len(samples) % (4 * ARGB_WIDTH) == 0 and 8 * len(best) > len(samples):
+        argb = np.ascontiguousarray(samples).view("<u4").reshape(-1, ARGB_WIDTH)
+        if 2 * len(np.unique(argb)) <= argb.size:
+            if len(whole := encode(argb, (), 6)) < len(best):
+                best = whole
+            modes = best_modes(argb, 3)
+            rest = predictor(argb, modes, 3, False)
+            # Residuals are worth a trial where more of them are alike than of the pixels.
+            if len(np.unique(rest)) < len(np.unique(argb)):
+                steps = ((PREDICTOR, modes, 3), (CROSS_COLOUR, best_factors(rest, 4), 4))
+                best = min([best, *(encode(argb, t, 6) for t in (steps[:1], steps))], key=len)
+    return best
 
 
 def decode_samples(data: bytes) -> np.ndarray:
-    """The green channel, row by row."""
-    return (decode(data) >> 8 & 255).astype(np.uint8).ravel()
+    """The samples of ``encode_samples``, row by row."""
+    return samples_of(decode(data))
+
+
+def samples_of(argb: np.ndarray) -> np.ndarray:
+    """Samples that the ARGB pixels (height, width) of a file hold."""
+    if argb.shape[1] == ARGB_WIDTH:
+        return argb.astype("<u4").view(np.uint8).ravel()
+    return (argb >> 8).astype(np.uint8).ravel()
+
+
+def tools(data: bytes) -> set[str]:
+    """Which of the format's tools the main image of a file uses: for reports."""
+    (size,) = struct.unpack_from("<I", data, 16)
+    used: set[str] = set()
+    decode_stream(data[20 : 20 + size], used)
+    return used

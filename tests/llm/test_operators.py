@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import random
@@ -221,17 +222,58 @@ def test_webp_round_trips():
                     assert (webp.decode(webp.encode(image, transforms, cache, matches)) == image).all()
             if len(np.unique(image)) <= 256:
                 assert (webp.decode(webp.encode(image, ((webp.PALETTE,),), 4)) == image).all()
-    for k in (1, 2, 60, 256):
+    for k in (1, 2, 4, 16, 60, 256):
         samples = r.integers(0, k, 64 * 500).astype(np.uint8)
-        assert (webp.decode_samples(webp.encode_samples(samples, 64)) == samples).all()
+        again = np.concatenate([samples[:5000], samples[100:4000], samples[100:4000], samples[:1], np.repeat(samples[:1], 9999), samples])
+        for some in (samples, samples[:64], again[: len(again) // 64 * 64]):
+            assert (webp.decode_samples(webp.encode_samples(some, 64)) == some).all()
+            # The reader of arrays and the reader of single tokens agree.
+            both, webp._BOTH_CODES = webp._BOTH_CODES, -1
+            try:
+                assert (webp.decode_samples(webp.encode_samples(some, 64)) == some).all()
+            finally:
+                webp._BOTH_CODES = both
+
+
+def test_webp_uses_its_tools_where_they_save():
+    prose_ = media.payload(prose(9, 3000))
+    cases = {
+        "plain": (media.payload(prose(8, 40)), set()), "copies": (prose_ + prose_[:-64], {"back-references"}), "few": (media.payload("".join(random.Random(2).choice("abc") for _ in range(9600))), {"palette"}),
+        "pixels": (media.payload("".join(random.Random(i % 40).choice("abcdefghijklmnopqrstuvwxyz") * 2 + f"{i % 40:02d}" for i in random.Random(1).choices(range(40), k=600))), {"colour cache"}),
+        "walk": (np.repeat(100 + np.cumsum(np.random.default_rng(3).integers(-1, 2, 16 * 60)), 4).astype(np.uint8).tobytes(), {"predictor"}),
+    }
+    for data, wanted in cases.values():
+        stored = media.to_media(data)
+        assert media.from_media(stored) == data and wanted <= webp.tools(stored) and len(stored) <= len(webp._file(webp._greens(np.frombuffer(data, np.uint8), 64)))
+
+
+def test_webp_reads_what_others_wrote():
+    """A file of one pixel that a widely used encoder made, as published for telling what browsers can read."""
+    found = webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA=="))
+    assert found.shape == (1, 1)
+
+
+def test_media_pixels_and_feature(spark):
+    texts = ["", "ab" * 900, "x" * 70, prose(4, 900), "Größe 大小\n" * 30, None]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = media.stored(data)
+    for r in media.pixels(stored).collect():
+        held = b"".join(webp.samples_of(np.frombuffer(x["argb"], "<u4").reshape(x["height"], x["width"])).tobytes() for x in r["images"])
+        assert held == media.payload(texts[r["doc_id"]] or "")
+    for r in media.digests(media.pixels(stored)).collect():
+        held = media.payload(texts[r["doc_id"]] or "")
+        n = Counter(held)
+        entropy = -sum(c / len(held) * math.log2(c / len(held)) for c in n.values()) + 0.0
+        same = sum(a == b for a, b in zip(held, held[1:]))
+        assert r["feature"] == f"entropy={entropy:.4f};mean={sum(held) / len(held):.4f};distinct={len(n)};same={same}"
 
 
 def test_media_reads_back(docs, empty):
-    for r in media.digests(media.stored(docs.select("doc_id", "text"))).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
+    for r in media.digests(media.pixels(media.stored(docs.select("doc_id", "text")))).join(docs.select("doc_id", "text").dropDuplicates(["doc_id"]), "doc_id").collect():
         data = text_of(r["text"]).encode()
         full = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(full), zlib.crc32(full[-64:])) and r["payload_sha256"] == hashlib.sha256(full).hexdigest()
-    assert media.digests(media.stored(empty)).collect() == []
+    assert media.digests(media.pixels(media.stored(empty))).collect() == []
     assert media.from_media(media.to_media(b"ab" * 900_032)) == b"ab" * 900_032
 
 
