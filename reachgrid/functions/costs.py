@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -49,7 +51,7 @@ def edge_ticks(seconds: Column) -> Column:
 def band(seconds: Column, cycle_minutes: float = 75) -> Column:
     """0 to 4: fifth of the repeating cycle, upper ends included."""
     ratio = (seconds / 60) % F.lit(float(cycle_minutes)) / F.lit(float(cycle_minutes))
-    return F.when(ratio <= 1 / 5, 0).when(ratio <= 2 / 5, 1).when(ratio <= 3 / 5, 2).when(ratio <= 4 / 5, 3).otherwise(4)
+    return reduce(Column.__add__, [F.when(ratio > k / 5, 1).otherwise(0) for k in range(1, 5)])
 
 
 def band_rgb(number: Column, theme: str = "dark") -> Column:
@@ -58,7 +60,7 @@ def band_rgb(number: Column, theme: str = "dark") -> Column:
     return F.get(F.array(*[rgb(c) for c in PALETTES[theme]]), number)
 
 
-#: Message templates; other locales give their own.
+#: Fixed message templates; other locales give their own.
 TEMPLATES = {"minutes": "{m} min", "hours": "{h} h", "both": "{h} h {m} min"}
 
 

@@ -32,6 +32,10 @@ ROAD_CLASSES = (
 )
 NODE_FLAGS = {"crossing": 1, "level_crossing": 2, "entrance": 4, "barrier": 8}
 PROTECTED_FLAG = 16
+SPEED_TOKEN = r"^([0-9]+(?:\.[0-9]+)?)\s*(km/h|kmh|kph|mph)?$"
+NO_SPEED = ("none", "signals", "variable", "national")
+WALK_SPEED = ("walk", "walking_speed")
+ROUTING_TAGS = ("maxspeed", "maxspeed:forward", "maxspeed:backward", "access", "foot", "vehicle", "motor_vehicle", "bicycle", "oneway", "oneway:foot", "sidewalk")
 
 
 def lookup(c: Column, values: dict[str, int], default: int | None = None) -> Column:
@@ -75,13 +79,12 @@ def parse_maxspeed(raw: Column) -> Column:
 
     def part(token: Column) -> Column:
         token = F.trim(token)
-        pattern = r"^([0-9]+(?:\.[0-9]+)?)\s*(km/h|kmh|kph|mph)?$"
-        number = F.regexp_extract(token, pattern, 1)
-        kph = F.when(F.regexp_extract(token, pattern, 2) == "mph", number.try_cast("double") * 1.60934).otherwise(number.try_cast("double"))
-        return F.when(token.isin("none", "signals", "variable", "national"), 0).when(number != "", F.least(F.bround(kph, 0), F.lit(65535)).cast("int"))
+        number = F.regexp_extract(token, SPEED_TOKEN, 1)
+        kph = F.when(F.regexp_extract(token, SPEED_TOKEN, 2) == "mph", number.try_cast("double") * 1.60934).otherwise(number.try_cast("double"))
+        return F.when(token.isin(*NO_SPEED), 0).when(number != "", F.least(F.bround(kph, 0), F.lit(65535)).cast("int"))
 
     read = F.filter(F.transform(F.split(value, r"[;|]"), part), lambda x: x.isNotNull())
-    return F.when(value.isin("walk", "walking_speed"), 5).otherwise(F.coalesce(F.get(read, F.lit(0)), F.lit(0)))
+    return F.when(value.isin(*WALK_SPEED), 5).otherwise(F.coalesce(F.get(read, F.lit(0)), F.lit(0)))
 
 
 def fallback_speed(highway: Column, mask: Column) -> Column:
@@ -90,11 +93,11 @@ def fallback_speed(highway: Column, mask: Column) -> Column:
     return F.coalesce(F.greatest(of(WALK, lookup(highway, WALK_KPH, 5)), of(BIKE, lookup(highway, BIKE_KPH)), of(CAR, lookup(highway, CAR_KPH))), F.lit(0))
 
 
-def edge_speed(highway: Column, c: Column, mask: Column, forward: bool) -> Column:
-    """A tag for the direction replaces the general one, readable or not; 0 goes to the usual speed."""
+def edge_speed(c: Column, read: Column, usual: Column, forward: bool) -> Column:
+    """A tag for the direction replaces the general one (``read``), readable or not; 0 goes to the usual speed."""
     key = "maxspeed:forward" if forward else "maxspeed:backward"
-    read = F.when(has(c, key), parse_maxspeed(c[key])).otherwise(parse_maxspeed(c["maxspeed"]))
-    return F.when(read > 0, read).otherwise(fallback_speed(highway, mask)).cast("int")
+    own = F.when(has(c, key), parse_maxspeed(c[key])).otherwise(read)
+    return F.coalesce(F.nullif(own, F.lit(0)), usual).cast("int")
 
 
 def road_class(highway: Column) -> Column:

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachgrid.functions.numbering import dense_index
 from reachgrid.functions.shared import written
 from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS
 from reachgrid.jobs import road_sql as sql
@@ -15,7 +16,8 @@ from reachgrid.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-LIMIT_S = 900
+#: SQL of the time in which fields are solved: on foot along a quarter of the grid's side.
+LIMIT_S = "(SELECT w * 3000 // 139 FROM c)"
 EPSG = 25833
 
 
@@ -53,6 +55,10 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.grid_nodes(spark, sf_dir).select("region_id", F.col("node_id").alias("node_index"), F.col("node_id").alias("osm_id"), "x_m", "y_m")
 
 
+def _limit_s(spark: SparkSession, sf_dir: str) -> int:
+    return tables.grid(spark, sf_dir)[1] * 3000 // 139
+
+
 def _sources(spark: SparkSession, *ids: int) -> DataFrame:
     return spark.createDataFrame([(i,) for i in ids], "source_id long")
 
@@ -397,29 +403,34 @@ def eligible_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.eligible_sources(_edges(spark, sf_dir), 2)
 
 
-_LIMIT = LIMIT_S * 1000
+_LIMIT = f"{LIMIT_S} * 1000"
 
 
 @query(f"{_Q}{sql.EDGES}, {sql.timed(1)}, {sql.field(_LIMIT, '[0]')} SELECT node_index, ticks FROM f")
 def travel_time_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.travel_time_field(_edges(spark, sf_dir), _sources(spark, 0), 1, LIMIT_S).select("node_index", "ticks")
+    return routing.travel_time_field(_edges(spark, sf_dir), _sources(spark, 0), 1, _limit_s(spark, sf_dir)).select("node_index", "ticks")
+
 
+#: Sources of many fields: one node in 400.
+_SOURCES = "(SELECT list(node_id) FROM n WHERE node_id % 400 = 7)"
 
-_SOURCES = (0, 7, 42, 77, 120)
+
+def _some_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nodes(spark, sf_dir).where("node_index % 400 = 7").select(F.col("node_index").alias("source_id"))
 
 
 @query(
-    f"""{_Q}{sql.EDGES}, {sql.timed(1)}, {sql.timed(2, 'm2')}, {sql.timed(4, 'm4')}, {sql.field(300_000, str(list(_SOURCES)))},
-    {sql.field(300_000, str(list(_SOURCES)), 'm2', 'f2')}, {sql.field(300_000, str(list(_SOURCES)), 'm4', 'f4')}
+    f"""{_Q}{sql.EDGES}, {sql.timed(1)}, {sql.timed(2, 'm2')}, {sql.timed(4, 'm4')}, {sql.field(300_000, _SOURCES)},
+    {sql.field(300_000, _SOURCES, 'm2', 'f2')}, {sql.field(300_000, _SOURCES, 'm4', 'f4')}
     SELECT source_id, 1 AS mode_mask, count(*) AS settled FROM f GROUP BY 1 UNION ALL SELECT source_id, 2, count(*) FROM f2 GROUP BY 1 UNION ALL SELECT source_id, 4, count(*) FROM f4 GROUP BY 1"""
 )
 def reachable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _sources(spark, *_SOURCES), [1, 2, 4], 300))
+    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _some_sources(spark, sf_dir), [1, 2, 4], 300))
 
 
 @query(ORACLE_SQL["reachable_counts"])
 def reachable_counts_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _sources(spark, *_SOURCES), [1, 2, 4], 300))
+    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _some_sources(spark, sf_dir), [1, 2, 4], 300))
 
 
 @query(
@@ -490,21 +501,21 @@ def min_cost_per_metre(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     f"""{_Q}{sql.EDGES}, m AS (SELECT source_id, target_id, cost_seconds AS ticks FROM e WHERE source_id != target_id), {sql.field(10**12, '[0]')},
     b AS (SELECT m.target_id, min(m.source_id) AS source_id FROM m JOIN f p ON p.node_index = m.source_id JOIN f q ON q.node_index = m.target_id WHERE p.ticks + m.ticks = q.ticks GROUP BY m.target_id),
-    y(node, back) AS (SELECT (SELECT max(node_index) FROM f WHERE ticks <= 1500), 0 UNION ALL SELECT b.source_id, back + 1 FROM y JOIN b ON b.target_id = y.node)
+    y(node, back) AS (SELECT (SELECT max(node_index) FROM f WHERE ticks <= {LIMIT_S}), 0 UNION ALL SELECT b.source_id, back + 1 FROM y JOIN b ON b.target_id = y.node)
     SELECT row_number() OVER (ORDER BY back DESC) - 1 AS pos, node AS osm_id, f.ticks AS cost_seconds FROM y JOIN f ON f.node_index = y.node"""
 )
 def cheapest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From node 0 to the highest node within 1,500 seconds."""
+    """From node 0 to the highest node within the limit."""
     edges = written(_edges(spark, sf_dir), "edges")
     walks = edges.select("edge_index", "source_index", "target_index", "cost_seconds", F.lit(1).alias("mode_mask"), F.lit(5).alias("maxspeed_kph"), F.lit(1).alias("road_class_id"))
-    goal = routing.travel_time_field(walks, _sources(spark, 0), 1, 1500).agg(F.max("node_index")).first()[0]
+    goal = routing.travel_time_field(walks, _sources(spark, 0), 1, _limit_s(spark, sf_dir)).agg(F.max("node_index")).first()[0]
     return routing.route(_nodes(spark, sf_dir), edges, 0, goal)
 
 
 # Raster.
 def _field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
     edges = written(_edges(spark, sf_dir), "edges")
-    field = routing.travel_time_field(edges, _sources(spark, 0), 1, LIMIT_S)
+    field = routing.travel_time_field(edges, _sources(spark, 0), 1, _limit_s(spark, sf_dir))
     return field, routing.mode_edges(edges, 1), *_pixels(_nodes(spark, sf_dir))
 
 
@@ -539,7 +550,7 @@ def travel_time_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_Q}{_RASTER} SELECT {sql.band('seconds', 10)} AS band, count(*) AS pixels FROM y GROUP BY 1")
 def travel_time_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flagship: pixels per colour band within 900 s of walking, on a cycle of ten minutes."""
+    """Flagship: pixels per colour band within a quarter of the grid's side on foot, on a cycle of ten minutes."""
     field, edges, pixels, width, height = _field(spark, sf_dir)
     rows = raster.banded(raster.travel_time_raster(field, edges, pixels, width, height), cycle=10)
     return rows.groupBy("band").agg(F.count("*").alias("pixels"))
@@ -584,10 +595,9 @@ _RUNS = "s AS (SELECT event_type AS series_id, row_number() OVER (PARTITION BY e
 
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("event_type").orderBy("event_id")
-    return tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), F.row_number().over(order).cast("long").alias("run"), "value")
+    placed = written(dense_index(tables.table(spark, sf_dir, "events").select("event_type", "event_id", "value"), [F.col("event_type"), F.col("event_id")], "pos"), "runs")
+    first = placed.groupBy("event_type").agg(F.min("pos").alias("first"))
+    return placed.join(first, "event_type").select(F.col("event_type").alias("series_id"), (F.col("pos") - F.col("first") + 1).alias("run"), "value")
 
 
 def _q(column: str, q: float) -> str:
@@ -659,7 +669,7 @@ def streamed_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
     from reachgrid.functions.shared import shared_dir
-    from reachgrid.streaming.streams import running_raster, to_table
+    from reachgrid.streaming.streams import running_raster, to_parquet
 
     pixels, _, _ = _pixels(_nodes(spark, sf_dir))
     pixels = written(pixels, "pixels")
@@ -667,6 +677,5 @@ def streamed_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     batch = tables.table(spark, sf_dir, "events")
     events = spark.readStream.schema(batch.schema).parquet(f"{sf_dir}/events.parquet*")
     settled = events.select((F.col("event_id") % n).alias("node_index"), (F.abs("value") * 60).alias("seconds")).join(pixels, "node_index")
-    name = f"raster_{uuid.uuid4().hex}"
-    to_table(running_raster(settled), name, f"{shared_dir(spark)}/{name}")
-    return spark.table(name)
+    folder = f"{shared_dir(spark)}/raster-{uuid.uuid4().hex}"
+    return to_parquet(running_raster(settled), f"{folder}/state", f"{folder}/checkpoint")

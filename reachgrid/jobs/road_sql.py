@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from reachgrid.functions.tags import BIKE_HIGHWAYS, BIKE_KPH, CAR_HIGHWAYS, CAR_KPH, ROAD_CLASSES, ROUTABLE_HIGHWAYS, WALK_HIGHWAYS, WALK_KPH
+from reachgrid.functions.tags import ALLOW, BIKE_HIGHWAYS, BIKE_KPH, CAR_HIGHWAYS, CAR_KPH, DENY, NO_SPEED, ROAD_CLASSES, ROUTABLE_HIGHWAYS, SPEED_TOKEN, WALK_HIGHWAYS, WALK_KPH, WALK_SPEED
 
 
 def _in(values) -> str:  # noqa: ANN001
@@ -17,23 +17,20 @@ def _map(column: str, values: dict[str, int], rest: str) -> str:
     return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in values.items()) + f" ELSE {rest} END"
 
 
-_TOKEN = r"^([0-9]+(?:\.[0-9]+)?)\s*(km/h|kmh|kph|mph)?$"
-
-
 def speed(column: str) -> str:
     """km/h of a speed tag."""
     value = f"lower(trim({column}))"
     one = (
-        "CASE WHEN t IN ('none', 'signals', 'variable', 'national') THEN 0 "
-        f"WHEN regexp_matches(t, '{_TOKEN}') THEN CAST(least(round_even(CAST(regexp_extract(t, '{_TOKEN}', 1) AS DOUBLE) * "
-        f"CASE WHEN regexp_extract(t, '{_TOKEN}', 2) = 'mph' THEN 1.60934 ELSE 1.0 END, 0), 65535) AS INT) END"
+        f"CASE WHEN t IN {_in(NO_SPEED)} THEN 0 "
+        f"WHEN regexp_matches(t, '{SPEED_TOKEN}') THEN CAST(least(round_even(CAST(regexp_extract(t, '{SPEED_TOKEN}', 1) AS DOUBLE) * "
+        f"CASE WHEN regexp_extract(t, '{SPEED_TOKEN}', 2) = 'mph' THEN 1.60934 ELSE 1.0 END, 0), 65535) AS INT) END"
     )
     parts = f"list_transform(string_split_regex({value}, '[;|]'), lambda x: trim(x))"
     read = f"list_filter(list_transform({parts}, lambda t: {one}), lambda v: v IS NOT NULL)"
-    return f"CASE WHEN {column} IS NULL THEN 0 WHEN {value} IN ('walk', 'walking_speed') THEN 5 ELSE coalesce(({read})[1], 0) END"
+    return f"CASE WHEN {column} IS NULL THEN 0 WHEN {value} IN {_in(WALK_SPEED)} THEN 5 ELSE coalesce(({read})[1], 0) END"
 
 
-_ALLOW, _DENY = "('yes', 'designated', 'permissive', 'official', 'destination')", "('no', 'private')"
+_ALLOW, _DENY = _in(ALLOW), _in(DENY)
 
 
 def _override(mask: str, column: str, bits: int) -> str:
@@ -49,13 +46,13 @@ n AS (
   FROM part, c),
 l0 AS (
   SELECT l_orderkey AS way_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS pos, l_partkey, l_suppkey
-  FROM lineitem WHERE l_orderkey % 4 = 0),
+  FROM lineitem),
 r AS (
   SELECT way_id, pos, CAST(sum(CASE WHEN pos = 0 THEN l_partkey WHEN l_suppkey % 2 = 0 THEN 1 ELSE w END) OVER (PARTITION BY way_id ORDER BY pos) AS BIGINT) AS node_id
   FROM l0, c),
 o AS (
   SELECT o_orderkey AS way_id,
-         ['footway', 'path', 'pedestrian', 'steps', 'living_street', 'residential', 'service', 'cycleway', 'track', 'unclassified', 'tertiary', 'secondary', 'primary', 'trunk', 'motorway'][(o_orderkey // 4) % 15 + 1] AS highway,
+         {list(ROAD_CLASSES)}[(o_orderkey // 4) % 15 + 1] AS highway,
          {_case("o_custkey % 11", {0: "private", 1: "yes", 2: "no", 3: " Permissive "})} AS access,
          {_case("o_custkey % 7", {0: "yes", 1: "no", 2: "designated"})} AS foot,
          {_case("o_custkey % 5", {0: "no", 1: "yes"})} AS bicycle,
@@ -70,7 +67,7 @@ o AS (
          {_case("o_custkey % 12", dict(enumerate(["50", "30 mph", "walk", "none", "50;70", "signals;30", "abc", "80 km/h", "20kph", "7.5"])))} AS maxspeed,
          {_case("o_custkey % 8", {0: "30", 1: "bad"})} AS fwd,
          {_case("o_custkey % 8", {0: "20"})} AS bwd
-  FROM orders WHERE o_orderkey % 4 = 0),
+  FROM orders),
 cand AS (
   SELECT o.*, k FROM o JOIN (SELECT way_id, count(*) AS k FROM r GROUP BY way_id) USING (way_id) WHERE k >= 2 AND highway IN {_in(ROUTABLE_HIGHWAYS)}),
 bad AS (SELECT DISTINCT way_id FROM r WHERE node_id NOT IN (SELECT node_id FROM n)),
@@ -109,7 +106,7 @@ e AS (
   SELECT way_id, CAST(pos AS INT) AS pos, turn, CASE turn WHEN 0 THEN node_id ELSE to_id END AS source_id, CASE turn WHEN 0 THEN to_id ELSE node_id END AS target_id,
          CAST(greatest(1, round_even(sqrt(CAST((to_x - x_m) * (to_x - x_m) + (to_y - y_m) * (to_y - y_m) AS DOUBLE)) / CAST(1.39 AS DOUBLE), 0)) AS BIGINT) AS cost_seconds, flags, mode_mask,
          CASE turn WHEN 0 THEN forward_kph ELSE backward_kph END AS maxspeed_kph, road_class_id
-  FROM g JOIN a USING (way_id), (SELECT unnest([0, 1]) AS turn) WHERE to_id IS NOT NULL AND (turn = 0 OR NOT foot_oneway))"""
+  FROM (SELECT *, unnest([0, 1]) AS turn FROM g JOIN a USING (way_id) WHERE to_id IS NOT NULL) WHERE turn = 0 OR NOT foot_oneway)"""
 
 
 def seconds(mask: int) -> str:

@@ -8,23 +8,25 @@ from pyspark.sql.window import Window
 
 from reachgrid.functions import tags
 from reachgrid.functions.costs import MAX_COST, WALKING_SPEED_M_S, walk_cost
-from reachgrid.functions.numbering import dense_index
+from reachgrid.functions.numbering import dense_index, running_total
 from reachgrid.functions.numbers import half_even
+from reachgrid.functions.shared import written
 
+#: Long edges that one task sums up.
+_BLOCK = 100_000
 EDGE_KEY = ["source_index", "target_index", "flags", "mode_mask", "maxspeed_kph", "road_class_id"]
 
 
 def way_attributes(ways: DataFrame) -> DataFrame:
     """``ways`` with disallowed, mode_mask, forward and backward speed, road class and flags, before any explode."""
     c, highway = F.col("constraints"), F.col("highway")
-    rows = ways.withColumn("disallowed", tags.way_disallowed(c)).withColumn("mode_mask", tags.mode_mask(highway, c))
-    return (
-        rows.withColumn("forward_kph", tags.edge_speed(highway, c, F.col("mode_mask"), True))
-        .withColumn("backward_kph", tags.edge_speed(highway, c, F.col("mode_mask"), False))
-        .withColumn("road_class_id", tags.road_class(highway))
-        .withColumn("flags", tags.edge_flags(c))
-        .withColumn("foot_oneway", F.coalesce(c["oneway:foot"] == "yes", F.lit(False)))
-    )
+    # Generators keep what many rules read (mask, speed, usual speed) from being worked out at each use.
+    once = lambda **columns: F.inline(F.array(F.struct(*[x.alias(n) for n, x in columns.items()])))
+    rows = ways.select("*", once(mode_mask=tags.mode_mask(highway, c), _read=tags.parse_maxspeed(c["maxspeed"]), disallowed=tags.way_disallowed(c)))
+    rows = rows.select("*", once(_usual=tags.fallback_speed(highway, F.col("mode_mask"))))
+    speed = lambda forward: tags.edge_speed(c, F.col("_read"), F.col("_usual"), forward)
+    made = once(forward_kph=speed(True), backward_kph=speed(False), road_class_id=tags.road_class(highway), flags=tags.edge_flags(c), foot_oneway=F.coalesce(c["oneway:foot"] == "yes", F.lit(False)))
+    return rows.select("*", made).drop("_read", "_usual")
 
 
 def skipped_ways(ways: DataFrame) -> DataFrame:
@@ -68,10 +70,10 @@ def split_long_edges(edges: DataFrame, placed: DataFrame, limit: int = MAX_COST)
     long = long.withColumn("_pieces", pieces)
     # Synthetic ids by order of the few long edges.
     order = [F.col(c) for c in ("way_seq", "pos", "turn")]
-    long = dense_index(long, order, "_n")
-    before = Window.orderBy("_n").rowsBetween(Window.unboundedPreceding, -1)
-    first = long.select("_n", F.coalesce(F.sum(F.col("_pieces") - 1).over(before), F.lit(0)).alias("_first"))
-    long = long.join(first, "_n").withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
+    # Numbers of their inner points run on over blocks of edges.
+    long = dense_index(long, order, "_n").withColumn("_inner", F.col("_pieces") - 1).withColumn("_bucket", F.floor(F.col("_n") / _BLOCK)).withColumn("_all", F.lit(0))
+    long = written(running_total(long, ["_all"], [F.col("_n")], "_inner", "_first", inclusive=False), "long-edges")
+    long = long.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
     at = lambda axis, i: half_even(F.col(f"_source{axis}") + (F.col(f"_target{axis}") - F.col(f"_source{axis}")) * i / F.col("_pieces"))
     name = lambda i: -(F.col("_first") + i)
     i = F.col("_i")

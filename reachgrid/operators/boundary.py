@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import project
 
-POINTS = "array<struct<x: double, y: double>>"
-
 
 def _inline(geometry: Column) -> Column:
     """Points (x = lon, y = lat) of an inline geometry, those without a coordinate left out."""
@@ -49,42 +46,44 @@ def boundary_features(elements: DataFrame, level: str) -> DataFrame:
     return paths.select(*keys, F.posexplode(F.transform("paths", lambda x: x["points"])).alias("path_pos", "points")).orderBy("name", "relation_id", "path_pos")
 
 
-def _thin(points: list, tolerance: float) -> list:
-    """Points of a line that stay within ``tolerance``; of equally far ones the first is kept."""
-    if tolerance <= 0 or len(points) <= 2:
-        return points
-    closed = len(points) >= 4 and points[0] == points[-1]
-    work = points[:-1] if closed else points
-    if len(work) <= 2:
-        return points
-    keep, parts = {0, len(work) - 1}, [(0, len(work) - 1)]
-    while parts:
-        a, b = parts.pop()
-        (x1, y1), (x2, y2) = work[a], work[b]
-        dx, dy = x2 - x1, y2 - y1
-        square, best, where = dx * dx + dy * dy, tolerance, -1
-        for i in range(a + 1, b):
-            px, py = work[i]
-            t = min(1.0, max(0.0, ((px - x1) * dx + (py - y1) * dy) / square)) if square else 0.0
-            if (far := math.hypot(px - x1 - t * dx, py - y1 - t * dy)) > best:
-                best, where = far, i
-        if where >= 0:
-            keep.add(where)
-            parts += [(a, where), (where, b)]
-    out = [work[i] for i in sorted(keep)]
-    return [*out, out[0]] if closed else out
+def kept_positions(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Positions of a line's points that are kept, generation by generation.
+
+    All stretches between kept points are measured at once; each that has points further than ``tolerance`` from its chord
+    keeps the first of the furthest ones, until none has. A ring's closing point is left out before and put back after.
+    """
+    n = len(x)
+    ring = n >= 4 and x[0] == x[-1] and y[0] == y[-1]
+    last = n - 2 if ring else n - 1
+    if tolerance <= 0 or last < 2:
+        return np.arange(n)
+    ends, found = np.array([0, last]), np.array([0])
+    while len(found):
+        at = np.repeat(ends[:-1], np.diff(ends))
+        to = np.repeat(ends[1:], np.diff(ends))
+        px, py, dx, dy = x[:last] - x[at], y[:last] - y[at], x[to] - x[at], y[to] - y[at]
+        square = dx * dx + dy * dy
+        share = np.clip((px * dx + py * dy) / np.where(square > 0, square, 1), 0, 1)
+        far = np.hypot(px - share * dx, py - share * dy)
+        most = np.repeat(np.maximum.reduceat(far, ends[:-1]), np.diff(ends))
+        found = np.flatnonzero((far == most) & (most > tolerance))
+        found = found[np.unique(at[found], return_index=True)[1]]
+        ends = np.union1d(ends, found)
+    return np.append(ends, n - 1) if ring else ends
 
 
 def simplify_paths(paths: DataFrame, tolerance: float) -> DataFrame:
-    """``paths`` with simplified ``points``."""
+    """``paths`` with simplified ``points``; coordinates go to the helper as plain arrays and positions come back."""
     if tolerance < 0:
         raise ValueError("the tolerance must not be negative")
 
-    @F.pandas_udf(POINTS)
-    def thin(column: pd.Series) -> pd.Series:
-        return column.map(lambda points: [{"x": x, "y": y} for x, y in _thin([(p["x"], p["y"]) for p in points], tolerance)])
+    @F.pandas_udf("array<int>")
+    def kept(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([kept_positions(np.asarray(a), np.asarray(b), tolerance).astype(np.int32) for a, b in zip(x, y)])
 
-    return paths.withColumn("points", thin("points"))
+    axis = lambda c: F.transform("points", lambda p: p[c])
+    positions = kept(axis("x"), axis("y"))
+    return paths.withColumn("_kept", positions).withColumn("points", F.transform("_kept", lambda i: F.get("points", i))).drop("_kept")
 
 
 def boundary_canvas(paths: DataFrame, tolerance: float, units: str = "meters", epsg: int | None = None) -> DataFrame:

@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import unproject
+from reachgrid.functions.numbering import dense_index, running_total
+from reachgrid.functions.shared import written
+
+#: Bounds that one task sums up.
+_BLOCK = 100_000
 
 
 def graph_integrity(nodes: DataFrame, edges: DataFrame, strict: bool = False) -> DataFrame:
@@ -20,17 +25,28 @@ def graph_integrity(nodes: DataFrame, edges: DataFrame, strict: bool = False) ->
 
 
 def layout_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """gaps, overlaps, wrong_owner, out_of_bounds of the edge ranges, and bad_fields of edges."""
-    ranges = nodes.where("edge_count > 0").select("node_index", F.explode(F.expr("sequence(first_edge_index, first_edge_index + edge_count - 1)")).alias("edge_index"))
-    owners = ranges.groupBy("edge_index").agg(F.count("*").alias("owners"), F.min("node_index").alias("owner"))
-    own = edges.select("edge_index", "source_index", "mode_mask", "maxspeed_kph", "road_class_id", F.lit(True).alias("_edge"))
-    both = owners.join(own, "edge_index", "full")
-    bad = ~F.col("mode_mask").between(1, 255) | ~F.col("maxspeed_kph").between(0, 65535) | ~F.col("road_class_id").between(0, 255)
-    return both.agg(
-        F.count_if(F.col("owners").isNull()).alias("gaps"), F.count_if(F.col("owners") > 1).alias("overlaps"),
-        F.count_if(F.col("owners").isNotNull() & F.col("_edge") & (F.col("owner") != F.col("source_index"))).alias("wrong_owner"),
-        F.count_if(F.col("_edge").isNull()).alias("out_of_bounds"), F.count_if(bad).alias("bad_fields"),
+    """gaps, overlaps and out_of_bounds (edges) of the nodes' edge ranges, edges outside their owner's range, and bad_fields."""
+    n = edges.agg(F.count("*").alias("_edges"))
+    ranges = nodes.where("edge_count > 0").select(F.col("first_edge_index").alias("start"), (F.col("first_edge_index") + F.col("edge_count")).alias("end"))
+    # Each bound turns the number of ranges that hold an edge up or down; where it stands at 0 is a gap, above 1 an overlap.
+    turns = ranges.select(F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("turn")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("turn")))).alias("t")).select("t.*")
+    ends = n.select(F.explode(F.array(F.struct(F.lit(0).cast("long").alias("at"), F.lit(0).alias("turn")), F.struct(F.col("_edges").alias("at"), F.lit(0).alias("turn")))).alias("t")).select("t.*")
+    turns = turns.unionByName(ends).groupBy("at").agg(F.sum("turn").alias("turn"))
+    turns = dense_index(turns, [F.col("at")], "_i").withColumn("_bucket", F.floor(F.col("_i") / _BLOCK)).withColumn("_all", F.lit(0))
+    turns = written(running_total(turns, ["_all"], [F.col("at")], "turn", "open"), "turns")
+    after = turns.select((F.col("_i") - 1).alias("_i"), F.col("at").alias("next"))
+    stretches = turns.join(after, "_i").crossJoin(F.broadcast(n))  # one row
+    inside = F.greatest(F.least("next", "_edges") - F.greatest("at", F.lit(0)), F.lit(0))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    layout = stretches.agg(
+        total(F.when(F.col("open") == 0, inside).otherwise(0)).alias("gaps"), total(F.when(F.col("open") > 1, F.col("next") - F.col("at")).otherwise(0)).alias("overlaps"),
+        total(F.when(F.col("open") > 0, F.col("next") - F.col("at") - inside).otherwise(0)).alias("out_of_bounds"),
     )
+    owner = nodes.select(F.col("node_index").alias("source_index"), F.col("first_edge_index").alias("_start"), (F.col("first_edge_index") + F.col("edge_count")).alias("_end"))
+    bad = ~F.col("mode_mask").between(1, 255) | ~F.col("maxspeed_kph").between(0, 65535) | ~F.col("road_class_id").between(0, 255)
+    own = F.coalesce((F.col("edge_index") >= F.col("_start")) & (F.col("edge_index") < F.col("_end")), F.lit(False))
+    fields = edges.join(owner, "source_index", "left").agg(F.count_if(~own).alias("wrong_owner"), F.count_if(bad).alias("bad_fields"))
+    return layout.crossJoin(fields).select("gaps", "overlaps", "wrong_owner", "out_of_bounds", "bad_fields")  # one row each
 
 
 def stored_graph_violations(header: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -10,6 +10,10 @@ from reachgrid.functions.numbers import half_up
 
 SLACK_S = 0.75
 
+# Fixed texts of the output: a line element, and the note under a legend.
+LINE = '<line x1="%s" y1="%s" x2="%s" y2="%s" stroke="rgb(%d, %d, %d)" stroke-width="1" stroke-linecap="round" vector-effect="non-scaling-stroke" />'
+NOTE = "Colours repeat every {cycle}."
+
 
 def visible_segments(field: DataFrame, edges: DataFrame, pixels: DataFrame, slack: float = SLACK_S) -> DataFrame:
     """Segments of edges whose both ends are reached and that the times pass along.
@@ -44,10 +48,9 @@ def rasterize(segments: DataFrame, stride: int = 1) -> DataFrame:
     rows = segments.withColumn("n", F.greatest(ax, ay)).withColumn("step", F.explode(F.sequence(F.lit(0), F.col("n"))))
     rows = rows.where((F.col("step") % stride == 0) | (F.col("step") == F.col("n")))
     k, n = F.col("step"), F.greatest(F.col("n"), F.lit(1))
-    along = lambda a: F.when(F.col("n") == a, k).otherwise(F.floor((2 * k * a + n) / (2 * n)))
-    x = F.col("x0") + F.signum(dx.cast("double")).cast("int") * along(ax)
-    y = F.col("y0") + F.signum(dy.cast("double")).cast("int") * F.when(ax >= ay, F.floor((2 * k * ay + n) / (2 * n))).otherwise(k)
-    x = F.when(ax >= ay, F.col("x0") + F.signum(dx.cast("double")).cast("int") * k).otherwise(x)
+    # On the longer axis this is k itself.
+    along = lambda d, a: F.signum(d.cast("double")).cast("int") * F.floor((2 * k * a + n) / (2 * n))
+    x, y = F.col("x0") + along(dx, ax), F.col("y0") + along(dy, ay)
     t = F.col("t0") + (F.col("t1") - F.col("t0")) * F.when(F.col("n") > 0, k / n).otherwise(0.0)
     return rows.select("edge_index", "step", x.cast("int").alias("x_px"), y.cast("int").alias("y_px"), t.alias("seconds"))
 
@@ -86,7 +89,7 @@ def legend(cycles: DataFrame, theme: str = "dark", templates: dict[str, str] = T
     i, cycle = F.col("band"), F.col("cycle_minutes")
     rows = cycles.withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(4))))
     label = F.concat(duration_label(cycle * (i / 5), templates), F.lit("–"), duration_label(cycle * ((i + 1) / 5), templates))
-    note = F.concat(F.lit("Colours repeat every "), duration_label(cycle, templates), F.lit("."))
+    note = F.replace(F.lit(NOTE), F.lit("{cycle}"), duration_label(cycle, templates))
     return rows.select("cycle_minutes", "band", label.alias("label"), note.alias("note"), band_rgb(i, theme).alias("c")).select("cycle_minutes", "band", "label", "note", "c.*")
 
 
@@ -114,7 +117,6 @@ def edge_line_markup(segments: DataFrame, cycle: float = 75, theme: str = "dark"
     good = (F.col("t0") >= 0) & (F.col("t1") >= 0) & (F.col("t0") < float("inf")) & (F.col("t1") < float("inf"))
     rows = segments.where(good).withColumn("_c", band_rgb(band((F.col("t0") + F.col("t1")) * 0.5, cycle), theme))
     text = F.format_string(
-        '<line x1="%s" y1="%s" x2="%s" y2="%s" stroke="rgb(%d, %d, %d)" stroke-width="1" stroke-linecap="round" vector-effect="non-scaling-stroke" />',
-        *[_svg_number(F.col(c).cast("double")) for c in ("x0", "y0", "x1", "y1")], "_c.r", "_c.g", "_c.b",
+        LINE, *[_svg_number(F.col(c).cast("double")) for c in ("x0", "y0", "x1", "y1")], "_c.r", "_c.g", "_c.b",
     )
     return rows.select("edge_index", text.alias("markup"))

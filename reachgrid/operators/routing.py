@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,8 +10,8 @@ from reachgrid.functions.costs import edge_cost_seconds, edge_ticks
 from reachgrid.functions.numbering import dense_index
 from reachgrid.functions.shared import written
 
-#: Edges up to which ``engine="local"`` broadcasts the graph (about 100 MB).
-LOCAL_EDGES = 5_000_000
+#: Arrivals up to which a round looks up known times by broadcast; rounds after which deltas are merged.
+SMALL_FRONT, MERGE_EVERY = 100_000, 8
 
 
 def mode_edges(edges: DataFrame, mask: int) -> DataFrame:
@@ -40,26 +35,20 @@ def eligible_sources(edges: DataFrame, mask: int) -> DataFrame:
     return mode_edges(edges, mask).where("ticks > 0").select(F.col("source_index").alias("node_index")).distinct()
 
 
-def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], limit_seconds: float | None = None, engine: str = "frame", max_rounds: int = 10_000) -> DataFrame:
+def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], limit_seconds: float | None = None, max_rounds: int = 10_000) -> DataFrame:
     """source_id, mode_mask, node_index, ticks, seconds: least times from each source for each mask.
 
-    ``sources`` has source_id (a node index). ``frame`` relaxes by joins, keyed by source
-    and mask, and never holds the graph in one place; ``local`` broadcasts graphs up to
-    a counted size and searches per source in tasks. Unreached nodes have no row.
+    ``sources`` has source_id (a node index). Times are relaxed by joins, keyed by source and mask, and the
+    graph is never held in one place. Unreached nodes have no row.
     """
     limit = None if limit_seconds is None else int(limit_seconds * 1000)
     own = None
     for mask in masks:
         rows = mode_edges(edges, mask).where("ticks > 0").select(F.lit(mask).alias("mode_mask"), "source_index", "target_index", "ticks")
         own = rows if own is None else own.unionByName(rows)
-    own = written(own.groupBy("mode_mask", "source_index", "target_index").agg(F.min("ticks").alias("ticks")).repartition("source_index"), "mode-edges")
+    own = written(own.groupBy("mode_mask", "source_index", "target_index").agg(F.min("ticks").alias("ticks")), "mode-edges")
     starts = sources.select("source_id").distinct().withColumn("mode_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    if engine == "local":
-        if own.count() > LOCAL_EDGES:
-            raise ValueError(f"more than {LOCAL_EDGES} edges; use the frame engine")
-        field = _local(own, starts, limit)
-    else:
-        field = _frame(own, starts, limit, max_rounds)
+    field = _relaxed(own, starts, limit, max_rounds)
     return field.select("source_id", "mode_mask", "node_index", "ticks", (F.col("ticks") / 1000).alias("seconds"))
 
 
@@ -67,51 +56,46 @@ def travel_time_field(edges: DataFrame, sources: DataFrame, mask: int = 1, limit
     return travel_time_fields(edges, sources, [mask], limit_seconds)
 
 
-def _frame(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int) -> DataFrame:
+def _relaxed(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int) -> DataFrame:
+    """Least ticks per source, mask and node. A round writes improvements only; they are merged every few rounds."""
     keys = ["source_id", "mode_mask", "node_index"]
-    known = written(starts.select("source_id", "mode_mask", F.col("source_id").alias("node_index"), F.lit(0).cast("long").alias("ticks"), F.lit(True).alias("new")), "field")
+    front = written(starts.select("source_id", "mode_mask", F.col("source_id").alias("node_index"), F.lit(0).cast("long").alias("ticks")), "front")
+    size, known = front.count(), [front]
     steps = edges.select("mode_mask", F.col("source_index").alias("node_index"), F.col("target_index").alias("_to"), F.col("ticks").alias("_step"))
-    for _ in range(max_rounds):
-        front = known.where("new").join(steps, ["mode_mask", "node_index"]).select("source_id", "mode_mask", F.col("_to").alias("node_index"), (F.col("ticks") + F.col("_step")).alias("ticks"))
+    for turn in range(1, max_rounds + 1):
+        if not size:
+            return _least(known, keys)
+        arrived = front.join(steps, ["mode_mask", "node_index"]).select("source_id", "mode_mask", F.col("_to").alias("node_index"), (F.col("ticks") + F.col("_step")).alias("ticks"))
         if limit is not None:
-            front = front.where(F.col("ticks") <= limit)
-        # Known times and arrivals meet in one aggregation: least time, and whether it is an improvement.
-        every = known.select(*keys, "ticks", F.col("ticks").alias("old")).unionByName(front.select(*keys, "ticks", F.lit(None).cast("long").alias("old")))
+            arrived = arrived.where(F.col("ticks") <= limit)
+        arrived = arrived.groupBy(*keys).agg(F.min("ticks").alias("ticks"))
+        before = _union(known)
+        if size <= SMALL_FRONT:
+            # A node has few edges, so arrivals are few too; only their known times are looked up.
+            arrived = written(arrived, "arrived")
+            before = before.join(F.broadcast(arrived.select(*keys)), keys, "left_semi")
+        # Known times and arrivals meet in one aggregation.
+        none = F.lit(None).cast("long").alias("old")
+        every = before.select(*keys, F.lit(None).cast("long").alias("ticks"), F.col("ticks").alias("old")).unionByName(arrived.select(*keys, "ticks", none))
         step = every.groupBy(*keys).agg(F.min("ticks").alias("ticks"), F.min("old").alias("old"))
-        known = written(step.select(*keys, "ticks", (F.col("old").isNull() | (F.col("ticks") < F.col("old"))).alias("new")), "field")
-        if not known.where("new").limit(1).count():
-            return known.drop("new")
+        better = step.select(*keys, "ticks", (F.col("old").isNull() | (F.col("ticks") < F.col("old"))).alias("_better"))
+        front = written(better.where("_better and ticks is not null").drop("_better"), "front")
+        size = front.count()
+        known.append(front)
+        if turn % MERGE_EVERY == 0:
+            known = [written(_least(known, keys), "field")]
     raise RuntimeError(f"times did not settle in {max_rounds} rounds")
 
 
-def _local(edges: DataFrame, starts: DataFrame, limit: int | None) -> DataFrame:
-    table = edges.toArrow()  # counted above
-    mask, source, target, ticks = (table[c].to_numpy() for c in ("mode_mask", "source_index", "target_index", "ticks"))
-    graphs = {}
-    for m in np.unique(mask).tolist():
-        at = np.flatnonzero(mask == m)
-        at = at[np.argsort(source[at], kind="stable")]
-        graphs[m] = (source[at], target[at], ticks[at])
-    held = edges.sparkSession.sparkContext.broadcast(graphs)
-
-    def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for start, m in zip(frame["source_id"].tolist(), frame["mode_mask"].tolist()):
-                own, to, cost = held.value.get(m, (np.zeros(0, np.int64),) * 3)
-                done: dict[int, int] = {}
-                heap = [(0, start)]
-                while heap:
-                    t, node = heapq.heappop(heap)
-                    if node in done:
-                        continue
-                    done[node] = t
-                    a, b = np.searchsorted(own, [node, node + 1])
-                    for n, c in zip(to[a:b].tolist(), cost[a:b].tolist()):
-                        if n not in done and (limit is None or t + c <= limit):
-                            heapq.heappush(heap, (t + c, n))
-                yield pd.DataFrame({"source_id": start, "mode_mask": m, "node_index": list(done), "ticks": list(done.values())})
-
-    return starts.repartition("source_id", "mode_mask").mapInPandas(search, "source_id long, mode_mask int, node_index long, ticks long")
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _least(tables: list[DataFrame], keys: list[str]) -> DataFrame:
+    return _union(tables).groupBy(*keys).agg(F.min("ticks").alias("ticks"))
 
 
 def reachable_counts(field: DataFrame) -> DataFrame:
@@ -119,27 +103,33 @@ def reachable_counts(field: DataFrame) -> DataFrame:
 
 
 def reachable_from(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """source_id, node_index: nodes that each source can get to over any edges."""
+    """source_id, node_index: nodes that each source can get to over any edges. What is reached is merged every few rounds."""
     steps = written(edges.select(F.col("source_index").alias("node_index"), F.col("target_index").alias("_to")).distinct(), "steps")
     front = written(sources.select("source_id", F.col("source_id").alias("node_index")).distinct(), "reached")
-    seen = front
-    for _ in range(max_rounds):
+    seen = [front]
+    for turn in range(1, max_rounds + 1):
         new = front.join(steps, "node_index").select("source_id", F.col("_to").alias("node_index")).distinct()
-        front = written(new.join(seen, ["source_id", "node_index"], "left_anti"), "reached")
+        front = written(new.join(_union(seen), ["source_id", "node_index"], "left_anti"), "reached")
         if not front.limit(1).count():
-            return seen
-        seen = seen.unionByName(front)
+            return _union(seen)
+        seen.append(front)
+        if turn % MERGE_EVERY == 0:
+            seen = [written(_union(seen), "reached")]
     raise RuntimeError(f"reach did not settle in {max_rounds} rounds")
 
 
 def landmark_reachability(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """name, unreachable (names in landmark order), all_reachable; ``landmarks``: rank, name, node_index."""
+    """name, unreachable (names in landmark order), all_reachable; ``landmarks``: rank, name, node_index.
+
+    Landmarks are a list that fits a row: each source holds it against the landmarks that it reaches.
+    """
     reached = reachable_from(edges, landmarks.select(F.col("node_index").alias("source_id")))
-    pairs = landmarks.alias("a").join(landmarks.alias("b"), F.col("a.node_index") != F.col("b.node_index"), "left").select("a.rank", "a.name", F.col("a.node_index").alias("source_id"), F.col("b.rank").alias("to_rank"), F.col("b.name").alias("to_name"), F.col("b.node_index").alias("node_index"))
-    pairs = pairs.join(reached.withColumn("_there", F.lit(True)), ["source_id", "node_index"], "left")
-    gone = F.transform(F.array_sort(F.collect_list(F.when(F.col("_there").isNull() & F.col("to_rank").isNotNull(), F.struct("to_rank", "to_name")))), lambda x: x["to_name"])
-    rows = pairs.groupBy("rank", "name").agg(gone.alias("unreachable"))
-    return rows.select("rank", "name", "unreachable", (F.size("unreachable") == 0).alias("all_reachable"))
+    hits = reached.join(landmarks.select("node_index").distinct(), "node_index", "left_semi").groupBy("source_id").agg(F.collect_set("node_index").alias("_hits"))
+    every = landmarks.agg(F.array_sort(F.collect_list(F.struct("rank", "name", "node_index"))).alias("_every"))
+    rows = landmarks.join(hits, F.col("node_index") == F.col("source_id"), "left").crossJoin(F.broadcast(every))  # one row
+    gone = F.filter("_every", lambda x: (x["node_index"] != F.col("node_index")) & ~F.array_contains("_hits", x["node_index"]))
+    rows = rows.select("rank", "name", F.transform(gone, lambda x: x["name"]).alias("unreachable"))
+    return rows.withColumn("all_reachable", F.size("unreachable") == 0)
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame, eligible: DataFrame | None = None, cell: float | None = None) -> DataFrame:
@@ -191,34 +181,45 @@ def min_cost_per_metre(nodes: DataFrame, edges: DataFrame) -> Column | DataFrame
     return rows.agg(F.coalesce(F.min(F.when(metres > 0, F.col("cost_seconds") / metres)), F.lit(0.0)).alias("min_cost_per_metre"))
 
 
-def route(nodes: DataFrame, edges: DataFrame, start: int, goal: int, max_rounds: int = 10_000) -> DataFrame:
-    """pos, osm_id, cost_seconds of the cheapest walk between two osm ids; ties take the lowest index before.
+def routes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+    """pair_id, pos, osm_id, cost_seconds of the cheapest walk of each pair; ties take the lowest index before.
 
-    An unknown id and no way through are errors.
+    ``pairs``: pair_id, start, goal (osm ids). An unknown id and no way through are errors.
     """
-    ends = {r["osm_id"]: r["node_index"] for r in nodes.where(F.col("osm_id").isin(start, goal)).select("osm_id", "node_index").collect()}
-    if missing := {start, goal} - set(ends):
-        raise ValueError(f"unknown node {sorted(missing)}")
-    spark = nodes.sparkSession
+    held = pairs
+    for end in ("start", "goal"):
+        held = held.join(nodes.select(F.col("osm_id").alias(end), F.col("node_index").alias(f"_{end}")), end, "left")
+    held = written(held, "route-pairs")
+    if unknown := held.where("_start is null or _goal is null").limit(1).collect():
+        raise ValueError(f"unknown node in pair {unknown[0]['pair_id']}: {unknown[0]['start']}, {unknown[0]['goal']}")
     costs = written(edges.where("source_index != target_index").groupBy("source_index", "target_index").agg(F.min("cost_seconds").cast("long").alias("ticks")), "route-edges")
-    field = _frame(costs.withColumn("mode_mask", F.lit(1)), spark.createDataFrame([(ends[start], 1)], "source_id long, mode_mask int"), None, max_rounds)
-    field = written(field.select("node_index", "ticks"), "route-field")
-    if not field.where(F.col("node_index") == ends[goal]).limit(1).count():
-        raise ValueError(f"no way from {start} to {goal}")
-    # Edges that lie on a cheapest way, one before each node; followed back from the goal.
-    into = costs.join(field.select(F.col("node_index").alias("source_index"), F.col("ticks").alias("_from")), "source_index").join(field.select(F.col("node_index").alias("target_index"), F.col("ticks").alias("_to")), "target_index")
-    before = written(into.where("_from + ticks = _to").groupBy("target_index").agg(F.min("source_index").alias("source_index")), "route-before")
-    # Doubling: who is 2^k steps before; the goal's ancestors of all steps come from those.
-    back = spark.createDataFrame([(ends[goal], 0)], "node_index long, back long")
-    jump, reach = before.select(F.col("target_index").alias("node_index"), F.col("source_index").alias("_up")), 1
+    field = _relaxed(costs.withColumn("mode_mask", F.lit(1)), held.select(F.col("_start").alias("source_id"), F.lit(1).alias("mode_mask")).distinct(), None, max_rounds)
+    field = written(field.select("source_id", "node_index", "ticks"), "route-field")
+    goals = held.select("pair_id", "start", "goal", F.col("_start").alias("source_id"), F.col("_goal").alias("node_index"))
+    if lost := goals.join(field, ["source_id", "node_index"], "left_anti").limit(1).collect():
+        raise ValueError(f"no way from {lost[0]['start']} to {lost[0]['goal']}")
+    # Edges that lie on a cheapest way, one before each node and source; followed back from the goals.
+    into = costs.join(field.select("source_id", F.col("node_index").alias("source_index"), F.col("ticks").alias("_from")), "source_index")
+    into = into.join(field.select("source_id", F.col("node_index").alias("target_index"), F.col("ticks").alias("_to")), ["source_id", "target_index"])
+    before = written(into.where("_from + ticks = _to").groupBy("source_id", "target_index").agg(F.min("source_index").alias("source_index")), "route-before")
+    # Doubling: who is 2^k steps before; a goal's ancestors of all steps come from those.
+    keys = ["source_id", "node_index"]
+    back = written(goals.select("pair_id", *keys, F.lit(0).alias("back")), "route")
+    jump, reach = before.select("source_id", F.col("target_index").alias("node_index"), F.col("source_index").alias("_up")), 1
     while True:
-        more = back.join(jump, "node_index").select(F.col("_up").alias("node_index"), (F.col("back") + reach).alias("back"))
+        more = back.join(jump, keys).select("pair_id", "source_id", F.col("_up").alias("node_index"), (F.col("back") + reach).alias("back"))
         more = written(more, "route")
         if not more.limit(1).count():
             break
         back = written(back.unionByName(more), "route")
-        upper = jump.select(F.col("node_index").alias("_up"), F.col("_up").alias("_upper"))
-        jump, reach = written(jump.join(upper, "_up").select("node_index", F.col("_upper").alias("_up")), "route-jump"), reach * 2
-    rows = back.join(field, "node_index").join(nodes.select("node_index", "osm_id"), "node_index")
-    pos = F.row_number().over(Window.orderBy(F.desc("back"))) - 1  # the nodes of one route
-    return rows.select(pos.alias("pos"), "osm_id", F.col("ticks").alias("cost_seconds"))
+        upper = jump.select("source_id", F.col("node_index").alias("_up"), F.col("_up").alias("_upper"))
+        jump, reach = written(jump.join(upper, ["source_id", "_up"]).select(*keys, F.col("_upper").alias("_up")), "route-jump"), reach * 2
+    rows = back.join(field, keys).join(nodes.select("node_index", "osm_id"), "node_index")
+    pos = F.row_number().over(Window.partitionBy("pair_id").orderBy(F.desc("back"))) - 1  # the nodes of one route
+    return rows.select("pair_id", pos.alias("pos"), "osm_id", F.col("ticks").alias("cost_seconds"))
+
+
+def route(nodes: DataFrame, edges: DataFrame, start: int, goal: int, max_rounds: int = 10_000) -> DataFrame:
+    """pos, osm_id, cost_seconds of the cheapest walk between two osm ids, as ``routes`` finds it."""
+    pair = nodes.sparkSession.createDataFrame([(0, start, goal)], "pair_id int, start long, goal long")
+    return routes(nodes, edges, pair, max_rounds).drop("pair_id")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reachgrid.functions.numbering import dense_index
+from reachgrid.functions.shared import written
+
 # Fixed constants of the linear congruential generator.
 LCG_FACTOR, LCG_STEP, LCG_SIZE = 1_664_525, 1_013_904_223, 1 << 32
 
@@ -16,28 +19,28 @@ def _checked(df: DataFrame, value: str) -> None:
         raise ValueError(f"{value} must be finite numbers, one at least")
 
 
-def _ranked(df: DataFrame, by: str, value: str) -> DataFrame:
-    return df.withColumn("_at", F.row_number().over(Window.partitionBy(by).orderBy(value)) - 1).withColumn("_n", F.count("*").over(Window.partitionBy(by)))
-
-
-def _quantile(value: str, q: float) -> Column:
-    """Value at rank floor((n - 1) q), not interpolated."""
-    return F.max(F.when(F.col("_at") == F.floor((F.col("_n") - 1) * q), F.col(value)))
+def _quantiles(df: DataFrame, by: str, value: str, shares: dict[str, float]) -> DataFrame:
+    """``by`` and the values at ranks floor((n - 1) q), not interpolated: found in one order of all series, dealt by range."""
+    placed = written(dense_index(df.select(by, value), [F.col(by), F.col(value)], "_pos"), "ranked")
+    spans = placed.groupBy(by).agg(F.min("_pos").alias("_first"), F.count("*").alias("_n"))
+    asked = F.array(*[F.struct(F.lit(name).alias("name"), (F.col("_first") + F.floor((F.col("_n") - 1) * q)).alias("_pos")) for name, q in shares.items()])
+    found = placed.drop(by).join(spans.select(by, F.inline(asked)), "_pos")
+    return found.groupBy(by).agg(*[F.max(F.when(F.col("name") == name, F.col(value))).alias(name) for name in shares])
 
 
 def series_summary(df: DataFrame, by: str = "series_id", value: str = "value", check: bool = True) -> DataFrame:
     """count, min, max, mean, p50, p95 and p99 of each series."""
     if check:
         _checked(df, value)
-    quantiles = [_quantile(value, q).alias(f"p{int(q * 100)}") for q in (0.5, 0.95, 0.99)]
-    return _ranked(df, by, value).groupBy(by).agg(F.count("*").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), *quantiles)
+    sums = df.groupBy(by).agg(F.count("*").alias("count"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    return sums.join(_quantiles(df, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}), by)
 
 
 def series_stability(df: DataFrame, by: str = "series_id", value: str = "value", max_relative_mad: float = 0.05) -> DataFrame:
     """Median, median absolute deviation, its share of the median, spread, and whether the series is stable."""
     summary = series_summary(df, by, value)
     deviations = df.join(summary.select(by, F.col("p50").alias("_median")), by).withColumn("_dev", F.abs(F.col(value) - F.col("_median")))
-    mad = _ranked(deviations, by, "_dev").groupBy(by).agg(_quantile("_dev", 0.5).alias("mad"), F.stddev_pop(value).alias("standard_deviation"))
+    mad = _quantiles(deviations, by, "_dev", {"mad": 0.5}).join(df.groupBy(by).agg(F.stddev_pop(value).alias("standard_deviation")), by)
     over = lambda a, b: F.when(b != 0, a / F.abs(b)).when(a == 0, 0.0).otherwise(float("inf"))
     rows = summary.join(mad, by).withColumn("relative_mad", over(F.col("mad"), F.col("p50")))
     rows = rows.withColumn("coefficient_of_variation", over(F.col("standard_deviation"), F.col("mean")))

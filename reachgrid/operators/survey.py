@@ -7,10 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reachgrid.functions.geo import haversine_m
-from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS
-
-#: Tags that matter for routing.
-ROUTING_TAGS = ("maxspeed", "maxspeed:forward", "maxspeed:backward", "access", "foot", "vehicle", "motor_vehicle", "bicycle", "oneway", "oneway:foot", "sidewalk")
+from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS, ROUTING_TAGS
 
 
 def highway_counts(elements: DataFrame, k: int | None = None, types: tuple[str, ...] = ("way",)) -> DataFrame:

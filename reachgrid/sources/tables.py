@@ -1,6 +1,6 @@
 """The given star-schema tables as a road network.
 
-Parts are nodes of a street grid, every fourth order is a way whose lines step along
+Parts are nodes of a street grid, every order is a way whose lines step along
 the grid, and the keys of orders and customers decide the tags.
 """
 
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reachgrid.functions.tags import ROAD_CLASSES
 
 REGION = "grid"
 
@@ -41,7 +42,7 @@ def grid_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way_id, pos, node_id: a way starts at its first line's part and goes east or south."""
     _, w = grid(spark, sf_dir)
     order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").where("l_orderkey % 4 = 0").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     lines = lines.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
     step = F.when(F.col("pos") == 0, F.col("l_partkey")).when(F.col("l_suppkey") % 2 == 0, 1).otherwise(w)
     return lines.select(F.col("l_orderkey").alias("way_id"), "pos", F.sum(step).over(Window.partitionBy("l_orderkey").orderBy("pos")).alias("node_id"))
@@ -53,7 +54,7 @@ def _tags() -> Column:
     pick = lambda key, n, values: reduce(lambda rest, kv: F.when(key % n == kv[0], kv[1]).otherwise(rest), values.items(), F.lit(None).cast("string"))
     speeds = ["50", "30 mph", "walk", "none", "50;70", "signals;30", "abc", "80 km/h", "20kph", "7.5"]
     values = {
-        "highway": F.get(F.array(*[F.lit(h) for h in ("footway", "path", "pedestrian", "steps", "living_street", "residential", "service", "cycleway", "track", "unclassified", "tertiary", "secondary", "primary", "trunk", "motorway")]), (F.floor(o / 4) % 15).cast("int")),
+        "highway": F.get(F.array(*[F.lit(h) for h in ROAD_CLASSES]), (F.floor(o / 4) % 15).cast("int")),
         "access": pick(c, 11, {0: "private", 1: "yes", 2: "no", 3: " Permissive "}),
         "foot": pick(c, 7, {0: "yes", 1: "no", 2: "designated"}),
         "bicycle": pick(c, 5, {0: "no", 1: "yes"}),
@@ -83,7 +84,7 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     none = [F.lit(None).cast(t).alias(n) for n, t in (("geometry", "array<struct<lat:double,lon:double>>"), ("members", "array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"))]
     nodes = grid_nodes(spark, sf_dir).select("region_id", F.col("node_id").alias("seq"), F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", "lon", F.lit(None).cast("array<bigint>").alias("nodes"), tags.alias("tags"), *none)
     refs = grid_refs(spark, sf_dir).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
-    ways = table(spark, sf_dir, "orders").where("o_orderkey % 4 = 0").select("o_orderkey", "o_custkey").join(refs, F.col("o_orderkey") == F.col("way_id"), "left")
+    ways = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(refs, F.col("o_orderkey") == F.col("way_id"), "left")
     ways = ways.select(F.lit(REGION).alias("region_id"), (F.col("o_orderkey") + 10_000_000).alias("seq"), F.lit("way").alias("type"), F.col("o_orderkey").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", _tags().alias("tags"), *none)
     return nodes.unionByName(ways)
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from reachgrid.sources.elements import ELEMENTS
 
@@ -25,8 +24,16 @@ def running_raster(settled: DataFrame) -> DataFrame:
     return settled.where(good).groupBy("x_px", "y_px").agg(F.min("seconds").alias("seconds"))
 
 
-def to_table(df: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> StreamingQuery:
-    """Run until the input at hand is used up, into an in-memory table."""
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def to_parquet(df: DataFrame, folder: str, checkpoint: str) -> DataFrame:
+    """Run until the input at hand is used up; the state after the last batch, as Parquet in a shared ``folder``.
+
+    Each batch writes a version of its own, which a repeated attempt overwrites, so nothing passes the driver.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/version={number}")
+
+    query = df.writeStream.outputMode("complete").foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return query
+    last = query.lastProgress
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/version={last['batchId']}")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import json
 import math
+import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,6 +66,7 @@ def test_surveys(spark):
     assert {r["ratio"] for r in survey.tag_coverage(ways.limit(0)).collect()} == {0.0}
 
 
+# Fixed values of the data model: tags and what follows from them.
 @pytest.mark.parametrize(
     ("highway", "c", "mask", "speed", "disallowed"),
     [
@@ -142,11 +145,36 @@ def test_costs_and_fields(spark):
     walk = edges_of(spark, [(0, 1, 10, 0, 1, 5, 1), (0, 2, 25, 0, 1, 5, 1), (1, 2, 10, 0, 1, 5, 1)])
     starts = spark.createDataFrame([(0,), (1,)], "source_id long")
     want = {(0, 0, 0), (0, 1, 10_000), (0, 2, 20_000), (1, 1, 0), (1, 2, 10_000)}
-    for engine in ("frame", "local"):
-        rows = routing.travel_time_fields(walk, starts, [1], engine=engine).collect()
-        assert {(r["source_id"], r["node_index"], r["ticks"]) for r in rows} == want
-        cut = routing.travel_time_fields(walk, starts, [1], 10, engine).collect()
-        assert {(r["source_id"], r["node_index"]) for r in cut} == {(0, 0), (0, 1), (1, 1), (1, 2)}
+    rows = routing.travel_time_fields(walk, starts, [1]).collect()
+    assert {(r["source_id"], r["node_index"], r["ticks"]) for r in rows} == want
+    cut = routing.travel_time_fields(walk, starts, [1], 10).collect()
+    assert {(r["source_id"], r["node_index"]) for r in cut} == {(0, 0), (0, 1), (1, 1), (1, 2)}
+    assert routing.travel_time_fields(walk, starts.limit(0), [1]).collect() == []
+
+
+@pytest.mark.parametrize("small", [0, 100_000])
+def test_fields_by_brute_force(spark, monkeypatch, small):
+    monkeypatch.setattr(routing, "SMALL_FRONT", small)
+    monkeypatch.setattr(routing, "MERGE_EVERY", 3)
+    r = random.Random(4)
+    n = 40
+    rows = [(r.randrange(n), r.randrange(n), r.randint(1, 90), 0, r.choice((1, 3, 7)), r.choice((0, 5, 30)), 6) for _ in range(130)] + [(i, i + 1, 5, 0, 1, 5, 6) for i in range(12)]
+    edges = edges_of(spark, rows)
+    for mask in (1, 6):
+        step = {}
+        for e in routing.mode_edges(edges, mask).collect():
+            key = e["source_index"], e["target_index"]
+            step[key] = min(step.get(key, e["ticks"]), e["ticks"])
+        want = {}
+        for s in (0, 5):
+            best = {s: 0}
+            for _ in range(n):
+                for (a, b), t in step.items():
+                    if a in best and best[a] + t < best.get(b, math.inf):
+                        best[b] = best[a] + t
+            want |= {(s, k): t for k, t in best.items()}
+        got = routing.travel_time_fields(edges, spark.createDataFrame([(0,), (5,)], "source_id long"), [mask]).collect()
+        assert {(x["source_id"], x["node_index"]): x["ticks"] for x in got} == want and len(got) == len(want)
 
 
 def test_route(spark):
@@ -155,6 +183,8 @@ def test_route(spark):
     rows = routing.route(nodes, edges, 100, 103).orderBy("pos").collect()
     assert [r["osm_id"] for r in rows] == [100, 101, 103] and rows[-1]["cost_seconds"] == 10
     assert [tuple(r) for r in routing.route(nodes, edges, 100, 100).collect()] == [(0, 100, 0)]
+    pairs = spark.createDataFrame([(1, 100, 103), (2, 101, 103), (3, 102, 102)], "pair_id int, start long, goal long")
+    assert [(r["pair_id"], r["osm_id"], r["cost_seconds"]) for r in routing.routes(nodes, edges, pairs).orderBy("pair_id", "pos").collect()] == [(1, 100, 0), (1, 101, 5), (1, 103, 10), (2, 101, 0), (2, 103, 5), (3, 102, 0)]
     with pytest.raises(ValueError, match="unknown"):
         routing.route(nodes, edges, 100, 7)
     with pytest.raises(ValueError, match="no way"):
@@ -199,19 +229,12 @@ def test_raster(spark):
     got: dict = {}
     for r in raster.rasterize(segments).collect():
         got.setdefault(r["edge_index"], {})[r["step"]] = (r["x_px"], r["y_px"])
+    # By definition: one pixel a step of the longer axis, and the whole number nearest to the line, halves away from the start.
+    nearest = lambda part, n: math.floor(Fraction(part, max(n, 1)) + Fraction(1, 2))
     for r in segments.collect():
-        x, y, dx, dy = 0, 0, abs(r["x1"]), -abs(r["y1"])
-        error, path = dx + dy, []
-        while True:
-            path.append((x, y))
-            if (x, y) == (r["x1"], r["y1"]):
-                break
-            twice = 2 * error
-            if twice >= dy:
-                error, x = error + dy, x + (1 if r["x1"] > 0 else -1)
-            if twice <= dx:
-                error, y = error + dx, y + (1 if r["y1"] > 0 else -1)
-        assert [got[r["edge_index"]][k] for k in sorted(got[r["edge_index"]])] == path
+        n, sign = max(abs(r["x1"]), abs(r["y1"])), lambda v: (v > 0) - (v < 0)
+        line = {k: tuple(sign(r[c]) * nearest(k * abs(r[c]), n) for c in ("x1", "y1")) for k in range(n + 1)}
+        assert got[r["edge_index"]] == line
     shown = lambda s, cycle, theme="dark": tuple(spark.range(1).select(costs.band_rgb(costs.band(F.lit(float(s)), cycle), theme).alias("c")).first()["c"])
     assert shown(0, 60) == shown(3600, 60) == (0, 255, 255) and shown(780, 60) == (64, 255, 64) and shown(0, 60, "light") == (0, 110, 210)
     rows = raster.legend(spark.createDataFrame([(120.0,), (24.0,)], "cycle_minutes double")).orderBy("cycle_minutes", "band").collect()
@@ -324,15 +347,15 @@ def test_streams_equal_batches(spark, tmp_path):
 
     for i, highway in enumerate(("footway", "path", "footway")):
         elements(spark, [way(i, [1, 2], highway=highway)]).write.mode("append").parquet(str(tmp_path / "in"))
-    streams.to_table(streams.running_highway_counts(streams.stream_elements(spark, str(tmp_path / "in"))), "ways_so_far", str(tmp_path / "check"))
-    assert {tuple(r) for r in spark.table("ways_so_far").collect()} == {("footway", 2), ("path", 1)}
+    found = streams.to_parquet(streams.running_highway_counts(streams.stream_elements(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
+    assert {tuple(r) for r in found.collect()} == {("footway", 2), ("path", 1)}
 
 
-def test_registered_reach_has_no_bound_on_edges(spark, monkeypatch):
+def test_registered_reach_takes_sources_from_the_nodes(spark, monkeypatch):
     from reachgrid.jobs import road_queries
 
-    walk = [(0, 0, 7, 60, 0, 1, 0, 1), (1, 7, 42, 60, 0, 1, 0, 1), (2, 42, 0, 60, 0, 1, 0, 1)]
+    walk = [(0, 7, 407, 60, 0, 1, 0, 1), (1, 407, 42, 60, 0, 1, 0, 1), (2, 42, 7, 60, 0, 1, 0, 1)]
     monkeypatch.setattr(road_queries, "_edges", lambda spark, sf_dir: spark.createDataFrame(walk, EDGE))
-    monkeypatch.setattr(routing, "LOCAL_EDGES", 1)
+    monkeypatch.setattr(road_queries, "_nodes", lambda spark, sf_dir: spark.range(1000).withColumnRenamed("id", "node_index"))
     rows = road_queries.reachable_counts_local(spark, "").collect()
-    assert {r["source_id"]: r["settled"] for r in rows if r["mode_mask"] == 1} == {0: 3, 7: 3, 42: 3, 77: 1, 120: 1}
+    assert {r["source_id"]: r["settled"] for r in rows if r["mode_mask"] == 1} == {7: 3, 407: 3, 807: 1}
