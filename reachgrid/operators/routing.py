@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from reachgrid.functions.costs import edge_cost_seconds, edge_ticks
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import stored, written
 
 #: Arrivals up to which a round looks up known times by broadcast; rounds after which deltas are merged.
 SMALL_FRONT, MERGE_EVERY = 100_000, 8
@@ -59,31 +59,38 @@ def travel_time_field(edges: DataFrame, sources: DataFrame, mask: int = 1, limit
 def _relaxed(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int) -> DataFrame:
     """Least ticks per source, mask and node. A round writes improvements only; they are merged every few rounds."""
     keys = ["source_id", "mode_mask", "node_index"]
-    front = written(starts.select("source_id", "mode_mask", F.col("source_id").alias("node_index"), F.lit(0).cast("long").alias("ticks")), "front")
-    size, known = front.count(), [front]
+    front = starts.select("source_id", "mode_mask", F.col("source_id").alias("node_index"), F.lit(0).cast("long").alias("ticks"))
+    # All deltas are read as one table, so that the plan of each round is the same.
+    table = lambda paths: front.sparkSession.read.schema(schema).parquet(*paths)
+    least = lambda paths: table(paths).groupBy(*keys).agg(F.min("ticks").alias("ticks"))
+    schema, known = front.schema, [stored(front, "front")]
+    front = table(known)
+    size = held = front.count()
     steps = edges.select("mode_mask", F.col("source_index").alias("node_index"), F.col("target_index").alias("_to"), F.col("ticks").alias("_step"))
     for turn in range(1, max_rounds + 1):
         if not size:
-            return _least(known, keys)
-        arrived = front.join(steps, ["mode_mask", "node_index"]).select("source_id", "mode_mask", F.col("_to").alias("node_index"), (F.col("ticks") + F.col("_step")).alias("ticks"))
+            return least(known)
+        small = size <= SMALL_FRONT
+        arrived = steps.join(F.broadcast(front) if small else front, ["mode_mask", "node_index"])
+        arrived = arrived.select("source_id", "mode_mask", F.col("_to").alias("node_index"), (F.col("ticks") + F.col("_step")).alias("ticks"))
         if limit is not None:
             arrived = arrived.where(F.col("ticks") <= limit)
-        arrived = arrived.groupBy(*keys).agg(F.min("ticks").alias("ticks"))
-        before = _union(known)
-        if size <= SMALL_FRONT:
+        before = table(known)
+        if small and held > 100 * SMALL_FRONT:
             # A node has few edges, so arrivals are few too; only their known times are looked up.
-            arrived = written(arrived, "arrived")
+            arrived = written(arrived.groupBy(*keys).agg(F.min("ticks").alias("ticks")), "arrived")
             before = before.join(F.broadcast(arrived.select(*keys)), keys, "left_semi")
         # Known times and arrivals meet in one aggregation.
-        none = F.lit(None).cast("long").alias("old")
-        every = before.select(*keys, F.lit(None).cast("long").alias("ticks"), F.col("ticks").alias("old")).unionByName(arrived.select(*keys, "ticks", none))
+        none = F.lit(None).cast("long")
+        every = before.select(*keys, none.alias("ticks"), F.col("ticks").alias("old")).unionByName(arrived.select(*keys, "ticks", none.alias("old")))
         step = every.groupBy(*keys).agg(F.min("ticks").alias("ticks"), F.min("old").alias("old"))
-        better = step.select(*keys, "ticks", (F.col("old").isNull() | (F.col("ticks") < F.col("old"))).alias("_better"))
-        front = written(better.where("_better and ticks is not null").drop("_better"), "front")
+        better = F.col("ticks").isNotNull() & (F.col("old").isNull() | (F.col("ticks") < F.col("old")))
+        known.append(stored(step.where(better).select(*keys, "ticks"), "front"))
+        front = table(known[-1:])
         size = front.count()
-        known.append(front)
+        held += size
         if turn % MERGE_EVERY == 0:
-            known = [written(_least(known, keys), "field")]
+            known = [stored(least(known), "field")]
     raise RuntimeError(f"times did not settle in {max_rounds} rounds")
 
 
@@ -94,10 +101,6 @@ def _union(tables: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _least(tables: list[DataFrame], keys: list[str]) -> DataFrame:
-    return _union(tables).groupBy(*keys).agg(F.min("ticks").alias("ticks"))
-
-
 def reachable_counts(field: DataFrame) -> DataFrame:
     return field.groupBy("source_id", "mode_mask").agg(F.count("*").alias("settled"))
 
