@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from reachgrid.llm import licenses, media, mixing, neardup, packing, pii, ppm, quality, rollup, toxicity
+from reachgrid.llm import fim, lexical, licenses, media, mixing, neardup, packing, pii, ppm, quality, rollup, sharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -19,12 +19,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_duplicates": neardup.op8_near_duplicates,
     "op9_ppm_scores": ppm.op9_ppm_scores,
     "op10_license_scan": licenses.op10_license_scan,
+    "op11_fill_in_middle": fim.op11_fill_in_middle,
+    "op12_feistel_shards": sharding.op12_feistel_shards,
+    "op13_block_max_search": lexical.op13_block_max_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op3_host_quality": quality.ORACLE_SQL,
     "op4_token_rollup": rollup.ORACLE_SQL,
     "op10_license_scan": licenses.ORACLE_SQL,
+    "op11_fill_in_middle": fim.ORACLE_SQL,
+    "op13_block_max_search": lexical.ORACLE_SQL,
 }
 
 ORACLE_SQL["op1_source_mix"] = r"""
