@@ -48,7 +48,7 @@ SHARD_TERMS, SHARD_DOCS = 1_000_000, 20_000
 QUERY_BLOCK = 2_000
 #: Postings of a block, at most, and the price of a block in mean distances of impacts from their list's greatest.
 BLOCK_MOST, BLOCK_PRICE = 64, 8
-#: Documents that the first look at a shard reads for a query, in results asked for.
+#: Postings of the blocks that are looked at first in a shard, in results asked for.
 FIRST_LOOK = 4
 #: Fixed values of the score, in hundredths.
 SCALE, SLOPE = 1_000_000_000, 75
@@ -231,7 +231,8 @@ def search_shard(shard: tuple[np.ndarray, ...], ids: np.ndarray, queries: Querie
     impacts = SCALE * times // (1000 * times + 8 * damping[docs])
     starts = np.flatnonzero(block_starts(impacts, lengths))
     most = np.maximum.reduceat(impacts, starts)
-    lows, highs = docs[starts], docs[np.append(starts[1:], len(docs)) - 1] + 1
+    ends = np.append(starts[1:], len(docs))
+    lows, highs = docs[starts], docs[ends - 1] + 1
     blocks = np.searchsorted(starts, np.append(begin, len(docs)))
     place = np.full(len(queries.terms), -1)
     place[there] = np.arange(len(there))
@@ -243,32 +244,42 @@ def search_shard(shard: tuple[np.ndarray, ...], ids: np.ndarray, queries: Querie
         held = held[held >= 0]
         if not len(held):
             continue
+        tops = np.maximum.reduceat(most, blocks[:-1])[held] * weight
         # Stretches between block ends and the bound of each.
         own = np.concatenate([np.arange(blocks[h], blocks[h + 1]) for h in held])
-        bound = most[own] * np.repeat(weight, blocks[held + 1] - blocks[held])
+        bounds = most[own] * np.repeat(weight, blocks[held + 1] - blocks[held])
         cuts, where = np.unique(np.concatenate([lows[own], highs[own]]), return_inverse=True)
         change = np.zeros(len(cuts), dtype=np.int64)
-        np.add.at(change, where, np.concatenate([bound, -bound]))
+        np.add.at(change, where, np.concatenate([bounds, -bounds]))
         bound, width = np.cumsum(change)[:-1], np.diff(cuts)
         asked += int(lengths[held].sum())
-        # The most promising stretches first, enough for some results; then all that may still count.
-        order = np.argsort(-bound, kind="stable")
-        some = int(np.searchsorted(np.cumsum(width[order]), FIRST_LOOK * best.k)) + 1
-        for look in (order[:some], order[some:]):
-            look = look[bound[look] >= best.least(q)]
-            if not len(look):
-                break
-            live = np.zeros(len(bound), dtype=bool)
-            live[look] = True
-            open_ = np.concatenate([[False] * 1, np.repeat(live, width), [False]])
-            score = np.zeros(len(open_), dtype=np.int64)
+        # The documents of the most promising blocks first, enough for some results; then all that may still count.
+        promising = own[np.argsort(-bounds, kind="stable")]
+        some = promising[: int(np.searchsorted(np.cumsum(ends[promising] - starts[promising]), FIRST_LOOK * best.k)) + 1]
+        seen = np.zeros(cuts[-1] - cuts[0] + 1, dtype=bool)
+        for look in (1, 2):
+            pivots = np.zeros(len(seen), dtype=bool)
+            if look == 1:
+                spans = zip(starts[some], ends[some])
+            else:
+                live = np.repeat(bound >= best.least(q), width)
+                # A document that only lists of low bounds hold cannot win, however they add up.
+                rising = np.argsort(tops, kind="stable")
+                needed = held[rising[np.cumsum(tops[rising]) >= best.least(q)]]
+                spans = zip(begin[needed], begin[needed] + lengths[needed])
+            for a, b in spans:
+                pivots[docs[a:b] - cuts[0]] = True
+            if look == 2:
+                pivots[:-1] &= live & ~seen[:-1]
+            score = np.zeros(len(seen), dtype=np.int64)
             for h, w in zip(held, weight):
                 a, b = begin[h], begin[h] + lengths[h]
-                inside = np.flatnonzero(open_[docs[a:b] - cuts[0] + 1])
+                inside = np.flatnonzero(pivots[docs[a:b] - cuts[0]])
                 read += len(inside)
-                score[docs[a + inside] - cuts[0] + 1] += w * impacts[a + inside]
+                score[docs[a + inside] - cuts[0]] += w * impacts[a + inside]
+            seen |= pivots
             found = np.flatnonzero(score >= best.least(q))
-            best.add(q, score[found], ids[found - 1 + cuts[0]])
+            best.add(q, score[found], ids[found + cuts[0]])
     return asked, read
 
 
