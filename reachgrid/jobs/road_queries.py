@@ -249,6 +249,62 @@ def unprojected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _projected(spark, sf_dir).select("node_id", F.round(lat, 6).alias("lat"), F.round(lon, 6).alias("lon"))
 
 
+#: The grid's nodes moved to Britain; on WGS 84, by geocentric coordinates to the national datum, then projected from its true origin.
+_BRITISH = """
+b1 AS (SELECT node_id, radians(lat) AS p, radians(lon - 14.5) AS l, 1 / 298.257223563::DOUBLE AS f, 6378137.0::DOUBLE AS a FROM n),
+b2 AS (SELECT *, a / sqrt(1 - f * (2 - f) * sin(p) * sin(p)) AS v FROM b1),
+b3 AS (SELECT node_id, v * cos(p) * cos(l) - 446.448 AS x, v * cos(p) * sin(l) + 125.157 AS y, v * (1 - f * (2 - f)) * sin(p) - 542.060 AS z FROM b2),
+turn AS (SELECT radians(0.1502 / 3600) AS rx, radians(0.2470 / 3600) AS ry, radians(0.8421 / 3600) AS rz, 1 - 20.4894e-6 AS m),
+-- The inverse of m (1, -rz, ry; rz, 1, -rx; -ry, rx, 1), by cofactors.
+b4 AS (SELECT node_id, x, y, z, rx, ry, rz, m * (1 + rx * rx + ry * ry + rz * rz) AS d FROM b3, turn),
+b5 AS (SELECT node_id,
+  ((1 + rx * rx) * x + (rz + rx * ry) * y + (rx * rz - ry) * z) / d AS x,
+  ((rx * ry - rz) * x + (1 + ry * ry) * y + (rx + ry * rz) * z) / d AS y,
+  ((ry + rx * rz) * x + (ry * rz - rx) * y + (1 + rz * rz) * z) / d AS z, 6377563.396::DOUBLE AS a, 1 / 299.3249646::DOUBLE AS f FROM b4),
+b6 AS (SELECT *, sqrt(x * x + y * y) AS p, a * (1 - f) AS b, f * (2 - f) AS e2 FROM b5),
+b7 AS (SELECT *, atan2(a * z, b * p) AS u FROM b6),
+b8 AS (SELECT node_id, a, f, f / (2 - f) AS n3, sqrt(e2) AS e, atan2(z + e2 / (1 - e2) * b * sin(u) ** 3, p - e2 * a * cos(u) ** 3) AS lat, atan2(y, x) AS lon, radians(49) AS lat0, radians(-2) AS lon0 FROM b7),
+b9 AS (SELECT *, a / (1 + n3) * (1 + n3 ** 2 / 4 + n3 ** 4 / 64) AS ra, n3 / 2 - 2 * n3 ** 2 / 3 + 5 * n3 ** 3 / 16 + 41 * n3 ** 4 / 180 AS a1,
+  13 * n3 ** 2 / 48 - 3 * n3 ** 3 / 5 + 557 * n3 ** 4 / 1440 AS a2, 61 * n3 ** 3 / 240 - 103 * n3 ** 4 / 140 AS a3, 49561 * n3 ** 4 / 161280 AS a4,
+  sinh(atanh(sin(lat)) - e * atanh(e * sin(lat))) AS t, atan(sinh(atanh(sin(lat0)) - e * atanh(e * sin(lat0)))) AS xi0, lon - lon0 AS dl FROM b8),
+b10 AS (SELECT *, atan2(t, cos(dl)) AS xi, atanh(sin(dl) / sqrt(1 + t * t)) AS eta FROM b9),
+b11 AS (SELECT node_id,
+  400000 + 0.9996012717 * ra * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta) + a4 * cos(8 * xi) * sinh(8 * eta)) AS easting,
+  -100000 + 0.9996012717 * ra * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta) + a4 * sin(8 * xi) * cosh(8 * eta)
+    - (xi0 + a1 * sin(2 * xi0) + a2 * sin(4 * xi0) + a3 * sin(6 * xi0) + a4 * sin(8 * xi0))) AS northing FROM b10)"""
+
+
+@query(f"WITH {sql.NETWORK}, {_BRITISH} SELECT node_id, round(easting, 3) AS easting, round(northing, 3) AS northing FROM b11")
+def national_grid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A code on a datum of its own."""
+    nodes = tables.grid_nodes(spark, sf_dir).select("node_id", "lat", (F.col("lon") - 14.5).alias("lon"))
+    return project.projected(nodes, 27700).select("node_id", F.round("easting", 3).alias("easting"), F.round("northing", 3).alias("northing"))
+
+
+_CONIC = """
+c1 AS (SELECT sqrt(1 / 298.257222101 * (2 - 1 / 298.257222101))::DOUBLE AS e, 6378137.0::DOUBLE AS a, radians(44) AS p1, radians(49) AS p2, radians(46.5) AS p0),
+c2 AS (SELECT *, cos(p1) / sqrt(1 - (e * sin(p1)) ** 2) AS m1, cos(p2) / sqrt(1 - (e * sin(p2)) ** 2) AS m2,
+  atanh(sin(p1)) - e * atanh(e * sin(p1)) AS q1, atanh(sin(p2)) - e * atanh(e * sin(p2)) AS q2, atanh(sin(p0)) - e * atanh(e * sin(p0)) AS q0 FROM c1),
+-- Isometric latitudes q: t = exp(-q).
+c3 AS (SELECT *, (ln(m1) - ln(m2)) / (q2 - q1) AS k FROM c2),
+c4 AS (SELECT *, a * m1 / (k * exp(-k * q1)) AS big FROM c3),
+c5 AS (SELECT node_id, lat, lon - 10 AS lon, big * exp(-k * (atanh(sin(radians(lat))) - e * atanh(e * sin(radians(lat))))) AS rho, big * exp(-k * q0) AS rho0, k * radians(lon - 13) AS theta FROM n, c4)"""
+
+
+@query(
+    f"""WITH {sql.NETWORK}, {_CONIC}
+    SELECT node_id, round(700000 + rho * sin(theta), 3) AS easting, round(6600000 + rho0 - rho * cos(theta), 3) AS northing, round(lat, 9) AS lat, round(lon, 9) AS lon FROM c5"""
+)
+def conic_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A conic code, there and back again."""
+    from reachgrid.functions.geo import unproject
+
+    nodes = tables.grid_nodes(spark, sf_dir).select("node_id", "lat", (F.col("lon") - 10).alias("lon"))
+    lat, lon = unproject(F.col("easting"), F.col("northing"), 2154)
+    rows = project.projected(nodes, 2154).select("node_id", "easting", "northing", lat.alias("lat"), lon.alias("lon"))
+    return rows.select("node_id", *[F.round(c, d).alias(c) for c, d in (("easting", 3), ("northing", 3), ("lat", 9), ("lon", 9))])
+
+
 def _grid_size(nodes: DataFrame) -> tuple[int, int]:
     row = nodes.agg(F.ceil(F.max("x_m") / 10.0).cast("int"), F.ceil(F.max("y_m") / 10.0).cast("int")).first()
     return row[0], row[1]
