@@ -11,7 +11,7 @@ from reachgrid.functions.numbering import dense_index
 from reachgrid.functions.shared import written
 from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS
 from reachgrid.jobs import road_sql as sql
-from reachgrid.operators import adjacency, boundary, checks, contract, extract, project, raster, routing, series, summary, survey
+from reachgrid.operators import adjacency, boundary, checks, contract, extract, overlay, project, raster, routing, series, summary, survey
 from reachgrid.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,10 @@ def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.grid_nodes(spark, sf_dir).select("region_id", F.col("node_id").alias("node_index"), F.col("node_id").alias("osm_id"), "x_m", "y_m")
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return written(overlay.ground_cells(_nodes(spark, sf_dir)), "cells")
+
+
 def _limit_s(spark: SparkSession, sf_dir: str) -> int:
     return tables.grid(spark, sf_dir)[1] * 3000 // 139
 
@@ -464,7 +468,7 @@ _LIMIT = f"{LIMIT_S} * 1000"
 
 @query(f"{_Q}{sql.EDGES}, {sql.timed(1)}, {sql.field(_LIMIT, '[0]')} SELECT node_index, ticks FROM f")
 def travel_time_field(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.travel_time_field(_edges(spark, sf_dir), _sources(spark, 0), 1, _limit_s(spark, sf_dir)).select("node_index", "ticks")
+    return routing.travel_time_field(_edges(spark, sf_dir), _sources(spark, 0), 1, _limit_s(spark, sf_dir), _cells(spark, sf_dir)).select("node_index", "ticks")
 
 
 #: Sources of many fields: one node in 400.
@@ -481,12 +485,12 @@ def _some_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT source_id, 1 AS mode_mask, count(*) AS settled FROM f GROUP BY 1 UNION ALL SELECT source_id, 2, count(*) FROM f2 GROUP BY 1 UNION ALL SELECT source_id, 4, count(*) FROM f4 GROUP BY 1"""
 )
 def reachable_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _some_sources(spark, sf_dir), [1, 2, 4], 300))
+    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _some_sources(spark, sf_dir), [1, 2, 4], 300, cells=_cells(spark, sf_dir)))
 
 
 @query(ORACLE_SQL["reachable_counts"])
 def reachable_counts_local(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _some_sources(spark, sf_dir), [1, 2, 4], 300))
+    return routing.reachable_counts(routing.travel_time_fields(_edges(spark, sf_dir), _some_sources(spark, sf_dir), [1, 2, 4], 300, cells=_cells(spark, sf_dir)))
 
 
 @query(
@@ -494,7 +498,7 @@ def reachable_counts_local(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT node_index FROM h"""
 )
 def reachable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return routing.reachable_from(_edges(spark, sf_dir), _sources(spark, 0)).select("node_index")
+    return routing.reachable_from(_edges(spark, sf_dir), _sources(spark, 0), cells=_cells(spark, sf_dir)).select("node_index")
 
 
 _LANDMARKS = ((0, "north", 3), (1, "middle", 50), (2, "south", 190))
@@ -508,7 +512,7 @@ _LANDMARKS = ((0, "north", 3), (1, "middle", 50), (2, "south", 190))
 )
 def landmark_reachability(spark: SparkSession, sf_dir: str) -> DataFrame:
     marks = spark.createDataFrame(list(_LANDMARKS), "rank int, name string, node_index long")
-    rows = routing.landmark_reachability(_edges(spark, sf_dir), marks)
+    rows = routing.landmark_reachability(_edges(spark, sf_dir), marks, _cells(spark, sf_dir))
     return rows.select("rank", "name", F.array_join("unreachable", ",").alias("unreachable"))
 
 
@@ -564,14 +568,14 @@ def cheapest_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     """From node 0 to the highest node within the limit."""
     edges = written(_edges(spark, sf_dir), "edges")
     walks = edges.select("edge_index", "source_index", "target_index", "cost_seconds", F.lit(1).alias("mode_mask"), F.lit(5).alias("maxspeed_kph"), F.lit(1).alias("road_class_id"))
-    goal = routing.travel_time_field(walks, _sources(spark, 0), 1, _limit_s(spark, sf_dir)).agg(F.max("node_index")).first()[0]
+    goal = routing.travel_time_field(walks, _sources(spark, 0), 1, _limit_s(spark, sf_dir), _cells(spark, sf_dir)).agg(F.max("node_index")).first()[0]
     return routing.route(_nodes(spark, sf_dir), edges, 0, goal)
 
 
 # Raster.
 def _field(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int, int]:
     edges = written(_edges(spark, sf_dir), "edges")
-    field = routing.travel_time_field(edges, _sources(spark, 0), 1, _limit_s(spark, sf_dir))
+    field = routing.travel_time_field(edges, _sources(spark, 0), 1, _limit_s(spark, sf_dir), _cells(spark, sf_dir))
     return field, routing.mode_edges(edges, 1), *_pixels(_nodes(spark, sf_dir))
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from reachgrid.functions.costs import edge_cost_seconds, edge_ticks
 from reachgrid.functions.numbering import dense_index
 from reachgrid.functions.shared import stored, written
+from reachgrid.operators.overlay import ground_cells, overlay_field
 
 #: Arrivals up to which a round looks up known times by broadcast; rounds after which deltas are merged.
 SMALL_FRONT, MERGE_EVERY = 100_000, 8
@@ -35,11 +36,13 @@ def eligible_sources(edges: DataFrame, mask: int) -> DataFrame:
     return mode_edges(edges, mask).where("ticks > 0").select(F.col("source_index").alias("node_index")).distinct()
 
 
-def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], limit_seconds: float | None = None, max_rounds: int = 10_000) -> DataFrame:
+def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], limit_seconds: float | None = None, max_rounds: int = 10_000, cells: DataFrame | None = None) -> DataFrame:
     """source_id, mode_mask, node_index, ticks, seconds: least times from each source for each mask.
 
-    ``sources`` has source_id (a node index). Times are relaxed by joins, keyed by source and mask, and the
-    graph is never held in one place. Unreached nodes have no row.
+    ``sources`` has source_id (a node index). Times are relaxed by joins over an overlay of cells, keyed by source
+    and mask, and the graph is never held in one place. ``cells`` (node_index, cell) puts nodes that
+    lie together in one cell, as ``overlay.ground_cells`` does; without it runs of indices are cells, which
+    gives the same times in more rounds. Unreached nodes have no row.
     """
     limit = None if limit_seconds is None else int(limit_seconds * 1000)
     own = None
@@ -48,12 +51,17 @@ def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], l
         own = rows if own is None else own.unionByName(rows)
     own = written(own.groupBy("mode_mask", "source_index", "target_index").agg(F.min("ticks").alias("ticks")), "mode-edges")
     starts = sources.select("source_id").distinct().withColumn("mode_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
-    field = _relaxed(own, starts, limit, max_rounds)
+    field = _field(own, starts, limit, max_rounds, cells)
     return field.select("source_id", "mode_mask", "node_index", "ticks", (F.col("ticks") / 1000).alias("seconds"))
 
 
-def travel_time_field(edges: DataFrame, sources: DataFrame, mask: int = 1, limit_seconds: float | None = None) -> DataFrame:
-    return travel_time_fields(edges, sources, [mask], limit_seconds)
+def travel_time_field(edges: DataFrame, sources: DataFrame, mask: int = 1, limit_seconds: float | None = None, cells: DataFrame | None = None) -> DataFrame:
+    return travel_time_fields(edges, sources, [mask], limit_seconds, cells=cells)
+
+
+def _field(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int, cells: DataFrame | None) -> DataFrame:
+    """Least ticks per source, mask and node, by way of the overlay."""
+    return overlay_field(edges, starts, limit, cells, lambda over, begin, most: _relaxed(over, begin, most, max_rounds))
 
 
 def _relaxed(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int) -> DataFrame:
@@ -76,10 +84,12 @@ def _relaxed(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds:
         if limit is not None:
             arrived = arrived.where(F.col("ticks") <= limit)
         before = table(known)
-        if small and held > 100 * SMALL_FRONT:
-            # A node has few edges, so arrivals are few too; only their known times are looked up.
-            arrived = written(arrived.groupBy(*keys).agg(F.min("ticks").alias("ticks")), "arrived")
-            before = before.join(F.broadcast(arrived.select(*keys)), keys, "left_semi")
+        if small and held > max(10 * size, SMALL_FRONT):
+            # Only the known times of arrivals are looked up; a hub may make arrivals many, so they are counted.
+            path = stored(arrived.groupBy(*keys).agg(F.min("ticks").alias("ticks")), "arrived")
+            arrived = table([path])
+            looked = arrived.select(*keys)
+            before = before.join(F.broadcast(looked) if arrived.count() <= SMALL_FRONT else looked, keys, "left_semi")
         # Known times and arrivals meet in one aggregation.
         none = F.lit(None).cast("long")
         every = before.select(*keys, none.alias("ticks"), F.col("ticks").alias("old")).unionByName(arrived.select(*keys, "ticks", none.alias("old")))
@@ -94,39 +104,23 @@ def _relaxed(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds:
     raise RuntimeError(f"times did not settle in {max_rounds} rounds")
 
 
-def _union(tables: list[DataFrame]) -> DataFrame:
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out
-
-
 def reachable_counts(field: DataFrame) -> DataFrame:
     return field.groupBy("source_id", "mode_mask").agg(F.count("*").alias("settled"))
 
 
-def reachable_from(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """source_id, node_index: nodes that each source can get to over any edges. What is reached is merged every few rounds."""
-    steps = written(edges.select(F.col("source_index").alias("node_index"), F.col("target_index").alias("_to")).distinct(), "steps")
-    front = written(sources.select("source_id", F.col("source_id").alias("node_index")).distinct(), "reached")
-    seen = [front]
-    for turn in range(1, max_rounds + 1):
-        new = front.join(steps, "node_index").select("source_id", F.col("_to").alias("node_index")).distinct()
-        front = written(new.join(_union(seen), ["source_id", "node_index"], "left_anti"), "reached")
-        if not front.limit(1).count():
-            return _union(seen)
-        seen.append(front)
-        if turn % MERGE_EVERY == 0:
-            seen = [written(_union(seen), "reached")]
-    raise RuntimeError(f"reach did not settle in {max_rounds} rounds")
+def reachable_from(edges: DataFrame, sources: DataFrame, max_rounds: int = 10_000, cells: DataFrame | None = None) -> DataFrame:
+    """source_id, node_index: nodes that each source can get to over any edges, in rounds of cells crossed."""
+    steps = edges.select(F.lit(1).alias("mode_mask"), "source_index", "target_index", F.lit(0).cast("long").alias("ticks")).distinct()
+    starts = sources.select("source_id", F.lit(1).alias("mode_mask")).distinct()
+    return _field(steps, starts, None, max_rounds, cells).select("source_id", "node_index")
 
 
-def landmark_reachability(edges: DataFrame, landmarks: DataFrame) -> DataFrame:
+def landmark_reachability(edges: DataFrame, landmarks: DataFrame, cells: DataFrame | None = None) -> DataFrame:
     """name, unreachable (names in landmark order), all_reachable; ``landmarks``: rank, name, node_index.
 
     Landmarks are a list that fits a row: each source holds it against the landmarks that it reaches.
     """
-    reached = reachable_from(edges, landmarks.select(F.col("node_index").alias("source_id")))
+    reached = reachable_from(edges, landmarks.select(F.col("node_index").alias("source_id")), cells=cells)
     hits = reached.join(landmarks.select("node_index").distinct(), "node_index", "left_semi").groupBy("source_id").agg(F.collect_set("node_index").alias("_hits"))
     every = landmarks.agg(F.array_sort(F.collect_list(F.struct("rank", "name", "node_index"))).alias("_every"))
     rows = landmarks.join(hits, F.col("node_index") == F.col("source_id"), "left").crossJoin(F.broadcast(every))  # one row
@@ -196,7 +190,8 @@ def routes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int
     if unknown := held.where("_start is null or _goal is null").limit(1).collect():
         raise ValueError(f"unknown node in pair {unknown[0]['pair_id']}: {unknown[0]['start']}, {unknown[0]['goal']}")
     costs = written(edges.where("source_index != target_index").groupBy("source_index", "target_index").agg(F.min("cost_seconds").cast("long").alias("ticks")), "route-edges")
-    field = _relaxed(costs.withColumn("mode_mask", F.lit(1)), held.select(F.col("_start").alias("source_id"), F.lit(1).alias("mode_mask")).distinct(), None, max_rounds)
+    cells = written(ground_cells(nodes), "cells") if {"x_m", "y_m"} <= set(nodes.columns) else None
+    field = _field(costs.withColumn("mode_mask", F.lit(1)), held.select(F.col("_start").alias("source_id"), F.lit(1).alias("mode_mask")).distinct(), None, max_rounds, cells)
     field = written(field.select("source_id", "node_index", "ticks"), "route-field")
     goals = held.select("pair_id", "start", "goal", F.col("_start").alias("source_id"), F.col("_goal").alias("node_index"))
     if lost := goals.join(field, ["source_id", "node_index"], "left_anti").limit(1).collect():

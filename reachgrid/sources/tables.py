@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from reachgrid.functions.shared import written
 from reachgrid.functions.tags import ROAD_CLASSES
 
 REGION = "grid"
@@ -75,7 +76,10 @@ def _tags() -> Column:
 
 
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The network as map elements: nodes with coordinates and connector tags, ways with references and tags."""
+    """The network as map elements: nodes with coordinates and connector tags, ways with references and tags.
+
+    Written once, as what is made of it reads it several times.
+    """
     size = F.col("p_size") % 10
     some = lambda test, k, v: F.when(test, F.map_from_arrays(F.array(F.lit(k)), F.array(F.lit(v)))).otherwise(F.create_map().cast("map<string,string>"))
     tags = F.map_concat(
@@ -86,6 +90,6 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = grid_refs(spark, sf_dir).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
     ways = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(refs, F.col("o_orderkey") == F.col("way_id"), "left")
     ways = ways.select(F.lit(REGION).alias("region_id"), (F.col("o_orderkey") + 10_000_000).alias("seq"), F.lit("way").alias("type"), F.col("o_orderkey").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", _tags().alias("tags"), *none)
-    return nodes.unionByName(ways)
+    return written(nodes.unionByName(ways), "elements")
 
 
