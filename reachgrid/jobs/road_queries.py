@@ -396,23 +396,36 @@ def layout_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Contraction: a private node in the middle of each stretch between two parts, all parts protected.
-def _shaped(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _shaped(spark: SparkSession, sf_dir: str, k: int = 1) -> tuple[DataFrame, DataFrame]:
+    """``k`` private nodes, evenly apart, in each stretch."""
+    from pyspark.sql.window import Window
+
     placed = _placed(spark, sf_dir)
     ways = _ways(spark, sf_dir)
     refs = extract.way_refs(ways).join(placed, ["region_id", "node_id"])
-    from pyspark.sql.window import Window
-
+    name = lambda pos, j: 10_000_000 + (F.col("way_id") * 32 + pos) * k + j - 1
     after = F.lead(F.struct("x_m", "y_m")).over(Window.partitionBy("way_id").orderBy("pos"))
-    middle = refs.withColumn("to", after).where("to is not null").select("region_id", (10_000_000 + F.col("way_id") * 32 + F.col("pos")).alias("node_id"), F.floor((F.col("x_m") + F.col("to.x_m")) / 2).alias("x_m"), F.floor((F.col("y_m") + F.col("to.y_m")) / 2).alias("y_m"))
+    at = lambda c: F.floor((F.col(c) * (k + 1 - F.col("j")) + F.col(f"to.{c}") * F.col("j")) / (k + 1)).alias(c)
+    inner = refs.withColumn("to", after).where("to is not null").withColumn("j", F.explode(F.sequence(F.lit(1), F.lit(k))))
+    inner = inner.select("region_id", name(F.col("pos"), F.col("j")).alias("node_id"), at("x_m"), at("y_m"))
     n = F.size("node_ids")
-    longer = F.flatten(F.transform("node_ids", lambda x, i: F.when(i < n - 1, F.array(x, 10_000_000 + F.col("way_id") * 32 + i)).otherwise(F.array(x))))
+    own = lambda i: F.transform(F.sequence(F.lit(1), F.lit(k)), lambda j: name(i, j))
+    longer = F.flatten(F.transform("node_ids", lambda x, i: F.when(i < n - 1, F.concat(F.array(x), own(i))).otherwise(F.array(x))))
     shaped = ways.withColumn("node_ids", longer)
-    every = placed.unionByName(middle)
+    every = placed.unionByName(inner)
     nodes, edges = adjacency.index_graph(every, adjacency.directed_edges(shaped, every))
     ids = nodes.where("osm_id < 10000000").select("osm_id")
     return written(contract.protect_nodes(nodes, ids), "shaped-nodes"), written(edges, "shaped-edges")
 
 
+def _merged_edges(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    nodes, edges = contract.contract_chains(*_shaped(spark, sf_dir, k))
+    ids = nodes.select("node_index", "osm_id")
+    for end in ("source", "target"):
+        edges = edges.join(ids.select(F.col("node_index").alias(f"{end}_index"), F.col("osm_id").alias(f"{end}_id")), f"{end}_index")
+    return edges.select("source_id", "target_id", "flags", "mode_mask", "maxspeed_kph", "road_class_id", "cost_seconds")
+
+
 _COST = "CAST(greatest(1, round_even(sqrt(CAST(({x1} - {x0}) * ({x1} - {x0}) + ({y1} - {y0}) * ({y1} - {y0}) AS DOUBLE)) / CAST(1.39 AS DOUBLE), 0)) AS BIGINT)"
 _HALF1, _HALF2 = _COST.format(x0="x_m", y0="y_m", x1="mx", y1="my"), _COST.format(x0="mx", y0="my", x1="to_x", y1="to_y")
 
@@ -425,11 +438,22 @@ _HALF1, _HALF2 = _COST.format(x0="x_m", y0="y_m", x1="mx", y1="my"), _COST.forma
 )
 def contracted_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges between parts after all shape nodes are merged away."""
-    nodes, edges = contract.contract_chains(*_shaped(spark, sf_dir))
-    ids = nodes.select("node_index", "osm_id")
-    for end in ("source", "target"):
-        edges = edges.join(ids.select(F.col("node_index").alias(f"{end}_index"), F.col("osm_id").alias(f"{end}_id")), f"{end}_index")
-    return edges.select("source_id", "target_id", "flags", "mode_mask", "maxspeed_kph", "road_class_id", "cost_seconds")
+    return _merged_edges(spark, sf_dir, 1)
+
+
+_AT = "CAST(floor(({c} * {a} + to_{d} * {b}) / 4) AS BIGINT) AS {d}{b}"
+_QUARTERS = ", ".join(_AT.format(c=f"{d}_m", d=d, a=4 - b, b=b) for d in "xy" for b in range(5))
+_FOUR = " + ".join(_COST.format(x0=f"x{b}", y0=f"y{b}", x1=f"x{b + 1}", y1=f"y{b + 1}") for b in range(4))
+
+
+@query(
+    f"""WITH {sql.EDGES}, h AS (SELECT way_id, pos, {_QUARTERS} FROM g WHERE to_id IS NOT NULL), b AS (SELECT way_id, pos, {_FOUR} AS cost FROM h),
+    s AS (SELECT source_id, target_id, flags, mode_mask, maxspeed_kph, road_class_id, min(cost) AS cost_seconds FROM e JOIN b USING (way_id, pos) WHERE source_id != target_id GROUP BY ALL)
+    SELECT * FROM s"""
+)
+def chained_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with chains of three shape nodes between parts."""
+    return _merged_edges(spark, sf_dir, 3)
 
 
 @query()

@@ -1,8 +1,12 @@
 """Contraction of pass-through nodes.
 
-Each round takes an independent set of the nodes that may be merged (those whose
-hash is least among neighbouring ones), so that all merges of a round are one set of
-joins; chains shrink by a share each round.
+Chains of nodes with one edge per neighbour and direction, which is nearly all there are, are
+merged at once: pointer doubling gives every node its distance to both ends of its chain in as
+many rounds as its length has bits, and the edges along a chain are folded in one aggregation.
+A chain that costs more than an edge may is cut into pieces by the running cost.
+
+What is left over (parallel edges, rings, pieces that may not be merged whole) goes by rounds, each of which
+takes an independent set of the nodes that may be merged: those whose hash is least among neighbouring ones.
 """
 
 from __future__ import annotations
@@ -54,14 +58,93 @@ def merge_plan(candidates: DataFrame, edges: DataFrame, limit: int = MAX_COST) -
     return per.where("mode_mask != 0").drop("_most").join(vetoed, "node", "left_anti")
 
 
+def chain_ranks(links: DataFrame) -> DataFrame:
+    """From links (u, v, w: from u through the chain's node v on to w; hop: cost of v to w) to the far ends.
+
+    u, v, hop, last and end (the chain's last node that way and the node that ends it), steps and cost from v to the end.
+    Each round a link looks as far ahead as it and the link that it sees do together. Rings have no end and no row.
+    """
+    ends = links.select(F.col("v").alias("w")).distinct().withColumn("_on", F.lit(True))
+    rows = links.join(ends, "w", "left").select("u", "v", "hop", F.col("v").alias("last"), F.col("w").alias("end"), F.lit(1).cast("long").alias("steps"), F.col("hop").alias("cost"), F.col("_on").isNull().alias("done"))
+    rows = written(rows, "chain-links")
+    left = n = rows.where("not done").count()
+    for _ in range(n.bit_length() + 1):
+        if not left:
+            break
+        ahead = rows.select(F.col("u").alias("last"), F.col("v").alias("end"), F.col("last").alias("_last"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("cost").alias("_cost"), F.col("done").alias("_done"))
+        more = rows.where("not done").join(ahead, ["last", "end"])
+        more = more.select("u", "v", "hop", F.col("_last").alias("last"), F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("cost") + F.col("_cost")).alias("cost"), F.col("_done").alias("done"))
+        rows = written(rows.where("done").unionByName(more), "chain-links")
+        left = rows.where("not done").count()
+    return rows.where("done").drop("done")
+
+
+def merge_chains(candidates: DataFrame, edges: DataFrame, limit: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
+    """(node: those merged away, the edges that take their place) of chains with one edge per neighbour and direction.
+
+    A piece is merged if the costs along it, dearer directions taken, stay within ``limit`` and some mode can go along it
+    in some direction; then the order in which its nodes are merged makes no difference.
+    """
+    pairs = edges.where("source_index != target_index").groupBy("source_index", "target_index")
+    pairs = written(pairs.agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("cost_seconds", "flags", "mode_mask", "maxspeed_kph", "road_class_id")]), "hops")
+    many = pairs.where("n > 1").select(F.explode(F.array("source_index", "target_index")).alias("node")).distinct()
+    plain = candidates.join(many, "node", "left_anti")
+    way = lambda a, b: F.struct(F.col(a).alias("u"), F.col("node").alias("v"), F.col(b).alias("w"))
+    links = plain.select(F.explode(F.array(way("low", "high"), way("high", "low"))).alias("l")).select("l.*")
+    dearer = pairs.select(F.least("source_index", "target_index").alias("_a"), F.greatest("source_index", "target_index").alias("_b"), "cost_seconds").groupBy("_a", "_b").agg(F.max("cost_seconds").alias("hop"))
+    links = links.withColumn("_a", F.least("v", "w")).withColumn("_b", F.greatest("v", "w")).join(dearer, ["_a", "_b"]).select("u", "v", "w", "hop")
+    ranks = chain_ranks(links)
+    # The chain is named by its lesser end; each node knows the way to both.
+    sides = ranks.select("v", F.struct("last", "end", "u", "hop", "steps", "cost").alias("side")).groupBy("v").agg(F.min("side").alias("head"), F.max("side").alias("tail"))
+    half = limit // 2
+    whole = F.col("head.cost") + F.col("tail.cost") <= limit
+    piece = lambda cost: F.when(whole, 0).otherwise(F.floor(cost / half))
+    # A chain that comes back to where it began keeps its last node.
+    keeps = (F.col("tail.steps") == 1) & (F.col("head.end") == F.col("tail.end"))
+    on = sides.select(
+        F.struct("head.last", "head.end").alias("chain"), "v", F.col("head.steps").alias("pos"), F.col("tail.u").alias("before"), piece(F.col("head.cost")).alias("piece"), "tail", keeps.alias("keeps"),
+        F.when(keeps, -1).otherwise(piece(F.col("head.cost") + F.col("tail.hop"))).alias("next_piece"),
+    )
+    on = written(on.withColumn("stays", F.col("piece") != F.col("next_piece")), "chain-nodes")
+    hops = on.select("chain", "piece", "pos", F.col("before").alias("a"), F.col("v").alias("b"))
+    hops = hops.unionByName(on.where("tail.steps = 1").select("chain", F.col("next_piece").alias("piece"), (F.col("pos") + 1).alias("pos"), F.col("v").alias("a"), F.col("tail.end").alias("b")))
+    turned = lambda back, a, b: F.struct(F.lit(back).alias("back"), F.col(a).alias("source_index"), F.col(b).alias("target_index"))
+    both = F.array(turned(0, "a", "b"), turned(1, "b", "a"))
+    steps = hops.withColumn("d", F.explode(both)).select("chain", "piece", "pos", "a", "b", "d.*").join(pairs, ["source_index", "target_index"], "left")
+    same = F.when((F.min("road_class_id") == F.max("road_class_id")) & (F.count("*") == F.count("n")), F.min("road_class_id")).otherwise(0)
+    fold = [
+        F.count("*").alias("hops"), F.count("n").alias("open"), F.sum("cost_seconds").alias("cost_seconds"), F.bit_or("flags").alias("flags"), F.bit_and("mode_mask").alias("mode_mask"),
+        F.coalesce(F.min(F.when(F.col("maxspeed_kph") > 0, F.col("maxspeed_kph"))), F.lit(0)).alias("maxspeed_kph"), same.alias("road_class_id"), F.min_by("a", "pos").alias("a"), F.max_by("b", "pos").alias("b"),
+    ]
+    folded = written(steps.groupBy("chain", "piece", "back").agg(*fold), "chain-folds")
+    made = folded.where("hops > 1 and open = hops and mode_mask != 0")
+    dear = steps.groupBy("chain", "piece", "pos").agg(F.max("cost_seconds").alias("c")).groupBy("chain", "piece").agg(F.sum("c").alias("c")).where(F.col("c") > limit)
+    made = made.join(dear, ["chain", "piece"], "left_anti")
+    merged = on.where("not stays").join(made.select("chain", "piece").distinct(), ["chain", "piece"], "left_semi").select(F.col("v").alias("node"))
+    ends = lambda x, y, name: F.when(F.col("back") == 0, F.col(x)).otherwise(F.col(y)).alias(name)
+    return merged, made.select(ends("a", "b", "source_index"), ends("b", "a", "target_index"), "flags", "mode_mask", "maxspeed_kph", "road_class_id", "cost_seconds")
+
+
+def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    for end in ("source_index", "target_index"):
+        edges = edges.join(gone.select(F.col("node").alias(end)), end, "left_anti")
+    return edges
+
+
 def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without pass-through nodes, dense indices anew; one region."""
     columns = [*EDGE_KEY, "cost_seconds"]
     edges = written(edges.select(*columns), "contracting")
-    removed = None
+    candidates = written(merge_candidates(nodes, edges), "candidates")
+    removed, new = merge_chains(candidates, edges)
+    removed = written(removed, "removed")
+    if removed.limit(1).count():
+        edges = written(_without(edges, removed).select(*columns).unionByName(new.select(*columns)), "contracting")
     for turn in range(max_rounds):
-        alive = nodes if removed is None else nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti")
+        alive = nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti")
         candidates = written(merge_candidates(alive, edges), "candidates")
+        if not candidates.limit(1).count():
+            return _reindexed(alive, edges)
         plan = written(merge_plan(candidates, edges), "plan")
         ready = candidates.join(plan.select("node").distinct(), "node", "left_semi")
         # A hash that changes each turn, told apart by the index.
@@ -73,12 +156,9 @@ def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -
         sides = ranked.select("node", "rank", F.explode(F.array("low", "high")).alias("near")).join(near, "near", "left")
         beaten = sides.where(F.col("near_rank") < F.col("rank")).select("node").distinct()
         chosen = written(ranked.select("node").join(beaten, "node", "left_anti"), "chosen")
-        kept = edges
-        for end in ("source_index", "target_index"):
-            kept = kept.join(chosen.select(F.col("node").alias(end)), end, "left_anti")
         new = plan.join(chosen, "node", "left_semi").select(*columns)
-        edges = written(kept.select(*columns).unionByName(new), "contracting")
-        removed = written(chosen if removed is None else removed.unionByName(chosen), "removed")
+        edges = written(_without(edges, chosen).select(*columns).unionByName(new), "contracting")
+        removed = written(removed.unionByName(chosen), "removed")
     raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
 
 
