@@ -577,6 +577,18 @@ def nearest_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _snapped(routing.nearest_nodes(points, pixels.select("node_index", F.col("x_px").alias("x"), F.col("y_px").alias("y"))))
 
 
+@query(
+    f"""WITH {sql.EDGES}, {sql.timed(4)}, dim AS (SELECT CAST(ceil(max(x_m) / 10.0) AS INT) AS width, CAST(ceil(max(y_m) / 10.0) AS INT) AS height FROM n),
+    v AS (SELECT node_id, greatest(0, least(x_m // 10, width - 1)) AS x_m, greatest(0, least(height - 1 - y_m // 10, height - 1)) AS y_m FROM n, dim WHERE node_id IN (SELECT source_id FROM m)),
+    pt AS (SELECT s_suppkey AS point_id, s_suppkey * 37 % (120 * w) // 10 AS x, s_suppkey * 53 % (120 * w) // 10 AS y FROM supplier, c) {_NEAREST.format('v')}"""
+)
+def nearest_car_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, _, _ = _pixels(_nodes(spark, sf_dir))
+    points = _points(spark, sf_dir).select("point_id", F.floor(F.col("x") / 10).alias("x"), F.floor(F.col("y") / 10).alias("y"))
+    nodes = pixels.select("node_index", F.col("x_px").alias("x"), F.col("y_px").alias("y"))
+    return _snapped(routing.nearest_nodes(points, nodes, routing.eligible_sources(_edges(spark, sf_dir), 4)))
+
+
 @query(f"WITH {sql.EDGES} SELECT round(min(cost_seconds / d), 9) AS min_cost_per_metre FROM (SELECT cost_seconds, sqrt(CAST((p.x_m - q.x_m) ** 2 + (p.y_m - q.y_m) ** 2 AS DOUBLE)) AS d FROM e JOIN n p ON p.node_id = e.source_id JOIN n q ON q.node_id = e.target_id) WHERE d > 0")
 def min_cost_per_metre(spark: SparkSession, sf_dir: str) -> DataFrame:
     return routing.min_cost_per_metre(_nodes(spark, sf_dir), _edges(spark, sf_dir)).select(F.round("min_cost_per_metre", 9).alias("min_cost_per_metre"))

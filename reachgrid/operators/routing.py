@@ -11,8 +11,10 @@ from reachgrid.functions.numbering import dense_index
 from reachgrid.functions.shared import stored, written
 from reachgrid.operators.overlay import ground_cells, overlay_field
 
-#: Arrivals up to which a round looks up known times by broadcast; rounds after which deltas are merged.
+#: Rows up to which a side is broadcast; rounds after which deltas are merged.
 SMALL_FRONT, MERGE_EVERY = 100_000, 8
+#: Places of nodes in a cell, at most, when nearest nodes are looked for.
+CROWD = 64
 
 
 def mode_edges(edges: DataFrame, mask: int) -> DataFrame:
@@ -133,41 +135,71 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, eligible: DataFrame | Non
     """point_id, node_index, distance_m: nearest node, ties to the lowest index.
 
     ``points``: point_id, x, y; ``nodes``: node_index, x, y. With ``eligible`` (node_index)
-    the nearest of those counts, else the nearest of any. Points look at the cells
-    around theirs, in rings that double until the nearest is certain.
+    the nearest of those counts, else the nearest of any. Points go down a pyramid of
+    occupied cells: at each level they keep the cells that may hold their nearest node and open those alone,
+    so that a far point costs levels, not the empty cells on the way. Points or nodes without coordinates count for nothing.
     """
     if eligible is not None:
         near = nearest_nodes(points, nodes.join(eligible, "node_index", "left_semi"), cell=cell)
         other = nearest_nodes(points.join(near, "point_id", "left_anti"), nodes, cell=cell)
         return near.unionByName(other)
-    bounds = nodes.agg(F.count("*").alias("n"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    schema = "point_id long, node_index long, distance_m double"
-    if not bounds["n"]:
-        return points.sparkSession.createDataFrame([], schema)
-    width, height = bounds["x1"] - bounds["x0"] + 1, bounds["y1"] - bounds["y0"] + 1
-    # About four nodes to a cell on average.
-    size = float(cell or max(1.0, (4 * width * height / bounds["n"]) ** 0.5))
-    cells = nodes.select("node_index", F.col("x").alias("_nx"), F.col("y").alias("_ny"), F.floor(F.col("x") / size).alias("_cx"), F.floor(F.col("y") / size).alias("_cy"))
-    cells = written(cells, "cells")
-    left, found, ring = points.select("point_id", "x", "y"), None, 1
-    # Points outside the nodes' box start from its edge.
-    clamp = lambda c, lo, hi: F.least(F.greatest(F.col(c), F.lit(lo)), F.lit(hi))
-    most = int(max(width, height) / size) + 2
+    where = ["point_id", "x", "y"]
+    points = points.select(*where).where("x is not null and y is not null")
+    # Of nodes at one place only the lowest index can be nearest.
+    spots = written(nodes.where("x is not null and y is not null").groupBy(F.col("x").alias("_x"), F.col("y").alias("_y")).agg(F.min("node_index").alias("node_index")), "spots")
+    box = spots.agg(F.count("*").alias("n"), F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1")).first()
+    if not box["n"]:
+        return points.sparkSession.createDataFrame([], "point_id long, node_index long, distance_m double")
+    width, height = float(box["x1"] - box["x0"]), float(box["y1"] - box["y0"])
+    # About four nodes to a cell on average; smaller cells where nodes crowd.
+    size = float(cell or max(1e-6, (4 * (width + 1) * (height + 1) / box["n"]) ** 0.5))
+    at = lambda c, low: F.floor((F.col(c) - F.lit(box[low])) / F.lit(size))
     while True:
-        at = left.withColumn("_px", F.floor(clamp("x", bounds["x0"], bounds["x1"]) / size)).withColumn("_py", F.floor(clamp("y", bounds["y0"], bounds["y1"]) / size))
-        near = at.withColumn("_cx", F.explode(F.sequence(F.col("_px") - ring, F.col("_px") + ring))).withColumn("_cy", F.explode(F.sequence(F.col("_py") - ring, F.col("_py") + ring)))
-        d2 = F.pow(F.col("x") - F.col("_nx"), 2) + F.pow(F.col("y") - F.col("_ny"), 2)
-        best = near.join(cells, ["_cx", "_cy"]).groupBy("point_id", "x", "y").agg(F.min(F.struct(d2.alias("d2"), "node_index")).alias("_best"))
-        # All nodes outside the ring are further than its width less the way out of the box.
-        out = F.sqrt(F.pow(F.col("x") - clamp("x", bounds["x0"], bounds["x1"]), 2) + F.pow(F.col("y") - clamp("y", bounds["y0"], bounds["y1"]), 2))
-        sure = F.sqrt("_best.d2") <= ring * size - out if ring < most else F.lit(True)
-        best = written(best.withColumn("_sure", sure), "nearest")
-        some = best.where("_sure").select("point_id", "_best.node_index", F.sqrt("_best.d2").alias("distance_m"))
-        found = some if found is None else found.unionByName(some)
-        left = written(left.join(best.where("_sure").select("point_id"), "point_id", "left_anti"), "left-points")
-        if ring >= most or not left.limit(1).count():
-            return found
-        ring *= 2
+        cells = spots.withColumn("_cx", at("_x", "x0")).withColumn("_cy", at("_y", "y0"))
+        most = cells.groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0]
+        if most <= CROWD or size < 1e-6:
+            break
+        size /= 16
+    levels = int(max(width, height) / size).bit_length()
+    tower = written(_pyramid(cells, levels), "pyramid")
+    counts = {r["level"]: r["count"] for r in tower.groupBy("level").count().collect()}  # a row a level
+    own = Window.partitionBy(*where)
+    found = points.withColumn("_px", F.lit(0).cast("long")).withColumn("_py", F.lit(0).cast("long"))
+    for level in range(levels, -1, -1):
+        side = tower.where(F.col("level") == level).drop("level")
+        side = F.broadcast(side) if counts[level] <= SMALL_FRONT else side
+        near, sure = _box_bounds()
+        held = found.join(side, ["_px", "_py"]).withColumn("_near", near).withColumn("_least", F.min(sure).over(own))
+        held = held.where("_near <= _least")
+        found = held.select(*where, F.col("_cx").alias("_px"), F.col("_cy").alias("_py"))
+        if (levels - level) % 4 == 3:
+            found = written(found, "nearing")
+    d2 = F.pow(F.col("x") - F.col("_x"), 2) + F.pow(F.col("y") - F.col("_y"), 2)
+    last = found.join(cells.withColumnRenamed("_cx", "_px").withColumnRenamed("_cy", "_py"), ["_px", "_py"])
+    best = last.groupBy(*where).agg(F.min(F.struct(d2.alias("d2"), "node_index")).alias("_best"))
+    return best.select("point_id", "_best.node_index", F.sqrt("_best.d2").alias("distance_m"))
+
+
+def _pyramid(cells: DataFrame, levels: int) -> DataFrame:
+    """Occupied cells of each level (a quarter as many as below, or more), with the box around their nodes and their parent."""
+    boxes = cells.groupBy("_cx", "_cy").agg(F.min("_x").alias("x0"), F.max("_x").alias("x1"), F.min("_y").alias("y0"), F.max("_y").alias("y1"))
+    up = boxes.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    lift = lambda c: F.expr(f"shiftright({c}, level)").alias(c)
+    up = up.groupBy("level", lift("_cx"), lift("_cy")).agg(F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1"))
+    # The top level is one cell, whose parent is itself.
+    return up.withColumn("_px", F.shiftright("_cx", 1)).withColumn("_py", F.shiftright("_cy", 1))
+
+
+def _box_bounds() -> tuple[Column, Column]:
+    """Squares of (least distance to a box, distance within which it surely has a node: each side of the box touches one)."""
+    x, y, x0, x1, y0, y1 = (F.col(c).cast("double") for c in ("x", "y", "x0", "x1", "y0", "y1"))
+    out = lambda v, low, high: F.greatest(low - v, v - high, F.lit(0.0))
+    nearer = lambda v, low, high: F.least(F.abs(v - low), F.abs(v - high))
+    farther = lambda v, low, high: F.greatest(F.abs(v - low), F.abs(v - high))
+    square = lambda c: c * c
+    across = square(nearer(x, x0, x1)) + square(farther(y, y0, y1))
+    along = square(farther(x, x0, x1)) + square(nearer(y, y0, y1))
+    return square(out(x, x0, x1)) + square(out(y, y0, y1)), F.least(across, along)
 
 
 def min_cost_per_metre(nodes: DataFrame, edges: DataFrame) -> Column | DataFrame:
