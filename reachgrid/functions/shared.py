@@ -6,6 +6,10 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows up to which a side is broadcast.
+SMALL = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,3 +42,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     several later branches read the rows without computing them again.
     """
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+
+
+def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame:
+    """``df`` with a broadcast hint if it is counted at ``rows`` or fewer, else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

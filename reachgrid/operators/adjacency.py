@@ -10,7 +10,7 @@ from reachgrid.functions import tags
 from reachgrid.functions.costs import MAX_COST, WALKING_SPEED_M_S, walk_cost
 from reachgrid.functions.numbering import dense_index, running_total
 from reachgrid.functions.numbers import half_even
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import small_side, written
 
 #: Long edges that one task sums up.
 _BLOCK = 100_000
@@ -58,7 +58,7 @@ def directed_edges(ways: DataFrame, placed: DataFrame) -> DataFrame:
 def split_long_edges(edges: DataFrame, placed: DataFrame, limit: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
     """(edges, placed) with edges over ``limit`` seconds cut in halves until each piece fits.
 
-    Pieces are equal; the points between become nodes -1, -2, ... in the order of the
+    Pieces are equal; the points between become a region's nodes -1, -2, ... in the order of the
     edges, each direction making its own.
     """
     long = edges.where(F.col("cost_seconds") > limit)
@@ -69,10 +69,13 @@ def split_long_edges(edges: DataFrame, placed: DataFrame, limit: int = MAX_COST)
     pieces = F.pow(F.lit(2.0), F.greatest(halvings, F.lit(1))).cast("long")
     long = long.withColumn("_pieces", pieces)
     # Synthetic ids by order of the few long edges.
-    order = [F.col(c) for c in ("way_seq", "pos", "turn")]
+    order = [F.col(c) for c in ("region_id", "way_seq", "pos", "turn")]
     # Numbers of their inner points run on over blocks of edges.
     long = dense_index(long, order, "_n").withColumn("_inner", F.col("_pieces") - 1).withColumn("_bucket", F.floor(F.col("_n") / _BLOCK)).withColumn("_all", F.lit(0))
     long = written(running_total(long, ["_all"], [F.col("_n")], "_inner", "_first", inclusive=False), "long-edges")
+    # Each region counts from -1.
+    begins = long.groupBy("region_id").agg(F.min("_first").alias("_begin"))
+    long = long.join(small_side(begins), "region_id").withColumn("_first", F.col("_first") - F.col("_begin"))
     long = long.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1)))
     at = lambda axis, i: half_even(F.col(f"_source{axis}") + (F.col(f"_target{axis}") - F.col(f"_source{axis}")) * i / F.col("_pieces"))
     name = lambda i: -(F.col("_first") + i)
@@ -114,3 +117,12 @@ def build_graph(extracted: dict[str, DataFrame], placed: DataFrame) -> dict[str,
     edges, all_placed = split_long_edges(directed_edges(extracted["ways"], placed), placed)
     nodes, edges = index_graph(all_placed, edges, extracted["connectors"])
     return {"nodes": nodes, "edges": edges, "skipped": skipped_ways(extracted["ways"])}
+
+
+def numbered_by_region(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Graphs of several regions, numbered as one in the order of regions, with indices from 0 in each region."""
+    own = F.when(F.col("edge_count") > 0, F.col("first_edge_index"))
+    begins = written(nodes.groupBy("region_id").agg(F.min("node_index").alias("_node"), F.coalesce(F.min(own), F.lit(0)).alias("_edge")), "region-begins")
+    less = lambda df, **by: small_side(begins).join(df, "region_id").withColumns({c: F.col(c) - F.col(b) for c, b in by.items()}).select(*df.columns)
+    nodes = less(nodes, node_index="_node", first_edge_index="_edge").withColumn("first_edge_index", F.when(F.col("edge_count") > 0, F.col("first_edge_index")).otherwise(0))
+    return nodes, less(edges, edge_index="_edge", source_index="_node", target_index="_node")

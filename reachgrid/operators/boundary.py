@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import project
+from reachgrid.functions.shared import small_side, written
 
 
 def _inline(geometry: Column) -> Column:
@@ -102,12 +103,14 @@ def boundary_canvas(paths: DataFrame, tolerance: float, units: str = "meters", e
     rows = simplify_paths(rows.withColumn("in_points", F.size("points")), tolerance).where(F.size("points") >= 2)
     low = lambda c: F.array_min(F.transform("points", lambda p: p[c]))
     high = lambda c: F.array_max(F.transform("points", lambda p: p[c]))
-    extent = rows.agg(F.min(low("x")).alias("min_x"), F.max(high("x")).alias("max_x"), F.min(low("y")).alias("min_y"), F.max(high("y")).alias("max_y"))
-    if extent.first()["min_x"] is None:
+    # A canvas for each region, or one for all without regions.
+    keys = [c for c in ("region_id",) if c in paths.columns]
+    extent = written(rows.groupBy(*keys).agg(F.min(low("x")).alias("min_x"), F.max(high("x")).alias("max_x"), F.min(low("y")).alias("min_y"), F.max(high("y")).alias("max_y")), "canvas-extent")
+    if not extent.where("min_x is not null").limit(1).count():
         raise ValueError("no boundary has a path")
-    rows = rows.crossJoin(F.broadcast(extent))  # one row
+    rows = rows.join(small_side(extent), keys) if keys else rows.crossJoin(F.broadcast(extent))  # one row without regions
     moved = F.transform("points", lambda p: F.struct((p["x"] - F.col("min_x")).alias("x"), (F.col("max_y") - p["y"]).alias("y")))
-    return rows.select(*[c for c in ("relation_id", "name", "admin_level", "path_pos") if c in paths.columns], moved.alias("points"), "in_points", F.size("points").alias("out_points"), (F.col("max_x") - F.col("min_x")).alias("width"), (F.col("max_y") - F.col("min_y")).alias("height"), "min_x", "max_y")
+    return rows.select(*[c for c in ("region_id", "relation_id", "name", "admin_level", "path_pos") if c in paths.columns], moved.alias("points"), "in_points", F.size("points").alias("out_points"), (F.col("max_x") - F.col("min_x")).alias("width"), (F.col("max_y") - F.col("min_y")).alias("height"), "min_x", "max_y")
 
 
 def canvas_payload(canvas: DataFrame, units: str = "meters") -> DataFrame:

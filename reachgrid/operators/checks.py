@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import unproject
 from reachgrid.functions.numbering import dense_index, running_total
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import small_side, written
 
 #: Bounds that one task sums up.
 _BLOCK = 100_000
@@ -66,7 +66,7 @@ def stored_graph_violations(header: DataFrame, nodes: DataFrame, edges: DataFram
 def bbox_spot_check(nodes: DataFrame, extent: DataFrame, epsg: int, bbox: tuple[float, float, float, float], n: int = 10, seed: int = 1) -> DataFrame:
     """Some nodes (by a seeded hash) un-projected: lat, lon and whether the box has them."""
     some = nodes.orderBy(F.xxhash64("node_index", F.lit(seed)), "node_index").limit(n)
-    rows = some.join(F.broadcast(extent.select("region_id", "origin_easting", "origin_northing")), "region_id")
+    rows = some.join(small_side(extent.select("region_id", "origin_easting", "origin_northing")), "region_id")
     lat, lon = unproject(F.col("origin_easting") + F.col("x_m"), F.col("origin_northing") + F.col("y_m"), epsg)
     south, west, north, east = bbox
     return rows.select("node_index", lat.alias("lat"), lon.alias("lon")).withColumn("inside", F.col("lat").between(south, north) & F.col("lon").between(west, east))

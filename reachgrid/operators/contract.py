@@ -132,7 +132,7 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) without pass-through nodes, dense indices anew; one region."""
+    """(nodes, edges) without pass-through nodes, dense indices anew. Regions go together: their graphs do not touch."""
     columns = [*EDGE_KEY, "cost_seconds"]
     edges = written(edges.select(*columns), "contracting")
     candidates = written(merge_candidates(nodes, edges), "candidates")
@@ -165,15 +165,16 @@ def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -
 def _reindexed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Dense indices of what is left; one edge per key with the least cost."""
     kept = dense_index(nodes.drop("first_edge_index", "edge_count"), [F.col("node_index")], "_new")
-    ids = kept.select("node_index", "_new")
+    ids = kept.select("node_index", "_new", "region_id")
     rows = edges.groupBy(*EDGE_KEY).agg(F.least(F.min("cost_seconds"), F.lit(MAX_COST)).alias("cost_seconds"))
-    for end in ("source_index", "target_index"):
-        rows = rows.join(ids.select(F.col("node_index").alias(end), F.col("_new").alias(f"_{end}")), end).drop(end).withColumnRenamed(f"_{end}", end)
+    rows = rows.join(ids.select(F.col("node_index").alias("source_index"), F.col("_new").alias("_source"), "region_id"), "source_index")
+    rows = rows.join(ids.select(F.col("node_index").alias("target_index"), F.col("_new").alias("_target")), "target_index")
+    rows = rows.drop("source_index", "target_index").withColumnsRenamed({"_source": "source_index", "_target": "target_index"})
     rows = dense_index(rows, [F.col(c) for c in EDGE_KEY], "edge_index")
     out = rows.groupBy("source_index").agg(F.min("edge_index").alias("first_edge_index"), F.count("*").alias("edge_count"))
     kept = kept.drop("node_index").withColumnRenamed("_new", "node_index")
     kept = kept.join(out, kept["node_index"] == out["source_index"], "left").drop("source_index").fillna(0, ["first_edge_index", "edge_count"])
-    return kept, rows.select("edge_index", "source_index", "target_index", "cost_seconds", "flags", "mode_mask", "maxspeed_kph", "road_class_id")
+    return kept, rows.select("region_id", "edge_index", "source_index", "target_index", "cost_seconds", "flags", "mode_mask", "maxspeed_kph", "road_class_id")
 
 
 def simplify_summary(before: tuple[DataFrame, DataFrame], after: tuple[DataFrame, DataFrame]) -> DataFrame:

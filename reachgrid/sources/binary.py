@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reachgrid.functions.shared import small_side
+
 # Fixed values of the format.
 MAGIC = 0x49534F43
 HEAD = "<IBBHIIIIddHHHHfIII"
@@ -100,7 +102,7 @@ def encode_graphs(nodes: DataFrame, edges: DataFrame, extent: DataFrame, compres
     """region_id and content: one packed file per region; edges out of their owner's range are an error."""
     edges = edges.withColumn("word", pack_word(F.col("mode_mask"), F.col("maxspeed_kph"), F.col("road_class_id")))
     head = ["epsg", "origin_easting", "origin_northing", "pixel_size_m", "grid_width_px", "grid_height_px"]
-    nodes = nodes.join(F.broadcast(extent.select("region_id", *head)), "region_id")
+    nodes = nodes.join(small_side(extent.select("region_id", *head)), "region_id")
 
     def pack(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         n, e = n.sort_values("node_index"), e.sort_values("edge_index")

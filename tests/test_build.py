@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
 from reachgrid.jobs import build
 from reachgrid.operators import checks, extract
@@ -30,6 +33,34 @@ def test_regions_are_built(spark):
             call()
 
 
+def town(region: str, lat: float, lon: float, seed: int) -> list[tuple]:
+    """Streets with chains, a way for one mode, a long ferry and a dropped way, as elements of ``region``."""
+    r = random.Random(seed)
+    rows = [node(i, lat + 0.0007 * (i % 5) + r.random() / 9000, lon + 0.001 * (i // 5)) for i in range(20)] + [node(50, lat + 1.9, lon + 1.2)]
+    for at, refs in enumerate([[0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [0, 5, 10, 15], [2, 7, 12, 17], [4, 9, 14, 19], [10, 11, 12, 13, 14], [19, 50], [3, 99]]):
+        rows.append(way(100 + at, refs, highway=r.choice(["footway", "residential"]), maxspeed="30"))
+    admin = {"boundary": "administrative", "admin_level": "9", "name": f"of {region}"}
+    line = [{"lat": lat + r.random() / 50, "lon": lon + r.random() / 50} for _ in range(30)]
+    return [*rows, ("relation", 900, None, None, None, admin, line)]
+
+
+def test_three_regions_together_as_one_by_one(spark):
+    """Codes of three kinds, split edges with synthetic nodes, chains and canvases."""
+    towns = {"a": (52.5, 13.4, 25833), "b": (51.5, -0.12, 27700), "c": (48.85, 2.35, 2154)}
+    own = {k: elements(spark, town(k, lat, lon, i)).withColumn("region_id", F.lit(k)) for i, (k, (lat, lon, _)) in enumerate(towns.items())}
+    every = own["b"].unionByName(own["a"]).unionByName(own["c"])
+    given = spark.createDataFrame([(k, e, "9", 40.0, "meters") for k, (_, _, e) in towns.items()], "id string, epsg int, subdivision_admin_level string, boundary_resolution double, boundary_units string")
+    together = build.build_regions(every, given)
+    assert set(together) == set(towns)
+    rows = lambda df: sorted(map(str, df.select(*sorted(df.columns)).collect()))
+    for k in towns:
+        alone = build.build_regions(own[k], given.where(F.col("id") == k))[k]
+        for name in ("nodes", "edges", "extent", "skipped", "canvas"):
+            assert rows(together[k][name]) == rows(alone[name]) != [], (k, name)
+        assert set(checks.layout_violations(together[k]["nodes"], together[k]["edges"]).first()) == {0}
+        assert together[k]["nodes"].where("osm_id < 0").count() > 0 and together[k]["edges"].agg(F.min("edge_index")).first()[0] == 0
+
+
 def test_asked_locations(spark):
     places = spark.createDataFrame([(0, "a"), (1, "b")], "pos int, id string")
     asks = spark.createDataFrame([(1, "b"), (2, "zz"), (3, None)], "ask_id int, asked string")
