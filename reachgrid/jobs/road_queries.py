@@ -727,11 +727,73 @@ def paired_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("series_id", "runs", "faster", "slower", F.round("median_ratio", 9).alias("median_ratio"), "classification")
 
 
-@query()
+#: The generator step by step.
+_DRAWS = "lcg(i, s) AS (SELECT 0, (1664525 * CAST({seed} AS BIGINT) + 1013904223) % 4294967296 UNION ALL SELECT i + 1, (1664525 * s + 1013904223) % 4294967296 FROM lcg WHERE i < {last})"
+
+
+@query(
+    f"""{_Q}{sql.EDGES}, {sql.timed(4)}, {_DRAWS.format(seed=1337, last=24 * 64 - 1)}, lcg1 AS (SELECT s * p // 4294967296 AS node_index, min(i) AS i FROM lcg, c GROUP BY 1),
+    lcg2 AS (SELECT DISTINCT source_id AS node_index FROM m), lcg3 AS (SELECT node_index, i, CASE WHEN i IS NULL THEN 1 ELSE 0 END AS late FROM lcg2 LEFT JOIN lcg1 USING (node_index))
+    SELECT CAST(row_number() OVER (ORDER BY late, i, node_index) - 1 AS INT) AS pos, node_index FROM lcg3 ORDER BY late, i, node_index LIMIT 24"""
+)
 def sampled_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.sample_sources(routing.eligible_sources(_edges(spark, sf_dir), 4), tables.grid(spark, sf_dir)[0], 24)
 
 
+@query(
+    f"""{_Q}{sql.NETWORK}, {_DRAWS.format(seed=0x5F3759DF, last=999)}, dim AS (SELECT CAST(ceil(max(x_m) / 10.0) AS INT) AS width, CAST(ceil(max(y_m) / 10.0) AS INT) AS height FROM n)
+    SELECT CAST(i // 2 AS BIGINT) AS pos, CAST(max(s) FILTER (i % 2 = 0) * any_value(width) // 4294967296 AS INT) AS x_px, CAST(max(s) FILTER (i % 2 = 1) * any_value(height) // 4294967296 AS INT) AS y_px FROM lcg, dim GROUP BY i // 2"""
+)
+def sampled_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """500 pixels of the grid that the nodes span."""
+    return series.sample_pixels(spark, *_grid_size(_nodes(spark, sf_dir)), 500)
+
+
+@query(
+    f"""WITH s AS (SELECT event_type AS series_id, CAST(event_id % 1000 AS DOUBLE) AS settled, abs(value) AS ms FROM events)
+    SELECT series_id, count(*) AS count, {_q('settled', 0.5)} AS p50, {_q('settled', 0.95)} AS p95, CAST(sum(settled) AS BIGINT) AS total_settled, round(sum(ms) / sum(settled), 9) AS ms_per_settled FROM s GROUP BY series_id"""
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = tables.table(spark, sf_dir, "events").select(F.col("event_type").alias("series_id"), (F.col("event_id") % 1000).alias("settled"), F.abs("value").alias("ms"))
+    return series.run_report(runs).select("series_id", "count", "p50", "p95", "total_settled", F.round("ms_per_settled", 9).alias("ms_per_settled"))
+
+
+def _duration(minutes: str) -> str:
+    m = f"CAST(floor({minutes} + 0.5) AS BIGINT)"
+    return f"CASE WHEN {m} // 60 = 0 THEN {m} || ' min' WHEN {m} % 60 = 0 THEN {m} // 60 || ' h' ELSE {m} // 60 || ' h ' || {m} % 60 || ' min' END"
+
+
+@query(
+    f"""WITH y AS (SELECT DISTINCT CAST(p_size * 5 AS DOUBLE) AS cycle_minutes FROM part), b AS (SELECT *, unnest([0, 1, 2, 3, 4]) AS band FROM y)
+    SELECT cycle_minutes, band, {_duration('cycle_minutes * (band / 5)')} || '–' || {_duration('cycle_minutes * ((band + 1) / 5)')} AS label, 'Colours repeat every ' || {_duration('cycle_minutes')} || '.' AS note FROM b"""
+)
+def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A legend for every size of part, as a cycle of so many five minutes."""
+    cycles = tables.table(spark, sf_dir, "part").select((F.col("p_size") * 5).cast("double").alias("cycle_minutes")).distinct()
+    return raster.legend(cycles).select("cycle_minutes", "band", "label", "note")
+
+
+# Regions: the grid three times, each way in the one that its id leaves over.
+@query(
+    f"""WITH {sql.EDGES}, x AS (SELECT unnest([0, 1, 2]) AS region), used AS (SELECT DISTINCT way_id % 3 AS region, node_id FROM r WHERE way_id IN (SELECT way_id FROM cand)),
+    u AS (SELECT region, node_id, row_number() OVER (PARTITION BY region ORDER BY node_id) - 1 AS node_index FROM used JOIN n USING (node_id))
+    SELECT 'r' || e.way_id % 3 AS region_id, row_number() OVER (PARTITION BY e.way_id % 3 ORDER BY p.node_index, q.node_index, way_id, pos, turn) - 1 AS edge_index, p.node_index AS source_index, q.node_index AS target_index, cost_seconds, flags, mode_mask, maxspeed_kph, road_class_id
+    FROM e JOIN u p ON p.node_id = e.source_id AND p.region = e.way_id % 3 JOIN u q ON q.node_id = e.target_id AND q.region = e.way_id % 3"""
+)
+def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of three regions built together, numbered by region."""
+    every = tables.elements(spark, sf_dir)
+    name = lambda c: F.concat(F.lit("r"), c.cast("string"))
+    ways = every.where("type = 'way'").withColumn("region_id", name(F.col("id") % 3))
+    thrice = F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))
+    nodes = every.where("type = 'node'").withColumn("_r", thrice).withColumn("region_id", name(F.col("_r"))).drop("_r")
+    found = extract.extract(written(ways.unionByName(nodes), "region-elements"))
+    placed = _placed(spark, sf_dir).withColumn("_r", thrice).select(name(F.col("_r")).alias("region_id"), "node_id", "x_m", "y_m")
+    placed = placed.join(found["nodes"].select("region_id", "node_id"), ["region_id", "node_id"], "left_semi")
+    graph = adjacency.build_graph(found, placed)
+    return adjacency.numbered_by_region(written(graph["nodes"], "nodes"), graph["edges"])[1]
+
+
 # Boundaries: a nation is a feature, its customers the points of its path.
 _PATH = "b AS (SELECT c_nationkey AS relation_id, CAST(c_custkey * 3 % 1000 AS DOUBLE) AS x, floor(c_acctbal) AS y FROM customer)"
 
@@ -754,6 +816,64 @@ def simplified_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return boundary.simplify_paths(_paths(spark, sf_dir), 500.0).select("relation_id", "name", F.size("points").alias("n_points"))
 
 
+#: Customers are points; each twenty of a nation, by key, are a way that closes on its first; a nation is the relation of its ways.
+_AREAS = """
+k AS (SELECT c_nationkey AS id, c_custkey AS node, 48 + (c_custkey * 7 % 1000) * 0.001::DOUBLE AS y, 2 + (c_custkey * 3 % 1000) * 0.001::DOUBLE AS x, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer),
+f AS (SELECT id, i // 20 AS path_pos, i % 20 AS pos, x, y FROM k UNION ALL SELECT id, i // 20, 20, x, y FROM k WHERE i % 20 = 0),
+l AS (SELECT id, path_pos, x, y, row_number() OVER (PARTITION BY id, path_pos ORDER BY pos) - 1 AS pos, count(*) OVER (PARTITION BY id, path_pos) AS points FROM f)"""
+
+
+def _areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as administrative relations of ways over customers, as map elements."""
+    who = tables.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    placed = written(dense_index(who, [F.col("c_nationkey"), F.col("c_custkey")], "at"), "area-nodes")
+    begins = placed.groupBy("c_nationkey").agg(F.min("at").alias("begin"))
+    ranked = placed.join(begins, "c_nationkey").withColumn("i", F.col("at") - F.col("begin"))
+    none = lambda t: F.lit(None).cast(t)
+    points, members = "array<struct<lat:double,lon:double>>", "array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"
+    row = lambda df, kind, i, lat, lon, nodes, tags, parts: df.select(F.lit("grid").alias("region_id"), i.alias("seq"), F.lit(kind).alias("type"), i.alias("id"), lat.alias("lat"), lon.alias("lon"), nodes.alias("nodes"), tags.alias("tags"), none(points).alias("geometry"), parts.alias("members"))
+    key = F.col("c_custkey").cast("long")
+    nodes = row(who, "node", key, 48 + (key * 7 % 1000) * 0.001, 2 + (key * 3 % 1000) * 0.001, none("array<bigint>"), none("map<string,string>"), none(members))
+    name = F.col("c_nationkey").cast("long") * 1_000_000_000 + F.floor(F.col("i") / 20)
+    ways = ranked.groupBy("c_nationkey", name.alias("way_id")).agg(F.array_sort(F.collect_list(F.struct("i", "c_custkey"))).alias("list"))
+    refs = F.transform("list", lambda p: p["c_custkey"].cast("long"))
+    ways = written(ways.select("c_nationkey", "way_id", F.concat(refs, F.slice(refs, 1, 1)).alias("refs")), "area-ways")
+    lines = row(ways, "way", F.col("way_id"), none("double"), none("double"), F.col("refs"), none("map<string,string>"), none(members))
+    part = F.struct(F.lit("way").alias("type"), F.col("way_id").alias("ref"), F.lit("outer").alias("role"), none(points).alias("geometry"))
+    nations = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    # A relation holds references to its ways only.
+    held = ways.groupBy("c_nationkey").agg(F.array_sort(F.collect_list(part)).alias("parts")).join(nations, "c_nationkey")
+    tags = F.create_map(F.lit("boundary"), F.lit("administrative"), F.lit("admin_level"), F.lit("9"), F.lit("name"), F.col("n_name"))
+    relations = row(held, "relation", F.col("c_nationkey").cast("long"), none("double"), none("double"), none("array<bigint>"), tags, F.col("parts"))
+    return written(nodes.unionByName(lines).unionByName(relations), "area-elements")
+
+
+@query(
+    f"""WITH {_AREAS} SELECT CAST(id AS BIGINT) AS relation_id, n_name AS name, CAST(path_pos AS INT) AS path_pos, CAST(count(*) AS INT) AS n_points, round(sum(x * pos), 6) AS x_sum, round(sum(y * pos), 6) AS y_sum, true AS closed
+    FROM l JOIN nation ON n_nationkey = id WHERE points >= 2 GROUP BY ALL"""
+)
+def nation_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features out of relations, their ways and the ways' nodes."""
+    rows = boundary.boundary_features(_areas(spark, sf_dir), "9")
+    total = lambda c: F.round(F.aggregate(F.transform("points", lambda p, i: p[c] * i), F.lit(0.0), lambda a, b: a + b), 6)
+    return rows.select("relation_id", "name", "path_pos", F.size("points").alias("n_points"), total("x").alias("x_sum"), total("y").alias("y_sum"), boundary.is_closed(F.col("points")).alias("closed"))
+
+
+@query(
+    f"""WITH {_AREAS}, e AS (SELECT min(x) AS west, max(y) AS north FROM l WHERE points >= 2)
+    SELECT CAST(id AS BIGINT) AS relation_id, CAST(path_pos AS INT) AS path_pos, CAST(pos AS INT) AS pos, round(x - west, 9) AS x, round(north - y, 9) AS y, round((x - 2) / 0.001::DOUBLE, 6) AS x_px, round(1499 - (y - 48) / 0.001::DOUBLE, 6) AS y_px
+    FROM l, e WHERE points >= 2"""
+)
+def boundary_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canvas of all nations point by point, and where a grid of thousandths has them."""
+    canvas = written(boundary.boundary_canvas(boundary.boundary_features(_areas(spark, sf_dir), "9"), 0.0, "degrees"), "canvas")
+    pixels = boundary.boundary_pixels(canvas, (2.0, 48.0), 1500, 0.001)
+    keys = ["relation_id", "path_pos", "pos"]
+    on = canvas.select("relation_id", "path_pos", F.posexplode("points").alias("pos", "p"))
+    at = pixels.select("relation_id", "path_pos", F.posexplode("points").alias("pos", "q"))
+    return on.join(at, keys).select(*keys, F.round("p.x", 9).alias("x"), F.round("p.y", 9).alias("y"), F.round("q.x", 6).alias("x_px"), F.round("q.y", 6).alias("y_px"))
+
+
 # Streams.
 @query(
     f"WITH {sql.NETWORK}, dim AS (SELECT CAST(ceil(max(x_m) / 10.0) AS INT) AS width, CAST(ceil(max(y_m) / 10.0) AS INT) AS height FROM n), "

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import small_side, written
 
 # Fixed constants of the linear congruential generator.
 LCG_FACTOR, LCG_STEP, LCG_SIZE = 1_664_525, 1_013_904_223, 1 << 32
@@ -67,36 +67,44 @@ def paired_deltas(baseline: DataFrame, candidate: DataFrame, by: str = "series_i
     return table.withColumn("classification", kind)
 
 
-def draws(n: int, seed: int) -> list[int]:
-    """States of the generator after each of ``n`` steps."""
-    out, state = [], seed % LCG_SIZE
-    for _ in range(n):
-        state = (LCG_FACTOR * state + LCG_STEP) % LCG_SIZE
-        out.append(state)
-    return out
+def drawn_states(spark: SparkSession, n: int, seed: int) -> DataFrame:
+    """draw (from 0) and state of the generator after ``draw`` + 1 steps, each by itself.
 
+    So many steps are one affine map again: that of each power of two is known, and a draw goes through those of its bits.
+    """
+    factor, step, jumps = LCG_FACTOR, LCG_STEP, []
+    for _ in range(max(1, n.bit_length() + 1)):
+        jumps.append((factor, step))
+        factor, step = factor * factor % LCG_SIZE, (factor + 1) * step % LCG_SIZE
+    # Products of 32 bits by halves, which stay within 64.
+    times = lambda a, x: F.pmod(F.shiftleft(F.pmod(a * F.shiftright(x, 16), F.lit(1 << 16)), 16) + a * x.bitwiseAND(0xFFFF), F.lit(LCG_SIZE))
+    state = F.lit(seed % LCG_SIZE).cast("long")
+    for bit, (a, c) in enumerate(jumps):
+        name = f"_s{bit}"
+        # Each bit's map reads the state once.
+        before = spark.range(n).select(F.col("id").alias("draw"), state.alias(name)) if not bit else before.select("draw", state.alias(name))  # noqa: F821
+        on = F.shiftright(F.col("draw") + 1, bit).bitwiseAND(1) == 1
+        state = F.when(on, F.pmod(times(F.lit(a), F.col(name)) + c, F.lit(LCG_SIZE))).otherwise(F.col(name))
+    return before.select("draw", state.alias("state"))
 
-def sample_sources(eligible: DataFrame, n_nodes: int, n: int, seed: int = 1337, attempts: int = 64) -> DataFrame:
-    """pos, node_index: seeded draws of eligible nodes without repeats, then the lowest that are left.
 
-    The draws, ``attempts`` for each wanted node at most, are a small table.
-    """
+def sample_sources(eligible: DataFrame, n_nodes: int, n: int, seed: int = 1337, attempts: int = 64) -> DataFrame:
+    """pos, node_index: seeded draws of eligible nodes without repeats, ``attempts`` for each wanted one at most, then the lowest that are left."""
     n = min(n, n_nodes)
-    first: dict[int, int] = {}
-    for i, state in enumerate(draws(n * attempts, seed)):
-        first.setdefault(state * n_nodes // LCG_SIZE, i)
-    drawn = eligible.sparkSession.createDataFrame(list(first.items()), "node_index long, draw long")
-    hits = eligible.join(F.broadcast(drawn), "node_index").select("node_index", F.struct(F.lit(0).alias("late"), F.col("draw").alias("at")).alias("_order"))
-    rest = eligible.join(F.broadcast(drawn), "node_index", "left_anti").select("node_index", F.struct(F.lit(1).alias("late"), F.col("node_index").alias("at")).alias("_order"))
-    some = hits.unionByName(rest.orderBy("node_index").limit(n)).orderBy("_order").limit(n)
+    states = drawn_states(eligible.sparkSession, n * attempts, seed)
+    drawn = states.groupBy(F.shiftright(F.col("state") * n_nodes, 32).alias("node_index")).agg(F.min("draw").alias("draw"))
+    held = eligible.join(small_side(written(drawn, "drawn")), "node_index", "left")
+    hits = held.where("draw is not null").select("node_index", F.struct(F.lit(0).alias("late"), F.col("draw").alias("at")).alias("_order"))
+    rest = held.where("draw is null").select("node_index", F.struct(F.lit(1).alias("late"), F.col("node_index").alias("at")).alias("_order"))
+    some = hits.orderBy("_order").limit(n).unionByName(rest.orderBy("node_index").limit(n)).orderBy("_order").limit(n)
     return some.select((F.row_number().over(Window.orderBy("_order")) - 1).alias("pos"), "node_index")  # at most n rows
 
 
-def sample_pixels(spark, width: int, height: int, n: int, seed: int = 0x5F3759DF) -> DataFrame:
-    """pos, x_px, y_px: seeded pixels; the sample is as small as it is asked to be."""
-    states = draws(2 * n, seed)
-    rows = [(i, x * width // LCG_SIZE, y * height // LCG_SIZE) for i, (x, y) in enumerate(zip(states[::2], states[1::2]))]
-    return spark.createDataFrame(rows, "pos long, x_px int, y_px int")
+def sample_pixels(spark: SparkSession, width: int, height: int, n: int, seed: int = 0x5F3759DF) -> DataFrame:
+    """pos, x_px, y_px: seeded pixels, two draws each."""
+    pair = drawn_states(spark, 2 * n, seed).groupBy(F.shiftright("draw", 1).alias("pos"))
+    at = lambda odd, size: F.shiftright(F.max(F.when(F.col("draw") % 2 == odd, F.col("state"))) * size, 32).cast("int")
+    return pair.agg(at(0, width).alias("x_px"), at(1, height).alias("y_px"))
 
 
 def run_report(runs: DataFrame, by: str = "series_id") -> DataFrame:

@@ -351,11 +351,42 @@ def test_streams_equal_batches(spark, tmp_path):
     assert {tuple(r) for r in found.collect()} == {("footway", 2), ("path", 1)}
 
 
+def test_streams_write_changes_only(spark, tmp_path, monkeypatch):
+    """Batches of one file, bases every two batches, a second run with more files, and none at all."""
+    from reachgrid.streaming import streams
+
+    monkeypatch.setattr(streams, "COMPACT_EVERY", 2)
+    schema, folder, source_dir = "x_px int, y_px int, seconds double", str(tmp_path / "out"), tmp_path / "in"
+    source_dir.mkdir()
+    run = lambda: streams.to_parquet(streams.running_raster(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source_dir))), folder, str(tmp_path / "check"))
+    assert run().collect() == [] and run().columns == ["x_px", "y_px", "seconds"]
+    least: dict = {}
+    for batches in ([[(0, 0, 5.0), (1, 0, 7.0)], [(0, 0, 4.0), (2, 2, -1.0)], [(3, 3, 1.0)]], [[(3, 3, 2.0), (1, 0, 6.5)], [(9, 9, float("inf"))]], []):
+        for i, batch in enumerate(batches):
+            spark.createDataFrame(batch, schema).coalesce(1).write.mode("append").parquet(str(source_dir))
+            for x, y, t in batch:
+                if 0 <= t < float("inf"):
+                    least[x, y] = min(t, least.get((x, y), t))
+        assert {(r["x_px"], r["y_px"]): r["seconds"] for r in run().collect()} == least
+    written = [spark.read.parquet(f"{folder}/changes/{n}").count() for n in range(5)]
+    assert sum(written) <= 6 and max(written) <= 2 and spark.read.parquet(f"{folder}/base/3").count() == 3
+
+
+def test_draws_jump_ahead(spark):
+    state, want = 99, []
+    for _ in range(300):
+        state = (1_664_525 * state + 1_013_904_223) % (1 << 32)
+        want.append(state)
+    rows = series.drawn_states(spark, 300, 99).orderBy("draw").collect()
+    assert [r["state"] for r in rows] == want and [r["draw"] for r in rows] == list(range(300))
+    assert series.drawn_states(spark, 0, 1).collect() == []
+
+
 def test_registered_reach_takes_sources_from_the_nodes(spark, monkeypatch):
     from reachgrid.jobs import road_queries
 
     walk = [(0, 7, 407, 60, 0, 1, 0, 1), (1, 407, 42, 60, 0, 1, 0, 1), (2, 42, 7, 60, 0, 1, 0, 1)]
     monkeypatch.setattr(road_queries, "_edges", lambda spark, sf_dir: spark.createDataFrame(walk, EDGE))
-    monkeypatch.setattr(road_queries, "_nodes", lambda spark, sf_dir: spark.range(1000).withColumnRenamed("id", "node_index"))
+    monkeypatch.setattr(road_queries, "_nodes", lambda spark, sf_dir: spark.range(1000).selectExpr("id AS node_index", "id AS x_m", "0L AS y_m"))
     rows = road_queries.reachable_counts_local(spark, "").collect()
     assert {r["source_id"]: r["settled"] for r in rows if r["mode_mask"] == 1} == {7: 3, 407: 3, 807: 1}
