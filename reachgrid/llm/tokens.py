@@ -10,11 +10,11 @@ import numpy as np
 
 #: Marks that end a word without being part of it: a run of them is a token group of its own.
 _TAIL = ".,!?;:%$&#*|"
-#: A worker holds so many words and word parts at most (about 300 MB in all); then it
-#: forgets all but those met first, which are the frequent ones.
-MAX_KEPT = 1_000_000
-MAX_PARTS = 600_000
-FIRST_KEPT = 250_000
+#: A worker holds so many words and word parts at most (about 120 MB in all, which later jobs
+#: of the same worker have to do without); then it forgets all but those met first, which are the frequent ones.
+MAX_KEPT = 360_000
+MAX_PARTS = 200_000
+FIRST_KEPT = 120_000
 
 
 def _byte_names() -> dict[int, str]:
