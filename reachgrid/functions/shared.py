@@ -47,3 +47,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` with a broadcast hint if it is counted at ``rows`` or fewer, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_by_size(rows: DataFrame, side: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join with a written ``side`` of one row per key, whose ``size`` is about the key's rows out of ``total``.
+
+    A side of few rows is broadcast. Of a larger one the keys of over a ``SMALL``-th of all rows are, at most ``SMALL`` of
+    them, so that no hot key's rows meet in one task; the rest is joined by a shuffle.
+    """
+    if side.limit(SMALL + 1).count() <= SMALL:
+        return rows.join(F.broadcast(side), keys)
+    hot = side.where(F.col(size) * SMALL > total)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(side.where(F.col(size) * SMALL <= total), keys)
+    return rows.join(F.broadcast(hot), keys).unionByName(cold)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import join_by_size, small_side, written
 from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS
 from reachgrid.jobs import road_sql as sql
 from reachgrid.operators import adjacency, boundary, checks, contract, extract, overlay, project, raster, routing, series, summary, survey
@@ -794,26 +794,42 @@ def region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return adjacency.numbered_by_region(written(graph["nodes"], "nodes"), graph["edges"])[1]
 
 
-# Boundaries: a nation is a feature, its customers the points of its path.
-_PATH = "b AS (SELECT c_nationkey AS relation_id, CAST(c_custkey * 3 % 1000 AS DOUBLE) AS x, floor(c_acctbal) AS y FROM customer)"
+# Boundaries: a nation is a feature, its customers the points of one path; paths grow with the tables and stay rows.
+_PATH = "b AS (SELECT CAST(c_nationkey AS BIGINT) AS relation_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, CAST(c_custkey * 3 % 1000 AS DOUBLE) AS x, CAST(floor(c_acctbal) AS DOUBLE) AS y FROM customer)"
+#: Stretches between kept points, cut at the first of the furthest points until none is further than 500 units from its chord.
+_STRETCHES = f"""{_PATH},
+n AS (SELECT relation_id, count(*) AS n, arg_min(x, pos) = arg_max(x, pos) AND arg_min(y, pos) = arg_max(y, pos) AND count(*) >= 4 AS ring FROM b GROUP BY relation_id),
+s AS (SELECT relation_id, CAST(0 AS BIGINT) AS a, n - 1 - ring::INT AS z FROM n UNION ALL
+    SELECT relation_id, unnest([a, -f.rank]) AS a, unnest([-f.rank, z]) AS z FROM (
+        SELECT relation_id, a, z, max(struct_pack(far := ex * ex + ey * ey, rank := -pos)) AS f FROM (
+            SELECT *, px - share * dx AS ex, py - share * dy AS ey FROM (
+                SELECT *, greatest(0.0::DOUBLE, least(1.0::DOUBLE, (px * dx + py * dy) / CASE WHEN dx * dx + dy * dy > 0 THEN dx * dx + dy * dy ELSE 1.0::DOUBLE END)) AS share FROM (
+                    SELECT s.relation_id, s.a, s.z, p.pos, p.x - u.x AS px, p.y - u.y AS py, v.x - u.x AS dx, v.y - u.y AS dy FROM s
+                    JOIN b u ON u.relation_id = s.relation_id AND u.pos = s.a JOIN b v ON v.relation_id = s.relation_id AND v.pos = s.z JOIN b p ON p.relation_id = s.relation_id AND p.pos > s.a AND p.pos < s.z)))
+        GROUP BY relation_id, a, z) WHERE f.far > 250000),
+e AS (SELECT relation_id, a AS pos FROM s UNION SELECT relation_id, z FROM s UNION SELECT relation_id, n - 1 FROM n)"""
 
 
-def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    point = F.struct("c_custkey", (F.col("c_custkey") * 3 % 1000).cast("double").alias("x"), F.floor("c_acctbal").cast("double").alias("y"))
-    rows = tables.table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_sort(F.collect_list(point)).alias("p"))
-    names = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
-    points = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
-    return rows.join(F.broadcast(names), "c_nationkey").select(F.col("c_nationkey").cast("long").alias("relation_id"), "name", F.lit("9").alias("admin_level"), F.lit(0).alias("path_pos"), points.alias("points"))
+def _path_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """relation_id, pos, x, y: customers by key within their nation."""
+    who = tables.table(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("relation_id"), "c_custkey", (F.col("c_custkey") * 3 % 1000).cast("double").alias("x"), F.floor("c_acctbal").cast("double").alias("y"))
+    placed = written(dense_index(who, [F.col("relation_id"), F.col("c_custkey")], "at"), "path-points")
+    begins = placed.groupBy("relation_id").agg(F.count("*").alias("_n"), F.min("at").alias("begin"))
+    return join_by_size(placed, written(begins, "path-begins"), ["relation_id"], "_n", placed.count()).select("relation_id", (F.col("at") - F.col("begin")).alias("pos"), "x", "y")
 
 
-@query(f"WITH {_PATH}, k AS (SELECT max(x) - min(x) AS width, max(y) - min(y) AS height FROM b) SELECT CAST(relation_id AS BIGINT) AS relation_id, CAST(count(*) AS INT) AS in_points, CAST(count(*) AS INT) AS out_points, width, height FROM b, k GROUP BY relation_id, width, height HAVING count(*) >= 2")
+@query(f"WITH {_PATH}, k AS (SELECT min(x) AS west, max(y) AS north, max(x) - min(x) AS width, max(y) - min(y) AS height FROM b WHERE relation_id IN (SELECT relation_id FROM b GROUP BY ALL HAVING count(*) >= 2)) SELECT relation_id, pos, x - west AS x, north - y AS y, width, height FROM b, k WHERE relation_id IN (SELECT relation_id FROM b GROUP BY ALL HAVING count(*) >= 2)")
 def boundary_canvas(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.boundary_canvas(_paths(spark, sf_dir), 0.0, "degrees").select("relation_id", "in_points", "out_points", "width", "height")
+    """Paths of any length on a canvas, as rows."""
+    return boundary.canvas_points(_path_points(spark, sf_dir), ["relation_id"], 0.0).drop("min_x", "max_y")
 
 
-@query()
+@query(f"WITH RECURSIVE {_STRETCHES} SELECT relation_id, n_name AS name, pos, x, y FROM e JOIN b USING (relation_id, pos) JOIN nation ON n_nationkey = relation_id")
 def simplified_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return boundary.simplify_paths(_paths(spark, sf_dir), 500.0).select("relation_id", "name", F.size("points").alias("n_points"))
+    """The points that simplification keeps of paths of any length."""
+    kept = boundary.simplify_points(_path_points(spark, sf_dir), ["relation_id"], 500.0)
+    names = tables.table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("relation_id"), F.col("n_name").alias("name"))
+    return kept.join(small_side(names), "relation_id")
 
 
 #: Customers are points; each twenty of a nation, by key, are a way that closes on its first; a nation is the relation of its ways.

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import project
-from reachgrid.functions.shared import small_side, written
+from reachgrid.functions.shared import join_by_size, small_side, stored, written
 
 
 def _inline(geometry: Column) -> Column:
@@ -47,34 +49,159 @@ def boundary_features(elements: DataFrame, level: str) -> DataFrame:
     return paths.select(*keys, F.posexplode(F.transform("paths", lambda x: x["points"])).alias("path_pos", "points")).orderBy("name", "relation_id", "path_pos")
 
 
-def kept_positions(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
-    """Positions of a line's points that are kept, generation by generation.
+def _generations(x: np.ndarray, y: np.ndarray, ends: np.ndarray, tolerance: float) -> np.ndarray:
+    """Positions kept of lines that lie one behind the other; ``ends`` are their first and last positions.
 
     All stretches between kept points are measured at once; each that has points further than ``tolerance`` from its chord
-    keeps the first of the furthest ones, until none has. A ring's closing point is left out before and put back after.
+    keeps the first of the furthest ones, until none has. Between two lines lies a stretch without a point inside.
     """
-    n = len(x)
-    ring = n >= 4 and x[0] == x[-1] and y[0] == y[-1]
-    last = n - 2 if ring else n - 1
-    if tolerance <= 0 or last < 2:
-        return np.arange(n)
-    ends, found = np.array([0, last]), np.array([0])
+    found = np.array([0])
     while len(found):
         at = np.repeat(ends[:-1], np.diff(ends))
         to = np.repeat(ends[1:], np.diff(ends))
+        last = len(at)
         px, py, dx, dy = x[:last] - x[at], y[:last] - y[at], x[to] - x[at], y[to] - y[at]
         square = dx * dx + dy * dy
         share = np.clip((px * dx + py * dy) / np.where(square > 0, square, 1), 0, 1)
-        far = np.hypot(px - share * dx, py - share * dy)
+        ex, ey = px - share * dx, py - share * dy
+        far = ex * ex + ey * ey
         most = np.repeat(np.maximum.reduceat(far, ends[:-1]), np.diff(ends))
-        found = np.flatnonzero((far == most) & (most > tolerance))
+        found = np.flatnonzero((far == most) & (most > tolerance * tolerance))
         found = found[np.unique(at[found], return_index=True)[1]]
         ends = np.union1d(ends, found)
+    return ends
+
+
+def kept_positions(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarray:
+    """Positions of a line's points that are kept. A ring's closing point is left out before and put back after."""
+    n = len(x)
+    ring = n >= 4 and x[0] == x[-1] and y[0] == y[-1]
+    last = n - 2 if ring else n - 1
+    if tolerance <= 0 or last < 2:
+        return np.arange(n)
+    ends = _generations(x, y, np.array([0, last]), tolerance)
     return np.append(ends, n - 1) if ring else ends
 
 
+#: Points of a stretch that a task finishes alone, and of all stretches that are dealt to one.
+PIECE = 50_000
+_DEAL = 200_000
+
+
+def path_points(paths: DataFrame) -> DataFrame:
+    """Paths with ``points`` as rows: their other columns, pos, x and y."""
+    rest = [c for c in paths.columns if c != "points"]
+    return paths.select(*rest, F.posexplode("points").alias("pos", "_p")).select(*rest, F.col("pos").cast("long").alias("pos"), "_p.x", "_p.y")
+
+
+def _finished(pool: DataFrame, keys: list[str], tolerance: float, total: int) -> DataFrame:
+    """Kept inner points of stretches of at most a piece each, many of them to a group."""
+    by = [*keys, "_from"]
+
+    def finish(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values([*by, "pos"], ignore_index=True)
+        new = np.ones(len(rows), dtype=bool)
+        new[1:] = (rows[by].iloc[1:].to_numpy() != rows[by].iloc[:-1].to_numpy()).any(axis=1)
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(rows)) - 1
+        line = 2 * np.arange(len(first))
+        # The two ends of each stretch lie around its inner points.
+        place = np.arange(len(rows)) + 2 * np.cumsum(new) - 1
+        at, to = first + line, last + line + 2
+        held = []
+        for c in ("x", "y"):
+            v = np.empty(len(rows) + 2 * len(first))
+            v[place], v[at], v[to] = rows[c], rows[f"_a{c}"].to_numpy()[first], rows[f"_b{c}"].to_numpy()[first]
+            held.append(v)
+        kept = _generations(*held, np.sort(np.concatenate([at, to])), tolerance)
+        return rows.loc[np.isin(place, kept), [*keys, "pos", "x", "y"]]
+
+    schema = pool.select(*keys, "pos", "x", "y").schema
+    flat = pool.select(*keys, "_from", "pos", "x", "y", *[F.col(f"_{e}.{c}").alias(f"_{e}{c}") for e in "ab" for c in "xy"])
+    group = F.pmod(F.xxhash64(*by), F.lit(-(-total // _DEAL) or 1))
+    return flat.groupBy(group.alias("_g")).applyInPandas(finish, schema)
+
+
+def simplify_points(points: DataFrame, keys: list[str], tolerance: float, piece: int = PIECE) -> DataFrame:
+    """keys, pos, x, y: the points that simplification keeps of paths given as rows; a path may be of any length.
+
+    A generation measures all open stretches in one aggregation: a stretch over ``piece`` points is cut at the first of its
+    furthest points if that lies further than ``tolerance`` from the chord, and closed if not. Shorter ones are finished in
+    tasks that get many of them. So no path, and no long stretch, meets in one task or row; generations go with the
+    depth to which long stretches are cut, and each writes the points of open stretches only.
+
+    Defined results as for ``kept_positions``: both ends stay; a ring (four points or more, first equal to last) is measured
+    without its closing point, which stays; no tolerance keeps all. ``pos`` is distinct in a path. Points without a key,
+    pos, x or y are left out. Columns other than these are not read.
+    """
+    if tolerance < 0:
+        raise ValueError("the tolerance must not be negative")
+    columns = [*keys, "pos", "x", "y"]
+    rows = points.select(*columns).dropna()
+    if tolerance == 0:
+        return rows
+    spark = points.sparkSession
+    rows = written(rows, "path-points")
+    total = rows.count()
+    point = F.struct("pos", "x", "y")
+    ends = written(rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min(point).alias("_a"), F.max(point).alias("_z")), "path-ends")
+    ring = (F.col("_n") >= 4) & (F.col("_a.x") == F.col("_z.x")) & (F.col("_a.y") == F.col("_z.y"))
+    rings = join_by_size(rows, ends.where(ring), keys, "_n", total).where("pos < _z.pos")
+    before = rings.groupBy(*keys).agg(F.max(point).alias("_y"))
+    ends = written(ends.join(before, keys, "left").withColumn("_b", F.coalesce("_y", "_z")), "path-stretches")
+    flat = lambda df, c: df.select(*keys, f"{c}.*")
+    # A ring has three ends; a path of one point has one.
+    kept = [stored(ends.select(*keys, F.explode(F.array_distinct(F.array("_a", "_b", "_z"))).alias("_p")).select(*keys, "_p.*"), "kept")]
+    open_rows = join_by_size(rows, ends.select(*keys, "_a", "_b", "_n"), keys, "_n", total).where("pos > _a.pos and pos < _b.pos")
+    open_rows = written(open_rows.select(*columns, F.col("_a.pos").alias("_from"), "_a", "_b"), "open")
+    pools = []
+    by = [*keys, "_from"]
+    px, py, dx, dy = F.col("x") - F.col("_a.x"), F.col("y") - F.col("_a.y"), F.col("_b.x") - F.col("_a.x"), F.col("_b.y") - F.col("_a.y")
+    square = dx * dx + dy * dy
+    share = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (px * dx + py * dy) / F.when(square > 0, square).otherwise(1.0)))
+    ex, ey = px - share * dx, py - share * dy
+    far = ex * ex + ey * ey
+    while True:
+        most = F.max(F.struct(far.alias("far"), (-F.col("pos")).alias("rank"), "x", "y"))
+        found = written(open_rows.groupBy(*by).agg(F.count("*").alias("_n"), most.alias("_most")), "stretches")
+        found = found.withColumn("_small", F.col("_n") <= piece).where(F.col("_small") | (F.col("_most.far") > tolerance * tolerance))
+        found = found.withColumn("_m", F.struct((-F.col("_most.rank")).alias("pos"), "_most.x", "_most.y")).drop("_most")
+        if not found.limit(1).count():
+            break
+        large = found.where("not _small")
+        went = join_by_size(open_rows, found, by, "_n", total).where("_small or pos != _m.pos")
+        left, right = ~F.col("_small") & (F.col("pos") < F.col("_m.pos")), ~F.col("_small") & (F.col("pos") > F.col("_m.pos"))
+        went = went.select(*columns, "_small", F.when(right, F.col("_m")).otherwise(F.col("_a")).alias("_a"), F.when(left, F.col("_m")).otherwise(F.col("_b")).alias("_b"))
+        went = written(went.withColumn("_from", F.col("_a.pos")), "open")
+        pools.append(went.where("_small").drop("_small"))
+        if not large.limit(1).count():
+            break
+        kept.append(stored(flat(large, "_m"), "kept"))
+        open_rows = went.where("not _small").drop("_small")
+    if pools:
+        kept.append(stored(_finished(reduce(DataFrame.unionByName, pools), keys, tolerance, total), "kept"))
+    return spark.read.schema(rows.schema).parquet(*kept)
+
+
+def canvas_points(points: DataFrame, keys: list[str], tolerance: float, region: list[str] | None = None, piece: int = PIECE) -> DataFrame:
+    """Paths given as rows (keys, pos, x, y) on a canvas whose y runs down: keys, pos, x, y, width, height, min_x, max_y.
+
+    One canvas for each value of the ``region`` columns (some of the keys), or one for all. Paths of one point are left out;
+    no path left is an error. All stays rows, so a canvas and its paths may be of any size.
+    """
+    region = region or []
+    kept = written(simplify_points(points, keys, tolerance, piece), "simplified")
+    sizes = written(kept.groupBy(*keys).agg(F.count("*").alias("_n")), "path-sizes")
+    drawn = join_by_size(kept, sizes.where("_n >= 2"), keys, "_n", kept.count()).drop("_n")
+    extent = written(drawn.groupBy(*region).agg(F.count("*").alias("_n"), F.min("x").alias("min_x"), F.max("x").alias("_e"), F.min("y").alias("_s"), F.max("y").alias("max_y")).where("_n > 0"), "canvas-extent")
+    if not extent.limit(1).count():
+        raise ValueError("no boundary has a path")
+    drawn = join_by_size(drawn, extent, region, "_n", kept.count()) if region else drawn.crossJoin(F.broadcast(extent))  # one row without regions
+    return drawn.select(*keys, "pos", (F.col("x") - F.col("min_x")).alias("x"), (F.col("max_y") - F.col("y")).alias("y"), (F.col("_e") - F.col("min_x")).alias("width"), (F.col("max_y") - F.col("_s")).alias("height"), "min_x", "max_y")
+
+
 def simplify_paths(paths: DataFrame, tolerance: float) -> DataFrame:
-    """``paths`` with simplified ``points``; coordinates go to the helper as plain arrays and positions come back."""
+    """``paths`` with simplified ``points``, each path in one row (long ones: ``simplify_points``); coordinates go to the helper as plain arrays and positions come back."""
     if tolerance < 0:
         raise ValueError("the tolerance must not be negative")
 
