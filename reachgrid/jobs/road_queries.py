@@ -12,7 +12,8 @@ from reachgrid.functions.shared import join_by_size, small_side, written
 from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS
 from reachgrid.jobs import road_sql as sql
 from reachgrid.operators import adjacency, boundary, checks, contract, extract, overlay, project, raster, routing, series, summary, survey
-from reachgrid.sources import tables
+from reachgrid.sources import binary, tables
+from reachgrid.sources import regions as region_lists
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -375,6 +376,16 @@ def graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _built(spark, sf_dir)[0].drop("region_id")
 
 
+@query(f"WITH {_INDEXED} SELECT * FROM d")
+def packed_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph in the packed format, chunk by chunk, and its edges read out of those bytes."""
+    nodes, edges = _built(spark, sf_dir)
+    nodes, edges = written(nodes, "nodes"), written(edges, "edges")
+    extent = project.grid_extent(tables.grid_nodes(spark, sf_dir).select("region_id", F.col("x_m").cast("double").alias("easting"), F.col("y_m").cast("double").alias("northing")))
+    chunks = binary.graph_chunks(nodes, edges, extent.withColumn("epsg", F.lit(EPSG)))
+    return binary.read_chunks(written(chunks, "chunks"))[2].drop("file")
+
+
 @query(f"WITH {sql.EDGES} SELECT mode_mask, count(*) AS edges FROM e GROUP BY mode_mask")
 def mode_mask_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summary.mode_mask_counts(_edges(spark, sf_dir))
@@ -773,6 +784,21 @@ def legend_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.legend(cycles).select("cycle_minutes", "band", "label", "note")
 
 
+# Locations: every part is one, named by its brand and numbers.
+@query(
+    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'Zone ' || p_size || lower(p_brand) ELSE 'zone 0' || p_size || p_brand END AS name FROM part),
+    k AS (SELECT p_partkey, list_aggregate(list_transform(regexp_extract_all(lower(name), '[0-9]+|[^0-9]+'), lambda x: CASE WHEN x SIMILAR TO '[0-9]+' THEN lpad(CAST(length(ltrim(x, '0')) AS VARCHAR), 6, '0') || ltrim(x, '0') ELSE x END), 'string_agg', '') AS key FROM p)
+    SELECT CAST(p_partkey AS BIGINT) AS id, row_number() OVER (ORDER BY key, p_partkey) - 1 AS pos FROM k"""
+)
+def location_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of parts in the natural order of their names, then of their keys."""
+    even = F.col("p_partkey") % 2 == 0
+    size = F.col("p_size").cast("string")
+    name = F.when(even, F.concat(F.lit("Zone "), size, F.lower("p_brand"))).otherwise(F.concat(F.lit("zone 0"), size, "p_brand"))
+    rows = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("id"), region_lists.natural_order(name).alias("key"))
+    return dense_index(rows, [F.col("key"), F.col("id")], "pos").select("id", "pos")
+
+
 # Regions: the grid three times, each way in the one that its id leaves over.
 @query(
     f"""WITH {sql.EDGES}, x AS (SELECT unnest([0, 1, 2]) AS region), used AS (SELECT DISTINCT way_id % 3 AS region, node_id FROM r WHERE way_id IN (SELECT way_id FROM cand)),

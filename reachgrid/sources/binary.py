@@ -1,21 +1,23 @@
 """Packed graph files: 64-byte header, 16-byte nodes, 12-byte edges, little-endian.
 
-Parquet is the store for graphs at scale; a packed file is one region's graph and is
-limited to what its 32-bit offsets reach.
+A packed file is one region's graph and is limited to what its 32-bit offsets reach. It is
+made and read as chunks: runs of records, each with its byte offset, so no task or row
+holds a region. Chunks are an ordinary table; ``write_graph_files`` streams them into files.
 """
 
 from __future__ import annotations
 
 import gzip
 import struct
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.functions.shared import small_side
+from reachgrid.functions.shared import small_side, written
 
 # Fixed values of the format.
 MAGIC = 0x49534F43
@@ -23,6 +25,8 @@ HEAD = "<IBBHIIIIddHHHHfIII"
 NODE = np.dtype([("x_m", "<i4"), ("y_m", "<i4"), ("first_edge_index", "<u4"), ("edge_count", "<u2"), ("flags", "<u2")])
 EDGE = np.dtype([("target_index", "<u4"), ("cost_seconds", "<u2"), ("flags", "<u2"), ("word", "<u4")])
 
+#: Records of a chunk.
+RECORDS = 250_000
 HEADER = (
     "file string, magic long, version int, n_nodes long, n_edges long, n_stops long, n_tedges long, origin_easting double, origin_northing double, "
     "epsg int, grid_width_px int, grid_height_px int, pixel_size_m double, node_offset long, edge_offset long, stop_offset long"
@@ -36,10 +40,6 @@ def pack_word(mask: Column, speed: Column, road_class: Column) -> Column:
     return mask.cast("long") + F.shiftleft(road_class.cast("long"), 8) + F.shiftleft(speed.cast("long"), 16)
 
 
-def _content(data: bytes) -> bytes:
-    return gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data
-
-
 def _head(data: bytes) -> dict:
     if len(data) < 64:
         raise ValueError("a packed graph starts with 64 bytes")
@@ -48,86 +48,174 @@ def _head(data: bytes) -> dict:
     return dict(zip(names, (v[0], v[1], *v[4:13], v[14], *v[15:])))
 
 
-def graph_files(spark: SparkSession, glob: str) -> DataFrame:
-    """file and content of stored graphs."""
-    return spark.read.format("binaryFile").load(glob).select(F.col("path").alias("file"), "content")
+def _node_rows(data: bytes, first: int) -> pd.DataFrame:
+    table = np.frombuffer(data, NODE)
+    return pd.DataFrame({"node_index": np.arange(first, first + len(table))} | {c: table[c].astype(np.int64) for c in NODE.names})
 
 
-def _parsed(files: DataFrame, schema: str, part) -> DataFrame:  # noqa: ANN001
-    def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for file, content in zip(frame["file"], frame["content"]):
-                data = _content(content)
-                for rows in part(data, _head(data)):
-                    rows.insert(0, "file", file)
-                    yield rows
+def _edge_rows(data: bytes, first: int, version: int) -> pd.DataFrame:
+    table = np.frombuffer(data, EDGE)
+    word = table["word"].astype(np.int64) if version >= 2 else np.zeros(len(table), np.int64)
+    fields = {c: table[c].astype(np.int64) for c in EDGE.names[:-1]}
+    return pd.DataFrame({"edge_index": np.arange(first, first + len(table))} | fields | {"mode_mask": word & 255, "maxspeed_kph": word >> 16, "road_class_id": word >> 8 & 255})
+
 
-    return files.mapInPandas(parse, schema)
+def _opened(path: str):  # noqa: ANN202
+    from pyarrow.fs import FileSystem
 
+    store, name = FileSystem.from_uri("file://" + path.removeprefix("file:") if path.startswith("file:/") and not path.startswith("file://") else path)
+    return store, name
 
-def _chunks(n: int, size: int = 500_000) -> Iterator[slice]:
-    for a in range(0, n, size):
-        yield slice(a, min(a + size, n))
 
+def _ranges(rows: DataFrame, schema: str, parse: Callable[[bytes, dict], pd.DataFrame]) -> DataFrame:
+    """``parse`` of the bytes of each row's range (file, at, size and what it needs besides)."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for row in frame.to_dict("records"):
+                store, name = _opened(row["file"])
+                with store.open_input_file(name) as source:
+                    source.seek(row["at"])
+                    data = source.read(row["size"])
+                if data[:2] == b"\x1f\x8b" and row["at"] == 0:
+                    raise ValueError(f"{row['file']} is compressed: unpack it first")
+                if len(data) < row["size"]:
+                    raise ValueError(f"{row['file']} ends before its records do")
+                found = parse(data, row)
+                found.insert(0, "file", row["file"])
+                yield found
+
+    return rows.mapInPandas(read, schema)
+
+
+def _owned(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Edges with the node whose range has them, -1 if none has."""
+    held = nodes.where("edge_count > 0").select("file", F.col("node_index").alias("source_index"), F.explode(F.sequence("first_edge_index", F.col("first_edge_index") + F.col("edge_count") - 1)).alias("edge_index"))
+    rows = edges.join(held, ["file", "edge_index"], "left").withColumn("source_index", F.coalesce("source_index", F.lit(-1)))
+    return rows.select(*[f.split()[0] for f in EDGES.split(", ")])
+
+
+_RAW_EDGES = EDGES.replace("source_index long, ", "")
+
+
+def read_graph_files(spark: SparkSession, glob: str, records: int = RECORDS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, nodes, edges) of stored graphs, read by ranges of records; compressed files are an error (``unpack``)."""
+    files = spark.read.format("binaryFile").load(glob).select(F.col("path").alias("file"), F.lit(0).alias("at"), F.lit(64).alias("size"))
+    header = written(_ranges(files, HEADER, lambda data, _: pd.DataFrame([_head(data)])), "graph-headers")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def runs(count: str, offset: str, width: int) -> DataFrame:
+        parts = header.where(F.col(count) > 0).select("file", "version", offset, count, F.explode(F.sequence(F.lit(0), F.col(count) - 1, F.lit(records))).alias("first"))
+        size = F.least(F.lit(records), F.col(count) - F.col("first")) * width
+        return parts.select("file", "version", "first", (F.col(offset) + F.col("first") * width).alias("at"), size.alias("size")).repartition(n, "file", "first")
+
+    nodes = _ranges(runs("n_nodes", "node_offset", NODE.itemsize), NODES, lambda data, row: _node_rows(data, row["first"]))
+    edges = _ranges(runs("n_edges", "edge_offset", EDGE.itemsize), _RAW_EDGES, lambda data, row: _edge_rows(data, row["first"], row["version"]))
+    return header, nodes, _owned(nodes, edges)
+
+
+CHUNKS = "region_id string, kind string, first long, byte_offset long, content binary"
+
+
+def graph_chunks(nodes: DataFrame, edges: DataFrame, extent: DataFrame, records: int = RECORDS) -> DataFrame:
+    """region_id, kind (head, nodes, edges), first record, byte_offset and content of packed files.
+
+    Indices that are not 0 to n - 1 in a region, and edges out of their owner's range, are errors. An empty graph, with
+    its row in ``extent``, is a header alone.
+    """
+    given = ["epsg", "origin_easting", "origin_northing", "pixel_size_m", "grid_width_px", "grid_height_px"]
+    n = nodes.groupBy("region_id").agg(F.count("*").alias("n_nodes"), F.sum("edge_count").alias("owned"))
+    e = edges.groupBy("region_id").agg(F.count("*").alias("n_edges"))
+    heads = written(extent.select("region_id", *given).join(n, "region_id", "left").join(e, "region_id", "left").fillna(0, ["n_nodes", "owned", "n_edges"]), "graph-sizes")
+    if heads.where("owned != n_edges").limit(1).count():
+        raise ValueError("edge ranges do not fit their owners")
+    sizes = small_side(heads.select("region_id", "n_nodes", "n_edges"))
+    ranges = nodes.select("region_id", F.col("node_index").alias("source_index"), "first_edge_index", "edge_count")
+    own = F.coalesce(F.col("edge_index").between(F.col("first_edge_index"), F.col("first_edge_index") + F.col("edge_count") - 1), F.lit(False))
+    word = pack_word(F.col("mode_mask"), F.col("maxspeed_kph"), F.col("road_class_id"))
+    held = edges.join(ranges, ["region_id", "source_index"], "left").select("region_id", "edge_index", "target_index", "cost_seconds", "flags", word.alias("word"), own.alias("own"))
+
+    def head(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for h in frame.to_dict("records"):
+                at = 64 + NODE.itemsize * h["n_nodes"]
+                first = struct.pack(HEAD, MAGIC, 2, 0, 0, h["n_nodes"], h["n_edges"], 0, 0, h["origin_easting"], h["origin_northing"], h["epsg"], h["grid_width_px"], h["grid_height_px"], 0, h["pixel_size_m"], 64, at, at + EDGE.itemsize * h["n_edges"])
+                yield pd.DataFrame({"region_id": [h["region_id"]], "kind": ["head"], "first": [0], "byte_offset": [0], "content": [first]})
 
-def _nodes(data: bytes, head: dict) -> Iterator[pd.DataFrame]:
-    table = np.frombuffer(data, NODE, head["n_nodes"], head["node_offset"])
-    for s in _chunks(len(table)):
-        rows = pd.DataFrame({c: table[s][c].astype(np.int64) for c in NODE.names})
-        rows.insert(0, "node_index", np.arange(s.start, s.stop))
-        yield rows
+    def packed(rows: DataFrame, kind: str, index: str, count: str, record: np.dtype) -> DataFrame:
+        def pack(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+            part = part.sort_values(index)
+            first, total = int(key[1]) * records, int(part[count].iloc[0])
+            if not np.array_equal(part[index].to_numpy(), np.arange(first, min(first + records, total))):
+                raise ValueError(f"{kind} of {key[0]} are not numbered from 0 on")
+            if "own" in part and not part["own"].all():
+                raise ValueError(f"edge ranges of {key[0]} do not fit their owners")
+            at = 64 + (record.itemsize * first if record is NODE else NODE.itemsize * int(part["n_nodes"].iloc[0]) + record.itemsize * first)
+            data = np.rec.fromarrays([part[c].to_numpy() for c in record.names], dtype=record).tobytes()
+            return pd.DataFrame({"region_id": [key[0]], "kind": [kind], "first": [first], "byte_offset": [at], "content": [data]})
 
+        return rows.join(sizes, "region_id").groupBy("region_id", F.floor(F.col(index) / records).alias("_run")).applyInPandas(pack, CHUNKS)
 
-def _edges(data: bytes, head: dict) -> Iterator[pd.DataFrame]:
-    nodes = np.frombuffer(data, NODE, head["n_nodes"], head["node_offset"])
-    table = np.frombuffer(data, EDGE, head["n_edges"], head["edge_offset"])
-    owner = np.full(len(table), -1, dtype=np.int64)
-    for i in np.flatnonzero(nodes["edge_count"]):
-        owner[nodes["first_edge_index"][i] : nodes["first_edge_index"][i] + nodes["edge_count"][i]] = i
-    for s in _chunks(len(table)):
-        t = table[s]
-        word = t["word"].astype(np.int64) if head["version"] >= 2 else np.zeros(len(t), np.int64)
-        yield pd.DataFrame({
-            "edge_index": np.arange(s.start, s.stop), "source_index": owner[s], "target_index": t["target_index"].astype(np.int64), "cost_seconds": t["cost_seconds"].astype(np.int32),
-            "flags": t["flags"].astype(np.int32), "mode_mask": word & 255, "maxspeed_kph": word >> 16, "road_class_id": word >> 8 & 255,
-        })
+    return heads.mapInPandas(head, CHUNKS).unionByName(packed(nodes, "nodes", "node_index", "n_nodes", NODE)).unionByName(packed(held, "edges", "edge_index", "n_edges", EDGE))
 
 
-def read_graph_binary(files: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(header, nodes, edges) of ``files`` (file, content; content may be gzip)."""
-    return _parsed(files, HEADER, lambda d, h: [pd.DataFrame([h])]), _parsed(files, NODES, _nodes), _parsed(files, EDGES, _edges)
+def read_chunks(chunks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(header, nodes, edges) of chunks of ``graph_chunks`` (version 2); the region is the file."""
 
+    def of(kind: str, schema: str, parse: Callable[[bytes, int], pd.DataFrame]) -> DataFrame:
+        def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for row in frame.to_dict("records"):
+                    found = parse(row["content"], row["first"])
+                    found.insert(0, "file", row["region_id"])
+                    yield found
 
-def encode_graphs(nodes: DataFrame, edges: DataFrame, extent: DataFrame, compress: bool = False) -> DataFrame:
-    """region_id and content: one packed file per region; edges out of their owner's range are an error."""
-    edges = edges.withColumn("word", pack_word(F.col("mode_mask"), F.col("maxspeed_kph"), F.col("road_class_id")))
-    head = ["epsg", "origin_easting", "origin_northing", "pixel_size_m", "grid_width_px", "grid_height_px"]
-    nodes = nodes.join(small_side(extent.select("region_id", *head)), "region_id")
+        return chunks.where(F.col("kind") == kind).mapInPandas(read, schema)
 
-    def pack(key: tuple, n: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
-        n, e = n.sort_values("node_index"), e.sort_values("edge_index")
-        owner = np.repeat(n["node_index"].to_numpy(), n["edge_count"].to_numpy())
-        if len(owner) != len(e) or (owner != e["source_index"].to_numpy()).any():
-            raise ValueError(f"edge ranges of {key[0]} do not fit their owners")
-        table = lambda rows, kind: np.rec.fromarrays([rows[c].to_numpy() for c in kind.names], dtype=kind).tobytes()
-        h = n.iloc[0]
-        at = 64 + NODE.itemsize * len(n)
-        first = struct.pack(HEAD, MAGIC, 2, 0, 0, len(n), len(e), 0, 0, h["origin_easting"], h["origin_northing"], int(h["epsg"]), int(h["grid_width_px"]), int(h["grid_height_px"]), 0, h["pixel_size_m"], 64, at, at + EDGE.itemsize * len(e))
-        data = first + table(n, NODE) + table(e, EDGE)
-        return pd.DataFrame({"region_id": [key[0]], "content": [gzip.compress(data, mtime=0) if compress else data]})
+    nodes = of("nodes", NODES, _node_rows)
+    return of("head", HEADER, lambda data, _: pd.DataFrame([_head(data)])), nodes, _owned(nodes, of("edges", _RAW_EDGES, lambda data, first: _edge_rows(data, first, 2)))
 
-    return nodes.groupBy("region_id").cogroup(edges.groupBy("region_id")).applyInPandas(pack, "region_id string, content binary")
 
+def write_graph_files(chunks: DataFrame, folder: str, suffix: str = ".bin", compress: bool = False) -> None:
+    """One file per region in a shared folder or store, from chunks in the order of their offsets.
 
-def write_graph_files(files: DataFrame, folder: str, suffix: str = ".bin") -> None:
-    """One file per region in a shared folder or store."""
+    A task streams a region's chunks, one at a time in memory, to a name of its own, which is moved when whole: a task
+    that is run again leaves no half file. With ``compress`` the stream is one gzip member.
+    """
 
     def save(rows) -> None:  # noqa: ANN001
-        from pyarrow.fs import FileSystem
+        from itertools import groupby
+
+        for region, own in groupby(rows, key=lambda r: r["region_id"]):
+            store, base = _opened(folder)
+            name, at = f"{base}/{region}{suffix}", 0
+            draft = f"{name}.{uuid.uuid4().hex}"
+            with store.open_output_stream(draft, compression=None) as raw:
+                out = gzip.GzipFile(filename="", mode="wb", fileobj=raw, mtime=0) if compress else raw
+                for row in own:
+                    if row["byte_offset"] != at:
+                        raise ValueError(f"chunks of {region} leave a gap at byte {at}")
+                    out.write(bytes(row["content"]))
+                    at += len(row["content"])
+                if compress:
+                    out.close()
+            store.move(draft, name)
+
+    chunks.repartition("region_id").sortWithinPartitions("region_id", "byte_offset").foreachPartition(save)
 
-        store, base = FileSystem.from_uri(folder)
-        for row in rows:
-            with store.open_output_stream(f"{base}/{row['region_id']}{suffix}", compression=None) as out:
-                out.write(bytes(row["content"]))
 
-    files.foreachPartition(save)
+def unpack(spark: SparkSession, glob: str, folder: str) -> None:
+    """Compressed files as plain ones in ``folder``, streamed, under their names without .gz."""
+
+    def save(rows) -> None:  # noqa: ANN001
+        for row in rows:
+            store, name = _opened(row["file"])
+            to, base = _opened(folder)
+            final = f"{base}/{name.rsplit('/', 1)[-1].removesuffix('.gz')}"
+            draft = f"{final}.{uuid.uuid4().hex}"
+            with store.open_input_file(name) as raw, gzip.GzipFile(fileobj=raw) as source, to.open_output_stream(draft, compression=None) as out:
+                while data := source.read(1 << 22):
+                    out.write(data)
+            to.move(draft, final)
+
+    spark.read.format("binaryFile").load(glob).select(F.col("path").alias("file")).foreachPartition(save)

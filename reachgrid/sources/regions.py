@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 REQUIRED = ("id", "name", "graphFileName", "boundaryFileName", "locationRelation", "subdivisionAdminLevel", "epsg")
@@ -57,8 +57,30 @@ def location_manifest(regions: DataFrame) -> DataFrame:
     return regions.select("id", F.to_json(row).alias("value"))
 
 
+def collation(spark: SparkSession, locale: str) -> str:
+    """Name of the collation of a locale's language without case and accents, the root's if it has none."""
+    asked = f"{locale.replace('_', '-').split('-')[0].lower()}_CI_AI"
+    has = spark.sql("SELECT name FROM collations()").where(F.col("name") == asked).limit(1).count()
+    return asked if has else "UNICODE_CI_AI"
+
+
+def natural_order(name: Column, collation: str = "UNICODE_CI_AI") -> Column:
+    """Key by which names sort: letters by collation, runs of digits by the numbers they make ("Zone 2" before "Zone 10").
+
+    A number is led by how many digits it has, in six places, without zeros before it; null stays null.
+    """
+    def part(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 6, "0"), digits)).otherwise(x)
+
+    return F.collate(F.array_join(F.transform(F.regexp_extract_all(name, F.lit("[0-9]+|[^0-9]+"), 0), part), ""), collation)
+
+
 def localized_locations(regions: DataFrame, locale: str) -> DataFrame:
-    """id, name, display_name in a locale: its own name, else that of its language, else the canonical one."""
+    """id, name, display_name in a locale: its own name, else that of its language, else the canonical one.
+
+    In the natural order of the locale's language: neither case nor accents count, numbers by value; then by id likewise.
+    """
     if regions.where("coalesce(trim(id), '') = '' or coalesce(trim(name), '') = ''").limit(1).count():
         raise ValueError("a location needs an id and a name")
     if regions.groupBy("id").count().where("count > 1").limit(1).count():
@@ -66,7 +88,7 @@ def localized_locations(regions: DataFrame, locale: str) -> DataFrame:
     key = locale.lower().replace("_", "-")
     names = F.col("localized_names")
     shown = F.coalesce(names[key], names[key.split("-")[0]], F.col("name"))
-    return regions.select("id", "name", shown.alias("display_name")).orderBy(F.lower("display_name"), F.lower("id"))
+    return regions.select("id", "name", shown.alias("display_name")).orderBy(*[natural_order(F.col(c), collation(regions.sparkSession, locale)) for c in ("display_name", "id")])
 
 
 def resolve_location(locations: DataFrame, asks: DataFrame, default: str | None = None) -> DataFrame:

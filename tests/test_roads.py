@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import json
 import math
 import random
@@ -278,19 +279,35 @@ def test_boundaries(spark, tmp_path):
             call()
 
 
-def test_packed_graphs(spark):
+def test_packed_graphs(spark, tmp_path):
     g = built(spark, [way(1, [1, 2, 3], highway="tertiary", maxspeed="80")], {1: (0, 0), 2: (10, 0), 3: (20, 0)})
     extent = spark.createDataFrame([("r", 25833, 392000.0, 5820000.0, 10.0, 3, 1)], "region_id string, epsg int, origin_easting double, origin_northing double, pixel_size_m double, grid_width_px int, grid_height_px int")
-    for compress in (False, True):
-        files = binary.encode_graphs(g["nodes"], g["edges"], extent, compress).withColumnRenamed("region_id", "file")
-        header, nodes, edges = binary.read_graph_binary(files)
+    made = binary.graph_chunks(g["nodes"], g["edges"], extent, 2)
+    assert sorted((r["kind"], r["byte_offset"], len(r["content"])) for r in made.collect()) == [("edges", 112, 24), ("edges", 136, 24), ("head", 0, 64), ("nodes", 64, 32), ("nodes", 96, 16)]
+    for name, compress in (("plain", False), ("packed", True)):
+        (tmp_path / name).mkdir()
+        binary.write_graph_files(made, f"file://{tmp_path}/{name}", ".bin.gz" if compress else ".bin", compress)
+    assert gzip.decompress((tmp_path / "packed" / "r.bin.gz").read_bytes()) == (tmp_path / "plain" / "r.bin").read_bytes()
+    with pytest.raises(Exception, match="compressed"):
+        binary.read_graph_files(spark, f"{tmp_path}/packed/*.gz")
+    (tmp_path / "again").mkdir()
+    binary.unpack(spark, f"{tmp_path}/packed/*.gz", f"file://{tmp_path}/again")
+    for tables in (binary.read_chunks(made), binary.read_graph_files(spark, f"{tmp_path}/plain/*.bin", 2), binary.read_graph_files(spark, f"{tmp_path}/again/*.bin")):
+        header, nodes, edges = tables
         h = header.first()
         assert (h["version"], h["node_offset"], h["edge_offset"], h["stop_offset"]) == (2, 64, 64 + 48, 64 + 48 + 48)
         assert sorted(map(tuple, edges.drop("file").collect())) == sorted(map(tuple, g["edges"].drop("region_id").collect()))
+        assert nodes.count() == 3
         assert set(checks.stored_graph_violations(header, nodes, edges).drop("file", "bad_header").first()) == {0}
+    alone = binary.graph_chunks(g["nodes"].limit(0), g["edges"].limit(0), extent).collect()
+    assert [(r["kind"], len(r["content"])) for r in alone] == [("head", 64)]
     assert spark.range(1).select(binary.pack_word(F.lit(7), F.lit(50), F.lit(11))).first()[0] == 3279623
+    with pytest.raises(ValueError, match="do not fit"):
+        binary.graph_chunks(g["nodes"], g["edges"].limit(3), extent)
     with pytest.raises(Exception, match="do not fit"):
-        binary.encode_graphs(g["nodes"], g["edges"].limit(3), extent).collect()
+        binary.graph_chunks(g["nodes"], g["edges"].withColumn("source_index", F.lit(0).cast("long")), extent).collect()
+    with pytest.raises(Exception, match="numbered"):
+        binary.graph_chunks(g["nodes"].withColumn("node_index", F.col("node_index") + 1), g["edges"].withColumn("source_index", F.col("source_index") + 1), extent).collect()
     bad = checks.graph_integrity(g["nodes"], edges_of(spark, [(0, 5, 0, 0, 1, 5, 1)])).first()
     assert tuple(bad) == (1, 1)
     with pytest.raises(ValueError):
@@ -327,6 +344,12 @@ def test_regions(spark, tmp_path):
     manifest = {x["id"]: json.loads(x["value"]) for x in regions.location_manifest(rows).collect()}
     assert "localizedNames" not in manifest["a"] and manifest["k"]["localizedNames"]["de"] == "Köln"
     assert [x["display_name"] for x in regions.localized_locations(rows, "de_DE").collect()] == ["Athens", "Köln"]
+    names = ["Zone 10", "zone 2", "Zone 02b", "eclair", "Éclair", "Ecuador", "Zürich", "Zug", "a 7", "A 07", ""]
+    many = spark.createDataFrame([(f"n{i}", x, None) for i, x in enumerate(names)], "id string, name string, localized_names map<string, string>").where("name != ''")
+    order = [x["name"] for x in regions.localized_locations(many, "en").collect()]
+    assert order == ["a 7", "A 07", "eclair", "Éclair", "Ecuador", "zone 2", "Zone 02b", "Zone 10", "Zug", "Zürich"]
+    swedish = spark.createDataFrame([("1", "Öland", None), ("2", "Zeta", None), ("3", "Oslo", None)], many.schema)
+    assert [x["id"] for x in regions.localized_locations(swedish, "sv_SE").collect()] == ["3", "2", "1"] and [x["id"] for x in regions.localized_locations(swedish, "xx").collect()] == ["1", "3", "2"]
     (tmp_path / "twice.json").write_text(json.dumps([entry, entry]))
     with pytest.raises(ValueError):
         regions.load_regions(spark, str(tmp_path / "twice.json"))
