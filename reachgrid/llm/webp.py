@@ -817,28 +817,57 @@ def _greens(samples: np.ndarray, width: int) -> bytes:
 
 #: Four samples make an ARGB pixel in images that are so wide; all others hold samples in green.
 ARGB_WIDTH = 16
-_TRIED = 1 << 12
+#: Bits of the colour cache, and the share of the green file under which ARGB pixels are expected to come to be tried.
+_CACHE_BITS, _WORTH = 6, 7 / 8
+
+
+def _information(counts: np.ndarray) -> float:
+    """Bits that symbols of such counts take at least, with about three for each symbol's code length."""
+    c = counts[counts > 0].astype(np.float64)
+    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum() + 3 * len(c)) if len(c) else 0.0
+
+
+def _channel_bits(channels: np.ndarray) -> float:
+    counts = np.bincount((channels + (np.arange(4) << 8)).ravel(), minlength=1024).reshape(4, 256)
+    return sum(map(_information, counts))
+
+
+def _cached_bits(argb: np.ndarray) -> float:
+    """As ``_channel_bits``, where a pixel that is still in its slot of the colour cache is one symbol."""
+    pixels = argb.ravel()
+    slot = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - _CACHE_BITS)
+    order = np.argsort(slot, kind="stable")
+    again = (pixels[order[1:]] == pixels[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]])
+    hit = np.zeros(len(pixels), dtype=bool)
+    hit[order[1:][again]] = True
+    channels = _channels(argb).reshape(-1, 4)
+    first = np.bincount(np.where(hit, 256 + slot, channels[:, 1]))
+    rest = channels[~hit]
+    return _information(first) + sum(_information(np.bincount(rest[:, i])) for i in (0, 2, 3) if len(rest))
 
 
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
     """A lossless WebP file of the 8-bit ``samples``, row by row; ``width`` is a multiple of 8 other than 16.
 
-    Up to 4 KiB in which half of the groups of four samples have been seen before, and that copies do not bring under an
-    eighth, are also tried as ARGB pixels, and the smallest file is taken.
+    They are held as green values, or as ARGB pixels of four. Contents choose, whatever their length: from the information of
+    channels, of the pixels that the colour cache does not have, and of differences to the left, ARGB pixels are tried
+    as they are, or as residuals of predictors, also with cross-colour, where they promise to save an eighth; the smallest
+    file is taken. What copies bring under an eighth of its samples is small enough.
     """
     best = _greens(samples, width)
-    if len(samples) <= _TRIED and len(samples) % (4 * ARGB_WIDTH) == 0 and 8 * len(best) > len(samples):
-        argb = np.ascontiguousarray(samples).view("<u4").reshape(-1, ARGB_WIDTH)
-        if 2 * len(np.unique(argb)) <= argb.size:
-            if len(whole := encode(argb, (), 6)) < len(best):
-                best = whole
-            modes = best_modes(argb, 3)
-            rest = predictor(argb, modes, 3, False)
-            # Residuals are worth a trial where more of them are alike than of the pixels.
-            if len(np.unique(rest)) < len(np.unique(argb)):
-                steps = ((PREDICTOR, modes, 3), (CROSS_COLOUR, best_factors(rest, 4), 4))
-                best = min([best, *(encode(argb, t, 6) for t in (steps[:1], steps))], key=len)
-    return best
+    if len(samples) % (4 * ARGB_WIDTH) or len(samples) > 4 * ARGB_WIDTH * MAX_SIDE or 8 * len(best) <= len(samples):
+        return best
+    argb = np.ascontiguousarray(samples).view("<u4").reshape(-1, ARGB_WIDTH)
+    promised = 8 * len(best) * _WORTH
+    found = [best]
+    if _cached_bits(argb) < promised:
+        found.append(encode(argb, (), _CACHE_BITS))
+    channels = _channels(argb).reshape(-1, 4)
+    if _channel_bits(channels - np.roll(channels, 1, axis=0)) < promised:
+        modes = best_modes(argb, 3)
+        steps = ((PREDICTOR, modes, 3), (CROSS_COLOUR, best_factors(predictor(argb, modes, 3, False), 4), 4))
+        found += [encode(argb, t, _CACHE_BITS) for t in (steps[:1], steps)]
+    return min(found, key=len)
 
 
 def decode_samples(data: bytes) -> np.ndarray:

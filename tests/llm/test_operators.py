@@ -235,11 +235,20 @@ def test_webp_round_trips():
                 webp._BOTH_CODES = both
 
 
+def tinted() -> np.ndarray:
+    """Pixels whose red and blue follow a noisy green."""
+    green = np.random.default_rng(5).integers(0, 256, 16 * 400)
+    return np.stack([green // 2, green, green, np.full_like(green, 255)], axis=1).astype(np.uint8)
+
+
 def test_webp_uses_its_tools_where_they_save():
     prose_ = media.payload(prose(9, 3000))
     cases = {
         "plain": (media.payload(prose(8, 40)), set()), "copies": (prose_ + prose_[:-64], {"back-references"}), "few": (media.payload("".join(random.Random(2).choice("abc") for _ in range(9600))), {"palette"}),
         "pixels": (media.payload("".join(random.Random(i % 40).choice("abcdefghijklmnopqrstuvwxyz") * 2 + f"{i % 40:02d}" for i in random.Random(1).choices(range(40), k=600))), {"colour cache"}),
+        "long pixels": (media.payload("".join(random.Random(i % 40).choice("abcdefghijklmnopqrstuvwxyz") * 2 + f"{i % 40:02d}" for i in random.Random(1).choices(range(40), k=20_000))), {"colour cache"}),
+        "long walk": (np.repeat(100 + np.cumsum(np.random.default_rng(3).integers(-1, 2, 16 * 600)) % 120, 4).astype(np.uint8).tobytes(), {"predictor"}),
+        "tinted": (tinted().tobytes(), {"predictor", "cross-colour"}),
         "walk": (np.repeat(100 + np.cumsum(np.random.default_rng(3).integers(-1, 2, 16 * 60)), 4).astype(np.uint8).tobytes(), {"predictor"}),
     }
     for data, wanted in cases.values():
@@ -274,7 +283,27 @@ def test_media_reads_back(docs, empty):
         full = data + b"\0" * (-len(data) % 64 or (0 if data else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(data), len(full), zlib.crc32(full[-64:])) and r["payload_sha256"] == hashlib.sha256(full).hexdigest()
     assert media.digests(media.pixels(media.stored(empty))).collect() == []
-    assert media.from_media(media.to_media(b"ab" * 900_032)) == b"ab" * 900_032
+    # Over an image's samples: further images, each by its own content.
+    walk = np.repeat(100 + np.cumsum(np.random.default_rng(3).integers(-1, 2, 16 * 60)), 4).astype(np.uint8).tobytes()
+    for long in (b"ab" * 900_032, b"ab" * 524_288 + walk):
+        held = media.to_media(long)
+        assert media.from_media(held) == long and len(list(media.images(held))) == 2
+
+
+def test_pixels_are_written_and_batches_cut_by_bytes(spark, tmp_path):
+    import pyarrow as pa
+
+    texts = ["x" * 70, "", "Größe " * 200_000, "y" * 3_000_000, "z", None]
+    data = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    media.write_pixels(media.pixels(media.stored(data)), str(tmp_path / "pixels"))
+    back = {r["doc_id"]: r["images"] for r in spark.read.parquet(str(tmp_path / "pixels")).collect()}
+    for i, text in enumerate(texts):
+        held = b"".join(webp.samples_of(np.frombuffer(x["argb"], "<u4").reshape(x["height"], x["width"])).tobytes() for x in back[i])
+        assert held == media.payload(text or "") and len(back[i]) == max(1, -(-len(held) // (1 << 20)))
+    sizes = [10, 5 << 20, 1, 1, 3 << 20, 3 << 20, 0]
+    batch = pa.RecordBatch.from_arrays([pa.array(sizes)], names=["n"])
+    cut = [b.column(0).to_pylist() for b in media._slices([batch, batch.slice(0, 0)], lambda b: b.column(0).to_pylist())]
+    assert sum(cut, []) == sizes and all(sum(c) - max(c) <= 1 << 22 for c in cut)
 
 
 def test_tokens_equal_whole_encoding():
