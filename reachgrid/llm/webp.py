@@ -537,16 +537,16 @@ def _write_lengths(w: Writer, lengths: dict[int, int]) -> None:
     codes = canonical(own)
     used = max(i for i, s in enumerate(LENGTH_ORDER) if s in own)
     w.put(max(4, used + 1) - 4, 4)
-    for s in LENGTH_ORDER[: max(4, used + 1)]:
-        w.put(own.get(s, 0), 3)
+    shown = LENGTH_ORDER[: max(4, used + 1)]
+    w.put(sum(own.get(s, 0) << 3 * i for i, s in enumerate(shown)), 3 * len(shown))
     w.put(1, 1)  # the number of tokens follows
     n = max(2, len(tokens))
     size = max(2, (n - 2).bit_length() + (n - 2).bit_length() % 2)
     w.put((size - 2) // 2, 3)
     w.put(n - 2, size)
     for s, extra, bits in tokens:
-        w.put(*codes[s])
-        w.put(extra, bits)
+        code, n = codes[s]
+        w.put(code | extra << n, n + bits)
     if len(tokens) < 2:
         w.put(*codes[tokens[0][0]])
 
@@ -819,31 +819,33 @@ def _greens(samples: np.ndarray, width: int) -> bytes:
 ARGB_WIDTH = 16
 #: Bits of the colour cache, and the share of the green file under which ARGB pixels are expected to come to be tried.
 _CACHE_BITS, _WORTH = 6, 7 / 8
+_CHANNEL = np.arange(4, dtype=np.uint16) << 8
 
 
 def _information(counts: np.ndarray) -> float:
-    """Bits that symbols of such counts take at least, with about three for each symbol's code length."""
-    c = counts[counts > 0].astype(np.float64)
-    return float(c.sum() * np.log2(c.sum()) - (c * np.log2(c)).sum() + 3 * len(c)) if len(c) else 0.0
+    """Bits that symbols of such counts (a row per code) take at least, with about three for each symbol's code length."""
+    c = counts.astype(np.float64)
+    total = c.sum(axis=-1)
+    return float((total * np.log2(np.maximum(total, 1))).sum() - (c * np.log2(np.maximum(c, 1))).sum() + 3 * np.count_nonzero(counts))
 
 
-def _channel_bits(channels: np.ndarray) -> float:
-    counts = np.bincount((channels + (np.arange(4) << 8)).ravel(), minlength=1024).reshape(4, 256)
-    return sum(map(_information, counts))
+def _channel_counts(channels: np.ndarray) -> np.ndarray:
+    return np.bincount((channels + _CHANNEL).ravel(), minlength=1024).reshape(4, 256)
 
 
 def _cached_bits(argb: np.ndarray) -> float:
-    """As ``_channel_bits``, where a pixel that is still in its slot of the colour cache is one symbol."""
+    """Bits of literals, where a pixel that is still in its slot of the colour cache is one symbol."""
     pixels = argb.ravel()
-    slot = (pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - _CACHE_BITS)
+    slot = ((pixels * np.uint32(CACHE_FACTOR)) >> np.uint32(32 - _CACHE_BITS)).astype(np.uint8)
     order = np.argsort(slot, kind="stable")
-    again = (pixels[order[1:]] == pixels[order[:-1]]) & (slot[order[1:]] == slot[order[:-1]])
+    sorted_pixels = pixels[order]
+    # Equal pixels have equal slots, and lie next to each other if no other came between.
     hit = np.zeros(len(pixels), dtype=bool)
-    hit[order[1:][again]] = True
-    channels = _channels(argb).reshape(-1, 4)
-    first = np.bincount(np.where(hit, 256 + slot, channels[:, 1]))
-    rest = channels[~hit]
-    return _information(first) + sum(_information(np.bincount(rest[:, i])) for i in (0, 2, 3) if len(rest))
+    hit[order[1:][sorted_pixels[1:] == sorted_pixels[:-1]]] = True
+    counts = _channel_counts(_channels(argb).reshape(-1, 4)[~hit])
+    cached = np.bincount(slot[hit], minlength=256)[:256]
+    first = np.concatenate([counts[1], cached])
+    return _information(counts[[0, 2, 3]]) + _information(first[None])
 
 
 def encode_samples(samples: np.ndarray, width: int) -> bytes:
@@ -862,8 +864,7 @@ def encode_samples(samples: np.ndarray, width: int) -> bytes:
     found = [best]
     if _cached_bits(argb) < promised:
         found.append(encode(argb, (), _CACHE_BITS))
-    channels = _channels(argb).reshape(-1, 4)
-    if _channel_bits(channels - np.roll(channels, 1, axis=0)) < promised:
+    if _information(_channel_counts(np.diff(_channels(argb).reshape(-1, 4), axis=0))) < promised:
         modes = best_modes(argb, 3)
         steps = ((PREDICTOR, modes, 3), (CROSS_COLOUR, best_factors(predictor(argb, modes, 3, False), 4), 4))
         found += [encode(argb, t, _CACHE_BITS) for t in (steps[:1], steps)]
