@@ -237,15 +237,28 @@ def _lists(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray]:
     return out
 
 
+def _dealt_join(pairs: DataFrame, side: str, held: DataFrame, keys: str, hot: DataFrame) -> DataFrame:
+    """``pairs`` with the sorted keys of their text ``side``; texts of ``hot`` (text_id, parts) go to each of their parts."""
+    other = "b" if side == "a" else "a"
+    one, few = F.lit(1), F.broadcast(hot)
+    rows = pairs.join(few.select(F.col("text_id").alias(side), "parts"), side, "left")
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(other, F.lit(11)), F.coalesce("parts", one)).cast("int")).drop("parts")
+    texts = held.join(few, "text_id", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", one) - 1)))
+    return rows.join(texts.select(F.col("text_id").alias(side), "salt", F.col("keys").alias(keys)), [side, "salt"]).drop("salt")
+
+
 def verified(pairs: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) -> DataFrame:
     """``pairs`` (a, b: text_ids) whose weighted Jaccard similarity is at least ``threshold``.
 
-    Keys of texts of pairs only are shuffled; a text of many pairs is a skewed join that
-    is split at run time.
+    Keys of texts of pairs only are shuffled. A text of more than ``2 * SPREAD`` pairs, as a pivot of a large
+    group is, has its pairs dealt into parts of about ``SPREAD`` and its keys sent once to each part.
     """
     broadcast = pairs.sparkSession.sparkContext.broadcast(weights)
-    left = held.select(F.col("text_id").alias("a"), F.col("keys").alias("_left"))
-    right = held.select(F.col("text_id").alias("b"), F.col("keys").alias("_right"))
+    pairs = written(pairs, "pairs")
+    # Not more than MOST_SPREAD texts can have so many pairs.
+    large = max(2 * SPREAD, 2 * pairs.count() // MOST_SPREAD)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("text_id")).groupBy("text_id").agg(F.count("*").alias("n"))
+    hot = written(ends.where(F.col("n") > large).select("text_id", F.ceil(F.col("n") / SPREAD).cast("int").alias("parts")), "hot-texts")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -253,7 +266,7 @@ def verified(pairs: DataFrame, held: DataFrame, weights: np.ndarray, threshold:
             out = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(found)], names=["a", "b", "similarity"])
             yield out.filter(pa.array(found >= threshold))
 
-    both = pairs.join(left, "a").join(right, "b").select("a", "b", "_left", "_right")
+    both = _dealt_join(_dealt_join(pairs, "a", held, "_left", hot), "b", held, "_right", hot).select("a", "b", "_left", "_right")
     return both.mapInArrow(compare, "a string, b string, similarity double")
 
 
@@ -261,20 +274,25 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     """node, root: the least node that each linked node is connected to.
 
     Every round takes the least root among a node's neighbours, and then the
-    root's root. All of it is joins and sums over written tables.
+    root's root. All of it is joins and sums over written tables; roots of nodes with many
+    links, and of many nodes, are joined by broadcast, so no hub meets its rows in one task.
+    Least roots spread twice as far each round, so ``max_rounds`` is far more than any
+    table needs; classes that have not settled by then are an error.
     """
     edges = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "edges")
-    roots = written(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root")), "roots")
+    first = edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root"), F.count("*").alias("degree"))
+    roots = written(first, "roots")
     for _ in range(max_rounds):
-        near = edges.join(roots.select(F.col("node").alias("y"), F.col("root").alias("_near")), "y").groupBy(F.col("x").alias("node")).agg(F.min("_near").alias("_near"))
-        step = roots.join(near, "node").select("node", "root", F.least("root", "_near").alias("_new"))
-        over = roots.select(F.col("node").alias("_new"), F.col("root").alias("_over"))
-        step = step.join(over, "_new", "left").select("node", "root", F.least(F.col("_new"), F.coalesce("_over", "_new")).alias("_new"))
+        side = roots.select(F.col("node").alias("y"), F.col("root").alias("_near"), "degree")
+        near = left_join_hot(edges, side, "y", "degree").groupBy(F.col("x").alias("node")).agg(F.min("_near").alias("_near"))
+        step = written(roots.join(near, "node").select("node", "root", F.least("root", "_near").alias("_new"), "degree"), "nearer")
+        over = roots.select(F.col("node").alias("_new"), F.col("root").alias("_over")).join(step.groupBy("_new").agg(F.count("*").alias("n")), "_new")
+        step = left_join_hot(step, over, "_new", "n").select("node", "root", F.least(F.col("_new"), F.coalesce("_over", "_new")).alias("_new"), "degree")
         step = written(step, "roots")
         moved = step.where(F.col("root") != F.col("_new")).limit(1).count()
-        roots = step.select("node", F.col("_new").alias("root"))
+        roots = step.select("node", F.col("_new").alias("root"), "degree")
         if not moved:
-            return roots
+            return roots.drop("degree")
     raise RuntimeError(f"classes did not settle in {max_rounds} rounds")
 
 
@@ -461,8 +479,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int
     per_text = rows.groupBy("text_id").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     per_text = per_text.join(found, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     per_text = written(per_text.withColumn("links", F.coalesce("links", F.lit(0)).cast("long")), "texts")
-    per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"))
-    table = written(per_text.join(per_class, "root").select("text_id", "class_id", "copies", "links"), "classes")
+    per_class = per_text.groupBy("root").agg(F.min("least").alias("class_id"), F.count("*").alias("n"))
+    table = written(left_join_hot(per_text, per_class, "root", "n").select("text_id", "class_id", "copies", "links"), "classes")
     return left_join_hot(rows, table, "text_id", "copies").select("doc_id", "class_id", "copies", "links")
 
 
