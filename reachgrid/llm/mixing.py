@@ -11,7 +11,7 @@ task sweeps its sorted rows, and one sum per task gives what came before it.
 
 Defined results: a null text has size 0; null sources form one source, last in
 the order; documents of size 0 are taken with 0 words; sources of size 0 have
-target 0; repeated rows are separate documents; copies that finish at one time go by
+target 0; repeated rows are separate documents, also where all have one doc_id or none; copies that finish at one time go by
 epoch, hash, doc_id and size; long texts are counted whole; other columns of any name
 are kept by ``mixed_documents`` and not read; an empty table gives no rows.
 """
@@ -27,9 +27,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reachgrid.functions.numbering import bucketed, running_total
 from reachgrid.functions.shared import written
-from reachgrid.llm.common import WORD, documents, small_or_shuffled
+from reachgrid.llm.common import BROADCAST_ROWS, WORD, documents, left_join_hot
 
 #: How often a document may be repeated, and so the most a source can give.
 MAX_EPOCHS = 3
@@ -102,13 +101,16 @@ def schedule(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -
     budget = targets.agg(F.sum("source_size")).first()[0] or 0
     # Sources are joined by a key without nulls.
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    # Counted, then broadcast if small; else a shuffle join, whose hot source is split at run time.
-    side = small_or_shuffled(targets.select(key.alias("_key"), "n_docs", "source_size", "target"))
+    side = written(swept(targets.select(key.alias("_key"), "n_docs", "source_size", "target"), [F.col("_key")], ["source_size"]), "starts")
+    rows = sizes.withColumn("_key", key)
+    small = side.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = rows.join(F.broadcast(side), "_key") if small else left_join_hot(rows, side, "_key", "n_docs")
     digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = sizes.withColumn("_key", key).join(side, "_key").withColumn("shuffle", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
-    rows = bucketed(rows, ["_key"], F.shiftright("shuffle", 29), F.col("n_docs"))
-    rows = running_total(rows, ["_key"], [F.col("shuffle"), F.col("doc_id"), F.col("size")], "size", "served")
-    return rows.drop("_bucket", "n_docs", "_key"), budget
+    rows = rows.withColumn("shuffle", F.conv(F.substring(digest, 1, 15), 16, 10).cast("long"))
+    # Source by source; the row's number deals even rows of one doc_id over the tasks.
+    rows = swept(rows, [F.col(c) for c in ("_key", "shuffle", "doc_id", "size", "row")], ["size"])
+    served = F.col("before_size") + F.col("size") - F.col("before_source_size")
+    return rows.withColumn("served", served).drop("before_size", "before_source_size", "n_docs", "_key"), budget
 
 
 def mix(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
