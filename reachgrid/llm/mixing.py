@@ -122,7 +122,7 @@ def mix(sizes: DataFrame, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> Dat
     rows, budget = schedule(sizes, max_epochs, seed)
     each = F.array(*[F.struct(F.lit(k).alias("epoch"), _finish(k).alias("finish")) for k in range(max_epochs)])
     items = rows.withColumn("_copy", F.explode(each)).select("row", "doc_id", "source", "size", "source_size", "target", "shuffle", "_copy.epoch", "_copy.finish")
-    items = swept(items, [F.col(c) for c in ("finish", "epoch", "shuffle", "doc_id", "size")], ["size"])
+    items = swept(items, [F.col(c) for c in ("finish", "epoch", "shuffle", "doc_id", "size", "row")], ["size"])
     left = F.lit(budget) - F.col("before_size")
     taken = F.when((left > 0) | (left == 0) & (F.col("size") == 0), F.least("size", left))
     return items.withColumn("taken", taken).drop("before_size", "shuffle")
