@@ -17,7 +17,9 @@ not all with all, so a document costs its length; a group with held members has
 label, so that the shapes of many repeats do not add up against one full number.
 
 Defined results: a null or empty text has no spans; long texts are read whole;
-offsets are code points, ends exclusive; repeated rows are read each.
+offsets are code points, ends exclusive; repeated rows are read each; of equal beliefs
+the label that comes first is taken, none before the kinds; an empty table gives no rows;
+other columns of any name are not read, and ``masked_documents`` keeps them.
 """
 
 from __future__ import annotations

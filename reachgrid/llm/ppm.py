@@ -19,8 +19,8 @@ number are broadcast, all others are joined by shuffle.
 Texts are lower-cased in A-Z first. A text's symbols are its UTF-8 bytes and a
 closing byte 0; before its start stand bytes 0. Defined results: a null text is
 empty; a null doc_id is a training document; without training documents all
-bytes are equally likely; repeated rows are scored each. Words are counted by 64-bit
-hashes.
+bytes are equally likely; repeated rows are scored each; long texts are scored whole;
+other columns of any name are not read; an empty table gives no rows. Words are counted by 64-bit hashes.
 """
 
 from __future__ import annotations
