@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir); its rows are written and are the next one's
 documents. All but the last return the columns of documents.
+
+Defined results: null and empty texts fail the first stage's count of words; null
+doc_ids, repeated rows, ties, long texts and other columns of any name go by what each
+operator's module states; an empty table goes through all stages and gives no rows.
 """
 
 from __future__ import annotations
