@@ -50,15 +50,15 @@ def layout_violations(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def stored_graph_violations(header: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Per file: bad header, targets out of range, and (version 2) masks of 0 or speeds outside 1 to 200."""
+    """Per file: bad header, targets out of range, and (from version 2 on) masks of 0 or speeds outside 1 to 200."""
     head = header.select("file", "version", "n_nodes", "n_edges", (
-        (F.col("magic") != 0x49534F43) | ~F.col("version").isin(1, 2) | (F.col("node_offset") != 64) | (F.col("edge_offset") != 64 + 16 * F.col("n_nodes"))
+        (F.col("magic") != 0x49534F43) | ~F.col("version").isin(1, 2, 3) | (F.col("node_offset") != 64) | (F.col("edge_offset") != 64 + 16 * F.col("n_nodes"))
     ).alias("bad_header"))
     rows = edges.join(head.select("file", "version", "n_nodes"), "file")
     sums = rows.groupBy("file").agg(
         F.count_if((F.col("target_index") < 0) | (F.col("target_index") >= F.col("n_nodes"))).alias("bad_targets"),
-        F.count_if((F.col("version") == 2) & (F.col("mode_mask") == 0)).alias("no_mode"),
-        F.count_if((F.col("version") == 2) & ~F.col("maxspeed_kph").between(1, 200)).alias("bad_speeds"),
+        F.count_if((F.col("version") >= 2) & (F.col("mode_mask") == 0)).alias("no_mode"),
+        F.count_if((F.col("version") >= 2) & ~F.col("maxspeed_kph").between(1, 200)).alias("bad_speeds"),
     )
     return head.select("file", "bad_header").join(sums, "file", "left").fillna(0)
 
