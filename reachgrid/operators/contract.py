@@ -131,12 +131,17 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges
 
 
-def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> tuple[DataFrame, DataFrame]:
+def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limit: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without pass-through nodes, dense indices anew. Regions go together: their graphs do not touch."""
+    return _reindexed(*merged_graph(nodes, edges, max_rounds, limit), limit)
+
+
+def merged_graph(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limit: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without pass-through nodes under the indices that they had; of equal edges all may be there."""
     columns = [*EDGE_KEY, "cost_seconds"]
     edges = written(edges.select(*columns), "contracting")
     candidates = written(merge_candidates(nodes, edges), "candidates")
-    removed, new = merge_chains(candidates, edges)
+    removed, new = merge_chains(candidates, edges, limit)
     removed = written(removed, "removed")
     if removed.limit(1).count():
         edges = written(_without(edges, removed).select(*columns).unionByName(new.select(*columns)), "contracting")
@@ -144,14 +149,14 @@ def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -
         alive = nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti")
         candidates = written(merge_candidates(alive, edges), "candidates")
         if not candidates.limit(1).count():
-            return _reindexed(alive, edges)
-        plan = written(merge_plan(candidates, edges), "plan")
+            return alive, edges
+        plan = written(merge_plan(candidates, edges, limit), "plan")
         ready = candidates.join(plan.select("node").distinct(), "node", "left_semi")
         # A hash that changes each turn, told apart by the index.
         rank = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         ranked = written(ready.withColumn("rank", rank), "ready")
         if not ranked.limit(1).count():
-            return _reindexed(alive, edges)
+            return alive, edges
         near = ranked.select(F.col("node").alias("near"), F.col("rank").alias("near_rank"))
         sides = ranked.select("node", "rank", F.explode(F.array("low", "high")).alias("near")).join(near, "near", "left")
         beaten = sides.where(F.col("near_rank") < F.col("rank")).select("node").distinct()
@@ -162,11 +167,16 @@ def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -
     raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
 
 
-def _reindexed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+def least_edges(edges: DataFrame, limit: int = MAX_COST) -> DataFrame:
+    """One edge per key with the least cost, at most ``limit``."""
+    return edges.groupBy(*EDGE_KEY).agg(F.least(F.min("cost_seconds"), F.lit(limit)).alias("cost_seconds"))
+
+
+def _reindexed(nodes: DataFrame, edges: DataFrame, limit: int) -> tuple[DataFrame, DataFrame]:
     """Dense indices of what is left; one edge per key with the least cost."""
     kept = dense_index(nodes.drop("first_edge_index", "edge_count"), [F.col("node_index")], "_new")
     ids = kept.select("node_index", "_new", "region_id")
-    rows = edges.groupBy(*EDGE_KEY).agg(F.least(F.min("cost_seconds"), F.lit(MAX_COST)).alias("cost_seconds"))
+    rows = least_edges(edges, limit)
     rows = rows.join(ids.select(F.col("node_index").alias("source_index"), F.col("_new").alias("_source"), "region_id"), "source_index")
     rows = rows.join(ids.select(F.col("node_index").alias("target_index"), F.col("_new").alias("_target")), "target_index")
     rows = rows.drop("source_index", "target_index").withColumnsRenamed({"_source": "source_index", "_target": "target_index"})
