@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side is broadcast.
@@ -44,6 +44,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
 
 
+def once(**columns: Column) -> Column:
+    """``columns`` through a generator, so that what several later expressions read is not worked out at each use."""
+    return F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()])))
+
+
+def released(*tables: DataFrame) -> None:
+    """Delete ``written`` tables that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {file.rpartition("/")[0] for file in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_side(df: DataFrame, rows: int = SMALL) -> DataFrame:
     """``df`` with a broadcast hint if it is counted at ``rows`` or fewer, else as it is."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

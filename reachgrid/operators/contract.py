@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions.costs import MAX_COST
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import released, written
 from reachgrid.functions.tags import PROTECTED_FLAG
 from reachgrid.operators.adjacency import EDGE_KEY
 
@@ -74,7 +74,9 @@ def chain_ranks(links: DataFrame) -> DataFrame:
         ahead = rows.select(F.col("u").alias("last"), F.col("v").alias("end"), F.col("last").alias("_last"), F.col("end").alias("_end"), F.col("steps").alias("_steps"), F.col("cost").alias("_cost"), F.col("done").alias("_done"))
         more = rows.where("not done").join(ahead, ["last", "end"])
         more = more.select("u", "v", "hop", F.col("_last").alias("last"), F.col("_end").alias("end"), (F.col("steps") + F.col("_steps")).alias("steps"), (F.col("cost") + F.col("_cost")).alias("cost"), F.col("_done").alias("done"))
-        rows = written(rows.where("done").unionByName(more), "chain-links")
+        longer = written(rows.where("done").unionByName(more), "chain-links")
+        released(rows)
+        rows = longer
         left = rows.where("not done").count()
     return rows.where("done").drop("done")
 
@@ -106,6 +108,7 @@ def merge_chains(candidates: DataFrame, edges: DataFrame, limit: int = MAX_COST)
         F.when(keeps, -1).otherwise(piece(F.col("head.cost") + F.col("tail.hop"))).alias("next_piece"),
     )
     on = written(on.withColumn("stays", F.col("piece") != F.col("next_piece")), "chain-nodes")
+    released(ranks)
     hops = on.select("chain", "piece", "pos", F.col("before").alias("a"), F.col("v").alias("b"))
     hops = hops.unionByName(on.where("tail.steps = 1").select("chain", F.col("next_piece").alias("piece"), (F.col("pos") + 1).alias("pos"), F.col("v").alias("a"), F.col("tail.end").alias("b")))
     turned = lambda back, a, b: F.struct(F.lit(back).alias("back"), F.col(a).alias("source_index"), F.col(b).alias("target_index"))
@@ -144,7 +147,9 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limi
     removed, new = merge_chains(candidates, edges, limit)
     removed = written(removed, "removed")
     if removed.limit(1).count():
-        edges = written(_without(edges, removed).select(*columns).unionByName(new.select(*columns)), "contracting")
+        left = written(_without(edges, removed).select(*columns).unionByName(new.select(*columns)), "contracting")
+        released(edges, new, candidates)
+        edges = left
     for turn in range(max_rounds):
         alive = nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti")
         candidates = written(merge_candidates(alive, edges), "candidates")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from reachgrid.functions.shared import once
 from reachgrid.functions.tags import CONSTRAINT_TAGS, ROUTABLE_HIGHWAYS
 
 
@@ -13,8 +14,8 @@ def walkable_ways(elements: DataFrame, highways: tuple[str, ...] | None = None)
     refs = F.filter("nodes", lambda x: x.isNotNull())
     ways = elements.where((F.col("type") == "way") & F.col("id").isNotNull() & F.col("tags")["highway"].isin(*(highways or ROUTABLE_HIGHWAYS)))
     return ways.where(F.size(refs) >= 2).select(
-        "region_id", F.col("id").alias("way_id"), F.col("seq").alias("way_seq"), F.col("tags")["highway"].alias("highway"), refs.alias("node_ids"),
-        F.map_filter("tags", lambda k, v: k.isin(*CONSTRAINT_TAGS) & v.isNotNull()).alias("constraints"),
+        "region_id", F.col("id").alias("way_id"), F.col("seq").alias("way_seq"),
+        once(highway=F.col("tags")["highway"], node_ids=refs, constraints=F.map_filter("tags", lambda k, v: k.isin(*CONSTRAINT_TAGS) & v.isNotNull())),
     )
 
 
@@ -31,9 +32,11 @@ def _placed_nodes(elements: DataFrame) -> DataFrame:
     return elements.where((F.col("type") == "node") & F.col("id").isNotNull() & F.col("lat").isNotNull() & F.col("lon").isNotNull())
 
 
-def node_coords(elements: DataFrame, refs: DataFrame) -> DataFrame:
-    """Coordinates of referenced nodes; of several the last in the file."""
-    nodes = _placed_nodes(elements).select("region_id", F.col("id").alias("node_id"), "lat", "lon", "seq").join(refs, ["region_id", "node_id"], "left_semi")
+def node_coords(elements: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """Coordinates of referenced nodes, of all without ``refs``; of several the last in the file."""
+    nodes = _placed_nodes(elements).select("region_id", F.col("id").alias("node_id"), "lat", "lon", "seq")
+    if refs is not None:
+        nodes = nodes.join(refs, ["region_id", "node_id"], "left_semi")
     last = nodes.groupBy("region_id", "node_id").agg(F.max_by(F.struct("lat", "lon"), "seq").alias("_at"))
     return last.select("region_id", "node_id", "_at.lat", "_at.lon")
 
@@ -54,8 +57,7 @@ def connector_nodes(elements: DataFrame) -> DataFrame:
 
 def complete_ways(ways: DataFrame, nodes: DataFrame) -> DataFrame:
     """Ways all of whose nodes have coordinates."""
-    held = way_refs(ways).join(nodes.select("region_id", "node_id", F.lit(True).alias("_there")), ["region_id", "node_id"], "left")
-    missing = held.where(F.col("_there").isNull()).select("region_id", "way_id").distinct()
+    missing = way_refs(ways).join(nodes, ["region_id", "node_id"], "left_anti").select("region_id", "way_id").distinct()
     return ways.join(missing, ["region_id", "way_id"], "left_anti")
 
 

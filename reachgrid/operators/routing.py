@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from reachgrid.functions.costs import edge_cost_seconds, edge_ticks
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import stored, written
+from reachgrid.functions.shared import once, stored, written
 from reachgrid.operators.overlay import ground_cells, overlay_field
 
 #: Rows up to which a side is broadcast; rounds after which deltas are merged.
@@ -19,7 +19,7 @@ CROWD = 64
 
 def mode_edges(edges: DataFrame, mask: int) -> DataFrame:
     """Edges that the modes of ``mask`` may use, with ticks and seconds."""
-    rows = edges.withColumn("seconds", edge_cost_seconds(mask)).where(F.col("seconds").isNotNull())
+    rows = edges.select("edge_index", "source_index", "target_index", once(seconds=edge_cost_seconds(mask))).where(F.col("seconds").isNotNull())
     return rows.select("edge_index", "source_index", "target_index", edge_ticks(F.col("seconds")).alias("ticks"), "seconds")
 
 
@@ -47,10 +47,9 @@ def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], l
     gives the same times in more rounds. Unreached nodes have no row.
     """
     limit = None if limit_seconds is None else int(limit_seconds * 1000)
-    own = None
-    for mask in masks:
-        rows = mode_edges(edges, mask).where("ticks > 0").select(F.lit(mask).alias("mode_mask"), "source_index", "target_index", "ticks")
-        own = rows if own is None else own.unionByName(rows)
+    # One pass over the edges for all masks.
+    each = F.array(*[F.struct(F.lit(m).alias("mode_mask"), edge_ticks(edge_cost_seconds(m)).alias("ticks")) for m in masks])
+    own = edges.select("source_index", "target_index", F.inline(each)).where("ticks > 0")
     own = written(own.groupBy("mode_mask", "source_index", "target_index").agg(F.min("ticks").alias("ticks")), "mode-edges")
     starts = sources.select("source_id").distinct().withColumn("mode_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
     field = _field(own, starts, limit, max_rounds, cells)
@@ -140,9 +139,9 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame, eligible: DataFrame | Non
     so that a far point costs levels, not the empty cells on the way. Points or nodes without coordinates count for nothing.
     """
     if eligible is not None:
-        near = nearest_nodes(points, nodes.join(eligible, "node_index", "left_semi"), cell=cell)
-        other = nearest_nodes(points.join(near, "point_id", "left_anti"), nodes, cell=cell)
-        return near.unionByName(other)
+        near = written(nearest_nodes(points, nodes.join(eligible, "node_index", "left_semi"), cell=cell), "near-eligible")
+        rest = points.join(near, "point_id", "left_anti")
+        return near.unionByName(nearest_nodes(rest, nodes, cell=cell)) if rest.limit(1).count() else near
     where = ["point_id", "x", "y"]
     points = points.select(*where).where("x is not null and y is not null")
     # Of nodes at one place only the lowest index can be nearest.

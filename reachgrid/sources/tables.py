@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import once, written
 from reachgrid.functions.tags import ROAD_CLASSES
 
 REGION = "grid"
@@ -75,6 +75,18 @@ def _tags() -> Column:
     return F.map_filter(F.map_from_entries(entries), lambda _, v: v.isNotNull())
 
 
+def _none() -> list[Column]:
+    points = "array<struct<lat:double,lon:double>>"
+    return [F.lit(None).cast(t).alias(n) for n, t in (("geometry", points), ("members", f"array<struct<type:string,ref:bigint,role:string,geometry:{points}>>"))]
+
+
+def way_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ways among the elements, not written."""
+    refs = grid_refs(spark, sf_dir).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    ways = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(refs, F.col("o_orderkey") == F.col("way_id"), "left")
+    return ways.select(F.lit(REGION).alias("region_id"), (F.col("o_orderkey") + 10_000_000).alias("seq"), F.lit("way").alias("type"), F.col("o_orderkey").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", once(tags=_tags()), *_none())
+
+
 def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The network as map elements: nodes with coordinates and connector tags, ways with references and tags.
 
@@ -85,11 +97,5 @@ def elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     tags = F.map_concat(
         some(size.isin(0, 4), "barrier", "gate"), some(size == 1, "highway", "crossing"), some(size == 2, "railway", "level_crossing"), some(size.isin(3, 4), "entrance", "yes")
     )
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("geometry", "array<struct<lat:double,lon:double>>"), ("members", "array<struct<type:string,ref:bigint,role:string,geometry:array<struct<lat:double,lon:double>>>>"))]
-    nodes = grid_nodes(spark, sf_dir).select("region_id", F.col("node_id").alias("seq"), F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", "lon", F.lit(None).cast("array<bigint>").alias("nodes"), tags.alias("tags"), *none)
-    refs = grid_refs(spark, sf_dir).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
-    ways = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(refs, F.col("o_orderkey") == F.col("way_id"), "left")
-    ways = ways.select(F.lit(REGION).alias("region_id"), (F.col("o_orderkey") + 10_000_000).alias("seq"), F.lit("way").alias("type"), F.col("o_orderkey").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", _tags().alias("tags"), *none)
-    return written(nodes.unionByName(ways), "elements")
-
-
+    nodes = grid_nodes(spark, sf_dir).select("region_id", F.col("node_id").alias("seq"), F.lit("node").alias("type"), F.col("node_id").alias("id"), "lat", "lon", F.lit(None).cast("array<bigint>").alias("nodes"), tags.alias("tags"), *_none())
+    return written(nodes.unionByName(way_elements(spark, sf_dir)), "elements")
