@@ -13,10 +13,11 @@ def walkable_ways(elements: DataFrame, highways: tuple[str, ...] | None = None)
     """Ways with an allowed highway value and two references or more, with their constraint tags."""
     refs = F.filter("nodes", lambda x: x.isNotNull())
     ways = elements.where((F.col("type") == "way") & F.col("id").isNotNull() & F.col("tags")["highway"].isin(*(highways or ROUTABLE_HIGHWAYS)))
-    return ways.where(F.size(refs) >= 2).select(
+    rows = ways.select(
         "region_id", F.col("id").alias("way_id"), F.col("seq").alias("way_seq"),
         once(highway=F.col("tags")["highway"], node_ids=refs, constraints=F.map_filter("tags", lambda k, v: k.isin(*CONSTRAINT_TAGS) & v.isNotNull())),
     )
+    return rows.where(F.size("node_ids") >= 2)
 
 
 def way_refs(ways: DataFrame) -> DataFrame:

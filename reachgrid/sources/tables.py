@@ -6,8 +6,6 @@ the grid, and the keys of orders and customers decide the tags.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,7 +50,8 @@ def grid_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _tags() -> Column:
     """Map of the tags whose rule matches."""
     o, c = F.col("o_orderkey"), F.col("o_custkey")
-    pick = lambda key, n, values: reduce(lambda rest, kv: F.when(key % n == kv[0], kv[1]).otherwise(rest), values.items(), F.lit(None).cast("string"))
+    # A place in a constant array: chains of conditions make code too long to be compiled.
+    pick = lambda key, n, values: F.get(F.array(*[F.lit(values.get(i)).cast("string") for i in range(n)]), (key % n).cast("int"))
     speeds = ["50", "30 mph", "walk", "none", "50;70", "signals;30", "abc", "80 km/h", "20kph", "7.5"]
     values = {
         "highway": F.get(F.array(*[F.lit(h) for h in ROAD_CLASSES]), (F.floor(o / 4) % 15).cast("int")),
@@ -82,7 +81,7 @@ def _none() -> list[Column]:
 
 def way_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ways among the elements, not written."""
-    refs = grid_refs(spark, sf_dir).groupBy("way_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
+    refs = grid_refs(spark, sf_dir).groupBy("way_id").agg(F.sort_array(F.collect_list(F.struct("pos", "node_id")))["node_id"].alias("nodes"))
     ways = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").join(refs, F.col("o_orderkey") == F.col("way_id"), "left")
     return ways.select(F.lit(REGION).alias("region_id"), (F.col("o_orderkey") + 10_000_000).alias("seq"), F.lit("way").alias("type"), F.col("o_orderkey").alias("id"), F.lit(None).cast("double").alias("lat"), F.lit(None).cast("double").alias("lon"), "nodes", once(tags=_tags()), *_none())
 
