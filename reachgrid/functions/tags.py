@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,21 +55,26 @@ def has(c: Column, key: str) -> Column:
     return F.coalesce(F.map_contains_key(c, key), F.lit(False))
 
 
-def way_disallowed(c: Column) -> Column:
+def way_disallowed(c: Column, read: Callable[[str], Column] | None = None) -> Column:
     """Foot denies; else foot allows; else access denies. Closes the way to all modes."""
-    foot, access = tag(c, "foot"), tag(c, "access")
+    read = read or (lambda key: tag(c, key))
+    foot, access = read("foot"), read("access")
     return F.coalesce(F.when(foot.isin(*DENY), True).when(foot.isin(*ALLOW), False).when(access.isin(*DENY), True), F.lit(False))
 
 
-def mode_mask(highway: Column, c: Column) -> Column:
-    """Modes a way is open to: defaults by highway, cycleways, access, then mode tags from general to special."""
+def mode_mask(highway: Column, c: Column, read: Callable[[str], Column] | None = None) -> Column:
+    """Modes a way is open to: defaults by highway, cycleways, access, then mode tags from general to special.
+
+    ``read`` gives tags that have been put in lower case and trimmed before.
+    """
+    read = read or (lambda key: tag(c, key))
     bits = lambda names, bit: F.when(highway.isin(*names), bit).otherwise(0)
     mask = bits(WALK_HIGHWAYS, WALK) + bits(BIKE_HIGHWAYS, BIKE) + bits(CAR_HIGHWAYS, CAR)
     mask = mask.bitwiseOR(F.when(has(c, "cycleway"), BIKE).otherwise(0))
-    access = tag(c, "access")
+    access = read("access")
     mask = F.when(access.isin(*DENY), 0).when(access.isin(*ALLOW), 7).otherwise(mask)
     for key, bit in (("foot", WALK), ("bicycle", BIKE), ("vehicle", BIKE | CAR), ("motor_vehicle", CAR)):
-        value = tag(c, key)
+        value = read(key)
         # Bits taken off, then bits put on; the mask stands once in each step.
         mask = mask.bitwiseAND(F.when(value.isin(*DENY), 7 & ~bit).otherwise(7)).bitwiseOR(F.when(value.isin(*ALLOW), bit).otherwise(0))
     return mask.cast("int")
@@ -77,13 +84,16 @@ def parse_maxspeed(raw: Column) -> Column:
     """km/h of a speed tag; the first readable part of a list counts, none readable is 0."""
     value = F.lower(F.trim(raw))
 
-    def part(token: Column) -> Column:
-        token = F.trim(token)
-        number = F.regexp_extract(token, SPEED_TOKEN, 1)
-        kph = F.when(F.regexp_extract(token, SPEED_TOKEN, 2) == "mph", number.try_cast("double") * 1.60934).otherwise(number.try_cast("double"))
-        return F.when(token.isin(*NO_SPEED), 0).when(number != "", F.least(F.bround(kph, 0), F.lit(65535)).cast("int"))
+    # Step by step, so that each part of a list is trimmed and matched once.
+    parts = F.transform(F.split(value, r"[;|]"), lambda t: F.trim(t))
+    matched = F.transform(parts, lambda t: F.struct(t.alias("token"), F.regexp_extract(t, SPEED_TOKEN, 1).alias("number"), F.regexp_extract(t, SPEED_TOKEN, 2).alias("unit")))
+
+    def kph(m: Column) -> Column:
+        number = m["number"].try_cast("double")
+        exact = F.when(m["unit"] == "mph", number * 1.60934).otherwise(number)
+        return F.when(m["token"].isin(*NO_SPEED), 0).when(m["number"] != "", F.least(F.bround(exact, 0), F.lit(65535)).cast("int"))
 
-    read = F.filter(F.transform(F.split(value, r"[;|]"), part), lambda x: x.isNotNull())
+    read = F.filter(F.transform(matched, kph), lambda x: x.isNotNull())
     return F.when(value.isin(*WALK_SPEED), 5).otherwise(F.coalesce(F.get(read, F.lit(0)), F.lit(0)))
 
 
@@ -93,11 +103,16 @@ def fallback_speed(highway: Column, mask: Column) -> Column:
     return F.coalesce(F.greatest(of(WALK, lookup(highway, WALK_KPH, 5)), of(BIKE, lookup(highway, BIKE_KPH)), of(CAR, lookup(highway, CAR_KPH))), F.lit(0))
 
 
-def edge_speed(c: Column, read: Column, usual: Column, forward: bool) -> Column:
-    """A tag for the direction replaces the general one (``read``), readable or not; 0 goes to the usual speed."""
+def direction_speed(c: Column, forward: bool) -> Column:
+    """km/h of the tag for a direction, 0 if it is not readable; null without one."""
     key = "maxspeed:forward" if forward else "maxspeed:backward"
-    own = F.when(has(c, key), parse_maxspeed(c[key])).otherwise(read)
-    return F.coalesce(F.nullif(own, F.lit(0)), usual).cast("int")
+    return F.when(has(c, key), parse_maxspeed(c[key]))
+
+
+def edge_speed(own: Column, read: Column, usual: Column) -> Column:
+    """A tag for the direction (``own``) replaces the general one (``read``), readable or not; 0 goes to the usual speed."""
+    speed = F.coalesce(own, read)
+    return F.when(speed > 0, speed).otherwise(usual).cast("int")
 
 
 def road_class(highway: Column) -> Column:

@@ -40,11 +40,14 @@ def grid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def grid_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """way_id, pos, node_id: a way starts at its first line's part and goes east or south."""
     _, w = grid(spark, sf_dir)
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    lines = lines.withColumn("pos", (F.row_number().over(order) - 1).cast("long"))
-    step = F.when(F.col("pos") == 0, F.col("l_partkey")).when(F.col("l_suppkey") % 2 == 0, 1).otherwise(w)
-    return lines.select(F.col("l_orderkey").alias("way_id"), "pos", F.sum(step).over(Window.partitionBy("l_orderkey").orderBy("pos")).alias("node_id"))
+    # One order for all: places and sums come from a single sort.
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    step = F.when(F.col("l_suppkey") % 2 == 0, 1).otherwise(w)
+    at, begin, steps = F.row_number().over(order), F.first("l_partkey").over(order), F.sum(step).over(order) - F.first(step).over(order)
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("way_id"), at.cast("long").alias("_at"), begin.alias("_begin"), steps.alias("_steps"))
+    # A start without a part counts as 0 further on, as in a sum.
+    node = F.when(F.col("_at") == 1, F.col("_begin")).otherwise(F.coalesce("_begin", F.lit(0)) + F.col("_steps"))
+    return lines.select("way_id", (F.col("_at") - 1).alias("pos"), node.cast("long").alias("node_id"))
 
 
 def _tags() -> Column:
@@ -70,8 +73,8 @@ def _tags() -> Column:
         "maxspeed:forward": pick(c, 8, {0: "30", 1: "bad"}),
         "maxspeed:backward": pick(c, 8, {0: "20"}),
     }
-    entries = F.array(*[F.struct(F.lit(k), v) for k, v in values.items()])
-    return F.map_filter(F.map_from_entries(entries), lambda _, v: v.isNotNull())
+    entries = F.array(*[F.struct(F.lit(k).alias("k"), v.alias("v")) for k, v in values.items()])
+    return F.map_from_entries(F.filter(entries, lambda e: e["v"].isNotNull()))
 
 
 def _none() -> list[Column]:
