@@ -1,10 +1,10 @@
-"""Times over large graphs by an overlay of cells.
+"""Times over large graphs by cells.
 
-Nodes are dealt to cells of bounded size that lie together on the ground. Within each
-cell the times from every entry (a node that an edge from another cell leads to) to every
-exit are worked out once, by tasks of one cell each; an entry's times to the entries of
-neighbouring cells make the overlay's edges. Times from sources are relaxed by joins over
-the overlay, in as many rounds as cells are crossed, not hops. One grouping by cell then
+Nodes are dealt to cells of bounded size that lie together on the ground. Times enter a cell at
+entries (nodes that an edge from another cell leads to, and sources). A round opens only the cells
+in which entries have become earlier: one task a cell takes those times to the cell's exits, and
+a join over the edges between cells takes them on to the next entries. Rounds go with cells
+crossed, not hops, and cells that no time gets to cost nothing but a scan. One grouping by cell then
 takes the times of entries down to all nodes within.
 """
 
@@ -18,11 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import written
+from reachgrid.functions.shared import small_side, written
 
 #: Nodes of a cell, and sources that one task takes down into a cell, about.
-PER_CELL, PER_BUCKET = 1024, 64
-#: Sources or entries whose times are held at once.
+PER_CELL, PER_BUCKET = 8192, 128
+#: Sources whose times are held at once.
 _BLOCK = 256
 _FAR = np.iinfo(np.int64).max // 4
 NODE = ["source_id", "mode_mask", "node_index", "ticks"]
@@ -55,29 +55,33 @@ def _with_cell(rows: DataFrame, node: str, cells: DataFrame | None, name: str) -
     return held.withColumn(name, F.coalesce("_cell", run)).drop("_cell")
 
 
-def _settled(sources: np.ndarray, targets: np.ndarray, ticks: np.ndarray, known: np.ndarray) -> np.ndarray:
+def _settled(sources: np.ndarray, targets: np.ndarray, ticks: np.ndarray, known: np.ndarray, limit: int | None = None) -> np.ndarray:
     """Least times per column of ``known`` (nodes by columns) over edges between places.
 
-    Edges out of nodes that changed are taken all at once, until none changes.
+    Edges out of the places whose time fell in the last turn are taken, until none falls; times over ``limit`` go no further.
     """
-    order = np.argsort(targets, kind="stable")
-    sources, targets, ticks = sources[order], targets[order], ticks[order, None]
+    order = np.argsort(sources, kind="stable")
+    sources, targets, ticks = sources[order], targets[order].astype(np.int64), ticks[order]
+    first = np.searchsorted(sources, np.arange(len(known) + 1))
+    often, most = np.diff(first), _FAR - 1 if limit is None else limit
     for at in range(0, known.shape[1], _BLOCK):
         some = np.ascontiguousarray(known[:, at : at + _BLOCK])
-        changed = (some < _FAR).any(axis=1)
-        while len(live := np.flatnonzero(changed[sources])):
-            heads = np.flatnonzero(np.diff(targets[live], prepend=-1))
-            ends = targets[live[heads]]
-            best = np.minimum.reduceat(some[sources[live]] + ticks[live], heads, axis=0)
-            better = best < some[ends]
-            changed = np.zeros(len(some), dtype=bool)
-            changed[ends] = better.any(axis=1)
-            some[ends] = np.where(better, best, some[ends])
+        width, flat = some.shape[1], some.reshape(-1)
+        front = np.flatnonzero(flat <= most)
+        while len(front):
+            node, column = np.divmod(front, width)
+            n = often[node]
+            edge = np.repeat(first[node] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            to, time = targets[edge] * width + np.repeat(column, n), np.repeat(flat[front], n) + ticks[edge]
+            better = (time < flat[to]) & (time <= most)
+            to = to[better]
+            np.minimum.at(flat, to, time[better])
+            front = np.unique(to)
         known[:, at : at + _BLOCK] = some
     return known
 
 
-# Rows of a cell's task: an edge (from a to b), an entry or a seed (at a), an exit (at a).
+# Rows of a cell's task: an edge (from a to b), a seed (at a), an exit (at a).
 _EDGE, _ENTRY, _EXIT = 0, 1, 2
 
 
@@ -90,22 +94,9 @@ def _places(frame: pd.DataFrame) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarr
     return nodes, (np.searchsorted(nodes, a[inner]), np.searchsorted(nodes, b[inner]), frame["ticks"].to_numpy()[inner])
 
 
-def _crossing(limit: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        nodes, edges = _places(frame)
-        kind, a = frame["kind"].to_numpy(), frame["a"].to_numpy()
-        entries, exits = np.unique(a[kind == _ENTRY]), np.unique(a[kind == _EXIT])
-        known = np.full((len(nodes), len(entries)), _FAR, dtype=np.int64)
-        known[np.searchsorted(nodes, entries), np.arange(len(entries))] = 0
-        times = _settled(*edges, known)[np.searchsorted(nodes, exits)].T
-        row, column = np.nonzero(times <= (_FAR - 1 if limit is None else limit))
-        mask = frame["mode_mask"].iat[0]
-        return pd.DataFrame({"mode_mask": np.full(len(row), mask, np.int32), "entry": entries[row], "exit": exits[column], "ticks": times[row, column]})
+def _down(limit: int | None, exits: bool = False) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Times of a cell's nodes, or of its ``exits`` alone, from its seeds."""
 
-    return run
-
-
-def _down(limit: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         nodes, edges = _places(frame)
         seeds = frame[frame["kind"] == _ENTRY]
@@ -113,7 +104,11 @@ def _down(limit: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
         every, row = np.unique(who, return_inverse=True)
         known = np.full((len(nodes), len(every)), _FAR, dtype=np.int64)
         np.minimum.at(known, (np.searchsorted(nodes, seeds["a"].to_numpy()), row), seeds["ticks"].to_numpy())
-        times = _settled(*edges, known).T
+        times = _settled(*edges, known, limit)
+        if exits:
+            out = np.unique(frame["a"].to_numpy()[frame["kind"].to_numpy() == _EXIT])
+            nodes, times = out, times[np.searchsorted(nodes, out)]
+        times = times.T
         row, column = np.nonzero(times <= (_FAR - 1 if limit is None else limit))
         mask = frame["mode_mask"].iat[0]
         return pd.DataFrame({"source_id": every[row], "mode_mask": np.full(len(row), mask, np.int32), "node_index": nodes[column], "ticks": times[row, column]})
@@ -121,33 +116,46 @@ def _down(limit: int | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return run
 
 
-def overlay_field(edges: DataFrame, starts: DataFrame, limit: int | None, cells: DataFrame | None, relaxed: Callable[[DataFrame, DataFrame, int | None], DataFrame]) -> DataFrame:
+_CELL = ["mode_mask", "cell"]
+
+
+def _opened(seeds: DataFrame, ways: DataFrame, limit: int | None, exits: bool = False) -> DataFrame:
+    """source_id, mode_mask, node_index, ticks in the cells of written ``seeds`` (the same and cell), by tasks of one cell each.
+
+    ``ways``: mode_mask, cell, kind, a, b, ticks of all cells. Sources are dealt into buckets by how many
+    come to the cell, so that no task holds more than some sources, and few sources open a cell once.
+    """
+    parts = int(seeds.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A sketch of the number is enough: it only sets how many buckets there are.
+    come = seeds.groupBy(*_CELL).agg(F.ceil(F.approx_count_distinct("source_id") / PER_BUCKET).cast("int").alias("_buckets"))
+    come = small_side(written(come, "opened"))
+    held = seeds.join(come, _CELL).withColumn("_bucket", F.pmod(F.xxhash64("source_id"), F.col("_buckets")))
+    columns = ["mode_mask", "cell", "kind", "a", "b", "ticks"]
+    down = held.select("mode_mask", "cell", F.lit(_ENTRY).alias("kind"), F.col("node_index").alias("a"), F.col("node_index").alias("b"), "ticks", "source_id", "_bucket")
+    each = ways.join(come, _CELL).select(*columns, F.lit(None).cast("long").alias("source_id"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("_buckets").cast("long") - 1)).alias("_bucket"))
+    # A cell is much work for few bytes: cells stay dealt over all tasks.
+    return each.unionByName(down).repartition(parts, *_CELL, "_bucket").groupBy(*_CELL, "_bucket").applyInPandas(_down(limit, exits), "source_id long, mode_mask int, node_index long, ticks long")
+
+
+def overlay_field(edges: DataFrame, starts: DataFrame, limit: int | None, cells: DataFrame | None, relaxed: Callable[[Callable[[DataFrame], DataFrame], DataFrame, int | None], DataFrame]) -> DataFrame:
     """source_id, mode_mask, node_index, ticks: least times from ``starts`` (source_id, mode_mask).
 
-    ``edges``: mode_mask, source_index, target_index, ticks. ``relaxed`` solves the overlay, whose
-    edges have the same columns. Starts count as entries of their cells.
+    ``edges``: mode_mask, source_index, target_index, ticks. ``relaxed`` takes times from entries to entries in rounds,
+    by a function from a round's times to those that come of them. Starts count as entries of their cells.
     """
-    held = _with_cell(_with_cell(edges, "source_index", cells, "_from"), "target_index", cells, "_to")
+    held = _with_cell(_with_cell(edges.withColumn("mode_mask", F.col("mode_mask").cast("int")), "source_index", cells, "_from"), "target_index", cells, "_to")
     held = written(held, "cell-edges")
     inner, cross = held.where("_from = _to"), held.where("_from != _to")
-    starts = written(_with_cell(starts.select("source_id", "mode_mask", F.col("source_id").alias("node_index")), "node_index", cells, "cell"), "starts")
-    row = lambda kind, cell, a, b=F.lit(None), ticks=F.lit(None): [F.col("mode_mask").cast("int").alias("mode_mask"), F.col(cell).alias("cell"), F.lit(kind).alias("kind"), F.col(a).cast("long").alias("a"), F.coalesce(b, F.col(a)).cast("long").alias("b"), F.coalesce(ticks, F.lit(0)).cast("long").alias("ticks")]
-    within = inner.select(*row(_EDGE, "_from", "source_index", F.col("target_index"), F.col("ticks")))
-    ends = starts.select(*row(_ENTRY, "cell", "node_index")).unionByName(cross.select(*row(_ENTRY, "_to", "target_index"))).unionByName(cross.select(*row(_EXIT, "_from", "source_index"))).distinct()
-    # A cell is much work for few bytes: cells stay dealt over all tasks.
-    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    times = within.unionByName(ends).repartition(parts, "mode_mask", "cell").groupBy("mode_mask", "cell").applyInPandas(_crossing(limit), "mode_mask int, entry long, exit long, ticks long")
-    # An entry's way through its cell and over one edge out of it.
-    out = cross.select("mode_mask", F.col("source_index").alias("exit"), F.col("target_index").alias("_next"), F.col("ticks").alias("_step"))
-    over = times.join(out, ["mode_mask", "exit"]).groupBy("mode_mask", F.col("entry").alias("source_index"), F.col("_next").alias("target_index")).agg(F.min(F.col("ticks") + F.col("_step")).alias("ticks"))
-    entries = relaxed(written(over, "overlay"), starts.select("source_id", "mode_mask"), limit)
-    seeds = written(_with_cell(entries.select(*NODE), "node_index", cells, "cell"), "seeds")
-    # Sources are dealt into buckets, so that no task holds more than some sources in a cell.
-    n = starts.select("source_id").distinct().count()
-    bucket = F.pmod(F.xxhash64("source_id"), F.lit(-(-n // PER_BUCKET) or 1))
-    seeds = seeds.withColumn("_bucket", bucket)
-    reached = seeds.select(F.col("mode_mask").cast("int").alias("mode_mask"), "cell", "_bucket").distinct()
-    down = seeds.select(*row(_ENTRY, "cell", "node_index", ticks=F.col("ticks")), "source_id", "_bucket")
-    ways = within.join(reached, ["mode_mask", "cell"]).select(*within.columns, F.lit(None).cast("long").alias("source_id"), "_bucket")
-    made = ways.unionByName(down).repartition(parts, "mode_mask", "cell", "_bucket").groupBy("mode_mask", "cell", "_bucket").applyInPandas(_down(limit), "source_id long, mode_mask int, node_index long, ticks long")
-    return made.select(*NODE)
+    starts = written(_with_cell(starts.select("source_id", F.col("mode_mask").cast("int").alias("mode_mask"), F.col("source_id").alias("node_index")), "node_index", cells, "cell"), "starts")
+    row = lambda kind, b, ticks: ["mode_mask", F.col("_from").alias("cell"), F.lit(kind).alias("kind"), F.col("source_index").cast("long").alias("a"), F.col(b).cast("long").alias("b"), F.lit(ticks).cast("long").alias("ticks") if ticks is not None else F.col("ticks").cast("long").alias("ticks")]
+    within = inner.select(*row(_EDGE, "target_index", None))
+    crossing = within.unionByName(cross.select(*row(_EXIT, "source_index", 0)).distinct())
+    steps = written(cross.select("mode_mask", F.col("source_index").alias("node_index"), F.col("target_index").alias("_next"), F.col("_to").alias("_cell"), F.col("ticks").alias("_step")), "cell-steps")
+
+    def onward(front: DataFrame) -> DataFrame:
+        """Times of entries that come of ``front`` (NODE and cell), through its cells and over one edge out of them."""
+        out = _opened(front, crossing, limit, exits=True)
+        return out.join(steps, ["mode_mask", "node_index"]).select("source_id", "mode_mask", F.col("_next").alias("node_index"), (F.col("ticks") + F.col("_step")).alias("ticks"), F.col("_cell").alias("cell"))
+
+    entries = relaxed(onward, starts.select("source_id", "mode_mask", "node_index", "cell"), limit)
+    return _opened(written(entries, "seeds"), within, limit).select(*NODE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -47,9 +49,10 @@ def travel_time_fields(edges: DataFrame, sources: DataFrame, masks: list[int], l
     gives the same times in more rounds. Unreached nodes have no row.
     """
     limit = None if limit_seconds is None else int(limit_seconds * 1000)
-    # One pass over the edges for all masks.
-    each = F.array(*[F.struct(F.lit(m).alias("mode_mask"), edge_ticks(edge_cost_seconds(m)).alias("ticks")) for m in masks])
-    own = edges.select("source_index", "target_index", F.inline(each)).where("ticks > 0")
+    # One pass over the edges for all masks; seconds are columns first, so that ticks do not work them out again.
+    own = edges.select("source_index", "target_index", *[edge_cost_seconds(m).alias(f"_s{m}") for m in masks])
+    each = F.array(*[F.struct(F.lit(m).alias("mode_mask"), edge_ticks(F.col(f"_s{m}")).alias("ticks")) for m in masks])
+    own = own.select("source_index", "target_index", F.inline(each)).where("ticks > 0")
     own = written(own.groupBy("mode_mask", "source_index", "target_index").agg(F.min("ticks").alias("ticks")), "mode-edges")
     starts = sources.select("source_id").distinct().withColumn("mode_mask", F.explode(F.array(*[F.lit(m) for m in masks])))
     field = _field(own, starts, limit, max_rounds, cells)
@@ -61,45 +64,37 @@ def travel_time_field(edges: DataFrame, sources: DataFrame, mask: int = 1, limit
 
 
 def _field(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int, cells: DataFrame | None) -> DataFrame:
-    """Least ticks per source, mask and node, by way of the overlay."""
-    return overlay_field(edges, starts, limit, cells, lambda over, begin, most: _relaxed(over, begin, most, max_rounds))
+    """Least ticks per source, mask and node, by way of cells."""
+    return overlay_field(edges, starts, limit, cells, lambda onward, begin, most: _relaxed(onward, begin, most, max_rounds))
+
 
+def _relaxed(onward: Callable[[DataFrame], DataFrame], starts: DataFrame, limit: int | None, max_rounds: int) -> DataFrame:
+    """Least ticks per source, mask, node and cell, from ``starts`` (all but ticks) on.
 
-def _relaxed(edges: DataFrame, starts: DataFrame, limit: int | None, max_rounds: int) -> DataFrame:
-    """Least ticks per source, mask and node. A round writes improvements only; they are merged every few rounds."""
-    keys = ["source_id", "mode_mask", "node_index"]
-    front = starts.select("source_id", "mode_mask", F.col("source_id").alias("node_index"), F.lit(0).cast("long").alias("ticks"))
+    ``onward`` gives the times that come of a round's. A round writes improvements only; they are merged every few rounds.
+    """
+    keys = ["source_id", "mode_mask", "node_index", "cell"]
+    front = starts.select(*keys, F.lit(0).cast("long").alias("ticks"))
     # All deltas are read as one table, so that the plan of each round is the same.
     table = lambda paths: front.sparkSession.read.schema(schema).parquet(*paths)
     least = lambda paths: table(paths).groupBy(*keys).agg(F.min("ticks").alias("ticks"))
     schema, known = front.schema, [stored(front, "front")]
     front = table(known)
-    size = held = front.count()
-    steps = edges.select("mode_mask", F.col("source_index").alias("node_index"), F.col("target_index").alias("_to"), F.col("ticks").alias("_step"))
+    size = front.count()
     for turn in range(1, max_rounds + 1):
         if not size:
             return least(known)
-        small = size <= SMALL_FRONT
-        arrived = steps.join(F.broadcast(front) if small else front, ["mode_mask", "node_index"])
-        arrived = arrived.select("source_id", "mode_mask", F.col("_to").alias("node_index"), (F.col("ticks") + F.col("_step")).alias("ticks"))
+        arrived = onward(front)
         if limit is not None:
             arrived = arrived.where(F.col("ticks") <= limit)
-        before = table(known)
-        if small and held > max(10 * size, SMALL_FRONT):
-            # Only the known times of arrivals are looked up; a hub may make arrivals many, so they are counted.
-            path = stored(arrived.groupBy(*keys).agg(F.min("ticks").alias("ticks")), "arrived")
-            arrived = table([path])
-            looked = arrived.select(*keys)
-            before = before.join(F.broadcast(looked) if arrived.count() <= SMALL_FRONT else looked, keys, "left_semi")
         # Known times and arrivals meet in one aggregation.
         none = F.lit(None).cast("long")
-        every = before.select(*keys, none.alias("ticks"), F.col("ticks").alias("old")).unionByName(arrived.select(*keys, "ticks", none.alias("old")))
+        every = table(known).select(*keys, none.alias("ticks"), F.col("ticks").alias("old")).unionByName(arrived.select(*keys, "ticks", none.alias("old")))
         step = every.groupBy(*keys).agg(F.min("ticks").alias("ticks"), F.min("old").alias("old"))
         better = F.col("ticks").isNotNull() & (F.col("old").isNull() | (F.col("ticks") < F.col("old")))
         known.append(stored(step.where(better).select(*keys, "ticks"), "front"))
         front = table(known[-1:])
         size = front.count()
-        held += size
         if turn % MERGE_EVERY == 0:
             known = [stored(least(known), "field")]
     raise RuntimeError(f"times did not settle in {max_rounds} rounds")
@@ -209,10 +204,23 @@ def min_cost_per_metre(nodes: DataFrame, edges: DataFrame) -> Column | DataFrame
     return rows.agg(F.coalesce(F.min(F.when(metres > 0, F.col("cost_seconds") / metres)), F.lit(0.0)).alias("min_cost_per_metre"))
 
 
-def routes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000) -> DataFrame:
+def route_edges(edges: DataFrame) -> DataFrame:
+    """source_index, target_index, ticks: least whole seconds between two nodes, without loops."""
+    costs = edges.where("source_index != target_index").groupBy("source_index", "target_index").agg(F.min("cost_seconds").cast("long").alias("ticks"))
+    return written(costs, "route-edges")
+
+
+def route_field(costs: DataFrame, starts: DataFrame, limit: int | None = None, max_rounds: int = 10_000, cells: DataFrame | None = None) -> DataFrame:
+    """source_id, node_index, ticks over ``route_edges`` from ``starts`` (source_id), as far as ``limit`` whole seconds."""
+    field = _field(costs.withColumn("mode_mask", F.lit(1)), starts.select("source_id", F.lit(1).alias("mode_mask")).distinct(), limit, max_rounds, cells)
+    return written(field.select("source_id", "node_index", "ticks"), "route-field")
+
+
+def routes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int = 10_000, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """pair_id, pos, osm_id, cost_seconds of the cheapest walk of each pair; ties take the lowest index before.
 
-    ``pairs``: pair_id, start, goal (osm ids). An unknown id and no way through are errors.
+    ``pairs``: pair_id, start, goal (osm ids). An unknown id and no way through are errors. ``known``: ``route_edges`` and
+    the starts' ``route_field`` where they have been worked out, as far as the goals at least.
     """
     held = pairs
     for end in ("start", "goal"):
@@ -220,10 +228,11 @@ def routes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int
     held = written(held, "route-pairs")
     if unknown := held.where("_start is null or _goal is null").limit(1).collect():
         raise ValueError(f"unknown node in pair {unknown[0]['pair_id']}: {unknown[0]['start']}, {unknown[0]['goal']}")
-    costs = written(edges.where("source_index != target_index").groupBy("source_index", "target_index").agg(F.min("cost_seconds").cast("long").alias("ticks")), "route-edges")
-    cells = written(ground_cells(nodes), "cells") if {"x_m", "y_m"} <= set(nodes.columns) else None
-    field = _field(costs.withColumn("mode_mask", F.lit(1)), held.select(F.col("_start").alias("source_id"), F.lit(1).alias("mode_mask")).distinct(), None, max_rounds, cells)
-    field = written(field.select("source_id", "node_index", "ticks"), "route-field")
+    if known is None:
+        costs = route_edges(edges)
+        cells = written(ground_cells(nodes), "cells") if {"x_m", "y_m"} <= set(nodes.columns) else None
+        known = costs, route_field(costs, held.select(F.col("_start").alias("source_id")), None, max_rounds, cells)
+    costs, field = known
     goals = held.select("pair_id", "start", "goal", F.col("_start").alias("source_id"), F.col("_goal").alias("node_index"))
     if lost := goals.join(field, ["source_id", "node_index"], "left_anti").limit(1).collect():
         raise ValueError(f"no way from {lost[0]['start']} to {lost[0]['goal']}")
@@ -248,7 +257,7 @@ def routes(nodes: DataFrame, edges: DataFrame, pairs: DataFrame, max_rounds: int
     return rows.select("pair_id", pos.alias("pos"), "osm_id", F.col("ticks").alias("cost_seconds"))
 
 
-def route(nodes: DataFrame, edges: DataFrame, start: int, goal: int, max_rounds: int = 10_000) -> DataFrame:
+def route(nodes: DataFrame, edges: DataFrame, start: int, goal: int, max_rounds: int = 10_000, known: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """pos, osm_id, cost_seconds of the cheapest walk between two osm ids, as ``routes`` finds it."""
     pair = nodes.sparkSession.createDataFrame([(0, start, goal)], "pair_id int, start long, goal long")
-    return routes(nodes, edges, pair, max_rounds).drop("pair_id")
+    return routes(nodes, edges, pair, max_rounds, known).drop("pair_id")
