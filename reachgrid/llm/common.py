@@ -30,6 +30,11 @@ def small_or_shuffled(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 HOT_SHARE, HOT_ROWS = 100_000, 1_000
 
 
+def hot_rows(total: int) -> int:
+    """Rows over which a key is hot among ``total`` rows."""
+    return max(HOT_ROWS, total // HOT_SHARE)
+
+
 def left_join_hot(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFrame:
     """``rows`` (stored) left-joined with ``side``, which has one row a key and that key's number of rows in ``n``.
 
@@ -37,6 +42,6 @@ def left_join_hot(rows: DataFrame, side: DataFrame, key: str, n: str) -> DataFra
     keys, which are broadcast. All others are joined by shuffle.
     """
     total = side.agg(F.sum(n)).first()[0] or 0
-    hot = F.col(n) > max(HOT_ROWS, total // HOT_SHARE)
+    hot = F.col(n) > hot_rows(total)
     few, rest = F.broadcast(side.where(hot)), side.where(~hot)
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(rest, key, "left"))

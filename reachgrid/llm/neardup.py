@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.functions.shared import written
-from reachgrid.llm.common import documents, left_join_hot, text_or_empty
+from reachgrid.llm.common import documents, hot_rows, left_join_hot, text_or_empty
 from reachgrid.llm.words import MULTIPLIER, mixed, slices, word_hashes
 
 SHINGLE = 5
@@ -282,17 +282,22 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     edges = written(links.select(F.col("a").alias("x"), F.col("b").alias("y")).union(links.select("b", "a")).distinct(), "edges")
     first = edges.groupBy(F.col("x").alias("node")).agg(F.least(F.col("node"), F.min("y")).alias("root"), F.count("*").alias("degree"))
     roots = written(first, "roots")
+    # Degrees stay: without a hub rounds need no plan for hubs.
+    hubs = roots.where(F.col("degree") > hot_rows(edges.count())).limit(1).count()
     for _ in range(max_rounds):
         side = roots.select(F.col("node").alias("y"), F.col("root").alias("_near"), "degree")
-        near = left_join_hot(edges, side, "y", "degree").groupBy(F.col("x").alias("node")).agg(F.min("_near").alias("_near"))
+        near = left_join_hot(edges, side, "y", "degree") if hubs else edges.join(side.drop("degree"), "y")
+        near = near.groupBy(F.col("x").alias("node")).agg(F.min("_near").alias("_near"))
         step = written(roots.join(near, "node").select("node", "root", F.least("root", "_near").alias("_new"), "degree"), "nearer")
-        over = roots.select(F.col("node").alias("_new"), F.col("root").alias("_over")).join(step.groupBy("_new").agg(F.count("*").alias("n")), "_new")
-        step = left_join_hot(step, over, "_new", "n").select("node", "root", F.least(F.col("_new"), F.coalesce("_over", "_new")).alias("_new"), "degree")
-        step = written(step, "roots")
-        moved = step.where(F.col("root") != F.col("_new")).limit(1).count()
+        if not step.where(F.col("root") != F.col("_new")).limit(1).count():
+            # Neighbours have one root, so all of a class do, and its least node is its own.
+            return step.select("node", "root")
+        over = step.where(F.col("node") != F.col("_new")).select(F.col("node").alias("_new"), F.col("_new").alias("_over"))
+        over = written(over.join(step.groupBy("_new").agg(F.count("*").alias("n")), "_new"), "roots-over")
+        if over.limit(1).count():
+            step = left_join_hot(step, over, "_new", "n").select("node", F.least(F.col("_new"), F.coalesce("_over", "_new")).alias("_new"), "degree")
+            step = written(step, "roots")
         roots = step.select("node", F.col("_new").alias("root"), "degree")
-        if not moved:
-            return roots.drop("degree")
     raise RuntimeError(f"classes did not settle in {max_rounds} rounds")
 
 
@@ -308,8 +313,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, n_bands: int = BANDS,
     members = written(_members(banded), "members")
     held = _one_of_each(texts, members.select("text_id").distinct())
     links = written(verified(_with_pivots(members, members, 0), held, weights, threshold), "links")
-    links = _all_links(members, links, held, weights, threshold)
-    roots = components(links)
+    links, roots = _all_links(members, links, held, weights, threshold)
     counts = links.select("a").union(links.select("b")).groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
     return roots.join(counts, "node", "left").select(F.col("node").alias("text_id"), "root", "links")
 
@@ -362,8 +366,8 @@ def _with_pivots(rows: DataFrame, among: DataFrame, turn: int, pivots: int = PIV
     return pairs.select(F.least("text_id", "pivot").alias("a"), F.greatest("text_id", "pivot").alias("b")).distinct()
 
 
-def _all_links(members: DataFrame, links: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float, turns: int = 4) -> DataFrame:
-    """``links`` and those that still join two classes of one band.
+def _all_links(members: DataFrame, links: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float, turns: int = 4) -> tuple[DataFrame, DataFrame]:
+    """(``links`` and those that still join two classes of one band, the roots that all of them give).
 
     While that joins many, texts outside their band's largest class are held against
     further pivots of it. Texts left outside are then held against all texts of their
@@ -380,14 +384,15 @@ def _all_links(members: DataFrame, links: DataFrame, held: DataFrame, weights: n
         top = written(top.select("band", "parts", F.col("_top.root").alias("top"), "n", F.col("_top.n").alias("n_top")), "open-bands")
         left = top.agg(F.sum(F.col("n") * (F.col("n") - F.col("n_top")))).first()[0] or 0
         if not left:
-            return links
+            return links, roots
         rows = _per_band(placed, top)
         if left <= size or turn == turns or before is not None and left > 0.7 * before:
-            return links.union(_block_links(written(rows, "open-members"), held, weights, threshold)).distinct()
+            links = links.union(_block_links(written(rows, "open-members"), held, weights, threshold)).distinct()
+            return links, components(links)
         before = left
         pairs = _with_pivots(rows.where("root != top"), rows.where("root = top"), turn)
         links = written(links.union(verified(pairs, held, weights, threshold)).distinct(), "links")
-    return links
+    return links, components(links)
 
 
 def _block_links(rows: DataFrame, held: DataFrame, weights: np.ndarray, threshold: float) -> DataFrame:

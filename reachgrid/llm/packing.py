@@ -13,7 +13,8 @@ are to be fewer than the incumbent's, and a branch ends when its sequences plus
 lower bound of what is left (total length, and Martello and Toth's bound) reach the
 incumbent; the first incumbent is best-fit decreasing. A filling is used as often as it
 goes or once, after which all fillings are options again. ``max_nodes`` fillings are
-looked at; the incumbent holds then. Below that bound the plan is optimal.
+looked at; the incumbent holds then. Below that bound the plan is optimal. Steps far back
+keep their choice only and find their options again, so memory does not go with the depth.
 
 Defined results: a null text is empty and gives the closing id alone; rows that
 repeat are packed each; long texts are cut into pieces of ``capacity`` and encoded whole;
@@ -27,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Texts are tokenised about so many characters at a time.
 _CHARS = 2_000_000
+#: Steps of the search, from the latest back, that keep the options they have left.
+_ALIVE = 32
 
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
@@ -207,10 +211,10 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 6000
     least = lower_bound(table, capacity)
     seen: dict[bytes, int] = {}
 
-    def options(left: list[int], used: int) -> Iterator[tuple[int, dict[int, int]] | None]:
-        """(how often, filling) around the largest length left: as often as it goes, then once."""
+    def options(left: list[int], used: int, most: int) -> Iterator[tuple[int, dict[int, int]] | None]:
+        """(how often, filling) around the largest length left, for less than ``most`` sequences: as often as it goes, then once."""
         size = next(s for s in range(capacity, 0, -1) if left[s])
-        waste = (fewest - 1 - used) * capacity - sum(s * n for s, n in enumerate(left) if n)
+        waste = (most - 1 - used) * capacity - sum(s * n for s, n in enumerate(left) if n)
         rest = left.copy()
         rest[size] -= 1
         for found in _fillings(rest, capacity - size, waste):
@@ -223,15 +227,32 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 6000
             for many in sorted({1, min(left[s] // n for s, n in filling.items())}, reverse=True):
                 yield many, filling
 
-    # Depth first: (lengths left, sequences so far, plan so far as a linked list, options not tried yet).
-    stack = [(table.tolist(), 0, None, options(table.tolist(), 0))] if fewest > least else []
+    def opened(step: list) -> tuple[list[int], Iterator[tuple[int, dict[int, int]] | None]]:
+        """Lengths left at a step and its options not tried yet, from what the step keeps."""
+        used, chosen, most, tried = step
+        left = table.tolist()
+        while chosen:
+            (many, filling), chosen = chosen
+            for s, n in filling:
+                left[s] -= n * many
+        return left, islice(options(left, used, most), tried, None)
+
+    # Depth first: [sequences so far, plan so far as a linked list, fewest sequences as the step began, options tried].
+    # Options hold far more than that: only the latest steps keep theirs, others find them again when the search is back.
+    stack: list[list] = [[0, None, fewest, 0]] if fewest > least else []
+    alive: dict[int, tuple[list[int], Iterator]] = {}
     nodes = 0
     while stack and fewest > least and nodes < max_nodes:
-        left, used, chosen, rest = stack[-1]
+        depth = len(stack)
+        if depth not in alive:
+            alive[depth] = opened(stack[-1])
+        (left, rest), (used, chosen, *_) = alive[depth], stack[-1]
         option = next(rest, ())
         nodes += 1
+        stack[-1][3] += 1
         if option == ():
             stack.pop()
+            del alive[depth]
         if not option:
             continue
         many, filling = option
@@ -252,7 +273,9 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, max_nodes: int = 6000
         key = hashlib.blake2b(array.tobytes(), digest_size=16).digest()
         if seen.get(key, now + 1) > now:
             seen[key] = now
-            stack.append((next_, now, made, options(next_, now)))
+            stack.append([now, made, fewest, 0])
+            alive[depth + 1] = next_, options(next_, now, fewest)
+            alive.pop(depth + 1 - _ALIVE, None)
     return best
 
 
