@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions.costs import MAX_COST
 from reachgrid.functions.numbering import dense_index
-from reachgrid.functions.shared import released, written
+from reachgrid.functions.shared import released, small_side, written
 from reachgrid.functions.tags import PROTECTED_FLAG
 from reachgrid.operators.adjacency import EDGE_KEY
 
@@ -29,10 +29,19 @@ def protect_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 def merge_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, low, high: unprotected nodes with exactly two neighbours, an edge in and an edge out."""
+    return _candidates_of(nodes, neighbour_pairs(edges))
+
+
+def neighbour_pairs(edges: DataFrame) -> DataFrame:
+    """node, near, o, i: each node's neighbours, and whether an edge goes out to them and comes in; far fewer than edges."""
     ends = edges.where("source_index != target_index")
     out = ends.select(F.col("source_index").alias("node"), F.col("target_index").alias("near"), F.lit(1).alias("o"), F.lit(0).alias("i"))
     into = ends.select(F.col("target_index").alias("node"), F.col("source_index").alias("near"), F.lit(0).alias("o"), F.lit(1).alias("i"))
-    pairs = out.unionByName(into).groupBy("node", "near").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+    return out.unionByName(into).groupBy("node", "near").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+
+
+def _candidates_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``merge_candidates`` from neighbour pairs, each there once."""
     found = pairs.groupBy("node").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high"), F.max("o").alias("o"), F.max("i").alias("i"))
     free = nodes.where(F.col("flags").bitwiseAND(PROTECTED_FLAG) == 0).select(F.col("node_index").alias("node"))
     return found.where("n = 2 and o = 1 and i = 1").select("node", "low", "high").join(free, "node", "left_semi")
@@ -134,6 +143,14 @@ def _without(edges: DataFrame, gone: DataFrame) -> DataFrame:
     return edges
 
 
+def _touching(edges: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Edges with a candidate at an end; few candidates are broadcast, so that edges are read in place."""
+    on = small_side(candidates.select("node"))
+    for end in ("source_index", "target_index"):
+        edges = edges.join(on.select(F.col("node").alias(end), F.lit(True).alias(f"_{end}")), end, "left")
+    return edges.where("_source_index or _target_index").drop("_source_index", "_target_index").select(*EDGE_KEY, "cost_seconds")
+
+
 def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limit: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without pass-through nodes, dense indices anew. Regions go together: their graphs do not touch."""
     return _reindexed(*merged_graph(nodes, edges, max_rounds, limit), limit)
@@ -150,24 +167,33 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limi
         left = written(_without(edges, removed).select(*columns).unionByName(new.select(*columns)), "contracting")
         released(edges, new, candidates)
         edges = left
+    # Rounds change little: edges are written once, and only neighbour pairs, nodes gone and edges made since go from round to round.
+    pairs, gone, made = written(neighbour_pairs(edges), "neighbours"), removed.limit(0), edges.limit(0)
     for turn in range(max_rounds):
         alive = nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti")
-        candidates = written(merge_candidates(alive, edges), "candidates")
+        candidates = written(_candidates_of(alive, pairs), "candidates")
         if not candidates.limit(1).count():
-            return alive, edges
-        plan = written(merge_plan(candidates, edges, limit), "plan")
+            return alive, _without(edges, gone).select(*columns).unionByName(made) if turn else edges
+        touching = written(_without(_touching(edges, candidates), gone).select(*columns).unionByName(_touching(made, candidates)), "touching")
+        plan = written(merge_plan(candidates, touching, limit), "plan")
         ready = candidates.join(plan.select("node").distinct(), "node", "left_semi")
         # A hash that changes each turn, told apart by the index.
         rank = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         ranked = written(ready.withColumn("rank", rank), "ready")
         if not ranked.limit(1).count():
-            return alive, edges
+            return alive, _without(edges, gone).select(*columns).unionByName(made) if turn else edges
         near = ranked.select(F.col("node").alias("near"), F.col("rank").alias("near_rank"))
         sides = ranked.select("node", "rank", F.explode(F.array("low", "high")).alias("near")).join(near, "near", "left")
         beaten = sides.where(F.col("near_rank") < F.col("rank")).select("node").distinct()
         chosen = written(ranked.select("node").join(beaten, "node", "left_anti"), "chosen")
-        new = plan.join(chosen, "node", "left_semi").select(*columns)
-        edges = written(_without(edges, chosen).select(*columns).unionByName(new), "contracting")
+        new = written(plan.join(chosen, "node", "left_semi").select(*columns), "new-edges")
+        made = written(_without(made, chosen).select(*columns).unionByName(new), "made-edges")
+        kept = pairs.join(chosen, "node", "left_anti").join(chosen.select(F.col("node").alias("near")), "near", "left_anti").select("node", "near", "o", "i")
+        kept = kept.unionByName(neighbour_pairs(new)).groupBy("node", "near").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+        left = written(kept, "neighbours")
+        released(pairs, touching)
+        pairs = left
+        gone = written(gone.unionByName(chosen), "gone")
         removed = written(removed.unionByName(chosen), "removed")
     raise RuntimeError(f"contraction did not end in {max_rounds} rounds")
 
