@@ -33,6 +33,7 @@ from itertools import islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,15 +53,15 @@ _ALIVE = 32
 PIECE = "doc_id {id}, piece int, start long, length long, ids_crc32 long"
 
 
-def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
+def _slices(sizes: list[int]) -> Iterator[tuple[int, int]]:
     at, size = 0, 0
-    for i, text in enumerate(texts):
-        size += len(text)
+    for i, own in enumerate(sizes):
+        size += own
         if size >= _CHARS:
             yield at, i + 1
             at, size = i + 1, 0
-    if at < len(texts):
-        yield at, len(texts)
+    if at < len(sizes):
+        yield at, len(sizes)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = True) -> DataFrame:
@@ -77,10 +78,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
         step = 4 * capacity
         encoder = word_tokens(tokenizer)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in _slices(texts):
+            texts = batch.column(1)
+            for a, b in _slices(pc.utf8_length(texts).to_pylist()):
                 rows, numbers, lengths, sums, ids = [], [], [], [], []
-                for i, data in enumerate(encoder.ids(texts[a:b]), a):
+                for i, data in enumerate(encoder.ids(texts.slice(a, b - a).to_pylist()), a):
                     data += end
                     for n, at in enumerate(range(0, len(data), step)):
                         part = data[at : at + step]
