@@ -28,20 +28,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> str:
-    """Path in the shared folder where ``df`` has been written as Parquet."""
+def stored(df: DataFrame, name: str, group_mb: int = 128) -> str:
+    """Path in the shared folder where ``df`` has been written as Parquet, with row groups of about ``group_mb``.
+
+    The size of a row group is looked at from the first row on, by default only after 100: rows may be megabytes long.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.page.size.row.check.min", 1).option("parquet.block.size", group_mb << 20).parquet(path)
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, group_mb: int = 128) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back.
 
     Cuts the lineage so that a lost executor costs one task's rerun, and lets
-    several later branches read the rows without computing them again.
+    several later branches read the rows without computing them again. Tasks hold a row group of arrays at once, unpacked:
+    tables of long rows take small ones.
     """
-    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(stored(df, name, group_mb))
 
 
 def once(**columns: Column) -> Column:

@@ -45,6 +45,8 @@ from reachgrid.llm.words import hashes_at
 
 #: Terms and documents of a shard, at most, unless one document has more.
 SHARD_TERMS, SHARD_DOCS = 1_000_000, 20_000
+#: Megabytes of a row group of the index, which holds a shard or two, however many a task makes or reads.
+GROUP_MB = 8
 QUERY_BLOCK = 2_000
 #: Postings of a block, at most, and the price of a block in mean distances of impacts from their list's greatest.
 BLOCK_MOST, BLOCK_PRICE = 64, 8
@@ -332,7 +334,7 @@ def _search_block(shards: DataFrame, queries: Queries, n_docs: int, n_terms: int
 
 def op13_block_max_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
-    return search(written(index(documents(spark, sf_dir)), "lexical-index"), items)
+    return search(written(index(documents(spark, sf_dir)), "lexical-index", GROUP_MB), items)
 
 
 ORACLE_SQL = r"""
