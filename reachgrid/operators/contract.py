@@ -11,13 +11,16 @@ takes an independent set of the nodes that may be merged: those whose hash is le
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.costs import MAX_COST
 from reachgrid.functions.numbering import dense_index
 from reachgrid.functions.shared import released, small_side, written
 from reachgrid.functions.tags import PROTECTED_FLAG
+from reachgrid.operators import chains
 from reachgrid.operators.adjacency import EDGE_KEY
 
 
@@ -29,7 +32,7 @@ def protect_nodes(nodes: DataFrame, ids: DataFrame) -> DataFrame:
 
 def merge_candidates(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """node, low, high: unprotected nodes with exactly two neighbours, an edge in and an edge out."""
-    return _candidates_of(nodes, neighbour_pairs(edges))
+    return _candidates_of(protected_nodes(nodes), neighbour_pairs(edges))
 
 
 def neighbour_pairs(edges: DataFrame) -> DataFrame:
@@ -40,11 +43,15 @@ def neighbour_pairs(edges: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("node", "near").agg(F.max("o").alias("o"), F.max("i").alias("i"))
 
 
-def _candidates_of(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+def protected_nodes(nodes: DataFrame) -> DataFrame:
+    """node: those that must stay."""
+    return nodes.where(F.col("flags").bitwiseAND(PROTECTED_FLAG) != 0).select(F.col("node_index").alias("node"))
+
+
+def _candidates_of(protected: DataFrame, pairs: DataFrame) -> DataFrame:
     """``merge_candidates`` from neighbour pairs, each there once."""
     found = pairs.groupBy("node").agg(F.count("*").alias("n"), F.min("near").alias("low"), F.max("near").alias("high"), F.max("o").alias("o"), F.max("i").alias("i"))
-    free = nodes.where(F.col("flags").bitwiseAND(PROTECTED_FLAG) == 0).select(F.col("node_index").alias("node"))
-    return found.where("n = 2 and o = 1 and i = 1").select("node", "low", "high").join(free, "node", "left_semi")
+    return found.where("n = 2 and o = 1 and i = 1").select("node", "low", "high").join(protected, "node", "left_anti")
 
 
 def merge_plan(candidates: DataFrame, edges: DataFrame, limit: int = MAX_COST) -> DataFrame:
@@ -158,22 +165,41 @@ def contract_chains(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, l
 
 def merged_graph(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limit: int = MAX_COST) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without pass-through nodes under the indices that they had; of equal edges all may be there."""
+    removed, edges = merged_edges(protected_nodes(nodes), edges, max_rounds, limit)
+    return nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti"), edges
+
+
+def merged_edges(
+    protected: DataFrame, edges: DataFrame, max_rounds: int = 200, limit: int = MAX_COST, blocks: bool = False, free: Callable[[str], Column] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(node: those merged away, edges) where the nodes ``protected`` (node) stay.
+
+    With ``blocks`` chains of which all edges lie side by side are merged there first; their nodes are not among those
+    returned, as no edge is left to tell of them. ``free``: a condition on an index that all nodes that may go meet.
+    """
     columns = [*EDGE_KEY, "cost_seconds"]
-    edges = written(edges.select(*columns), "contracting")
-    candidates = written(merge_candidates(nodes, edges), "candidates")
-    removed, new = merge_chains(candidates, edges, limit)
+    if blocks:
+        parts = chains.edge_blocks(edges, free)
+        edges = written(chains.merged_in_blocks(parts, protected, limit, free).select(*[F.col(c).cast(edges.schema[c].dataType) for c in columns]), "contracting")
+        released(parts)
+    else:
+        edges = written(edges.select(*columns), "contracting")
+    of_free = lambda pairs: pairs if free is None else pairs.where(free("node"))
+    candidates = written(_candidates_of(protected, of_free(neighbour_pairs(edges))), "candidates")
+    if not candidates.limit(1).count():
+        return candidates.select("node"), edges
+    removed, new = merge_chains(candidates, _touching(edges, candidates), limit)
     removed = written(removed, "removed")
     if removed.limit(1).count():
         left = written(_without(edges, removed).select(*columns).unionByName(new.select(*columns)), "contracting")
         released(edges, new, candidates)
         edges = left
     # Rounds change little: edges are written once, and only neighbour pairs, nodes gone and edges made since go from round to round.
-    pairs, gone, made = written(neighbour_pairs(edges), "neighbours"), removed.limit(0), edges.limit(0)
+    pairs, gone, made = written(of_free(neighbour_pairs(edges)), "neighbours"), removed.limit(0), edges.limit(0)
     for turn in range(max_rounds):
-        alive = nodes.join(removed, nodes["node_index"] == removed["node"], "left_anti")
-        candidates = written(_candidates_of(alive, pairs), "candidates")
+        candidates = written(_candidates_of(protected, pairs), "candidates")
         if not candidates.limit(1).count():
-            return alive, _without(edges, gone).select(*columns).unionByName(made) if turn else edges
+            return removed, _without(edges, gone).select(*columns).unionByName(made) if turn else edges
         touching = written(_without(_touching(edges, candidates), gone).select(*columns).unionByName(_touching(made, candidates)), "touching")
         plan = written(merge_plan(candidates, touching, limit), "plan")
         ready = candidates.join(plan.select("node").distinct(), "node", "left_semi")
@@ -181,7 +207,7 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limi
         rank = F.struct(F.xxhash64("node", F.lit(turn)), "node")
         ranked = written(ready.withColumn("rank", rank), "ready")
         if not ranked.limit(1).count():
-            return alive, _without(edges, gone).select(*columns).unionByName(made) if turn else edges
+            return removed, _without(edges, gone).select(*columns).unionByName(made) if turn else edges
         near = ranked.select(F.col("node").alias("near"), F.col("rank").alias("near_rank"))
         sides = ranked.select("node", "rank", F.explode(F.array("low", "high")).alias("near")).join(near, "near", "left")
         beaten = sides.where(F.col("near_rank") < F.col("rank")).select("node").distinct()
@@ -189,7 +215,7 @@ def merged_graph(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, limi
         new = written(plan.join(chosen, "node", "left_semi").select(*columns), "new-edges")
         made = written(_without(made, chosen).select(*columns).unionByName(new), "made-edges")
         kept = pairs.join(chosen, "node", "left_anti").join(chosen.select(F.col("node").alias("near")), "near", "left_anti").select("node", "near", "o", "i")
-        kept = kept.unionByName(neighbour_pairs(new)).groupBy("node", "near").agg(F.max("o").alias("o"), F.max("i").alias("i"))
+        kept = kept.unionByName(of_free(neighbour_pairs(new))).groupBy("node", "near").agg(F.max("o").alias("o"), F.max("i").alias("i"))
         left = written(kept, "neighbours")
         released(pairs, touching)
         pairs = left
