@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def half_even(c: Column) -> Column:
     """Nearest integer, halves to the even one."""
-    return F.bround(c, 0).cast("long")
+    return F.rint(c).cast("long")
 
 
 def half_up(c: Column) -> Column:
